@@ -138,3 +138,38 @@ def packed_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+
+
+# --- documents dealt to buckets by id ---------------------------------------------------------
+
+NO_ID = -(1 << 63)  # stands for a null id, which counts as smaller than any other
+
+
+def prime_from(n: int) -> int:
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def by_bucket(docs: DataFrame, n: int) -> DataFrame:
+    """bucket, doc_id (NO_ID for null) and text (empty for null), to be grouped by bucket."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.select(F.pmod(d, F.lit(n)).cast("int").alias("bucket"), d.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def in_order(group: pa.Table) -> pa.Table:
+    """A bucket's documents in the one order that every step sees: by id, then by text. A row's
+    place in it names the row, also where ids repeat."""
+    return group.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+
+
+def ids_out(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
+ROUTED = "bucket int, target int, payload binary"
+_ROUTED = pa.schema([("bucket", pa.int32()), ("target", pa.int32()), ("payload", pa.binary())])
+
+
+def routed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_ROUTED.types)], schema=_ROUTED)

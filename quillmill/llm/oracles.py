@@ -25,3 +25,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 ORACLES = {"op5_host_rules": OP5}
+
+OP4 = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s:s + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM w)),
+f AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) < doc_id AS hit FROM win),
+h AS (SELECT doc_id, unnest(range(s, s + 13)) AS pos FROM f WHERE hit),
+gone AS (SELECT DISTINCT doc_id, pos FROM h),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.pos) FILTER (g.pos IS NULL) AS kept, count(g.pos) AS n FROM t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.pos = g.pos GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+ORACLES["op4_recompression_dedup"] = OP4
