@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, recompression, secrets, tokens
+from . import host_rules, minhash, recompression, secrets, tokens
 from .common import table
 from .oracles import ORACLES
 
@@ -30,4 +30,8 @@ def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_recompression_dedup, op5_host_rules)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_recompression_dedup, op5_host_rules, op10_minhash_near_dedup)}
