@@ -67,3 +67,24 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 ORACLES["op8_positional_decontamination"] = OP8
+
+
+def mixing_sql(documents: str) -> str:
+    """The mixture with production parameters over a table of that name."""
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, len({_WORDS})::BIGINT AS n_tokens FROM {documents}),
+s AS (SELECT source, count(*) AS n_docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY 1),
+p AS (SELECT *, tokens / (SELECT sum(tokens) FROM s)::DOUBLE AS share FROM s WHERE tokens > 0),
+g AS (SELECT k, sum(exp(k / 1024.0::DOUBLE * ln(share))) AS z, max(exp(k / 1024.0::DOUBLE * ln(share)) / share) AS m FROM p, range(0, 1025) r(k) GROUP BY 1),
+e AS (SELECT coalesce(min(k) FILTER (m / z <= 1.25), 1024) AS k FROM g),
+w AS (SELECT p.*, floor(exp(e.k / 1024.0::DOUBLE * ln(share)) / z * (SELECT sum(tokens) FROM s)::DOUBLE)::BIGINT AS budget, ceil(n_docs / 4096.0)::BIGINT AS blocks FROM p, e JOIN g USING (k)),
+a AS (SELECT d.doc_id, d.source, d.n_tokens, w.tokens, w.budget, ('0x' || substr(md5('mix-1|block|' || d.doc_id), 1, 8))::BIGINT % blocks AS block FROM d JOIN w USING (source)),
+b AS (SELECT source, block, sum(n_tokens)::BIGINT AS held, any_value(budget) AS budget, any_value(tokens) AS tokens FROM a GROUP BY 1, 2),
+c AS (SELECT *, unnest(range(0, floor(budget / tokens)::BIGINT + 1)) AS pass FROM b),
+o AS (SELECT source, block, pass, budget - pass * tokens AS remain, coalesce(sum(held) OVER (PARTITION BY source, pass ORDER BY md5('mix-1|' || source || '|' || pass || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+r AS (SELECT a.doc_id, source, n_tokens, pass, block, remain, before + coalesce(sum(n_tokens) OVER (PARTITION BY source, block, pass ORDER BY md5('mix-1|' || pass || '|' || a.doc_id), a.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM a JOIN o USING (source, block) WHERE before < remain)
+SELECT doc_id, source, n_tokens, pass, block, place::BIGINT AS place FROM r WHERE place < remain
+"""
+
+
+ORACLES["op9_temperature_mixing"] = mixing_sql("documents")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, minhash, recompression, secrets, tokens
+from . import decontamination, host_rules, minhash, mixing, recompression, secrets, tokens
 from .common import table
 from .oracles import ORACLES
 
@@ -38,4 +38,8 @@ def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_recompression_dedup, op5_host_rules, op8_positional_decontamination, op10_minhash_near_dedup)}
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_recompression_dedup, op5_host_rules, op8_positional_decontamination, op9_temperature_mixing, op10_minhash_near_dedup)}
