@@ -221,3 +221,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = s.select("doc_id", *key).join(named, key, "left").select(F.col("doc_id"), "n_shingles", own.alias("component_id"))
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def near_unique(docs: DataFrame) -> DataFrame:
+    """The rows of docs, as they are, of one document of each component: the one of the least id.
+    Rows that share an id are one document here: they stay or go together."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_quillmill_gone")).distinct()
+    gone = scratch(gone, "gone")  # a table: broadcast only if small
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_quillmill_gone"]), "left_anti")

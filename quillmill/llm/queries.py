@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, minhash, mixing, recompression, secrets, tokens
+from . import decontamination, host_rules, minhash, mixing, recompression, secrets, templates, tokens
 from .common import table
 from .oracles import ORACLES
 
@@ -42,4 +42,8 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_recompression_dedup, op5_host_rules, op8_positional_decontamination, op9_temperature_mixing, op10_minhash_near_dedup)}
+def op6_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.drop_templates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_recompression_dedup, op5_host_rules, op6_template_line_dedup, op8_positional_decontamination, op9_temperature_mixing, op10_minhash_near_dedup)}
