@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of input that one bucket of a packed exchange should stand for.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 MIN_BUCKETS, MAX_BUCKETS = 48, 1 << 16
 
 
@@ -57,6 +57,21 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def _drop_table_at_exit(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def scratch_bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """A scratch table in the warehouse, which all machines share, bucketed by key: steps that group
+    by key read it in place, without an exchange."""
+    spark = df.sparkSession
+    table = f"quillmill_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("compression", "zstd").saveAsTable(table)
+    atexit.register(_drop_table_at_exit, spark, table)
+    return spark.table(table)
+
+
 def size_hint(df: DataFrame) -> int:
     """The planner's estimate of df's bytes, without a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, mix, slices
-from .common import bucket_of, buckets_for, deal, narrow, pack, scratch, unpack
+from .common import buckets_for, narrow, pack, scratch, scratch_bucketed, unpack
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 HELD_OUT_OF = 10
 SMOOTH = 0.1
 END, START = np.uint64(0xFFFFFFFFFFFFFFF1), np.uint64(0xFFFFFFFFFFFFFFF7)
@@ -50,9 +50,51 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_SENT.types)], schema=_SENT)
 
 
+def codes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes as codes that sort by bucket, then by 48 bits of the hash. A bucket's size doesn't
+    grow with the corpus (the number of buckets does), so 48 bits keep telling its entries apart."""
+    return (((h & np.uint64(0xFFFFFF)) % np.uint64(n)) << np.uint64(48)) | (h >> np.uint64(16))
+
+
+def planes(x: np.ndarray) -> list[np.ndarray]:
+    """Non-negative whole numbers as one array for each byte, the lowest first; high bytes that are
+    zero throughout are left out, and those that are mostly zero compress well."""
+    top = int(x.max()) if len(x) else 0
+    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return [np.ascontiguousarray(raw[:, k]) for k in range(max(1, (top.bit_length() + 7) // 8))]
+
+
+def from_planes(p: list[np.ndarray]) -> np.ndarray:
+    raw = np.zeros((len(p[0]), 8), np.uint8)
+    for k, x in enumerate(p):
+        raw[:, k] = x
+    return raw.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def _keyed(key: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted distinct keys, as steps in byte planes, and columns along them."""
+    step = np.diff(key, prepend=np.uint64(0))
+    p = planes(step)
+    return pack(*columns, *p, np.zeros(len(p), np.uint8))
+
+
+def _unkeyed(payload: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    cols = unpack(payload)
+    n = len(cols[-1])
+    return np.cumsum(from_planes(cols[-1 - n : -1]), dtype=np.uint64), cols[: -1 - n]
+
+
+def _by_bucket(code: np.ndarray, n: int):
+    """(bucket, slice) of sorted codes for each bucket that has any."""
+    edges = np.searchsorted(code, np.arange(n + 1, dtype=np.uint64) << np.uint64(48))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        yield k, slice(int(edges[k]), int(edges[k + 1]))
+
+
 def make_blocks(docs: DataFrame) -> DataFrame:
-    """block and payload: sorted word hashes, each token's place in them, tokens and ids of the
-    documents, and which are held out."""
+    """block and payload: word hashes, the frequent first, each token's place in them, tokens and
+    ids of the documents, and which are held out. The table is bucketed by block, so that no later
+    step moves a block."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -70,21 +112,25 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                 is_word[ends] = False
                 token[ends] = END
                 token[is_word] = w.hashes()
-                words, place = np.unique(token, return_inverse=True)
-                payload = pack(words, narrow(place), narrow(size), ids[lo:hi], held[lo:hi].astype(np.uint8), null[lo:hi].astype(np.uint8))
+                words, place, count = np.unique(token, return_inverse=True, return_counts=True)
+                order = np.argsort(-count, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                payload = pack(words[order], narrow(size), ids[lo:hi], held[lo:hi].astype(np.uint8), null[lo:hi].astype(np.uint8), *planes(rank[place]))
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq]), pa.array([payload], pa.binary())], names=["block", "payload"])
                 seq += 1
 
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(HELD_OUT_OF)) == 0
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held.alias("held"))
-    return scratch(cut.mapInArrow(run, "block long, payload binary"), "blocks")
+    return scratch_bucketed(cut.mapInArrow(run, "block long, payload binary"), "blocks", "block", buckets_for(docs))
 
 
 class Block:
-    """A block's tokens, and its distinct bigrams in the order of their hashes."""
+    """A block's tokens, and its distinct bigrams in the order of their codes."""
 
-    def __init__(self, payload: bytes):
-        words, place, size, self.ids, held, null = unpack(payload)
+    def __init__(self, payload: bytes, n: int):
+        words, size, self.ids, held, null, *place = unpack(payload)
+        place = from_planes(place)
         self.null, self.held = null.astype(bool), held.astype(bool)
         self.size = size.astype(np.int64)
         self.words = np.concatenate([words, np.array([START])])  # the start mark comes last
@@ -97,7 +143,7 @@ class Block:
         self.train = np.repeat(~self.held, self.size)
         pair, index = np.unique(before * len(self.words) + self.place, return_inverse=True)
         context, word = np.divmod(pair, len(self.words))
-        key = mix(self.words[context] * _PAIR + self.words[word])
+        key = codes(mix(self.words[context] * _PAIR + self.words[word]), n)
         order = np.argsort(key)
         self.key, self.context, self.word = key[order], context[order], word[order]
         rank = np.empty(len(order), np.int64)
@@ -106,18 +152,17 @@ class Block:
         self.pair_count = np.bincount(self.pair[self.train], minlength=len(key))
         self.word_count = np.bincount(self.place[self.train], minlength=len(self.words))
         self.word_count[-1] = int((~self.held).sum())  # as a context: training texts
+        self.word_key = codes(self.words, n)
+        self.by_key = np.argsort(self.word_key)
 
 
 def _answers(table: pa.Table | pa.RecordBatch) -> list[tuple[int, list[np.ndarray]]]:
     return sorted(((b, unpack(p.as_py())) for b, p in zip(table.column("bucket").to_pylist(), table.column("payload"), strict=True)), key=lambda x: x[0])
 
 
-def _in_order(key: np.ndarray, n: int, answers: list[tuple[int, list[np.ndarray]]], column: int) -> np.ndarray:
-    """A column of the answers in the order of key, which deal() had sent out by bucket."""
-    order = np.argsort(bucket_of(key, n).astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
-    out = np.empty(len(key), np.int64)
-    out[order] = np.concatenate([a[column].astype(np.int64) for _, a in answers])
-    return out
+def _joined(answers: list[tuple[int, list[np.ndarray]]], column: int) -> np.ndarray:
+    """A column of the answers, which follow the sorted codes that were asked about."""
+    return np.concatenate([a[column] for _, a in answers]).astype(np.int64)
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -134,21 +179,21 @@ def _tally(columns: int, what):
 
     def run(key, group):
         bucket = key[0].as_py()
-        parts = [unpack(p.as_py()) for p in group.column("payload")]
+        parts = [_unkeyed(p.as_py()) for p in group.column("payload")]
         target = group.column("target").to_pylist()
-        keys = np.concatenate([p[0] for p in parts])
+        keys = np.concatenate([k for k, _ in parts])
         shard, index = np.unique(keys, return_inverse=True)
-        sums = [np.bincount(index, np.concatenate([p[1 + c] for p in parts]), len(shard)).astype(np.int64) for c in range(columns)]
-        trained = np.flatnonzero(np.concatenate([p[1] for p in parts]) > 0)
+        sums = [np.bincount(index, np.concatenate([c[k] for _, c in parts]), len(shard)).astype(np.int64) for k in range(columns)]
+        trained = np.flatnonzero(np.concatenate([c[0] for _, c in parts]) > 0)
         owner = np.zeros(len(keys), bool)
         owner[trained[np.unique(index[trained], return_index=True)[1]]] = True
         rows, lo = [], 0
-        for t, p in zip(target, parts, strict=True):
-            hi = lo + len(p[0])
+        for t, (k, _) in zip(target, parts, strict=True):
+            hi = lo + len(k)
             rows.append((bucket, t, pack(*(narrow(s[index[lo:hi]]) for s in sums), owner[lo:hi].astype(np.uint8)), None))
             lo = hi
         seen = sums[0] > 0
-        rows.append((bucket, -1, pack(shard[seen], *(narrow(s[seen]) for s in sums)), what(shard, sums)))
+        rows.append((bucket, -1, _keyed(shard[seen], *(narrow(s[seen]) for s in sums)), what(shard, sums, bucket)))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -158,14 +203,19 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
 
 
-def _bigram_numbers(keys, sums) -> list[int]:
+def _bigram_numbers(keys, sums, bucket) -> list[int]:
     return [*_of_counts(sums[0]), int((sums[0] > 0).sum())]
 
 
-def _word_numbers(keys, sums) -> list[int]:
-    real = keys != START
-    c, cont = sums[0][real], sums[4][real]
-    return [int(c.sum()), int((c > 0).sum()), *_of_counts(cont), int((cont >= 3).sum()), int(cont.sum())]
+def _word_numbers(n: int):
+    start = int(codes(np.array([START]), n)[0])
+
+    def numbers(keys, sums, bucket) -> list[int]:
+        real = keys != np.uint64(start & ((1 << 48) - 1)) if bucket == start >> 48 else np.ones(len(keys), bool)
+        c, cont = sums[0][real], sums[4][real]
+        return [int(c.sum()), int((c > 0).sum()), *_of_counts(cont), int((cont >= 3).sum()), int(cont.sum())]
+
+    return numbers
 
 
 def _totals(answers: DataFrame, n: int) -> list[int]:
@@ -190,12 +240,15 @@ def _mapped(*columns: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+_KEY = np.uint64((1 << 48) - 1)
+
+
 def _send_bigrams(n: int):
     def run(batches):
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                b = Block(payload.as_py())
-                rows = [(k, block, pack(key, narrow(c)), None) for k, (key, c) in deal(bucket_of(b.key, n), n, b.key, b.pair_count)]
+                b = Block(payload.as_py(), n)
+                rows = [(k, block, _keyed(b.key[at] & _KEY, narrow(b.pair_count[at])), None) for k, at in _by_bucket(b.key, n)]
                 if rows:
                     yield _rows(rows)
 
@@ -206,15 +259,16 @@ def _send_words(n: int):
     def run(key, blocks, answers):
         rows = []
         for block, payload in zip(blocks.column("block").to_pylist(), blocks.column("payload"), strict=True):
-            b = Block(payload.as_py())
+            b = Block(payload.as_py(), n)
             got = _answers(answers)
-            total, owned = (_in_order(b.key, n, got, c) for c in (0, 1))
-            own = owned > 0
+            total, own = _joined(got, 0), _joined(got, 1) > 0
             size = len(b.words)
             types = [np.bincount(b.context[own & t], minlength=size) for t in (total == 1, total == 2, total >= 3)]
             cont = np.bincount(b.word[own], minlength=size)
-            for k, cols in deal(bucket_of(b.words, n), n, b.words, b.word_count, *types, cont):
-                rows.append((k, block, pack(cols[0], *(narrow(c) for c in cols[1:])), None))
+            columns = [c[b.by_key] for c in (b.word_count, *types, cont)]
+            code = b.word_key[b.by_key]
+            for k, at in _by_bucket(code, n):
+                rows.append((k, block, _keyed(code[at] & _KEY, *(narrow(c[at]) for c in columns)), None))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -228,20 +282,17 @@ def _score(n: int, d2: tuple, d1: tuple, numbers: list[int]):
         kinds = pairs.column("kind").to_numpy(zero_copy_only=False)
         bigrams, words = (_answers(pairs.filter(pa.array(kinds == k))) for k in (0, 1))
         for payload in blocks.column("payload"):
-            b = Block(payload.as_py())
-            total = _in_order(b.key, n, bigrams, 0)
-            c, n1, n2, n3, cont = (_in_order(b.words, n, words, k) for k in range(5))
-            by_hash = np.argsort(b.words)
+            b = Block(payload.as_py(), n)
             # this block's part of the model: sorted hash arrays, mapped
-            pair_hash, pair_total, word_hash, word_stats = *_mapped(b.key, total), *_mapped(b.words[by_hash], by_hash)
+            pair_hash, pair_total, word_hash, *stats = _mapped(b.key, _joined(bigrams, 0), b.word_key[b.by_key], *(_joined(words, k) for k in range(5)))
+            c, n1, n2, n3, cont = (np.asarray(x) for x in stats)
             t = float(max(types, 1))
             lower_gamma = (d1[0] * m1 + d1[1] * m2 + d1[2] * m3) / t if types else 1.0
             lower = np.maximum(cont - np.choose(np.minimum(cont, 3), (0.0, *d1)), 0.0) / t + lower_gamma / (vocabulary + 1)
             gamma = np.where(c > 0, (d2[0] * n1 + d2[1] * n2 + d2[2] * n3) / np.maximum(c, 1), 1.0)
-            at = np.searchsorted(pair_hash, mix(b.words[b.before] * _PAIR + b.words[b.place]))
-            seen = np.asarray(pair_total)[at]
-            context = np.asarray(word_stats)[np.searchsorted(word_hash, b.words[b.before])]
-            word = np.asarray(word_stats)[np.searchsorted(word_hash, b.words[b.place])]
+            seen = pair_total[np.searchsorted(pair_hash, b.key)][b.pair]
+            entry = np.searchsorted(word_hash, b.word_key)  # where each of the block's words stands
+            context, word = entry[b.before], entry[b.place]
             higher = np.maximum(seen - np.choose(np.minimum(seen, 3), (0.0, *d2)), 0.0) / np.maximum(c[context], 1)
             p = higher + gamma[context] * lower[word]
             base = np.log10((c[word] + SMOOTH) / (train_tokens + SMOOTH * (vocabulary + 1)))
@@ -267,7 +318,7 @@ def count_model(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     bigrams = scratch(sent.groupBy("bucket").applyInArrow(_tally(1, _bigram_numbers), SENT), "bigrams")
     mine = lambda df: df.filter("target >= 0").groupBy("target")
     sent = blocks.groupBy("block").cogroup(mine(bigrams)).applyInArrow(_send_words(n), SENT)
-    words = scratch(sent.groupBy("bucket").applyInArrow(_tally(5, _word_numbers), SENT), "words")
+    words = scratch(sent.groupBy("bucket").applyInArrow(_tally(5, _word_numbers(n)), SENT), "words")
     return blocks, bigrams, words, n
 
 
