@@ -88,3 +88,18 @@ SELECT doc_id, source, n_tokens, pass, block, place::BIGINT AS place FROM r WHER
 
 
 ORACLES["op9_temperature_mixing"] = mixing_sql("documents")
+
+OP7 = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i - 1, 100) AS win FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 48)) AS i FROM b)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS lo FROM w) WHERE lo < doc_id),
+g AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) > 50 AS new FROM h),
+r AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY 1, 2),
+k AS (SELECT doc_id, run, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS nxt, a FROM s),
+t AS (SELECT b.doc_id, x, sum(z - k.a)::BIGINT AS gone, count(k.a) AS n, min(k.a) AS f,
+  string_agg(substr(x, 2 * z - 1, 2 * (coalesce(nxt, length(x) // 2 + 1) - z)), '' ORDER BY k.a) AS rest FROM b LEFT JOIN k USING (doc_id) GROUP BY 1, 2)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, n::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n = 0 THEN x ELSE substr(x, 1, 2 * (f - 1)) || rest END)) AS kept_sha256 FROM t
+"""
+ORACLES["op7_suffix_dedup"] = OP7

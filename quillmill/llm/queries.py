@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, lm, minhash, mixing, recompression, secrets, templates, tokens
+from . import decontamination, host_rules, lm, minhash, mixing, recompression, secrets, suffix, templates, tokens
 from .common import table
 from .oracles import ORACLES
 
@@ -50,4 +50,8 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_kneser_ney, op4_recompression_dedup, op5_host_rules, op6_template_line_dedup, op8_positional_decontamination, op9_temperature_mixing, op10_minhash_near_dedup)}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_kneser_ney, op4_recompression_dedup, op5_host_rules, op6_template_line_dedup, op7_suffix_dedup, op8_positional_decontamination, op9_temperature_mixing, op10_minhash_near_dedup)}
