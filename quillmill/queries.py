@@ -1,13 +1,9 @@
-"""The library's queries over the driver's tables."""
+"""The library's queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from .plans import text_queries
+from .plans.registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.length("text").alias("n_chars"))
+page_triage = text_queries.page_triage
+__all__ = ["ORACLES", "QUERIES", "page_triage"]
