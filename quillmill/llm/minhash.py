@@ -8,11 +8,13 @@ of exactly 0.85, is about one in a million), and two signatures that agree in so
 any COORDINATES - MATCHES + 1 coordinates. So only that prefix is posted: for each class its pairs
 with the shortest posting lists, which skips the lists that a common passage makes long.
 
-Lists are merged without forming all pairs in a group: first every list's members are compared with
-one leader, drawn per list by a hash, and what is linked is united; a list within one component is
-done. Of the other lists only pairs across components remain, and a list that is still long is
-first divided by a second coordinate and merged again in the same way. A link that is never
-compared lies within a component that other links hold together already.
+Lists are merged without forming all pairs in a group: in rounds every list's members are
+compared with a few leaders, drawn per list and round by a hash, and what is linked is united; a
+list within one component is done. Of the other lists only pairs across components remain to be formed.
+Where a list is still long, as texts mostly of one common passage make it, its members are posted
+under shingles instead, by the prefix that the wanted similarity leaves: the n - ceil(0.85 n) + 1
+shingles that fewest of these members hold, which for such texts lie outside of the passage. A link
+that is never compared lies within a component that other links hold together already.
 
 Every comparison counts the collisions of the two signatures first, and is then confirmed on the
 full sets: 100 * intersection >= PERCENT * union.
@@ -37,8 +39,10 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
-#: Lists of more members are divided by a second coordinate before pairs are formed.
+#: Lists of more members are not paired off by coordinates, but by their rarest shingles.
 LONG_LIST = 64
+#: Leaders of a list in a round, and most rounds, before the rest is paired off.
+LEADERS, ROUNDS = 4, 3
 
 _draw = np.random.Generator(np.random.PCG64(7))
 _A = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,13 +105,6 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "signature").mapInArrow(run, "post long, cls long")
 
 
-def _prefix(posts: DataFrame, taken: int) -> DataFrame:
-    """Of each class's postings (within a list, if divided) the `taken` with the shortest lists."""
-    within = [c for c in posts.columns if c not in ("post", "n")]
-    w = Window.partitionBy(*within).orderBy("n", "post")  # at most COORDINATES rows each
-    return posts.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= taken).drop("_rank", "n")
-
-
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs a - b those whose sets are similar enough, as a scratch table."""
     sig = classes.select("cls", "signature", "n_shingles")
@@ -162,49 +159,84 @@ def _open_lists(members: DataFrame, united: DataFrame | None, keys: list[str]) -
     return m.join(lists, keys)
 
 
+def _led(members: DataFrame, united: DataFrame | None, key: str, draw: int) -> DataFrame:
+    """Pairs of each open list's members with LEADERS leaders of the list, the members whose drawn
+    hashes are least in LEADERS ranges of a second hash: linear in the members."""
+    opened = _open_lists(members, united, [key])
+    part = F.pmod(F.xxhash64(F.lit(draw), "cls", key), F.lit(LEADERS))
+    leader = opened.groupBy(key, part.alias("_part")).agg(F.min(F.struct(F.xxhash64(F.lit(draw), key, "cls"), "cls", "comp")).alias("_l")).select(key, F.col("_l.cls").alias("lead"), F.col("_l.comp").alias("lead_comp"))
+    return opened.join(leader, key).filter("comp != lead_comp").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+
+
+def _led_until_settled(members: DataFrame, united: DataFrame | None, key: str, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Rounds of leaders, until one finds few more links or ROUNDS are done."""
+    before = None
+    for draw in range(ROUNDS):
+        new = _confirmed(_led(members, united, key, draw), classes, docs)
+        found = new.count()
+        if found:
+            united = _unite(united, new)
+        if not found or before is not None and found < before / 10:
+            break
+        before = found
+    return united
+
+
+def _paired(opened: DataFrame, key: str) -> DataFrame:
+    """Pairs of members of different components that share a list."""
+    x, y = (opened.select(key, F.col("cls").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
+    return x.join(y, key).filter("a < b and ca != cb").select("a", "b").distinct()
+
+
+def _rare_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """shingle and cls of the prefix of each wanted class's set, in order of rarity among them;
+    lists of one are left out."""
+
+    def sets(batches):
+        for b in batches:
+            cls = b.column("cls").to_numpy()
+            found = list(shingle_sets(b.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.uint64), *(s for _, s in found)]).view(np.int64)), pa.array(np.repeat(cls[[r for r, _ in found]], [len(s) for _, s in found]).astype(np.int64))], names=["shingle", "cls"]
+            )
+
+    texts = docs.join(wanted, docs["doc_id"].cast("long") == wanted["cls"]).select("cls", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    held = scratch(texts.mapInArrow(sets, "shingle long, cls long").distinct(), "shingles")
+    often = held.groupBy("shingle").agg(F.count("*").alias("n"))
+    per = Window.partitionBy("cls")
+    ranked = held.join(often, "shingle").withColumn("_rank", F.row_number().over(per.orderBy("n", "shingle"))).withColumn("_size", F.count("*").over(per))
+    return ranked.filter((F.col("_rank") <= F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100) + 1) & (F.col("n") > 1)).select("shingle", "cls")
+
+
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Confirmed links between classes that hold the components together; None if there are none."""
+    """node and component of the classes that links unite; None if there are no links."""
     posts = _postings(classes)
     lists = posts.groupBy("post").agg(F.count("*").alias("n")).filter("n > 1")
     shared = scratch(posts.join(lists, "post"), "posts")
-    # a class's coordinates that nobody shares are its shortest lists: they fill its prefix first
-    free = shared.groupBy("cls").agg(F.count("*").alias("n_shared"))
-    w = Window.partitionBy("cls").orderBy("n", "post")
-    ranked = shared.withColumn("_rank", F.row_number().over(w)).join(free, "cls")
-    members = scratch(ranked.filter(F.col("_rank") <= F.col("n_shared") - MATCHES + 1).select("post", "cls"), "members")
-    found, united, keys, depth = None, None, ["post"], 1
-    while True:
-        # leaders: linear in the members
-        opened = _open_lists(members, united, keys)
-        draw = F.xxhash64(*keys, "cls")
-        leader = opened.groupBy(*keys).agg(F.min(F.struct(draw, "cls", "comp")).alias("_l")).select(*keys, F.col("_l.cls").alias("lead"), F.col("_l.comp").alias("lead_comp"))
-        star = opened.join(leader, keys).filter("comp != lead_comp").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-        found, united = _unite(found, _confirmed(star, classes, docs), united, classes)
-        opened = scratch(_open_lists(members, united, keys), "open")
-        short = opened.filter(F.col("size") <= LONG_LIST) if depth < 3 else opened
-        x, y = short.select(*keys, F.col("cls").alias("a"), F.col("comp").alias("ca")), short.select(*keys, F.col("cls").alias("b"), F.col("comp").alias("cb"))
-        rest = x.join(y, keys).filter("a < b and ca != cb").select("a", "b").distinct()
-        found, united = _unite(found, _confirmed(rest, classes, docs), united, classes)
-        if depth >= 3 or opened.filter(F.col("size") > LONG_LIST).isEmpty():
-            return found
-        long = _open_lists(opened.filter(F.col("size") > LONG_LIST).select(*keys, "cls"), united, keys).select(*keys, "cls")
-        # divide by a further coordinate: a pair of such a list shares MATCHES - depth more
-        other = long.join(shared.select(F.col("post").alias("more"), "cls"), "cls")
-        for k in keys:
-            other = other.filter(F.col("more") != F.col(k))
-        size = other.groupBy(*keys, "more").agg(F.count("*").alias("n")).filter("n > 1")
-        other = other.join(size, [*keys, "more"])
-        per = Window.partitionBy(*keys, "cls")
-        ranked = other.withColumn("_rank", F.row_number().over(per.orderBy("n", "more"))).withColumn("_all", F.count("*").over(per))
-        members = scratch(ranked.filter(F.col("_rank") <= F.col("_all") - (MATCHES - depth) + 1).select(*keys, "more", "cls"), "members").withColumnRenamed("more", f"post{depth}")
-        keys, depth = [*keys, f"post{depth}"], depth + 1
-
-
-def _unite(found, new, united, classes):
+    # coordinates that no other class shares are a class's shortest lists: they fill its prefix first
+    per = Window.partitionBy("cls")  # at most COORDINATES rows each
+    ranked = shared.withColumn("_rank", F.row_number().over(per.orderBy("n", "post"))).withColumn("_shared", F.count("*").over(per))
+    members = scratch(ranked.filter(F.col("_rank") <= F.col("_shared") - MATCHES + 1).select("post", "cls"), "members")
+    united = None
+    united = _led_until_settled(members, united, "post", classes, docs)
+    opened = scratch(_open_lists(members, united, ["post"]), "open")
+    united = _unite(united, _confirmed(_paired(opened.filter(F.col("size") <= LONG_LIST), "post"), classes, docs))
+    wanted = _open_lists(opened.filter(F.col("size") > LONG_LIST).select("post", "cls"), united, ["post"]).select("cls").distinct()
+    wanted = scratch(wanted, "wanted")
+    if wanted.isEmpty():
+        return united
+    members = scratch(_rare_shingles(docs, wanted), "rare")
+    united = _led_until_settled(members, united, "shingle", classes, docs)
+    return _unite(united, _confirmed(_paired(_open_lists(members, united, ["shingle"]), "shingle"), classes, docs))
+
+
+def _unite(united: DataFrame | None, new: DataFrame) -> DataFrame | None:
+    """The components with the new links a - b."""
     if new.isEmpty():
-        return found, united
-    found = new if found is None else found.unionByName(new)
-    return found, components(found)
+        return united
+    if united is not None:
+        new = new.unionByName(united.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(new)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,10 +244,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     s = scratch(signed(docs), "signatures")
     key = ["f1", "f2", "n_shingles"]
     classes = scratch(s.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("cls"), F.min("signature").alias("signature")), "classes")
-    found = links(classes, docs)
+    united = links(classes, docs)
     named = classes.select(*key, "cls")
-    if found is not None:
-        named = named.join(components(found).withColumnRenamed("node", "cls"), "cls", "left")
+    if united is not None:
+        named = named.join(united.withColumnRenamed("node", "cls"), "cls", "left")
         named = named.select(*key, F.coalesce("component", "cls").alias("cls"))
     own = F.when(F.col("n_shingles") > 0, F.col("cls")).otherwise(F.col("doc_id"))
     out = s.select("doc_id", *key).join(named, key, "left").select(F.col("doc_id"), "n_shingles", own.alias("component_id"))
