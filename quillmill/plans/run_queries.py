@@ -1,0 +1,260 @@
+"""Queries on page selection, routing, cost, progress, assembly and catalogs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import runs, triage
+from . import views
+from .registry import picked, query, quoted
+from .text_queries import solid_sql
+
+_IMAGES = """img AS (SELECT l_orderkey % 997 AS doc_id, l_orderkey % 89 + 1 AS page_no, l_orderkey * 10 + l_linenumber AS xref, l_quantity * 3 + l_partkey % 2 AS w, (l_partkey % 130)::DOUBLE AS h FROM lineitem),
+  small AS (SELECT doc_id, page_no, count(*) AS n_small FROM img WHERE least(w, h) >= 2 AND least(w, h) < 60 GROUP BY ALL),
+  figs AS (SELECT doc_id, page_no, count(DISTINCT xref) AS n_figures FROM img WHERE w >= 60 AND h >= 60 GROUP BY ALL)"""
+# each document stands for a page of a file of 16 pages
+_PAGES = f"""{_IMAGES}, pg AS (SELECT d.doc_id // 16 AS file_id, d.doc_id % 16 + 1 AS page_no, CASE WHEN {solid_sql("text")} < 120 THEN 'scanned' WHEN coalesce(n_small, 0) > 0 AND d.doc_id % 3 = 0 THEN 'equations' ELSE 'text' END AS page_class,
+  coalesce(f.n_figures, 0) AS n_figures FROM documents d LEFT JOIN (SELECT doc_id, sum(n_small) AS n_small FROM small GROUP BY 1) s ON s.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, sum(n_figures)::BIGINT AS n_figures FROM figs GROUP BY 1) f ON f.doc_id = d.doc_id)"""
+_INSPECT = "ins AS (SELECT file_id, count(*) AS pages, count(*) FILTER (page_class <> 'text') AS whole, coalesce(sum(n_figures) FILTER (page_class = 'text'), 0)::BIGINT AS figures FROM pg GROUP BY 1)"
+
+
+def _pages(spark, sf_dir):
+    images = views.page_images(spark, sf_dir)
+    small = triage.small_images(images, ["doc_id", "page_no"]).groupBy("doc_id").agg(F.sum("n_small").alias("n_small"))
+    figs = triage.figures(images, ["doc_id", "page_no"]).groupBy("doc_id").agg(F.sum("n_figures").alias("n_figures"))
+    d = views.table(spark, sf_dir, "documents").select("doc_id", T.solid_chars(F.col("text")).alias("solid")).join(small, "doc_id", "left").join(figs, "doc_id", "left")
+    n_small = F.when(F.col("doc_id") % 3 == 0, F.col("n_small"))
+    return d.select(F.floor(F.col("doc_id") / 16).alias("file_id"), (F.col("doc_id") % 16 + 1).alias("page_no"), triage.page_class(F.col("solid"), n_small).alias("page_class"), F.coalesce("n_figures", F.lit(0)).cast("long").alias("n_figures"))
+
+
+_SPECS = ["", "3", "1,5,9-12", "12-9", "0,2,99", "4-99"]
+
+
+@query(f"""WITH s AS (SELECT o_orderkey AS key, {picked("o_orderkey", _SPECS)} AS spec, (o_custkey % 20 + 1)::INT AS total FROM orders),
+  c AS (SELECT key, total, trim(unnest(string_split(CASE WHEN spec = '' THEN '1-' || total ELSE spec END, ','))) AS c FROM s),
+  r AS (SELECT key, greatest(split_part(c, '-', 1)::INT, 1) AS a, least(CASE WHEN contains(c, '-') THEN split_part(c, '-', 2) ELSE c END::INT, total) AS z FROM c)
+  SELECT DISTINCT key, unnest(range(a, z + 1))::INT AS page FROM r WHERE a <= z""")
+def parse_pages(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders")
+    return triage.parse_pages(o.select(F.col("o_orderkey").alias("key"), views.pick(F.col("o_orderkey"), _SPECS).alias("spec"), (F.col("o_custkey") % 20 + 1).cast("int").alias("total")))
+
+
+@query(f"SELECT class, count(*) AS n FROM (SELECT CASE WHEN {solid_sql('text')} < 1000000000 THEN 'scanned' ELSE 'text' END AS class FROM documents) GROUP BY 1")
+def triage_every_page(spark, sf_dir):
+    c = triage.page_class(T.solid_chars(F.col("text")), F.lit(0), triage.EVERY_PAGE)
+    return views.table(spark, sf_dir, "documents").groupBy(c.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_IMAGES} SELECT * FROM small")
+def small_images(spark, sf_dir):
+    return triage.small_images(views.page_images(spark, sf_dir), ["doc_id", "page_no"])
+
+
+@query(f"WITH {_PAGES} SELECT file_id, page_no, page_class, CASE WHEN page_class IN ('scanned', 'equations') THEN 'whole page' WHEN n_figures > 0 THEN 'text and figures' ELSE 'text' END AS route FROM pg")
+def page_route(spark, sf_dir):
+    return _pages(spark, sf_dir).select("file_id", "page_no", "page_class", triage.route(F.col("page_class"), F.col("n_figures")).alias("route"))
+
+
+_LIST = "coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (page_class = '{}'), '')"
+
+
+@query(f"WITH {_PAGES}, {_INSPECT} SELECT ins.file_id, ins.pages, ins.figures, {_LIST.format('scanned')} AS scanned, {_LIST.format('equations')} AS equations FROM ins JOIN pg USING (file_id) GROUP BY ALL")
+def inspect(spark, sf_dir):
+    i = triage.inspect(_pages(spark, sf_dir), "file_id")
+    return i.select("file_id", "pages", "figures", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("scanned", "equations")))
+
+
+@query(f"""WITH {_PAGES}, {_INSPECT}, ch AS (SELECT file_id, count(*) FILTER (page_class <> 'text') AS w, count(*) FILTER (page_class = 'text') AS t FROM pg WHERE page_no % 3 > 0 GROUP BY 1)
+  SELECT file_id, whole + figures AS calls_all, w + round_even(figures * t / greatest(1, pages - whole), 0)::BIGINT AS calls_chosen, round_even((w + round_even(figures * t / greatest(1, pages - whole), 0)::BIGINT) * 0.003375::DOUBLE, 4) AS cost FROM ins JOIN ch USING (file_id)""")
+def estimate_calls(spark, sf_dir):
+    text, chosen = F.col("page_class") == "text", F.col("page_no") % 3 > 0
+    count = lambda c: F.sum(c.cast("long"))
+    g = _pages(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("pages"), count(~text).alias("whole"), F.sum(F.when(text, F.col("n_figures")).otherwise(0)).alias("figures"), count(~text & chosen).alias("w"), count(text & chosen).alias("t"))
+    calls = triage.request_estimate(*(F.col(c) for c in ("pages", "whole", "figures", "w", "t")))
+    return g.filter("w + t > 0").select("file_id", (F.col("whole") + F.col("figures")).alias("calls_all"), calls.alias("calls_chosen"), F.bround(calls * F.lit(0.003375), 4).alias("cost"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity < 25 AND NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_returnflag = 'R' AND d.l_orderkey = l.l_orderkey AND d.l_linenumber = l.l_linenumber)")
+def resume_todo(spark, sf_dir):
+    li = views.table(spark, sf_dir, "lineitem")
+    k = ["l_orderkey", "l_linenumber"]
+    return runs.todo(li.filter("l_quantity < 25").select(*k), li.filter("l_returnflag = 'R'"), k)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def estimate_todo(spark, sf_dir):
+    done = views.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return runs.todo(views.table(spark, sf_dir, "orders").select("o_orderkey"), done, ["o_orderkey"])
+
+
+@query(f"WITH {_PAGES} SELECT file_id, page_no FROM pg WHERE page_class = 'scanned' AND page_no IN (SELECT DISTINCT turn + 1 FROM conversations)")
+def empty_pages(spark, sf_dir):
+    written = views.table(spark, sf_dir, "conversations").select((F.col("turn") + 1).alias("page_no"))
+    return _pages(spark, sf_dir).filter("page_class = 'scanned'").join(written, "page_no", "left_semi").select("file_id", "page_no")
+
+
+_MODELS = ["small", "large", "local", "unheard-of"]
+_USAGE = f"""u AS (SELECT event_id, ts, user_id, {picked("event_id", _MODELS)} AS model, CASE WHEN event_id % 13 <> 0 THEN 900 + event_id % 700 END AS prompt, CASE WHEN event_id % 13 <> 0 THEN 200 + floor(abs(value) * 10)::BIGINT % 400 END AS completion,
+  CASE WHEN event_id % 13 <> 0 THEN 1100 + event_id % 700 + floor(abs(value) * 10)::BIGINT % 900 END AS total FROM events)"""
+_PRICED = "CASE model WHEN 'small' THEN {} WHEN 'large' THEN {} ELSE {} END::DOUBLE"
+_METER = f"{_USAGE}, m AS (SELECT user_id, model, count(*) AS calls, sum(prompt)::BIGINT AS tokens_in, sum(greatest(completion, total - prompt))::BIGINT AS tokens_out FROM u WHERE prompt IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"WITH {_METER} SELECT user_id, model, calls, tokens_in, tokens_out, (tokens_in * {_PRICED.format('0.25', '0.75', '0.0')} + tokens_out * {_PRICED.format('1.5', '3.75', '0.0')}) / 1e6::DOUBLE AS cost FROM m")
+def token_cost(spark, sf_dir):
+    m = runs.priced(runs.meter(views.usage(spark, sf_dir), ["user_id", "model"]), F.lit(False))
+    return m.select("user_id", "model", "calls", "tokens_in", "tokens_out", runs.cost(*(F.col(c) for c in ("tokens_in", "tokens_out", "price_in", "price_out"))).alias("cost"))
+
+
+@query(f"WITH {_USAGE} SELECT user_id, event_id FROM u WHERE prompt IS NOT NULL QUALIFY coalesce(sum(prompt + greatest(completion, total - prompt)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 6000")
+def budget_stop(spark, sf_dir):
+    u = views.usage(spark, sf_dir).filter("prompt is not null")
+    spent = F.col("prompt") + runs.billed_out(F.col("prompt"), F.col("completion"), F.col("total"))
+    return runs.within_budget(u, ["user_id"], ["ts", "event_id"], spent, 6000).select("user_id", "event_id")
+
+
+@query(f"WITH {_USAGE} SELECT event_id, model, CASE WHEN model = 'unheard-of' AND user_id % 2 = 0 THEN 0.75 ELSE {_PRICED.format('0.25', '0.75', '0.0')} END::DOUBLE AS price_in, CASE WHEN model = 'unheard-of' AND user_id % 2 = 0 THEN 3.75 ELSE {_PRICED.format('1.5', '3.75', '0.0')} END::DOUBLE AS price_out FROM u")
+def price_lookup(spark, sf_dir):
+    u = views.usage(spark, sf_dir).select("event_id", "model", "user_id")
+    return runs.priced(u, F.col("user_id") % 2 == 0).select("event_id", "model", "price_in", "price_out")
+
+
+@query(f"WITH {_USAGE} SELECT event_id, CASE WHEN model <> 'unheard-of' THEN round_even((1500 * {_PRICED.format('0.25', '0.75', '0.0')} + 600 * {_PRICED.format('1.5', '3.75', '0.0')}) / 1e6::DOUBLE, 5) END AS per_page FROM u")
+def price_per_page(spark, sf_dir):
+    u = runs.priced(views.usage(spark, sf_dir).select("event_id", "model"), F.lit(False))
+    known = F.col("model").isin(*(m for _, m, *_ in runs.PRICES))
+    i, o = runs.TOKENS_PER_PAGE
+    return u.select("event_id", F.when(known, F.bround(runs.cost(F.lit(i), F.lit(o), F.col("price_in"), F.col("price_out")), 5)).alias("per_page"))
+
+
+_EVENTS = f"e AS (SELECT event_id, ts, user_id % 50 AS run, {picked('event_id', ['page_start', 'page_done', 'page_done', 'page_failed', 'image_done'])} AS kind, event_id % 400 + 1 AS page FROM events)"
+
+
+@query(f"""WITH {_EVENTS}, f AS (SELECT run, count(*) FILTER (kind IN ('page_done', 'image_done')) AS done, count(DISTINCT page) AS selected, coalesce(string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) FILTER (kind = 'page_failed'), '') AS failed, count(*) * 2500 AS micros FROM e GROUP BY 1)
+  SELECT run, done, selected, failed, micros // greatest(1, done) AS per_unit, micros // greatest(1, done) * greatest(0, selected - done) AS to_finish FROM f""")
+def run_summary(spark, sf_dir):
+    ended = F.col("kind").isin("page_done", "image_done")
+    failed = F.array_sort(F.collect_set(F.when(F.col("kind") == "page_failed", F.col("page").cast("string"))))
+    e = views.page_events(spark, sf_dir).groupBy("run").agg(F.sum(ended.cast("long")).alias("done"), F.count_distinct("page").alias("selected"), F.array_join(failed, ",").alias("failed"), (F.count("*") * 2500).alias("micros"))
+    unit = F.floor(F.col("micros") / F.greatest(F.lit(1), F.col("done")))
+    return e.select("run", "done", "selected", "failed", unit.alias("per_unit"), (unit * F.greatest(F.lit(0), F.col("selected") - F.col("done"))).alias("to_finish"))
+
+
+@query(f"""WITH {_EVENTS}, w AS (SELECT *, sum((kind IN ('page_done', 'image_done'))::BIGINT) OVER o AS done, sum((kind = 'page_failed')::BIGINT) OVER o AS failed, epoch_ms(ts) // 1000 - epoch_ms(first_value(ts) OVER o) // 1000 AS elapsed FROM e WINDOW o AS (PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  SELECT event_id, run, done::BIGINT AS done, failed::BIGINT AS failed, greatest(0, 500 - done - failed)::BIGINT AS remaining, round_even(CASE WHEN done + failed > 0 THEN greatest(0, 500 - done - failed) * (elapsed / (done + failed)) ELSE greatest(0, 500 - done - failed) * 30 END, 0)::BIGINT AS eta FROM w""")
+def progress_eta(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = views.page_events(spark, sf_dir)
+    first = F.first("ts").over(Window.partitionBy("run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    seconds = F.unix_timestamp("ts") - F.unix_timestamp(first)
+    return runs.progress(e, "run", ["ts", "event_id"], F.lit(500), seconds, F.lit(30)).select("event_id", "run", "done", "failed", "remaining", "eta")
+
+
+@query("SELECT conv_id AS doc_id, sha256('# ' || conv_id || chr(10) || string_agg(chr(10) || '## Page ' || turn || chr(10) || text, '' ORDER BY turn, text) || chr(10)) AS digest FROM conversations GROUP BY 1")
+def assemble(spark, sf_dir):
+    md = F.concat(F.lit("\n## Page "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"))
+    pages = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), md.alias("md"))
+    header = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"))
+    return runs.assemble(pages, "doc_id", header).select("doc_id", F.sha2("document", 256).alias("digest"))
+
+
+@query(f"""WITH {_EVENTS} SELECT event_id, '{{"event":"' || kind || '","page":' || page || ',"run":' || run || '}}' AS line FROM e""")
+def event_json(spark, sf_dir):
+    line = F.to_json(F.struct(F.col("kind").alias("event"), "page", "run"))
+    return views.page_events(spark, sf_dir).select("event_id", line.alias("line"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY 1 LIMIT 5")
+def trial_limit(spark, sf_dir):
+    return estimate_todo(spark, sf_dir).orderBy("o_orderkey").limit(5)
+
+
+@query("SELECT o_custkey, o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) = 1")
+def find_doc(spark, sf_dir):
+    return runs.newest(views.table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], [F.desc("o_orderdate"), "o_orderkey"]).select("o_custkey", "o_orderstatus", "o_orderkey")
+
+
+@query("SELECT p_partkey, CASE WHEN n = 1 THEN name ELSE name || ' (' || n || ')' END AS folder FROM (SELECT p_partkey, name, row_number() OVER (PARTITION BY lower(name) ORDER BY p_partkey) AS n FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name FROM part))")
+def unique_folder(spark, sf_dir):
+    names = views.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("name"))
+    return runs.free_names(names, ["p_partkey"]).select("p_partkey", "folder")
+
+
+_OUTLINE = """o AS (SELECT conv_id AS doc_id, turn AS ord, (CASE role WHEN 'user' THEN 1 ELSE 2 END + (conv_id + turn) % 2)::INT AS level, 'Section ' || turn AS title, turn * 3 + 1 AS start, (conv_id + turn) % 3 = 0 AS above FROM conversations),
+  p AS (SELECT doc_id, max(start) + 4 AS n_pages FROM o GROUP BY 1)"""
+
+
+@query(f"""WITH {_OUTLINE}, n AS (SELECT a.doc_id, a.ord, a.level, a.title, a.start, min(b.ord) AS nxt FROM o a LEFT JOIN o b ON a.doc_id = b.doc_id AND b.ord > a.ord AND b.level <= a.level GROUP BY ALL)
+  SELECT n.doc_id, n.ord, n.level, n.title, n.start AS first, greatest(n.start, CASE WHEN nxt IS NULL THEN n_pages WHEN b.above THEN b.start ELSE b.start - 1 END) AS last FROM n JOIN p USING (doc_id) LEFT JOIN o b ON b.doc_id = n.doc_id AND b.ord = n.nxt""")
+def outline_ranges(spark, sf_dir):
+    o = views.outline(spark, sf_dir)
+    return triage.outline_ranges(o, o.groupBy("doc_id").agg((F.max("start") + 4).alias("n_pages")))
+
+
+@query("""WITH n AS (SELECT doc_id, 'new ' || quality AS note, toxic = 1 AS gone FROM labels), s AS (SELECT doc_id, 'old ' || lang AS note FROM documents)
+  SELECT doc_id, note FROM s WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, note FROM n WHERE NOT gone""")
+def upsert_notes(spark, sf_dir):
+    new = views.table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("new "), F.col("quality").cast("string")).alias("note"), (F.col("toxic") == 1).alias("gone"))
+    stored = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("old "), F.col("lang")).alias("note"))
+    return runs.upsert(stored.withColumn("gone", F.lit(False)), new, ["doc_id"], F.col("gone")).select("doc_id", "note")
+
+
+_REPLIES = """r AS (SELECT conv_id AS key, turn AS attempt, CASE (conv_id + turn) % 4 WHEN 0 THEN '<!-- page number: -->' WHEN 1 THEN '' ELSE text END AS text, CASE (conv_id * 3 + turn) % 5 WHEN 0 THEN 'length' WHEN 1 THEN 'content_filter' ELSE 'stop' END AS reason FROM conversations)"""
+
+
+def _replies(spark, sf_dir):
+    c, t = F.col("conv_id"), F.col("turn")
+    text = F.when((c + t) % 4 == 0, "<!-- page number: -->").when((c + t) % 4 == 1, "").otherwise(F.col("text"))
+    reason = F.when((c * 3 + t) % 5 == 0, "length").when((c * 3 + t) % 5 == 1, "content_filter").otherwise("stop")
+    return views.table(spark, sf_dir, "conversations").select(c.alias("key"), t.alias("attempt"), text.alias("text"), reason.alias("finish_reason"))
+
+
+@query(f"WITH {_REPLIES} SELECT key, attempt FROM r WHERE trim(regexp_replace(text, '<!--.*?-->', '', 'g')) <> '' AND reason <> 'length'")
+def cache_policy(spark, sf_dir):
+    return _replies(spark, sf_dir).filter(runs.cacheable(F.col("text"), F.col("finish_reason"))).select("key", "attempt")
+
+
+@query()
+def resolve_reply(spark, sf_dir):
+    return runs.resolve_replies(_replies(spark, sf_dir))
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN 'transcription' END, CASE WHEN doc_id % 2 = 0 THEN 'notes' END, CASE WHEN doc_id % 5 = 0 THEN 'ocr' END, 'failed') AS source FROM documents""")
+def fallback_order(spark, sf_dir):
+    d = F.col("doc_id")
+    ranked = F.coalesce(F.when(d % 3 != 0, "transcription"), F.when(d % 2 == 0, "notes"), F.when(d % 5 == 0, "ocr"), F.lit("failed"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", ranked.alias("source"))
+
+
+@query("""WITH e AS (SELECT user_id % 20 AS pull, event_id % 7 AS digest, event_id AS seq, CASE WHEN event_id % 3 > 0 THEN 100000 END AS total, event_id % 99991 AS completed FROM events),
+  l AS (SELECT pull, digest, arg_max(completed, seq) AS c, arg_max(total, seq) AS t FROM e WHERE total IS NOT NULL GROUP BY 1, 2) SELECT pull, sum(c)::BIGINT AS completed, sum(t)::BIGINT AS total FROM l GROUP BY 1""")
+def pull_progress(spark, sf_dir):
+    e = F.col("event_id")
+    d = views.table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("pull"), (e % 7).alias("digest"), e.alias("seq"), F.when(e % 3 > 0, F.lit(100000).cast("long")).alias("total"), (e % 99991).alias("completed"))
+    return runs.pulled(d, "pull")
+
+
+@query("""WITH s AS (SELECT c_custkey AS sys, (c_custkey % 9 * 6 + 2)::DOUBLE AS ram, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey % 11)::DOUBLE ELSE 0.5 END AS vram, c_custkey % 6 = 1 AS unified FROM customer),
+  c(size, model, need_card, need_ram) AS (VALUES (1, '2b', 3.5::DOUBLE, 8.0::DOUBLE), (2, '4b', 5.0, 16.0), (3, '8b', 8.0, 32.0)),
+  f AS (SELECT sys, size, model, CASE WHEN vram >= 1 AND vram >= need_card THEN 'graphics card' WHEN unified AND ram * 0.66::DOUBLE >= need_card THEN 'shared memory' WHEN ram >= need_ram THEN 'processor' END AS runs_on FROM s, c)
+  SELECT s.sys, arg_max(model, size) FILTER (runs_on IS NOT NULL) AS model, arg_max(runs_on, size) FILTER (runs_on IS NOT NULL) AS runs_on FROM s JOIN f USING (sys) GROUP BY 1""")
+def recommend(spark, sf_dir):
+    k = F.col("c_custkey")
+    vram = F.when(k % 4 == 0, (k % 11).cast("double")).otherwise(0.5)
+    card = F.when(~runs.integrated(F.lit("NVIDIA"), F.lit("card"), vram), vram)
+    return runs.recommend(views.table(spark, sf_dir, "customer").select(k.alias("sys"), (k % 9 * 6 + 2).cast("double").alias("ram_gb"), card.alias("card_gb"), (k % 6 == 1).alias("unified")))
+
+
+@query()
+def nvidia_smi(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    line = views.pick(F.col("s_suppkey"), ["{}, 8192, 551.2", "bad line {}", "Card {}, none, 550.1", "Card {} , 12282 , 560.9"])
+    return runs.gpu_rows(views.table(spark, sf_dir, "supplier").select(F.replace(line, F.lit("{}"), k).alias("line")))
+
+
+@query()
+def office_pictures(spark, sf_dir):
+    src = F.regexp_extract_all("html", F.lit(r'<img[^>]*src="([^"]*)"'), F.lit(1))
+    return views.table(spark, sf_dir, "pages").select("page_id", F.size(src).cast("long").alias("n_pictures"))
