@@ -141,7 +141,7 @@ def run_summary(spark, sf_dir):
     return e.select("run", "done", "selected", "failed", unit.alias("per_unit"), (unit * F.greatest(F.lit(0), F.col("selected") - F.col("done"))).alias("to_finish"))
 
 
-@query(f"""WITH {_EVENTS}, w AS (SELECT *, sum((kind IN ('page_done', 'image_done'))::BIGINT) OVER o AS done, sum((kind = 'page_failed')::BIGINT) OVER o AS failed, epoch_ms(ts) // 1000 - epoch_ms(first_value(ts) OVER o) // 1000 AS elapsed FROM e WINDOW o AS (PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+@query(f"""WITH {_EVENTS}, w AS (SELECT *, sum((kind IN ('page_done', 'image_done'))::BIGINT) OVER o AS done, sum((kind = 'page_failed')::BIGINT) OVER o AS failed, epoch_us(ts) // 1000000 - epoch_us(first_value(ts) OVER o) // 1000000 AS elapsed FROM e WINDOW o AS (PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   SELECT event_id, run, done::BIGINT AS done, failed::BIGINT AS failed, greatest(0, 500 - done - failed)::BIGINT AS remaining, round_even(CASE WHEN done + failed > 0 THEN greatest(0, 500 - done - failed) * (elapsed / (done + failed)) ELSE greatest(0, 500 - done - failed) * 30 END, 0)::BIGINT AS eta FROM w""")
 def progress_eta(spark, sf_dir):
     from pyspark.sql import Window
