@@ -42,7 +42,9 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Lists of more members are not paired off by coordinates, but by their rarest shingles.
 LONG_LIST = 64
 #: Leaders of a list in a round, and most rounds, before the rest is paired off.
-LEADERS, ROUNDS = 4, 3
+LEADERS, ROUNDS = 2, 2
+#: Blocks of classes in comparisons: their number is that of the pairs over this.
+PAIRS_PER_BLOCK = 4096
 
 _draw = np.random.Generator(np.random.PCG64(7))
 _A = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,6 +65,11 @@ def shingle_sets(text: pa.Array):
                 yield lo + k, mix(grams(h[a:b], int(b - a)) + np.uint64(b - a))
 
 
+def names(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set, as two signed numbers."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64).view(np.int64))
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """COORDINATES 32-bit minima; a long set is worked on in pieces."""
     out = np.full(COORDINATES, (1 << 32) - 1, np.uint64)
@@ -78,14 +85,12 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
-            f = np.zeros((2, b.num_rows), np.uint64)
+            f = np.zeros((2, b.num_rows), np.int64)
             sig: list[bytes | None] = [None] * b.num_rows
             for row, s in shingle_sets(b.column("text")):
                 n[row] = len(s)
-                f[0, row] = s.sum(dtype=np.uint64)
-                f[1, row] = mix(s ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64)
+                f[:, row] = names(s)
                 sig[row] = signature(s).tobytes()
-            f = f.view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(f[0]), pa.array(f[1]), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "signature"])
 
     cut = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -105,6 +110,31 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "signature").mapInArrow(run, "post long, cls long")
 
 
+def _class_texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, f1, f2 and the text of each wanted class's representative. Where ids repeat there may be
+    other texts too; _sets_of() tells them by their sets' names."""
+    rep = classes.select("cls", "rep", F.col("f1").alias("g1"), F.col("f2").alias("g2")).join(wanted, "cls", "left_semi")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.join(rep, "rep").select("cls", "g1", "g2", "text")
+
+
+def _sets_of(flat: bool):
+    """cls and its set: as one row of bytes, or (flat) as rows of shingles."""
+
+    def run(batches):
+        for b in batches:
+            cls, g1, g2 = (b.column(k).to_numpy() for k in ("cls", "g1", "g2"))
+            found = [(cls[r], x) for r, x in shingle_sets(b.column("text")) if names(x) == (g1[r], g2[r])]
+            own = np.array([c for c, _ in found], np.int64)
+            if flat:
+                every = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in found)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(own, [len(x) for _, x in found]).astype(np.int64))], names=["shingle", "cls"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["cls", "shingles"])
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs a - b those whose sets are similar enough, as a scratch table."""
     sig = classes.select("cls", "signature", "n_shingles")
@@ -120,28 +150,30 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     near = scratch(both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(collide, "a long, b long"), "near")
     wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
 
-    def sets(batches):
-        for b in batches:
-            found = [(r, s.tobytes()) for r, s in shingle_sets(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array([r for r, _ in found], pa.int64())), pa.array([s for _, s in found], pa.binary())], names=["cls", "shingles"])
-
-    # one text for each class: the first of its documents' rows, if ids repeat
-    texts = docs.join(wanted, docs["doc_id"].cast("long") == wanted["cls"]).select("cls", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    full = scratch(texts.mapInArrow(sets, "cls long, shingles binary"), "sets")
-
-    def compare(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("xa"), b.column("xb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= PERCENT * (len(both) - same))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    put = near.join(full.select(F.col("cls").alias("a"), F.col("shingles").alias("xa")), "a").join(full.select(F.col("cls").alias("b"), F.col("shingles").alias("xb")), "b")
-    return scratch(put.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long").distinct(), "links")
+    full = scratch(_class_texts(docs, wanted, classes).mapInArrow(_sets_of(False), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+    # Pairs are compared by blocks of classes: a class goes to a pair of blocks once, however many
+    # of its pairs fall there, so a dense group doesn't send its sets along with every pair.
+    blocks = max(1, -(-near.count() // PAIRS_PER_BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = near.select("a", "b", block("a").alias("x"), block("b").alias("y"))
+    ends = near.select(F.explode(F.array("a", "b")).alias("cls"), block("a").alias("u"), block("b").alias("v")).distinct()
+    needed = ends.join(full.withColumnRenamed("cls", "own"), F.col("cls") == F.col("own")).select("u", "v", "cls", "shingles")
+
+    def compare(key, pairs, sets):
+        held = {c: np.frombuffer(v.as_buffer(), np.uint64) for c, v in zip(sets.column("cls").to_pylist(), sets.column("shingles"), strict=True)}
+        ok = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = held.get(a), held.get(b)
+            if x is None or y is None:
+                ok.append(False)
+                continue
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")
+            same = int((both[1:] == both[:-1]).sum())
+            ok.append(100 * same >= PERCENT * (len(both) - same))
+        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return scratch(placed.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(compare, "a long, b long"), "links")
 
 
 def _of(members: DataFrame, united: DataFrame | None) -> DataFrame:
@@ -188,20 +220,10 @@ def _paired(opened: DataFrame, key: str) -> DataFrame:
     return x.join(y, key).filter("a < b and ca != cb").select("a", "b").distinct()
 
 
-def _rare_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _rare_shingles(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     """shingle and cls of the prefix of each wanted class's set, in order of rarity among them;
     lists of one are left out."""
-
-    def sets(batches):
-        for b in batches:
-            cls = b.column("cls").to_numpy()
-            found = list(shingle_sets(b.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.uint64), *(s for _, s in found)]).view(np.int64)), pa.array(np.repeat(cls[[r for r, _ in found]], [len(s) for _, s in found]).astype(np.int64))], names=["shingle", "cls"]
-            )
-
-    texts = docs.join(wanted, docs["doc_id"].cast("long") == wanted["cls"]).select("cls", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    held = scratch(texts.mapInArrow(sets, "shingle long, cls long").distinct(), "shingles")
+    held = scratch(_class_texts(docs, wanted, classes).mapInArrow(_sets_of(True), "shingle long, cls long").distinct(), "shingles")
     often = held.groupBy("shingle").agg(F.count("*").alias("n"))
     per = Window.partitionBy("cls")
     ranked = held.join(often, "shingle").withColumn("_rank", F.row_number().over(per.orderBy("n", "shingle"))).withColumn("_size", F.count("*").over(per))
@@ -225,7 +247,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     wanted = scratch(wanted, "wanted")
     if wanted.isEmpty():
         return united
-    members = scratch(_rare_shingles(docs, wanted), "rare")
+    members = scratch(_rare_shingles(docs, wanted, classes), "rare")
     united = _led_until_settled(members, united, "shingle", classes, docs)
     return _unite(united, _confirmed(_paired(_open_lists(members, united, ["shingle"]), "shingle"), classes, docs))
 
@@ -243,13 +265,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every document."""
     s = scratch(signed(docs), "signatures")
     key = ["f1", "f2", "n_shingles"]
-    classes = scratch(s.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("cls"), F.min("signature").alias("signature")), "classes")
+    classes = scratch(s.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")).withColumn("cls", F.xxhash64(*key)), "classes")
     united = links(classes, docs)
-    named = classes.select(*key, "cls")
+    named = classes.select(*key, "cls", "rep")
     if united is not None:
-        named = named.join(united.withColumnRenamed("node", "cls"), "cls", "left")
-        named = named.select(*key, F.coalesce("component", "cls").alias("cls"))
-    own = F.when(F.col("n_shingles") > 0, F.col("cls")).otherwise(F.col("doc_id"))
+        of = scratch(named.select("cls", "rep").join(united.withColumnRenamed("node", "cls"), "cls"), "of")
+        first = of.groupBy("component").agg(F.min("rep").alias("first"))
+        named = named.join(of.join(first, "component").select("cls", "first"), "cls", "left").withColumn("rep", F.coalesce("first", "rep"))
+    named = named.select(*key, "rep")
+    own = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
     out = s.select("doc_id", *key).join(named, key, "left").select(F.col("doc_id"), "n_shingles", own.alias("component_id"))
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
