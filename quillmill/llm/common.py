@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Bytes of input that one bucket of a packed exchange should stand for.
 BUCKET_BYTES = 4 << 20
 MIN_BUCKETS, MAX_BUCKETS = 48, 1 << 16
+#: The planner's figure for what it knows nothing of is beyond this.
+UNKNOWN = 1 << 56
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +82,10 @@ def size_hint(df: DataFrame) -> int:
 def buckets_for(df: DataFrame, bytes_each: int = BUCKET_BYTES) -> int:
     """Buckets of a packed exchange: in proportion to the input, so that a bucket's arrays stay
     at a few MB whatever the input's size."""
-    n = size_hint(df) // bytes_each
+    size = size_hint(df)
+    if size >= UNKNOWN:  # rows that come from no table: their texts are measured
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = size // bytes_each
     return int(min(MAX_BUCKETS, max(MIN_BUCKETS, n)))
 
 

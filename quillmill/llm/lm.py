@@ -37,7 +37,7 @@ from .common import buckets_for, narrow, pack, scratch, scratch_bucketed, unpack
 BLOCK_BYTES = 12 << 20
 HELD_OUT_OF = 10
 SMOOTH = 0.1
-END, START = np.uint64(0xFFFFFFFFFFFFFFF1), np.uint64(0xFFFFFFFFFFFFFFF7)
+END, START = np.uint64(0x6C62272E07BB0142), np.uint64(0xB5297A4D3F84D5A1)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 SENT = "bucket long, target long, payload binary, sums array<long>"
 _SENT = pa.schema([("bucket", pa.int64()), ("target", pa.int64()), ("payload", pa.binary()), ("sums", pa.list_(pa.int64()))])
