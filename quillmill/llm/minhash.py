@@ -16,6 +16,11 @@ under shingles instead, by the prefix that the wanted similarity leaves: the n -
 shingles that fewest of these members hold, which for such texts lie outside of the passage. A link
 that is never compared lies within a component that other links hold together already.
 
+What such a list's members differ in is bounded before any pair is formed, by two bounds that no
+link fails: the first common shingle's places in both orders (what comes before it is not shared),
+and the parities of a set's shingles in BITS bins (as many shingles differ as parities do). So of
+texts that stand just below the wanted similarity to many others, few become pairs.
+
 Every comparison counts the collisions of the two signatures first, and is then confirmed on the
 full sets: 100 * intersection >= PERCENT * union.
 
@@ -45,6 +50,9 @@ LONG_LIST = 64
 LEADERS, ROUNDS = 2, 2
 #: Blocks of classes in comparisons: their number is that of the pairs over this.
 PAIRS_PER_BLOCK = 4096
+#: Bins whose parities follow a signature, and the 32-bit words that they take.
+BITS = 1024
+WORDS = COORDINATES + BITS // 32
 
 _draw = np.random.Generator(np.random.PCG64(7))
 _A = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,8 +87,15 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether each of BITS bins, by the hashes' top bits, holds an odd number of the set."""
+    odd = np.bincount((s >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint32)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (a 128-bit name of the set) and signature of every document."""
+    """doc_id, n_shingles, f1 and f2 (a 128-bit name of the set) and signature, followed by the
+    parities, of every document."""
 
     def run(batches):
         for b in batches:
@@ -90,7 +105,7 @@ def signed(docs: DataFrame) -> DataFrame:
             for row, s in shingle_sets(b.column("text")):
                 n[row] = len(s)
                 f[:, row] = names(s)
-                sig[row] = signature(s).tobytes()
+                sig[row] = signature(s).tobytes() + parities(s).tobytes()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(f[0]), pa.array(f[1]), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "signature"])
 
     cut = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -102,7 +117,7 @@ def _postings(classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32)
+            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, WORDS)[:, :COORDINATES].ravel()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.tile(np.arange(COORDINATES, dtype=np.int64) << 32, b.num_rows) | sig.astype(np.int64)), pa.array(np.repeat(b.column("cls").to_numpy(), COORDINATES))], names=["post", "cls"]
             )
@@ -142,8 +157,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     def collide(batches):
         for b in batches:
             n, m = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in ("sa", "sb"))
-            ok = ((x == y).sum(axis=1) >= MATCHES) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, WORDS) for k in ("sa", "sb"))
+            apart = np.bitwise_count(x[:, COORDINATES:] ^ y[:, COORDINATES:]).sum(axis=1, dtype=np.int64)
+            ok = ((x[:, :COORDINATES] == y[:, :COORDINATES]).sum(axis=1) >= MATCHES) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            ok &= 100 * (n + m - apart) >= PERCENT * (n + m + apart)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sig.select(F.col("cls").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
@@ -220,14 +237,46 @@ def _paired(opened: DataFrame, key: str) -> DataFrame:
     return x.join(y, key).filter("a < b and ca != cb").select("a", "b").distinct()
 
 
+def _parities(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and the parities, as numbers p0, p1 ..., of the wanted classes."""
+    n = BITS // 64
+
+    def run(batches):
+        for b in batches:
+            p = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, WORDS)[:, COORDINATES:]
+            p = np.ascontiguousarray(p).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("cls"), *(pa.array(p[:, k]) for k in range(n))], names=["cls", *(f"p{k}" for k in range(n))])
+
+    return classes.select("cls", "signature").join(wanted, "cls", "left_semi").mapInArrow(run, "cls long, " + ", ".join(f"p{k} long" for k in range(n)))
+
+
+def _bounded_pairs(opened: DataFrame, parities: DataFrame) -> DataFrame:
+    """Pairs of members of different components that share a rare shingle and that neither bound
+    rules out: a link passes both at the first shingle that its two ends share. One end of a pair
+    lies outside of the list's largest component, so only such members are held against the list."""
+    share = opened.groupBy("shingle", "comp").agg(F.count("*").alias("_n")).groupBy("shingle").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"))
+    m = opened.join(parities, "cls")
+    columns = ["cls", "comp", "at", "held", *(f"p{k}" for k in range(BITS // 64))]
+    x = m.join(share, "shingle").filter("comp != _main").select("shingle", *(F.col(c).alias(f"a_{c}") for c in columns))
+    y = m.join(share, "shingle").select("shingle", F.col("_main"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    total = F.col("a_held") + F.col("b_held")
+    most = F.least(F.col("a_held") - F.col("a_at"), F.col("b_held") - F.col("b_at"))
+    apart = sum((F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(BITS // 64)), F.lit(0))
+    near = (100 * most >= PERCENT * (total - most)) & (100 * (total - apart) >= PERCENT * (total + apart))
+    once = (F.col("b_comp") == F.col("_main")) | (F.col("a_cls") < F.col("b_cls"))
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a_comp") != F.col("b_comp")) & once & near)
+    return pairs.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
+
+
 def _rare_shingles(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """shingle and cls of the prefix of each wanted class's set, in order of rarity among them;
-    lists of one are left out."""
+    """shingle and cls of the prefix of each wanted class's set, in order of rarity among them, with
+    the shingle's place (at, from 0) in that order and the size of the set (held); lists of one are
+    left out."""
     held = scratch(_class_texts(docs, wanted, classes).mapInArrow(_sets_of(True), "shingle long, cls long").distinct(), "shingles")
     often = held.groupBy("shingle").agg(F.count("*").alias("n"))
     per = Window.partitionBy("cls")
     ranked = held.join(often, "shingle").withColumn("_rank", F.row_number().over(per.orderBy("n", "shingle"))).withColumn("_size", F.count("*").over(per))
-    return ranked.filter((F.col("_rank") <= F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100) + 1) & (F.col("n") > 1)).select("shingle", "cls")
+    return ranked.filter((F.col("_rank") <= F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100) + 1) & (F.col("n") > 1)).select("shingle", "cls", (F.col("_rank") - 1).alias("at"), F.col("_size").alias("held"))
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -249,7 +298,8 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         return united
     members = scratch(_rare_shingles(docs, wanted, classes), "rare")
     united = _led_until_settled(members, united, "shingle", classes, docs)
-    return _unite(united, _confirmed(_paired(_open_lists(members, united, ["shingle"]), "shingle"), classes, docs))
+    opened = scratch(_open_lists(members, united, ["shingle"]), "open")
+    return _unite(united, _confirmed(_bounded_pairs(opened, _parities(classes, wanted)), classes, docs))
 
 
 def _unite(united: DataFrame | None, new: DataFrame) -> DataFrame | None:
