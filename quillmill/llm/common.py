@@ -49,6 +49,10 @@ def _drop_at_exit(spark: SparkSession, where: str) -> None:
         drop_scratch(spark, where)
 
 
+#: Scratch tables made so far and not dropped: (session, path).
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it again: cuts the lineage, gives
     the planner a true size, and survives the loss of executors. Dropped when the program ends."""
@@ -56,7 +60,32 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     where = f"{scratch_dir(spark)}/quillmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
     atexit.register(_drop_at_exit, spark, where)
-    return spark.read.schema(df.schema).parquet(where)
+    _made.append((spark, where))
+    out = spark.read.schema(df.schema).parquet(where)
+    out._quillmill_scratch = where
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drops scratch tables, as scratch() returned them, that nothing reads any more."""
+    gone = {t._quillmill_scratch for t in tables}
+    for spark, where in [m for m in _made if m[1] in gone]:
+        drop_scratch(spark, where)
+        _made.remove((spark, where))
+
+
+def made() -> int:
+    """A mark for forget_since()."""
+    return len(_made)
+
+
+def forget_since(mark: int, *kept: DataFrame) -> None:
+    """Drops the scratch tables made since the mark, except those named. The mark holds as long as
+    no table from before it is dropped."""
+    names = {t._quillmill_scratch for t in kept}
+    for spark, where in [m for m in _made[mark:] if m[1] not in names]:
+        drop_scratch(spark, where)
+        _made.remove((spark, where))
 
 
 def _drop_table_at_exit(spark: SparkSession, name: str) -> None:

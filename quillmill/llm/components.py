@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import forget, scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = scratch(edges.filter("a != b").select("a", "b").distinct(), name)
     seen = None
     while True:
-        now = scratch(_star(_star(now, True), False), name)
+        before, now = now, scratch(_star(_star(now, True), False), name)
+        forget(before)
         # a fixed point: every edge leads from a node straight to its component's least
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, scratch, size_hint
+from .common import NO_ID, forget_since, made, scratch, size_hint
 
 #: Fixed pattern: what parts words (all of ASCII but digits and letters).
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -138,7 +138,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, as they are, that hold no occurrence of a benchmark window."""
+    mark = made()
     found, _ = _found(docs, benchmark)
     bad = scratch(found.select(F.col("doc_id").alias("_quillmill_id"), F.col("version").alias("_quillmill_version")).distinct(), "contaminated")
+    forget_since(mark, bad)
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == bad["_quillmill_id"]) & (F.xxhash64(docs["text"]) == bad["_quillmill_version"])
     return docs.join(_small(bad), same, "left_anti")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Words, grams, mix, slices
-from .common import NO_ID, scratch
+from .common import NO_ID, forget, forget_since, made, scratch
 from .components import components
 
 SHINGLE = 5
@@ -48,6 +48,9 @@ PREFIX = COORDINATES - MATCHES + 1
 LONG_LIST = 64
 #: Leaders of a list in a round, and most rounds, before the rest is paired off.
 LEADERS, ROUNDS = 2, 2
+#: Lists are of so many kinds; those of one kind draw by the same hash, so that lists of nearly the
+#: same members mostly have the same leaders and their pairs coincide.
+KINDS = 4
 #: Blocks of classes in comparisons: their number is that of the pairs over this.
 PAIRS_PER_BLOCK = 4096
 #: Bins whose parities follow a signature, and the 32-bit words that they take.
@@ -190,7 +193,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
             ok.append(100 * same >= PERCENT * (len(both) - same))
         return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return scratch(placed.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(compare, "a long, b long"), "links")
+    out = scratch(placed.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(compare, "a long, b long"), "links")
+    forget(near, full)
+    return out
 
 
 def _of(members: DataFrame, united: DataFrame | None) -> DataFrame:
@@ -212,8 +217,9 @@ def _led(members: DataFrame, united: DataFrame | None, key: str, draw: int) -> D
     """Pairs of each open list's members with LEADERS leaders of the list, the members whose drawn
     hashes are least in LEADERS ranges of a second hash: linear in the members."""
     opened = _open_lists(members, united, [key])
-    part = F.pmod(F.xxhash64(F.lit(draw), "cls", key), F.lit(LEADERS))
-    leader = opened.groupBy(key, part.alias("_part")).agg(F.min(F.struct(F.xxhash64(F.lit(draw), key, "cls"), "cls", "comp")).alias("_l")).select(key, F.col("_l.cls").alias("lead"), F.col("_l.comp").alias("lead_comp"))
+    kind = F.pmod(F.xxhash64(key), F.lit(KINDS))
+    part = F.pmod(F.xxhash64(F.lit(draw), "cls", kind), F.lit(LEADERS))
+    leader = opened.groupBy(key, part.alias("_part")).agg(F.min(F.struct(F.xxhash64(F.lit(draw), kind, "cls"), "cls", "comp")).alias("_l")).select(key, F.col("_l.cls").alias("lead"), F.col("_l.comp").alias("lead_comp"))
     return opened.join(leader, key).filter("comp != lead_comp").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
 
 
@@ -279,6 +285,16 @@ def _rare_shingles(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> Da
     return ranked.filter((F.col("_rank") <= F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100) + 1) & (F.col("n") > 1)).select("shingle", "cls", (F.col("_rank") - 1).alias("at"), F.col("_size").alias("held"))
 
 
+def _posted(classes: DataFrame, docs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes that have a prefix, and the texts of their representatives, as scratch tables:
+    only they are read and dealt from here on."""
+    few = scratch(members.select("cls").distinct(), "posted")
+    posted = scratch(classes.join(few, "cls", "left_semi"), "posted")
+    reps = scratch(posted.select("rep").distinct(), "reps")  # a table: broadcast only if small
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return posted, scratch(own.join(reps, own["doc_id"] == reps["rep"], "left_semi"), "texts")
+
+
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """node and component of the classes that links unite; None if there are no links."""
     posts = _postings(classes)
@@ -288,8 +304,9 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     per = Window.partitionBy("cls")  # at most COORDINATES rows each
     ranked = shared.withColumn("_rank", F.row_number().over(per.orderBy("n", "post"))).withColumn("_shared", F.count("*").over(per))
     members = scratch(ranked.filter(F.col("_rank") <= F.col("_shared") - MATCHES + 1).select("post", "cls"), "members")
-    united = None
-    united = _led_until_settled(members, united, "post", classes, docs)
+    forget(shared)
+    classes, docs = _posted(classes, docs, members)
+    united = _led_until_settled(members, None, "post", classes, docs)
     opened = scratch(_open_lists(members, united, ["post"]), "open")
     united = _unite(united, _confirmed(_paired(opened.filter(F.col("size") <= LONG_LIST), "post"), classes, docs))
     wanted = _open_lists(opened.filter(F.col("size") > LONG_LIST).select("post", "cls"), united, ["post"]).select("cls").distinct()
@@ -332,6 +349,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def near_unique(docs: DataFrame) -> DataFrame:
     """The rows of docs, as they are, of one document of each component: the one of the least id.
     Rows that share an id are one document here: they stay or go together."""
+    mark = made()
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_quillmill_gone")).distinct()
     gone = scratch(gone, "gone")  # a table: broadcast only if small
+    forget_since(mark, gone)
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_quillmill_gone"]), "left_anti")
