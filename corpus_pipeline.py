@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmill.llm import decontamination, host_rules, minhash, mixing, templates
 from quillmill.llm.common import scratch, table
 
+#: Percent of their shingles that near copies share at least in near_dedup; op10 itself takes 85.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return host_rules.kept_documents(docs)
@@ -22,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.near_unique(docs)
+    return minhash.near_unique(docs, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,17 +2,17 @@
 
 A document is the set of its distinct five-word shingles (lower case A-Z; with fewer words, the
 whole sequence). Documents with equal sets form a class, which is one document from then on. A
-class is posted under its signature's coordinate-value pairs. Two sets of the wanted similarity
-agree in at least MATCHES of the COORDINATES coordinates (the chance to fall short, at a similarity
-of exactly 0.85, is about one in a million), and two signatures that agree in so many share one of
-any COORDINATES - MATCHES + 1 coordinates. So only that prefix is posted: for each class its pairs
+class is posted under its signature's coordinate-value pairs. Two sets of the wanted similarity,
+percent / 100, agree in at least matches(percent) of the COORDINATES coordinates (the chance to fall
+short, at exactly that similarity, is no more than MISSED), and two signatures that agree in m
+share one of any COORDINATES - m + 1 coordinates. So only that prefix is posted: for each class its pairs
 with the shortest posting lists, which skips the lists that a common passage makes long.
 
 Lists are merged without forming all pairs in a group: in rounds every list's members are
 compared with a few leaders, drawn per list and round by a hash, and what is linked is united; a
 list within one component is done. Of the other lists only pairs across components remain to be formed.
 Where a list is still long, as texts mostly of one common passage make it, its members are posted
-under shingles instead, by the prefix that the wanted similarity leaves: the n - ceil(0.85 n) + 1
+under shingles instead, by the prefix that the wanted similarity leaves: the n - ceil(percent n / 100) + 1
 shingles that fewest of these members hold, which for such texts lie outside of the passage. A link
 that is never compared lies within a component that other links hold together already.
 
@@ -22,7 +22,7 @@ and the parities of a set's shingles in BITS bins (as many shingles differ as pa
 texts that stand just below the wanted similarity to many others, few become pairs.
 
 Every comparison counts the collisions of the two signatures first, and is then confirmed on the
-full sets: 100 * intersection >= PERCENT * union.
+full sets: 100 * intersection >= percent * union.
 
 Defined cases: a document without words has an empty set, no links and itself as component; null
 ids count as smaller than any other; repeated rows and ids keep their rows; an empty table gives an
@@ -31,6 +31,8 @@ empty result; other columns are not read, and near_unique() leaves them as they
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -41,9 +43,11 @@ from .common import NO_ID, forget, forget_since, made, scratch
 from .components import components
 
 SHINGLE = 5
+#: Percent of the union that two sets share at least, unless a caller says otherwise.
 PERCENT = 85
-COORDINATES, MATCHES = 64, 40
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES = 64
+#: Highest chance that a pair of exactly the wanted similarity agrees in too few coordinates.
+MISSED = 3e-6
 #: Lists of more members are not paired off by coordinates, but by their rarest shingles.
 LONG_LIST = 64
 #: Leaders of a list in a round, and most rounds, before the rest is paired off.
@@ -62,6 +66,16 @@ _A = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + n
 _B = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def matches(percent: int) -> int:
+    """The most coordinates to ask for at that similarity: 40 at 85 percent, 35 at 80."""
+    p, below = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if below > MISSED:
+            return k
+    return COORDINATES
+
+
 def shingle_sets(text: pa.Array):
     """(row, sorted distinct shingle hashes) of each text with words."""
     for lo, hi, data, offsets in slices(text):
@@ -153,17 +167,17 @@ def _sets_of(flat: bool):
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of the pairs a - b those whose sets are similar enough, as a scratch table."""
-    sig = classes.select("cls", "signature", "n_shingles")
+    sig, least = classes.select("cls", "signature", "n_shingles"), matches(percent)
 
     def collide(batches):
         for b in batches:
             n, m = b.column("na").to_numpy(), b.column("nb").to_numpy()
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, WORDS) for k in ("sa", "sb"))
             apart = np.bitwise_count(x[:, COORDINATES:] ^ y[:, COORDINATES:]).sum(axis=1, dtype=np.int64)
-            ok = ((x[:, :COORDINATES] == y[:, :COORDINATES]).sum(axis=1) >= MATCHES) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-            ok &= 100 * (n + m - apart) >= PERCENT * (n + m + apart)
+            ok = ((x[:, :COORDINATES] == y[:, :COORDINATES]).sum(axis=1) >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            ok &= 100 * (n + m - apart) >= percent * (n + m + apart)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sig.select(F.col("cls").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
@@ -190,7 +204,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
             both = np.concatenate([x, y])
             both.sort(kind="stable")
             same = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * same >= PERCENT * (len(both) - same))
+            ok.append(100 * same >= percent * (len(both) - same))
         return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     out = scratch(placed.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(compare, "a long, b long"), "links")
@@ -223,11 +237,11 @@ def _led(members: DataFrame, united: DataFrame | None, key: str, draw: int) -> D
     return opened.join(leader, key).filter("comp != lead_comp").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
 
 
-def _led_until_settled(members: DataFrame, united: DataFrame | None, key: str, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def _led_until_settled(members: DataFrame, united: DataFrame | None, key: str, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """Rounds of leaders, until one finds few more links or ROUNDS are done."""
     before = None
     for draw in range(ROUNDS):
-        new = _confirmed(_led(members, united, key, draw), classes, docs)
+        new = _confirmed(_led(members, united, key, draw), classes, docs, percent)
         found = new.count()
         if found:
             united = _unite(united, new)
@@ -256,7 +270,7 @@ def _parities(classes: DataFrame, wanted: DataFrame) -> DataFrame:
     return classes.select("cls", "signature").join(wanted, "cls", "left_semi").mapInArrow(run, "cls long, " + ", ".join(f"p{k} long" for k in range(n)))
 
 
-def _bounded_pairs(opened: DataFrame, parities: DataFrame) -> DataFrame:
+def _bounded_pairs(opened: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of different components that share a rare shingle and that neither bound
     rules out: a link passes both at the first shingle that its two ends share. One end of a pair
     lies outside of the list's largest component, so only such members are held against the list."""
@@ -268,13 +282,13 @@ def _bounded_pairs(opened: DataFrame, parities: DataFrame) -> DataFrame:
     total = F.col("a_held") + F.col("b_held")
     most = F.least(F.col("a_held") - F.col("a_at"), F.col("b_held") - F.col("b_at"))
     apart = sum((F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(BITS // 64)), F.lit(0))
-    near = (100 * most >= PERCENT * (total - most)) & (100 * (total - apart) >= PERCENT * (total + apart))
+    near = (100 * most >= percent * (total - most)) & (100 * (total - apart) >= percent * (total + apart))
     once = (F.col("b_comp") == F.col("_main")) | (F.col("a_cls") < F.col("b_cls"))
     pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a_comp") != F.col("b_comp")) & once & near)
     return pairs.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
 
 
-def _rare_shingles(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+def _rare_shingles(docs: DataFrame, wanted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """shingle and cls of the prefix of each wanted class's set, in order of rarity among them, with
     the shingle's place (at, from 0) in that order and the size of the set (held); lists of one are
     left out."""
@@ -282,7 +296,7 @@ def _rare_shingles(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> Da
     often = held.groupBy("shingle").agg(F.count("*").alias("n"))
     per = Window.partitionBy("cls")
     ranked = held.join(often, "shingle").withColumn("_rank", F.row_number().over(per.orderBy("n", "shingle"))).withColumn("_size", F.count("*").over(per))
-    return ranked.filter((F.col("_rank") <= F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100) + 1) & (F.col("n") > 1)).select("shingle", "cls", (F.col("_rank") - 1).alias("at"), F.col("_size").alias("held"))
+    return ranked.filter((F.col("_rank") <= F.col("_size") - F.ceil(F.col("_size") * percent / 100) + 1) & (F.col("n") > 1)).select("shingle", "cls", (F.col("_rank") - 1).alias("at"), F.col("_size").alias("held"))
 
 
 def _posted(classes: DataFrame, docs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -295,7 +309,7 @@ def _posted(classes: DataFrame, docs: DataFrame, members: DataFrame) -> tuple[Da
     return posted, scratch(own.join(reps, own["doc_id"] == reps["rep"], "left_semi"), "texts")
 
 
-def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """node and component of the classes that links unite; None if there are no links."""
     posts = _postings(classes)
     lists = posts.groupBy("post").agg(F.count("*").alias("n")).filter("n > 1")
@@ -303,20 +317,20 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     # coordinates that no other class shares are a class's shortest lists: they fill its prefix first
     per = Window.partitionBy("cls")  # at most COORDINATES rows each
     ranked = shared.withColumn("_rank", F.row_number().over(per.orderBy("n", "post"))).withColumn("_shared", F.count("*").over(per))
-    members = scratch(ranked.filter(F.col("_rank") <= F.col("_shared") - MATCHES + 1).select("post", "cls"), "members")
+    members = scratch(ranked.filter(F.col("_rank") <= F.col("_shared") - matches(percent) + 1).select("post", "cls"), "members")
     forget(shared)
     classes, docs = _posted(classes, docs, members)
-    united = _led_until_settled(members, None, "post", classes, docs)
+    united = _led_until_settled(members, None, "post", classes, docs, percent)
     opened = scratch(_open_lists(members, united, ["post"]), "open")
-    united = _unite(united, _confirmed(_paired(opened.filter(F.col("size") <= LONG_LIST), "post"), classes, docs))
+    united = _unite(united, _confirmed(_paired(opened.filter(F.col("size") <= LONG_LIST), "post"), classes, docs, percent))
     wanted = _open_lists(opened.filter(F.col("size") > LONG_LIST).select("post", "cls"), united, ["post"]).select("cls").distinct()
     wanted = scratch(wanted, "wanted")
     if wanted.isEmpty():
         return united
-    members = scratch(_rare_shingles(docs, wanted, classes), "rare")
-    united = _led_until_settled(members, united, "shingle", classes, docs)
+    members = scratch(_rare_shingles(docs, wanted, classes, percent), "rare")
+    united = _led_until_settled(members, united, "shingle", classes, docs, percent)
     opened = scratch(_open_lists(members, united, ["shingle"]), "open")
-    return _unite(united, _confirmed(_bounded_pairs(opened, _parities(classes, wanted)), classes, docs))
+    return _unite(united, _confirmed(_bounded_pairs(opened, _parities(classes, wanted), percent), classes, docs, percent))
 
 
 def _unite(united: DataFrame | None, new: DataFrame) -> DataFrame | None:
@@ -328,12 +342,12 @@ def _unite(united: DataFrame | None, new: DataFrame) -> DataFrame | None:
     return components(new)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every document."""
     s = scratch(signed(docs), "signatures")
     key = ["f1", "f2", "n_shingles"]
     classes = scratch(s.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")).withColumn("cls", F.xxhash64(*key)), "classes")
-    united = links(classes, docs)
+    united = links(classes, docs, percent)
     named = classes.select(*key, "cls", "rep")
     if united is not None:
         of = scratch(named.select("cls", "rep").join(united.withColumnRenamed("node", "cls"), "cls"), "of")
@@ -346,11 +360,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def near_unique(docs: DataFrame) -> DataFrame:
+def near_unique(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, as they are, of one document of each component: the one of the least id.
     Rows that share an id are one document here: they stay or go together."""
     mark = made()
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_quillmill_gone")).distinct()
+    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_quillmill_gone")).distinct()
     gone = scratch(gone, "gone")  # a table: broadcast only if small
     forget_since(mark, gone)
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_quillmill_gone"]), "left_anti")
