@@ -1,8 +1,9 @@
 """Line dedup by a tree of log templates.
 
-A line (between \\n) of MIN_TOKENS words or more falls down a tree of fixed depth: by its number of
-tokens, then by its leading DEPTH tokens, where tokens with a digit count as the variable <*>. In
-the leaf that it reaches, a token that stands at its place in lines of MIN_DOCS documents is fixed,
+A line (between \\n) that has a word falls down a tree of fixed depth: by its number of tokens, then
+by its leading DEPTH tokens, where tokens with a digit count as the variable <*>. A line of no more
+tokens than that is short: all its tokens are compared as they stand, so it is its own template. In
+the leaf that a line reaches, a token that stands at its place in lines of MIN_DOCS documents is fixed,
 any other becomes <*>. A template needs CONSTANT_PERCENT fixed tokens, and of the tokens below the
 leading ones FIT_PERCENT fixed or with a digit, so that prose which merely begins alike is left
 alone. A line whose template recurs in MIN_DOCS documents is dropped, but from the template's first
@@ -34,7 +35,6 @@ from .blocks import Words, mix, slices
 from .common import NO_ID, ROUTED, bucket_of, buckets_for, deal, ids_out, pack, prime_from, routed_batch, unpack
 
 DEPTH = 3
-MIN_TOKENS = 4
 MIN_DOCS = 20
 CONSTANT_PERCENT = 50
 FIT_PERCENT = 60
@@ -47,22 +47,21 @@ RESULT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 
 class Lines:
-    """The lines with enough tokens of one slice: document row, span of words, span of bytes."""
+    """The lines with words of one slice: document row, span of words, span of bytes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         w = Words(data, offsets)
         h = w.hashes()
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         variable = digits[w.end] > digits[w.start]
-        self.token = np.where(variable, _ANY, h)
         breaks = np.flatnonzero(data == 10)
         line = np.searchsorted(breaks, w.start)  # breaks before the word
         new = np.ones(len(h), bool)
         new[1:] = (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(h)))
-        keep = size >= MIN_TOKENS
-        self.first, self.size = first[keep], size[keep]
+        self.first, self.size = first, size
+        self.token = np.where(variable & np.repeat(size > DEPTH, size), _ANY, h)
         self.doc = w.doc[self.first]
         edges = np.append(breaks, len(data))
         stop = np.minimum(edges[line[self.first]], offsets[self.doc + 1])
@@ -70,7 +69,8 @@ class Lines:
         self.begin, self.stop = begin, stop
         leaf = self.size.astype(np.uint64)
         for d in range(DEPTH):
-            leaf = mix(leaf * np.uint64(31) + self.token[self.first + d])
+            has = self.size > d
+            leaf[has] = mix(leaf[has] * np.uint64(31) + self.token[self.first[has] + d])
         self.leaf = leaf
 
     def tokens(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +96,7 @@ class Lines:
         n, fit = (np.add.reduceat(x.astype(np.int64), starts) for x in (constant, (constant | variable) & below))
         # a key holds its place and leaf, so a sum of the constant ones names the template
         name = mix(np.add.reduceat(np.where(constant, key, np.uint64(0)), starts) + self.leaf[which])
-        ok = (100 * n >= CONSTANT_PERCENT * self.size[which]) & (100 * fit >= FIT_PERCENT * (self.size[which] - DEPTH))
+        ok = (100 * n >= np.where(self.size[which] > DEPTH, CONSTANT_PERCENT, 100) * self.size[which]) & (100 * fit >= FIT_PERCENT * (self.size[which] - DEPTH))
         return which[ok], name[ok]
 
 

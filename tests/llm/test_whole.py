@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
-from quillmill.llm import minhash
+from quillmill.llm import minhash, templates
 
 
 def test_near_dedup_of_the_stage(spark, monkeypatch):
@@ -39,3 +40,16 @@ def test_near_dedup_of_the_stage(spark, monkeypatch):
     for percent in (80, 85):
         got = dict(minhash.near_duplicates(df, percent).select("doc_id", "component_id").collect())
         assert [got[k] for k in range(len(rows))] == firsts(percent)
+
+
+def test_short_lines(spark):
+    """A line of one to three words that recurs goes, whatever its words; one that differs stays."""
+    r = random.Random(9)
+    prose = lambda: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(12))
+    short = ["Les.", "And ornd.", "All rights reserved.", "v1.2"]
+    rows = [(k, "\n".join([prose(), *short, f"Page {k}", prose()])) for k in range(30)]
+    got = {x.doc_id: x for x in templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        left = [x for x in t.split("\n") if k == 0 or x not in short]
+        assert (got[k].n_lines, got[k].n_dropped) == (7, 0 if k == 0 else 4)
+        assert got[k].kept_sha256 == hashlib.sha256("\n".join(left).encode()).hexdigest()
