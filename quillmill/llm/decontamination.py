@@ -79,7 +79,8 @@ def occurrences(index: DataFrame, terms: DataFrame) -> DataFrame:
 
     def shifted(k: int) -> DataFrame:
         t = _small(scratch(ranked.filter(F.col("rank") == k).select("phrase", "size", "offset", "term_id"), f"rank{k}"))
-        return index.join(t, "term_id").filter("pos >= offset").select("doc_id", "version", "phrase", (F.col("pos") - F.col("offset")).alias("start"), "size")
+        at = index.join(t, "term_id").filter("pos >= offset").select("doc_id", "version", "phrase", (F.col("pos") - F.col("offset")).alias("start"), "size")
+        return at.dropDuplicates(place)  # each full copy of a row posts its terms
 
     first = shifted(1)
     single = first.filter("size = 1")

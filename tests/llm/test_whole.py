@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
-from quillmill.llm import minhash, templates
+from quillmill.llm import decontamination, minhash, templates
 
 
 def test_near_dedup_of_the_stage(spark, monkeypatch):
@@ -53,3 +53,13 @@ def test_short_lines(spark):
         left = [x for x in t.split("\n") if k == 0 or x not in short]
         assert (got[k].n_lines, got[k].n_dropped) == (7, 0 if k == 0 else 4)
         assert got[k].kept_sha256 == hashlib.sha256("\n".join(left).encode()).hexdigest()
+
+
+def test_repeated_rows_hold_a_window(spark):
+    window = " ".join(f"q{k}" for k in range(10))
+    rows = [(1, f"a {window} b")] * 3 + [(None, window)] * 2 + [(2, "q0 q1 q2"), (3, window), (4, "two words"), (4, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, window), (8, "two words")], "item_id long, text string")
+    hits = sorted((x.doc_id or 0, x.n_hit, x.contaminated) for x in decontamination.contamination(df, items).collect())
+    assert hits == [(0, 10, True)] * 2 + [(1, 10, True)] * 3 + [(2, 0, False), (3, 10, True)] + [(4, 2, True)] * 2
+    assert [x.doc_id for x in decontamination.clean(df, items).collect()] == [2]
