@@ -30,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "flow")
 
-_TERM = r"""(?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|[A-Za-z0-9_+/.=-]+)"""
+_TERM = r"""(?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|[A-Za-z0-9_+/.=-]+)"""
 _PAIR = re.compile(rf"""([A-Za-z_][A-Za-z0-9_.-]*)["'\]]*[ \t]*(?::=|=>|[:=])[ \t]*({_TERM}(?:[ \t]*(?:\+|\.\.)[ \t]*{_TERM})*)""")
 _TERMS = re.compile(_TERM)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
@@ -38,6 +38,8 @@ _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "apikey": 3, "token": 3, "credential": 3, "credentials": 3, "private": 2, "auth": 2, "key": 1, "access": 1, "signing": 1, "bearer": 2}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|none|null|true|false|your.*|<.*|test|todo|redacted)$")
 MIN_SCORE = 5.0
+#: Longer than any placeholder of fixed length.
+HEAD = 32
 
 
 def name_score(name: str) -> int:
@@ -45,21 +47,54 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(p, 0) for p in {*parts, *(a + b for a, b in zip(parts, parts[1:], strict=False))})
 
 
-def literal_score(value: str) -> float:
-    if len(value) < 8 or PLACEHOLDER.match(value):
+class Constant:
+    """An expression's value: literals (value, start, end) and other constants, in order. What
+    scoring needs of the value is put together from the parts, so a constant that others refer to,
+    however often and deep, is never written out."""
+
+    __slots__ = ("parts", "known", "size", "head", "counts")
+
+    def __init__(self, parts: list):
+        self.parts, self.known = parts, False
+
+    def measure(self) -> None:
+        """size, head (the first HEAD characters) and counts of characters, in order of appearance."""
+        todo = [self]
+        while todo:
+            c = todo[-1]
+            if not c.known and (below := [p for p in c.parts if isinstance(p, Constant) and not p.known]):
+                todo += below
+                continue
+            todo.pop()
+            if c.known:
+                continue
+            c.size, c.head, c.counts, c.known = 0, "", {}, True
+            for p in c.parts:
+                value, n, counts = (p.head, p.size, p.counts) if isinstance(p, Constant) else (p[0], len(p[0]), Counter(p[0]))
+                c.size += n
+                if len(c.head) < HEAD:
+                    c.head += value[: HEAD - len(c.head)]
+                for x, k in counts.items():
+                    c.counts[x] = c.counts.get(x, 0) + k
+
+
+def literal_score(value: Constant) -> float:
+    value.measure()
+    n, counts = value.size, value.counts
+    # beyond the head a placeholder can only go on with characters that are checked as a set
+    if n < 8 or PLACEHOLDER.match(value.head if n <= HEAD else value.head + "".join(counts)):
         return -math.inf
-    n = len(value)
-    spread = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    digits = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    return min(2.0, n / 12) + (1.0 if digits else 0.0) + (1.0 if spread >= 3 else 0.0) - (2.0 if " " in value else 0.0)
+    spread = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n > 0)
+    digits = any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)
+    return min(2.0, min(n, 24) / 12) + (1.0 if digits else 0.0) + (1.0 if spread >= 3 else 0.0) - (2.0 if " " in counts else 0.0)
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """The spans of literals whose target is sensitive enough."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    found = set()
+    known: dict[str, Constant] = {}
+    told = []
     for m in _PAIR.finditer(text):
-        parts: list[tuple[str, int, int]] = []
+        parts: list = []
         for t in _TERMS.finditer(text, m.start(2), m.end(2)):
             raw = t[0]
             if raw in ("+", ".."):  # the joining signs between terms
@@ -67,14 +102,23 @@ def lexed(text: str) -> list[tuple[int, int]]:
             if raw[0] in "\"'":
                 parts.append((raw[1:-1], t.start() + 1, t.end() - 1))
             elif raw in known:
-                parts += known[raw]
+                parts.append(known[raw])
             else:
                 parts.append((raw, t.start(), t.end()))
-        parts = parts[:64]
-        known[m[1]] = parts
+        value = known[m[1]] = Constant(parts)
         weight = name_score(m[1])
-        if weight and weight + literal_score("".join(p[0] for p in parts)) >= MIN_SCORE:
-            found |= {(s, e) for _, s, e in parts if e > s}
+        if weight and weight + literal_score(value) >= MIN_SCORE:
+            told.append(value)
+    found, seen = set(), set()
+    while told:
+        if id(value := told.pop()) in seen:
+            continue
+        seen.add(id(value))
+        for p in value.parts:
+            if isinstance(p, Constant):
+                told.append(p)
+            elif p[2] > p[1]:
+                found.add(p[1:])
     return sorted(found)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
-from quillmill.llm import decontamination, minhash, templates
+from quillmill.llm import decontamination, minhash, secrets, templates
 
 
 def test_near_dedup_of_the_stage(spark, monkeypatch):
@@ -63,3 +64,23 @@ def test_repeated_rows_hold_a_window(spark):
     hits = sorted((x.doc_id or 0, x.n_hit, x.contaminated) for x in decontamination.contamination(df, items).collect())
     assert hits == [(0, 10, True)] * 2 + [(1, 10, True)] * 3 + [(2, 0, False), (3, 10, True)] + [(4, 2, True)] * 2
     assert [x.doc_id for x in decontamination.clean(df, items).collect()] == [2]
+
+
+def flow(text):
+    return [text[s:e] for s, k, e in secrets.spans(text)[1] if secrets.KINDS[k] == "flow"]
+
+
+def test_long_expressions_and_literals():
+    many = [f"q{k}Zx" for k in range(300)]
+    assert flow("db_secret = " + " + ".join(f'"{x}"' for x in many)) == many
+    assert flow("".join(f'p{k} = "{x}"\n' for k, x in enumerate(many)) + "db_secret = " + " + ".join(f"p{k}" for k in range(300))) == many
+    late = ['""'] * 64 + ['"Zk39xQw71LmA"']
+    assert flow("db_secret = " + " + ".join(late)) == ["Zk39xQw71LmA"]  # the score counts what comes late
+    blob = "aB3/ x" * 2000
+    assert flow(f'credential_password = "{blob}"') == [blob]
+    assert flow(f"credential_password = '{blob}'") == [blob]
+    # 2 ** 400 parts, one span
+    start = time.monotonic()
+    assert flow('p0 = "Zk39xQ"\n' + "".join(f"p{k + 1} = p{k} + p{k}\n" for k in range(400)) + "db_secret = p400") == ["Zk39xQ"]
+    assert time.monotonic() - start < 20
+    assert flow('db_secret = "' + "x" * 100 + '"') == []  # a placeholder of any length
