@@ -44,7 +44,7 @@ STAGES = [
     ("mix_sources", mix_sources),
 ]
 
-#: SQL can't express the line templates; tests/llm compares every stage with a plain version.
+#: SQL can't express the line templates; tests/llm checks near_dedup and decontaminate by brute force.
 ORACLE_SQL = None
 
 
