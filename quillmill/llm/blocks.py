@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

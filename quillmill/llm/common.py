@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 #: Bytes of input that one bucket of a packed exchange should stand for.
 BUCKET_BYTES = 4 << 20
 MIN_BUCKETS, MAX_BUCKETS = 48, 1 << 16
+#: Bytes of a group after which a worker's free memory is given back.
+LARGE_GROUP = 4 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: The planner's figure for what it knows nothing of is beyond this.
 UNKNOWN = 1 << 56
 
@@ -33,6 +39,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES, where the session has Spark's default of eight times that: what a
+    worker holds besides its own arrays stays small whatever a row's size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).strip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _path(spark: SparkSession, where: str):
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
@@ -57,6 +71,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it again: cuts the lineage, gives
     the planner a true size, and survives the loss of executors. Dropped when the program ends."""
     spark = df.sparkSession
+    bounded_batches(spark)
     where = f"{scratch_dir(spark)}/quillmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
     atexit.register(_drop_at_exit, spark, where)
@@ -111,6 +126,7 @@ def size_hint(df: DataFrame) -> int:
 def buckets_for(df: DataFrame, bytes_each: int = BUCKET_BYTES) -> int:
     """Buckets of a packed exchange: in proportion to the input, so that a bucket's arrays stay
     at a few MB whatever the input's size."""
+    bounded_batches(df.sparkSession)
     size = size_hint(df)
     if size >= UNKNOWN:  # rows that come from no table: their texts are measured
         size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -120,6 +136,7 @@ def buckets_for(df: DataFrame, bytes_each: int = BUCKET_BYTES) -> int:
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text without nulls and the columns named in more; other columns go."""
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -127,6 +144,46 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+# --- memory of Python workers -----------------------------------------------------------------
+# A worker lives as long as its executor and runs one task after the other. What a task has freed is
+# given back to the system when it ends, so that a worker isn't as large as its largest task for good.
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(batches_to_batches):
+    """For mapInArrow: memory is given back when the task's last batch is done."""
+
+    @functools.wraps(batches_to_batches)
+    def run(batches):
+        yield from batches_to_batches(batches)
+        _give_back()
+
+    return run
+
+
+def lean_group(of_group):
+    """For applyInArrow: memory is given back after a group of any size to speak of."""
+    places = of_group.__code__.co_argcount
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = of_group(*tables)
+        if sum(t.nbytes for t in tables if isinstance(t, pa.Table)) > LARGE_GROUP:
+            _give_back()
+        return out
+
+    # Spark tells functions with a key by the number of their arguments
+    if places == 1:
+        return lambda a: run(a)
+    return (lambda a, b: run(a, b)) if places == 2 else lambda a, b, c: run(a, b, c)
+
+
 # --- packed exchange -------------------------------------------------------------------------
 # A payload holds columns of equal length as raw little-endian arrays behind a short header, so
 # that millions of small records cross a shuffle as a few binary rows per batch and bucket.

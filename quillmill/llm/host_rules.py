@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACE, Words, grams, mix, prefix_sums, slices, span_hashes, _LETTERS
-from .common import scratch, texts_of
+from .common import lean, scratch, texts_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -100,7 +100,7 @@ def measured(docs: DataFrame) -> DataFrame:
             )
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), host_of(F.col("source")).alias("host"))
-    return cut.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in MEASURES) + ", base_failed boolean")
+    return cut.mapInArrow(lean(run), "doc_id long, host string, " + ", ".join(f"{k} long" for k in MEASURES) + ", base_failed boolean")
 
 
 def host_verdicts(failures: DataFrame) -> DataFrame:
@@ -137,4 +137,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     tagged = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_quillmill_text"), host_of(F.col("source")).alias("_quillmill_host"))
     schema = tagged.drop("_quillmill_text").schema
-    return tagged.mapInArrow(run, schema).join(bad, "_quillmill_host", "left_anti").select(*names)
+    return tagged.mapInArrow(lean(run), schema).join(bad, "_quillmill_host", "left_anti").select(*names)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, mix, slices
-from .common import buckets_for, narrow, pack, scratch, scratch_bucketed, unpack
+from .common import buckets_for, lean, lean_group, narrow, pack, scratch, scratch_bucketed, unpack
 
 BLOCK_BYTES = 12 << 20
 HELD_OUT_OF = 10
@@ -122,7 +122,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
 
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(HELD_OUT_OF)) == 0
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held.alias("held"))
-    return scratch_bucketed(cut.mapInArrow(run, "block long, payload binary"), "blocks", "block", buckets_for(docs))
+    return scratch_bucketed(cut.mapInArrow(lean(run), "block long, payload binary"), "blocks", "block", buckets_for(docs))
 
 
 class Block:
@@ -314,11 +314,11 @@ def count_model(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     those with target -1 are the model's shards (sorted hashes, counts)."""
     n = buckets_for(docs)
     blocks = make_blocks(docs)
-    sent = blocks.mapInArrow(_send_bigrams(n), SENT)
-    bigrams = scratch(sent.groupBy("bucket").applyInArrow(_tally(1, _bigram_numbers), SENT), "bigrams")
+    sent = blocks.mapInArrow(lean(_send_bigrams(n)), SENT)
+    bigrams = scratch(sent.groupBy("bucket").applyInArrow(lean_group(_tally(1, _bigram_numbers)), SENT), "bigrams")
     mine = lambda df: df.filter("target >= 0").groupBy("target")
-    sent = blocks.groupBy("block").cogroup(mine(bigrams)).applyInArrow(_send_words(n), SENT)
-    words = scratch(sent.groupBy("bucket").applyInArrow(_tally(5, _word_numbers(n)), SENT), "words")
+    sent = blocks.groupBy("block").cogroup(mine(bigrams)).applyInArrow(lean_group(_send_words(n)), SENT)
+    words = scratch(sent.groupBy("bucket").applyInArrow(lean_group(_tally(5, _word_numbers(n))), SENT), "words")
     return blocks, bigrams, words, n
 
 
@@ -327,4 +327,4 @@ def score(docs: DataFrame) -> DataFrame:
     blocks, bigrams, words, n = count_model(docs)
     of_bigrams, of_words = _totals(bigrams, 5), _totals(words, 8)
     parts = bigrams.withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1))).filter("target >= 0").select("target", "bucket", "kind", "payload")
-    return blocks.groupBy("block").cogroup(parts.groupBy("target")).applyInArrow(_score(n, _discounts(of_bigrams), _discounts(of_words[2:6]), of_words), RESULT)
+    return blocks.groupBy("block").cogroup(parts.groupBy("target")).applyInArrow(lean_group(_score(n, _discounts(of_bigrams), _discounts(of_words[2:6]), of_words)), RESULT)

@@ -8,9 +8,9 @@ short, at exactly that similarity, is no more than MISSED), and two signatures t
 share one of any COORDINATES - m + 1 coordinates. So only that prefix is posted: for each class its pairs
 with the shortest posting lists, which skips the lists that a common passage makes long.
 
-Lists are merged without forming all pairs in a group: in rounds every list's members are
-compared with a few leaders, drawn per list and round by a hash, and what is linked is united; a
-list within one component is done. Of the other lists only pairs across components remain to be formed.
+Lists are merged without forming all pairs in a group: first every list's members are compared
+with a few leaders, drawn per list by a hash, and what is linked is united; a list within one
+component is done. Of the other lists only pairs across components remain to be formed.
 Where a list is still long, as texts mostly of one common passage make it, its members are posted
 under shingles instead, by the prefix that the wanted similarity leaves: the n - ceil(percent n / 100) + 1
 shingles that fewest of these members hold, which for such texts lie outside of the passage. A link
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Words, grams, mix, slices
-from .common import NO_ID, forget, forget_since, made, scratch
+from .common import BUCKET_BYTES, MAX_BUCKETS, MIN_BUCKETS, NO_ID, PACKED, bucket_of, deal, forget, forget_since, lean, lean_group, made, narrow, pack, packed_batch, scratch, size_hint, unpack
 from .components import components
 
 SHINGLE = 5
@@ -47,16 +47,16 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
 #: Highest chance that a pair of exactly the wanted similarity agrees in too few coordinates.
-MISSED = 3e-6
+MISSED = 1e-9
 #: Lists of more members are not paired off by coordinates, but by their rarest shingles.
 LONG_LIST = 64
-#: Leaders of a list in a round, and most rounds, before the rest is paired off.
-LEADERS, ROUNDS = 2, 2
+#: Leaders that all members of a list are compared with before the rest is paired off.
+LEADERS = 2
 #: Lists are of so many kinds; those of one kind draw by the same hash, so that lists of nearly the
 #: same members mostly have the same leaders and their pairs coincide.
 KINDS = 4
-#: Blocks of classes in comparisons: their number is that of the pairs over this.
-PAIRS_PER_BLOCK = 4096
+#: Bytes of sets that a pair of blocks of classes holds on average while pairs are compared.
+GROUP_BYTES = 8 << 20
 #: Bins whose parities follow a signature, and the 32-bit words that they take.
 BITS = 1024
 WORDS = COORDINATES + BITS // 32
@@ -67,7 +67,7 @@ _B = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
 def matches(percent: int) -> int:
-    """The most coordinates to ask for at that similarity: 40 at 85 percent, 35 at 80."""
+    """The most coordinates to ask for at that similarity, by the binomial tail."""
     p, below = percent / 100, 0.0
     for k in range(COORDINATES + 1):
         below += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
@@ -126,7 +126,7 @@ def signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(f[0]), pa.array(f[1]), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "signature"])
 
     cut = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return cut.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, signature binary")
+    return cut.mapInArrow(lean(run), "doc_id long, n_shingles long, f1 long, f2 long, signature binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -139,37 +139,27 @@ def _postings(classes: DataFrame) -> DataFrame:
                 [pa.array(np.tile(np.arange(COORDINATES, dtype=np.int64) << 32, b.num_rows) | sig.astype(np.int64)), pa.array(np.repeat(b.column("cls").to_numpy(), COORDINATES))], names=["post", "cls"]
             )
 
-    return classes.select("cls", "signature").mapInArrow(run, "post long, cls long")
+    return classes.select("cls", "signature").mapInArrow(lean(run), "post long, cls long")
 
 
-def _class_texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, f1, f2 and the text of each wanted class's representative. Where ids repeat there may be
-    other texts too; _sets_of() tells them by their sets' names."""
-    rep = classes.select("cls", "rep", F.col("f1").alias("g1"), F.col("f2").alias("g2")).join(wanted, "cls", "left_semi")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.join(rep, "rep").select("cls", "g1", "g2", "text")
-
+def _sets(b: pa.RecordBatch):
+    """(class, its set) of a batch of texts. Where ids repeat, a representative's id has other texts
+    too; they are told by the names of their sets."""
+    cls, g1, g2 = (b.column(k).to_numpy() for k in ("cls", "f1", "f2"))
+    for row, s in shingle_sets(b.column("text")):
+        if names(s) == (g1[row], g2[row]):
+            yield int(cls[row]), s
 
-def _sets_of(flat: bool):
-    """cls and its set: as one row of bytes, or (flat) as rows of shingles."""
 
-    def run(batches):
-        for b in batches:
-            cls, g1, g2 = (b.column(k).to_numpy() for k in ("cls", "g1", "g2"))
-            found = [(cls[r], x) for r, x in shingle_sets(b.column("text")) if names(x) == (g1[r], g2[r])]
-            own = np.array([c for c, _ in found], np.int64)
-            if flat:
-                every = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in found)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(own, [len(x) for _, x in found]).astype(np.int64))], names=["shingle", "cls"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["cls", "shingles"])
+def _whole_sets(batches):
+    for b in batches:
+        found = list(_sets(b))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["own", "shingles"])
 
-    return run
 
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, posted: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of the pairs a - b those whose sets are similar enough, as a scratch table."""
-    sig, least = classes.select("cls", "signature", "n_shingles"), matches(percent)
+    sig, least = posted.select("cls", "signature", "n_shingles"), matches(percent)
 
     def collide(batches):
         for b in batches:
@@ -178,20 +168,20 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
             apart = np.bitwise_count(x[:, COORDINATES:] ^ y[:, COORDINATES:]).sum(axis=1, dtype=np.int64)
             ok = ((x[:, :COORDINATES] == y[:, :COORDINATES]).sum(axis=1) >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             ok &= 100 * (n + m - apart) >= percent * (n + m + apart)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sig.select(F.col("cls").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-    near = scratch(both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(collide, "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
-
-    full = scratch(_class_texts(docs, wanted, classes).mapInArrow(_sets_of(False), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
-    # Pairs are compared by blocks of classes: a class goes to a pair of blocks once, however many
-    # of its pairs fall there, so a dense group doesn't send its sets along with every pair.
-    blocks = max(1, -(-near.count() // PAIRS_PER_BLOCK))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(n + m)], names=["a", "b", "held"]).filter(pa.array(ok))
+
+    ends = lambda end: sig.select(F.col("cls").alias(end), F.col("signature").alias(f"s{end}"), F.col("n_shingles").alias(f"n{end}"))
+    both = pairs.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    near = scratch(both.mapInArrow(lean(collide), "a long, b long, held long"), "near")
+    full = texts.join(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").mapInArrow(lean(_whole_sets), "own long, shingles binary")
+    # Pairs are compared by pairs of blocks of classes, so many that one holds GROUP_BYTES of sets on
+    # average. A class goes to a pair of blocks once, however many of its pairs fall there.
+    held = near.agg(F.sum("held")).first()[0] or 0
+    blocks = max(1, math.ceil(math.sqrt(8 * held / GROUP_BYTES)))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     placed = near.select("a", "b", block("a").alias("x"), block("b").alias("y"))
-    ends = near.select(F.explode(F.array("a", "b")).alias("cls"), block("a").alias("u"), block("b").alias("v")).distinct()
-    needed = ends.join(full.withColumnRenamed("cls", "own"), F.col("cls") == F.col("own")).select("u", "v", "cls", "shingles")
+    needed = near.select(F.explode(F.array("a", "b")).alias("cls"), block("a").alias("u"), block("b").alias("v")).distinct()
+    needed = needed.join(full, F.col("cls") == F.col("own")).select("u", "v", "cls", "shingles")
 
     def compare(key, pairs, sets):
         held = {c: np.frombuffer(v.as_buffer(), np.uint64) for c, v in zip(sets.column("cls").to_pylist(), sets.column("shingles"), strict=True)}
@@ -207,58 +197,41 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
             ok.append(100 * same >= percent * (len(both) - same))
         return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = scratch(placed.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(compare, "a long, b long"), "links")
-    forget(near, full)
+    out = scratch(placed.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(lean_group(compare), "a long, b long"), "links")
+    forget(near)
     return out
 
 
-def _of(members: DataFrame, united: DataFrame | None) -> DataFrame:
-    """members with the component of each class."""
-    if united is None:
-        return members.withColumn("comp", F.col("cls"))
-    return members.join(united.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-
+def _led(members: DataFrame) -> DataFrame:
+    """Pairs of each list's members with its leaders: linear in the members."""
+    kind = F.pmod(F.xxhash64("post"), F.lit(KINDS))
+    part = F.pmod(F.xxhash64("cls", kind), F.lit(LEADERS))
+    drawn = F.struct(F.xxhash64(kind, "cls"), "cls")
+    leads = members.groupBy("post").agg(F.array(*(F.min(F.when(part == k, drawn))["cls"] for k in range(LEADERS))).alias("_l"))
+    led = members.join(leads, "post").select("cls", F.explode("_l").alias("lead")).filter("lead != cls")
+    return led.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
 
-def _open_lists(members: DataFrame, united: DataFrame | None, keys: list[str]) -> DataFrame:
-    """The members, with comp, of lists that lie in more than one component; size is the number of
-    members."""
-    m = _of(members, united)
-    lists = m.groupBy(*keys).agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo != _hi").drop("_lo", "_hi")
-    return m.join(lists, keys)
 
-
-def _led(members: DataFrame, united: DataFrame | None, key: str, draw: int) -> DataFrame:
-    """Pairs of each open list's members with LEADERS leaders of the list, the members whose drawn
-    hashes are least in LEADERS ranges of a second hash: linear in the members."""
-    opened = _open_lists(members, united, [key])
-    kind = F.pmod(F.xxhash64(key), F.lit(KINDS))
-    part = F.pmod(F.xxhash64(F.lit(draw), "cls", kind), F.lit(LEADERS))
-    leader = opened.groupBy(key, part.alias("_part")).agg(F.min(F.struct(F.xxhash64(F.lit(draw), kind, "cls"), "cls", "comp")).alias("_l")).select(key, F.col("_l.cls").alias("lead"), F.col("_l.comp").alias("lead_comp"))
-    return opened.join(leader, key).filter("comp != lead_comp").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-
-
-def _led_until_settled(members: DataFrame, united: DataFrame | None, key: str, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
-    """Rounds of leaders, until one finds few more links or ROUNDS are done."""
-    before = None
-    for draw in range(ROUNDS):
-        new = _confirmed(_led(members, united, key, draw), classes, docs, percent)
-        found = new.count()
-        if found:
-            united = _unite(united, new)
-        if not found or before is not None and found < before / 10:
-            break
-        before = found
-    return united
+def _open_lists(members: DataFrame, united: DataFrame | None, key: str) -> DataFrame:
+    """The members, with comp (their component), of lists that lie in more than one component, and of
+    each list its size and main (the component of most members), as a scratch table."""
+    own = F.col("cls")
+    if united is not None:
+        members = members.join(united.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        own = F.coalesce("component", "cls")
+    m = members.withColumn("comp", own).drop("component")
+    lists = m.groupBy(key, "comp").agg(F.count("*").alias("_n")).groupBy(key).agg(F.sum("_n").alias("size"), F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.count("*").alias("_comps"))
+    return scratch(m.join(lists.filter("_comps > 1").drop("_comps"), key), "open")
 
 
-def _paired(opened: DataFrame, key: str) -> DataFrame:
+def _paired(opened: DataFrame) -> DataFrame:
     """Pairs of members of different components that share a list."""
-    x, y = (opened.select(key, F.col("cls").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
-    return x.join(y, key).filter("a < b and ca != cb").select("a", "b").distinct()
+    x, y = (opened.select("post", F.col("cls").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
+    return x.join(y, "post").filter("a < b and ca != cb").select("a", "b")
 
 
-def _parities(classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and the parities, as numbers p0, p1 ..., of the wanted classes."""
+def _parities(classes: DataFrame) -> DataFrame:
+    """cls and the parities, as numbers p0, p1 ..., of each class."""
     n = BITS // 64
 
     def run(batches):
@@ -267,70 +240,106 @@ def _parities(classes: DataFrame, wanted: DataFrame) -> DataFrame:
             p = np.ascontiguousarray(p).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("cls"), *(pa.array(p[:, k]) for k in range(n))], names=["cls", *(f"p{k}" for k in range(n))])
 
-    return classes.select("cls", "signature").join(wanted, "cls", "left_semi").mapInArrow(run, "cls long, " + ", ".join(f"p{k} long" for k in range(n)))
+    return classes.select("cls", "signature").mapInArrow(lean(run), "cls long, " + ", ".join(f"p{k} long" for k in range(n)))
 
 
-def _bounded_pairs(opened: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of different components that share a rare shingle and that neither bound
+def _bounded_pairs(opened: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members, with their parities, of different components that share a rare shingle and that neither bound
     rules out: a link passes both at the first shingle that its two ends share. One end of a pair
     lies outside of the list's largest component, so only such members are held against the list."""
-    share = opened.groupBy("shingle", "comp").agg(F.count("*").alias("_n")).groupBy("shingle").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"))
-    m = opened.join(parities, "cls")
     columns = ["cls", "comp", "at", "held", *(f"p{k}" for k in range(BITS // 64))]
-    x = m.join(share, "shingle").filter("comp != _main").select("shingle", *(F.col(c).alias(f"a_{c}") for c in columns))
-    y = m.join(share, "shingle").select("shingle", F.col("_main"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    x = opened.filter("comp != main").select("shingle", *(F.col(c).alias(f"a_{c}") for c in columns))
+    y = opened.select("shingle", "main", *(F.col(c).alias(f"b_{c}") for c in columns))
     total = F.col("a_held") + F.col("b_held")
     most = F.least(F.col("a_held") - F.col("a_at"), F.col("b_held") - F.col("b_at"))
     apart = sum((F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(BITS // 64)), F.lit(0))
     near = (100 * most >= percent * (total - most)) & (100 * (total - apart) >= percent * (total + apart))
-    once = (F.col("b_comp") == F.col("_main")) | (F.col("a_cls") < F.col("b_cls"))
+    once = (F.col("b_comp") == F.col("main")) | (F.col("a_cls") < F.col("b_cls"))
     pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a_comp") != F.col("b_comp")) & once & near)
-    return pairs.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
+    return pairs.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b"))
 
 
-def _rare_shingles(docs: DataFrame, wanted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """shingle and cls of the prefix of each wanted class's set, in order of rarity among them, with
-    the shingle's place (at, from 0) in that order and the size of the set (held); lists of one are
-    left out."""
-    held = scratch(_class_texts(docs, wanted, classes).mapInArrow(_sets_of(True), "shingle long, cls long").distinct(), "shingles")
-    often = held.groupBy("shingle").agg(F.count("*").alias("n"))
-    per = Window.partitionBy("cls")
-    ranked = held.join(often, "shingle").withColumn("_rank", F.row_number().over(per.orderBy("n", "shingle"))).withColumn("_size", F.count("*").over(per))
-    return ranked.filter((F.col("_rank") <= F.col("_size") - F.ceil(F.col("_size") * percent / 100) + 1) & (F.col("n") > 1)).select("shingle", "cls", (F.col("_rank") - 1).alias("at"), F.col("_size").alias("held"))
+def _rare_shingles(texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """shingle and cls of the prefix of each class's set, in order of rarity among these classes, with
+    the shingle's place (at, from 0) in that order and the size of the set (held). Shingles are
+    counted in packed form, and only those of several classes go back to their classes: the others
+    come first in the order, and no list of one is made."""
+
+    def send(batches):
+        for b in batches:
+            found = list(_sets(b))
+            if not found:
+                continue
+            s = np.concatenate([x for _, x in found])
+            size = np.array([len(x) for _, x in found], np.uint32)
+            owner = np.repeat(np.arange(len(found)), size)
+            cls = np.array([c for c, _ in found], np.int64)
+            rows = []
+            for k, (s1, o1) in deal(bucket_of(s, n), n, s, owner):
+                used, index = np.unique(o1, return_inverse=True)
+                rows.append((k, pack(s1, cls[used], size[used], narrow(index))))
+            yield packed_batch(rows)
+
+    def count(group: pa.Table) -> pa.Table:
+        parts = [unpack(p.as_py()) for p in group.column("payload")]
+        s, c, held = (np.concatenate(x) for x in zip(*((s, c[i], z[i]) for s, c, z, i in parts), strict=True))
+        order = np.lexsort((c, s))
+        s, c, held = s[order], c[order], held[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])  # a class may come twice where ids repeat
+        s, c, held = s[new], c[new], held[new]
+        first = np.ones(len(s), bool)
+        first[1:] = s[1:] != s[:-1]
+        g = np.cumsum(first) - 1
+        many = np.bincount(g)[g]
+        several = many > 1
+        rows = [(k, pack(c1, s1, narrow(m1), narrow(h1))) for k, (c1, s1, m1, h1) in deal(np.mod(c[several], n), n, c[several], s[several], many[several], held[several])]
+        return pa.Table.from_batches([packed_batch(rows)])
+
+    def rank(group: pa.Table) -> pa.Table:
+        parts = [[x.astype(np.int64) if x.dtype != np.uint64 else x for x in (c, s, m.astype(np.int64), h.astype(np.int64))] for c, s, m, h in (unpack(p.as_py()) for p in group.column("payload"))]
+        c, s, many, held = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((s, many, c))
+        c, s, held = c[order], s[order], held[order]
+        first = np.ones(len(c), bool)
+        first[1:] = c[1:] != c[:-1]
+        start, g = np.flatnonzero(first), np.cumsum(first) - 1
+        at = held - np.bincount(g)[g] + np.arange(len(c)) - start[g]  # after those that no other class holds
+        ok = at <= held - -(-held * percent // 100)
+        return pa.table([pa.array(s[ok].view(np.int64)), pa.array(c[ok]), pa.array(at[ok]), pa.array(held[ok])], names=["shingle", "cls", "at", "held"])
+
+    counted = texts.mapInArrow(lean(send), PACKED).groupBy("bucket").applyInArrow(lean_group(count), PACKED)
+    return counted.groupBy("bucket").applyInArrow(lean_group(rank), "shingle long, cls long, at long, held long")
 
 
 def _posted(classes: DataFrame, docs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes that have a prefix, and the texts of their representatives, as scratch tables:
     only they are read and dealt from here on."""
-    few = scratch(members.select("cls").distinct(), "posted")
-    posted = scratch(classes.join(few, "cls", "left_semi"), "posted")
-    reps = scratch(posted.select("rep").distinct(), "reps")  # a table: broadcast only if small
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return posted, scratch(own.join(reps, own["doc_id"] == reps["rep"], "left_semi"), "texts")
+    posted = scratch(classes.join(members.select("cls").distinct(), "cls", "left_semi"), "posted")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return posted, scratch(own.join(posted.select("rep", "cls", "f1", "f2"), "rep").select("cls", "f1", "f2", "text"), "texts")
 
 
 def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """node and component of the classes that links unite; None if there are no links."""
     posts = _postings(classes)
     lists = posts.groupBy("post").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = scratch(posts.join(lists, "post"), "posts")
     # coordinates that no other class shares are a class's shortest lists: they fill its prefix first
     per = Window.partitionBy("cls")  # at most COORDINATES rows each
-    ranked = shared.withColumn("_rank", F.row_number().over(per.orderBy("n", "post"))).withColumn("_shared", F.count("*").over(per))
+    ranked = posts.join(lists, "post").withColumn("_rank", F.row_number().over(per.orderBy("n", "post"))).withColumn("_shared", F.count("*").over(per))
     members = scratch(ranked.filter(F.col("_rank") <= F.col("_shared") - matches(percent) + 1).select("post", "cls"), "members")
-    forget(shared)
-    classes, docs = _posted(classes, docs, members)
-    united = _led_until_settled(members, None, "post", classes, docs, percent)
-    opened = scratch(_open_lists(members, united, ["post"]), "open")
-    united = _unite(united, _confirmed(_paired(opened.filter(F.col("size") <= LONG_LIST), "post"), classes, docs, percent))
-    wanted = _open_lists(opened.filter(F.col("size") > LONG_LIST).select("post", "cls"), united, ["post"]).select("cls").distinct()
-    wanted = scratch(wanted, "wanted")
-    if wanted.isEmpty():
-        return united
-    members = scratch(_rare_shingles(docs, wanted, classes, percent), "rare")
-    united = _led_until_settled(members, united, "shingle", classes, docs, percent)
-    opened = scratch(_open_lists(members, united, ["shingle"]), "open")
-    return _unite(united, _confirmed(_bounded_pairs(opened, _parities(classes, wanted), percent), classes, docs, percent))
+    posted, texts = _posted(classes, docs, members)
+    united = _unite(None, _confirmed(_led(members), posted, texts, percent))
+    opened = _open_lists(members, united, "post")
+    pairs = _paired(opened.filter(F.col("size") <= LONG_LIST))
+    in_long = opened.filter(F.col("size") > LONG_LIST)
+    if not in_long.isEmpty():
+        wanted = in_long.select("cls").distinct()
+        # a shingle takes 12 bytes where it is counted, a word of text on average 6, half that compressed
+        n = int(min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * size_hint(texts) // BUCKET_BYTES)))
+        rare = _rare_shingles(texts.join(wanted, "cls", "left_semi"), percent, n).join(_parities(posted), "cls")
+        pairs = pairs.unionByName(_bounded_pairs(_open_lists(rare, united, "shingle"), percent))
+    return _unite(united, _confirmed(pairs.distinct(), posted, texts, percent))
 
 
 def _unite(united: DataFrame | None, new: DataFrame) -> DataFrame | None:

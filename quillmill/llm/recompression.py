@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, _powers, grams, mix, slices
-from .common import ROUTED, bucket_of, buckets_for, by_bucket, deal, ids_out, in_order, narrow, pack, pack_ids, prime_from, routed_batch, texts_of, unpack
+from .common import ROUTED, bucket_of, buckets_for, by_bucket, deal, ids_out, in_order, lean, lean_group, narrow, pack, pack_ids, prime_from, routed_batch, texts_of, unpack
 
 WINDOW = 13
 REACH = 3  # words on either side that fix a boundary between symbols of at most two words
@@ -275,8 +275,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = buckets_for(docs)
     n_docs = prime_from(n)
     dealt = by_bucket(docs, n_docs)
-    marks = by_bucket(docs, n_docs).drop("bucket").mapInArrow(_send_marks(n, n_docs), ROUTED)
-    shared = marks.groupBy("bucket").applyInArrow(_shared_marks(n_docs), ROUTED)
-    windows = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_send_windows(n), ROUTED)
-    covered = windows.groupBy("bucket").applyInArrow(_covered_windows(), ROUTED)
-    return dealt.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(_remove, RESULT)
+    marks = by_bucket(docs, n_docs).drop("bucket").mapInArrow(lean(_send_marks(n, n_docs)), ROUTED)
+    shared = marks.groupBy("bucket").applyInArrow(lean_group(_shared_marks(n_docs)), ROUTED)
+    windows = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(lean_group(_send_windows(n)), ROUTED)
+    covered = windows.groupBy("bucket").applyInArrow(lean_group(_covered_windows()), ROUTED)
+    return dealt.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(lean_group(_remove), RESULT)

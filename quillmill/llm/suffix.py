@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import SPACE, _LETTERS, mix, prefix_sums, slices, span_hashes
-from .common import ROUTED, bucket_of, buckets_for, by_bucket, deal, ids_out, in_order, narrow, pack, pack_ids, prime_from, routed_batch, unpack
+from .common import ROUTED, bucket_of, buckets_for, by_bucket, deal, ids_out, in_order, lean, lean_group, narrow, pack, pack_ids, prime_from, routed_batch, unpack
 
 WINDOW, GRAM = 50, 16
 #: A window begins 1 to REACH bytes before its mark.
@@ -398,8 +398,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = buckets_for(docs)
     n_docs = prime_from(n)
     dealt = by_bucket(docs, n_docs)
-    marks = dealt.drop("bucket").mapInArrow(_send_marks(n, n_docs), ROUTED)
-    judged = marks.groupBy("bucket").applyInArrow(_judge_marks(n_docs), ROUTED)
-    parts = dealt.groupBy("bucket").cogroup(judged.groupBy("bucket")).applyInArrow(_send_parts(n), ROUTED)
-    spans = parts.groupBy("bucket").applyInArrow(_compare(), ROUTED)
-    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_remove, RESULT)
+    marks = dealt.drop("bucket").mapInArrow(lean(_send_marks(n, n_docs)), ROUTED)
+    judged = marks.groupBy("bucket").applyInArrow(lean_group(_judge_marks(n_docs)), ROUTED)
+    parts = dealt.groupBy("bucket").cogroup(judged.groupBy("bucket")).applyInArrow(lean_group(_send_parts(n)), ROUTED)
+    spans = parts.groupBy("bucket").applyInArrow(lean_group(_compare()), ROUTED)
+    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(lean_group(_remove), RESULT)

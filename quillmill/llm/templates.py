@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Words, mix, slices
-from .common import NO_ID, ROUTED, bucket_of, buckets_for, deal, ids_out, pack, prime_from, routed_batch, unpack
+from .common import NO_ID, ROUTED, bucket_of, buckets_for, deal, ids_out, lean_group, pack, prime_from, routed_batch, unpack
 
 DEPTH = 3
 MIN_DOCS = 20
@@ -242,10 +242,10 @@ def _dealt(docs: DataFrame, n: int, columns: list[str]) -> DataFrame:
 
 def _learnt(docs: DataFrame, n: int, n_docs: int, columns: list[str]) -> DataFrame:
     dealt = _dealt(docs, n_docs, columns)
-    replies = dealt.groupBy(_BUCKET).applyInArrow(_round(LEAF, n), ROUTED).groupBy("bucket").applyInArrow(_tally(LEAF), ROUTED)
+    replies = dealt.groupBy(_BUCKET).applyInArrow(lean_group(_round(LEAF, n)), ROUTED).groupBy("bucket").applyInArrow(lean_group(_tally(LEAF)), ROUTED)
     for kind in (TOKEN, TEMPLATE):
-        sent = dealt.groupBy(_BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(_round(kind, n), ROUTED)
-        replies = sent.groupBy("bucket").applyInArrow(_tally(kind), ROUTED)
+        sent = dealt.groupBy(_BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(lean_group(_round(kind, n)), ROUTED)
+        replies = sent.groupBy("bucket").applyInArrow(lean_group(_tally(kind)), ROUTED)
     return replies
 
 
@@ -254,7 +254,7 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     n = buckets_for(docs)
     n_docs = prime_from(n)
     replies = _learnt(docs, n, n_docs, [])
-    return _dealt(docs, n_docs, []).groupBy(_BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(_report, RESULT)
+    return _dealt(docs, n_docs, []).groupBy(_BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(lean_group(_report), RESULT)
 
 
 def without_templates(docs: DataFrame) -> DataFrame:
@@ -281,4 +281,4 @@ def without_templates(docs: DataFrame) -> DataFrame:
             out = out.set_column(out.column_names.index("n_chars"), "n_chars", pa.compute.coalesce(new, old.combine_chunks()))
         return out.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return _dealt(docs, n_docs, columns).groupBy(_BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(rewrite, docs.schema)
+    return _dealt(docs, n_docs, columns).groupBy(_BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(lean_group(rewrite), docs.schema)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import lean, texts_of
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -109,4 +109,4 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
                 size = np.array([len(t.encode()) for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return texts_of(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -278,7 +278,7 @@ def test_templates(docs, fixture, empty, spark):
 # --- 8
 
 
-def tests_of(spark):
+def items_of(spark):
     return spark.createDataFrame([(1, "w1 w2"), (2, None), (3, ""), (4, "Licensed under the free license VERSION 2 of 2024"), (10, "one"), (11, "one"), (12, " ".join(f"z{k}" for k in range(30)))], "item_id long, text string")
 
 
@@ -301,7 +301,7 @@ def plain_hits(docs_, items):
 
 
 def test_decontamination(spark, docs, fixture, empty):
-    items = tests_of(spark)
+    items = items_of(spark)
     got = decontamination.contamination(docs, items)
     want = list(plain_hits([(i, t) for i, t, *_ in fixture], [tuple(r) for r in items.collect()]))
     assert by_row(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == reprs(want)
@@ -369,7 +369,9 @@ def test_minhash(docs, fixture, empty, monkeypatch):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW_EDGES, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 99)]
     got = dict(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {k: 0 for k in range(41)} | {99: 99, 100: 99, 101: 99}
@@ -388,7 +390,7 @@ def test_pipeline(spark, docs, tmp_path, fixture):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "mix_sources"]
-    tests_of(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    items_of(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     now = docs
     for name, stage in p.STAGES[:-1]:
@@ -399,5 +401,5 @@ def test_pipeline(spark, docs, tmp_path, fixture):
         if name != "line_dedup":
             assert now.exceptAll(before).isEmpty()
     assert rows(p.run(spark, str(tmp_path))) == rows(mixing.mixture(now))
-    bad = {i for i, *_, hit in plain_hits([(r.doc_id, r.text) for r in now.collect()], [tuple(r) for r in tests_of(spark).collect()]) if hit}
+    bad = {i for i, *_, hit in plain_hits([(r.doc_id, r.text) for r in now.collect()], [tuple(r) for r in items_of(spark).collect()]) if hit}
     assert not bad
