@@ -27,6 +27,8 @@ OWN_IMAGE = r"!\[Page \d+(?: scan|, figure \d+)\]\([^)\n]*\)"
 OWN_LABEL = r"(?md)^\*\*(?:Figure|Picture) [\d.]+ - transcribed by [^*\n]*:\*\*$"
 LINK_TARGET = r"\]\([^)\s]*\)"
 REVIEW_MARK = r"\*\[[^\]]*\]\*"
+AMOUNT = r"(?:(?<=[\s(“—–-])|^)\$(?=\d[\d,]*(?:\.\d+)?(?:s\b|[\s,.;:)\-–]|$))(?![\d,.]*\$)"
+TAG = r"\\tag\*?\{([^{}]*)\}"
 QUOTE_LINE = r"(?md)^>.*$"
 PAGE_HEADING = r"(?md)^## Page \d+\s*$"
 NOTE_LABEL = r"\[\^(\w+)\]:?"
@@ -60,19 +62,16 @@ def display_faults(md: Column) -> Column:
 
 def unbalanced(md: Column) -> Column:
     """The environments that are opened and closed different numbers of times, sorted."""
-    m = bare(md)
-    times = lambda env, word: (F.length(m) - F.length(F.replace(m, F.concat(F.lit(f"\\{word}{{"), env, F.lit("}")), F.lit("")))) / (F.length(env) + len(word) + 3)
-    envs = F.array_distinct(_all(m, r"\\begin\{(\w+\*?)\}", 1))
-    return F.array_sort(F.filter(envs, lambda e: times(e, "begin") != times(e, "end")))
+    times = lambda m, env, word: (F.length(m) - F.length(F.replace(m, F.concat(F.lit(f"\\{word}{{"), env, F.lit("}")), F.lit("")))) / (F.length(env) + len(word) + 3)
+    envs = lambda m: F.array_distinct(_all(m, r"\\begin\{(\w+\*?)\}", 1))
+    return F.array_sort(T.let(bare(md), lambda m: F.filter(envs(m), lambda e: times(m, e, "begin") != times(m, e, "end"))))
 
 
 def note_faults(md: Column) -> Column:
     """label and fault (stub, placeholder, repeat) of each faulty footnote."""
-    m = bare(md)
-    prose = F.regexp_replace(m, NOTE, " ")
     strip = lambda x, chars: F.regexp_replace(x, rf"^[{chars}]+|[{chars}]+$", "")
 
-    def fault(label: Column, raw: Column) -> Column:
+    def fault(prose: Column, label: Column, raw: Column) -> Column:
         body = F.trim(raw)
         kind = (
             F.when((body == "") | (strip(body, r"\[\]*. ") == label), "stub")
@@ -81,7 +80,8 @@ def note_faults(md: Column) -> Column:
         )
         return F.struct(label.alias("label"), kind.alias("fault"))
 
-    return F.filter(F.zip_with(_all(m, NOTE, 1), _all(m, NOTE, 2), fault), lambda x: x["fault"].isNotNull())
+    found = T.let(bare(md), lambda m: T.let(F.regexp_replace(m, NOTE, " "), lambda prose: F.zip_with(_all(m, NOTE, 1), _all(m, NOTE, 2), lambda label, raw: fault(prose, label, raw))))
+    return F.filter(found, lambda x: x["fault"].isNotNull())
 
 
 def math_markers(md: Column) -> Column:
@@ -107,6 +107,76 @@ def spaced_links(md: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: ~F.trim(p["target"]).rlike(TITLED)), lambda p: p["link"])
 
 
+# What follows a dollar sign on its line, up to the next one that isn't escaped.
+_INSIDE = r"(?:[^$\n]|(?<=\\)\$)*+"
+_NO_CLOSE = rf"(?!{_INSIDE}(?<!\\)\$)"
+_SPACE_FIRST = r"(?=(?:[^$\n]|(?<=\\)\$)*(?<= )\$)"
+_NO_WORD = r"(?:\\[A-Za-z]++(?:\{[^}$\n]*\})?+|[A-Za-z](?![A-Za-z])|(?<=\\)\$|[^A-Za-z$\n\\]|\\(?![A-Za-z]))*+"
+_FOUR_WORDS = rf"(?=(?:{_NO_WORD}[A-Za-z]{{2,}}+){{4}})"
+#: A dollar sign that means money: no formula closes on its line, or what it would enclose ends in a
+#: space or holds four words, LaTeX commands aside.
+MONEY = rf"(?md){AMOUNT}(?:{_NO_CLOSE}|{_SPACE_FIRST}|{_FOUR_WORDS})"
+
+
+def _outside_displays(md: Column) -> Column:
+    """The pieces of md that lie outside of displays. Each begins with a letter and ends with a dollar
+    sign where a display stood, so that patterns see what they would have seen there."""
+    pieces = F.split(md, DELIMITER)
+    n = F.size(pieces)
+    shown = F.transform(pieces, lambda p, k: F.when((k % 2 == 0) | (k == n - 1), F.concat(F.when(k > 0, "x").otherwise(""), p, F.when(k < n - 1, "$").otherwise(""))))
+    return F.filter(shown, lambda p: p.isNotNull())
+
+
+def money(md: Column) -> Column:
+    """The amounts, with what follows up to twelve characters, that may be read as formulas."""
+    seen = MONEY.replace(r"\$", r"(?=((?s:.{1,12})))\$", 1)  # what stands there is caught ahead of it
+    return F.flatten(F.transform(_outside_displays(bare(md)), lambda p: _all(p, seen, 1)))
+
+
+def escape_money(md: Column) -> Column:
+    return F.regexp_replace(md, MONEY, r"\\\$")
+
+
+def one_tag(md: Column) -> Column:
+    """md with the numbers of each display that has several written out at the ends of their lines."""
+    pieces = F.split(md, DELIMITER)
+    n = F.size(pieces)
+    fixed = F.transform(pieces, lambda p, k: F.when((k % 2 == 1) & (k < n - 1) & (F.size(_all(p, TAG)) > 1), F.regexp_replace(p, TAG, r"\\qquad ($1)")).otherwise(p))
+    return F.array_join(fixed, "$$")
+
+
+def _fault(name: str, detail: Column | None = None) -> Column:
+    return F.struct(F.lit(name).alias("fault"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+
+
+_NONE = "array<struct<fault:string,detail:string>>"
+
+
+def _listed(found: Column, name: str) -> Column:
+    return F.transform(found, lambda x: _fault(name, x))
+
+
+def math_faults(md: Column) -> Column:
+    """(fault, detail) of what keeps formulas from showing."""
+    kinds = F.array(*(F.lit(k) for k in ("blank_line", "review_note", "tags")))
+
+    def of(d: Column) -> Column:
+        bad = {"blank_line": d.rlike(r"\n\s*\n"), "review_note": F.contains(d, F.lit("*[")), "tags": F.size(_all(d, r"\\tag\b")) > 1}
+        return F.filter(kinds, lambda k: F.coalesce(*(F.when((k == name) & on, True) for name, on in bad.items()), F.lit(False)))
+
+    shown = F.transform(F.flatten(F.transform(displays(md), of)), lambda k: F.struct(k.alias("fault"), F.lit(None).cast("string").alias("detail")))
+    odd = F.when(unmatched_display(md), F.array(_fault("unmatched"))).otherwise(F.array().cast(_NONE))
+    return F.concat(odd, shown, _listed(unbalanced(md), "environment"))
+
+
+def markup_faults(md: Column) -> Column:
+    """(fault, detail) of notes, markers, amounts, tables and links in the wrong form."""
+    outside = latex_outside(md)
+    notes = F.transform(note_faults(md), lambda n: F.struct(n["fault"].alias("fault"), n["label"].alias("detail")))
+    table = F.when(outside["table_command"], F.array(_fault("table_command"))).otherwise(F.array().cast(_NONE))
+    return F.concat(notes, _listed(math_markers(md), "marker"), _listed(fused_labels(md), "fused"), _listed(money(md), "money"), table, _listed(outside["outside"], "outside"), _listed(F.transform(spaced_links(md), lambda x: F.left(x, F.lit(60))), "link"))
+
+
 def formulas(md: Column) -> Column:
     """tex and is_display of every formula: displays, then inline ones by paragraph."""
     m = bare(md)

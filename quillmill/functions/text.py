@@ -20,10 +20,21 @@ RUN = 8
 RESERVED_NAMES = ["con", "prn", "aux", "nul", *(f"{p}{k}" for p in ("com", "lpt") for k in range(1, 10))]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: what a lambda refers to inside body would else be
+    computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def plain(word: Column) -> Column:
+    """A word in lower case without ligature pairs."""
+    return F.regexp_replace(F.lower(word), LIGATURES, "")
+
+
 def words(text: Column) -> Column:
     """Lower-case words without ligature pairs, of three letters or more after that."""
     found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.filter(F.transform(found, lambda w: F.regexp_replace(F.lower(w), LIGATURES, "")), lambda w: F.length(w) >= 3)
+    return F.filter(F.transform(found, plain), lambda w: F.length(w) >= 3)
 
 
 def numbers(text: Column) -> Column:
@@ -87,19 +98,19 @@ def numbered_items(text: Column) -> Column:
 def missing_items(notes: Column, items: Column) -> Column:
     flat = F.regexp_replace(notes, r"\s+", " ")
 
-    def absent(item: Column) -> Column:
+    def absent(flat: Column, item: Column) -> Column:
         number = F.element_at(F.split(F.regexp_replace(item, r"[()]", ""), " "), -1)
         found = F.regexp_extract_all(F.concat(F.lit(" "), flat, F.lit(" ")), F.concat(F.lit(r"(?<![0-9.])\Q"), number, F.lit(r"\E(?![0-9])")), F.lit(0))
         return F.size(found) == 0
 
-    return F.filter(items, absent)
+    return let(flat, lambda f: F.filter(items, lambda item: absent(f, item)))
 
 
 def grams(text: Column, n: int = RUN) -> Column:
     """The distinct runs of n lower-case ASCII words."""
     w = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+    starts = lambda ws: F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(let(w, lambda ws: F.transform(starts(ws), lambda i: F.array_join(F.slice(ws, i, n), " "))))
 
 
 def shorten(text: Column, limit: int = 240) -> Column:
@@ -109,6 +120,35 @@ def shorten(text: Column, limit: int = 240) -> Column:
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(at_word, F.lit("...")))
 
 
+def as_object(reply: Column) -> Column:
+    """What stands between a reply's outermost braces, as JSON text that can be read: first with the
+    LaTeX commands in its strings protected, then as it is; null if neither is an object."""
+    raw = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    latex = F.regexp_replace(raw, r"(?<!\\)((?:\\\\)*)\\(?=[A-Za-z]{2})", "$1\\\\\\\\")
+    valid = lambda c: F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c)
+    return F.coalesce(valid(latex), valid(raw))
+
+
+def texts_of(reply_object: Column, field: str) -> Column:
+    """The texts of a list in such an object; none if it isn't there."""
+    listed = F.from_json(reply_object, f"struct<{field}:array<string>>")[field]
+    return F.coalesce(F.filter(listed, lambda x: F.coalesce(x, F.lit("")) != ""), F.array().cast("array<string>"))
+
+
+def release_section(changelog: Column, version: Column) -> Column:
+    """The text under a version's heading, up to the next heading or the list of links; lines that were
+    wrapped by hand are one line again."""
+    start = F.concat(F.lit(r"(?sm)^## \[\Q"), version, F.lit(r"\E\][^\n]*\n(.*?)(?=^## \[|^\[[^\]]+\]: |\z)"))
+    body = F.trim(F.element_at(F.regexp_extract_all(changelog, start, F.lit(1)), 1))
+    body = F.regexp_replace(F.regexp_replace(body, r"^\s+|\s+$", ""), r"\n {2,}(?!- )(?=\S)", " ")
+    return F.regexp_replace(body, r"(?<=[^\n])\n(?=[^\s#>|-])", " ")
+
+
+def stamp(at: Column, seconds: bool = False) -> Column:
+    """A time as text, to the minute or the second."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss" if seconds else "yyyy-MM-dd HH:mm")
+
+
 def retry_after(message: Column) -> Column:
     """Seconds to wait that a message asks for, and one more; 0 if it asks for none."""
     one = F.regexp_extract(message, r"""retryDelay['"]?\s*:\s*['"]([0-9]+(?:\.[0-9]+)?)s""", 1)

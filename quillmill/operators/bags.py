@@ -44,11 +44,6 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return d.filter("na != nb").select(*keys, "token", F.greatest(F.col("na") - F.col("nb"), zero).alias("missing"), F.greatest(F.col("nb") - F.col("na"), zero).alias("extra"))
 
 
-def map_minus(a: Column, b: Column) -> Column:
-    """minus() on maps from token to count."""
-    return F.map_filter(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))), lambda _, n: n > 0)
-
-
 def top_k(counted: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k most frequent tokens of each key; ties go to the one seen first."""
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "first_pos")

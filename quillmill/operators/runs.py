@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import catalog
 
-#: List prices in dollars per million tokens (in, out), for the tests' models.
-PRICES = [("alpha", "small", 0.25, 1.5), ("alpha", "large", 0.75, 3.75), ("home", "local", 0.0, 0.0)]
-FALLBACK = (0.75, 3.75)
 TOKENS_PER_PAGE = (1500, 600)
-#: Local models, smallest first (tag, card memory, main memory in GB).
-LOCAL_MODELS = [(1, "2b", 3.5, 8.0), (2, "4b", 5.0, 16.0), (3, "8b", 8.0, 32.0)]
 SHARED_MEMORY = 0.66
 CAPS = (4096, 16384)
 
@@ -34,18 +32,6 @@ def meter(usage: DataFrame, keys: list[str]) -> DataFrame:
     return u.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum(F.coalesce("prompt", F.lit(0))).alias("tokens_in"), F.sum(billed_out(F.col("prompt"), F.col("completion"), F.col("total"))).alias("tokens_out"))
 
 
-def prices(spark) -> DataFrame:
-    return spark.createDataFrame(PRICES, "provider string, model string, price_in double, price_out double")
-
-
-def priced(df: DataFrame, fallback: Column) -> DataFrame:
-    """df with price_in and price_out of its model; fallback says where the fallback rate holds,
-    other unlisted models cost 0. The price list is a constant of a few rows."""
-    p = F.broadcast(prices(df.sparkSession).drop("provider"))
-    rate = lambda k: F.when(fallback, F.lit(FALLBACK[k])).otherwise(0.0)
-    return df.join(p, "model", "left").withColumns({"price_in": F.coalesce("price_in", rate(0)), "price_out": F.coalesce("price_out", rate(1))})
-
-
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     return (tokens_in * price_in + tokens_out * price_out) / F.lit(1e6)
 
@@ -87,11 +73,28 @@ def newest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def free_names(names: DataFrame, order: list) -> DataFrame:
-    """Each name, numbered from (2) on where it is taken, without regard to case."""
-    w = Window.partitionBy(F.lower("name")).orderBy(*order)
-    n = F.row_number().over(w)
-    return names.withColumn("folder", F.when(n == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), n.cast("string"), F.lit(")"))))
+def free_names(names: DataFrame, order: list[str]) -> DataFrame:
+    """names (name, ...) with folder: the name, or the first of `name (2)`, `name (3)`, ... that no
+    folder before it in the order has, without regard to case.
+
+    Equal names are numbered by a window. Only where a name that was given looks like a numbered one
+    (`a (2)` beside `a`) do folders depend on each other; such families, few, are named one by one."""
+    root = F.lower(F.regexp_replace("name", r"( \(\d+\))+$", ""))
+    family, equal = Window.partitionBy("_root"), Window.partitionBy(F.lower("name")).orderBy(*order)
+    n = names.withColumn("_root", root).withColumn("_mixed", F.min(F.lower("name")).over(family) != F.max(F.lower("name")).over(family))
+    k = F.row_number().over(equal)
+    plain = n.filter(~F.col("_mixed")).withColumn("folder", F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), k.cast("string"), F.lit(")"))))
+
+    def one_by_one(group):
+        group, taken, folders = group.sort_values(order), set(), []
+        for name in group["name"]:
+            free = next(x for x in (name if k == 1 else f"{name} ({k})" for k in itertools.count(1)) if x.lower() not in taken)
+            taken.add(free.lower())
+            folders.append(free)
+        return group.assign(folder=folders)
+
+    mixed = n.filter("_mixed").groupBy("_root").applyInPandas(one_by_one, plain.schema)
+    return plain.unionByName(mixed).drop("_root", "_mixed")
 
 
 def pulled(events: DataFrame, key: str) -> DataFrame:
@@ -109,7 +112,7 @@ def integrated(vendor: Column, name: Column, dedicated: Column) -> Column:
 def recommend(systems: DataFrame) -> DataFrame:
     """The largest local model that fits each system (sys, ram_gb, card_gb, unified), and where it
     runs. The catalog is a constant of three rows."""
-    models = F.broadcast(systems.sparkSession.createDataFrame(LOCAL_MODELS, "size int, model string, need_card double, need_ram double"))
+    models = F.broadcast(catalog.local_models(systems.sparkSession))
     where = F.when(F.col("card_gb") >= F.col("need_card"), "graphics card").when(F.col("unified") & (F.col("ram_gb") * SHARED_MEMORY >= F.col("need_card")), "shared memory").when(F.col("ram_gb") >= F.col("need_ram"), "processor")
     fits = systems.join(models, where.isNotNull()).withColumn("runs_on", where)
     best = fits.groupBy("sys").agg(F.max(F.struct("size", "model", "runs_on")).alias("b"))
@@ -118,7 +121,7 @@ def recommend(systems: DataFrame) -> DataFrame:
 
 def gpu_rows(lines: DataFrame) -> DataFrame:
     """name, dedicated_gb and driver from `name, MiB, driver` lines; other lines are skipped."""
-    p = F.transform(F.split("line", ","), F.trim)
+    p = F.transform(F.split("line", ","), lambda x: F.trim(x))
     rows = lines.select(p.alias("p")).filter(F.size("p") >= 3).select(F.col("p")[0].alias("name"), F.expr("try_cast(p[1] AS double)").alias("mib"), F.col("p")[2].alias("driver"))
     return rows.filter("mib is not null").select("name", F.bround(F.col("mib") / 1024, 2).alias("dedicated_gb"), "driver")
 
@@ -128,7 +131,7 @@ def resolve_replies(replies: DataFrame, max_attempts: int = 5) -> DataFrame:
     attempt, text, finish_reason): a fold over each key's replies in order. A cut-off reply asks
     again with the larger cap, which uses up an attempt; an empty one asks again; a refusal ends."""
     body = T.strip_fence(F.coalesce("text", F.lit("")))
-    reply = F.struct("attempt", body.alias("text"), T.cut_off(F.col("finish_reason")).alias("cut"), T.refused(F.coalesce("finish_reason", F.lit(""))).alias("refused"), T.has_content(F.col("text")).alias("full"))
+    reply = F.struct("attempt", body.alias("text"), T.cut_off(F.col("finish_reason")).alias("cut"), T.refused(F.coalesce("finish_reason", F.lit(""))).alias("refused"), T.has_content(body).alias("full"))
     seq = replies.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(reply)), 1, max_attempts).alias("r"))
     kind = "struct<text:string,partial:string,outcome:string,step:int,used:int>"
     start = F.from_json(F.lit('{"partial":"","step":0,"used":0}'), kind)
@@ -155,3 +158,8 @@ def resolve_replies(replies: DataFrame, max_attempts: int = 5) -> DataFrame:
 def cacheable(text: Column, finish_reason: Column) -> Column:
     """Only whole replies with content may be kept."""
     return T.has_content(text) & ~T.cut_off(finish_reason)
+
+
+def file_estimate(calls: Column, per_call: Column, seconds_per_call: Column) -> tuple[Column, Column]:
+    """Dollars and seconds of a file's requests; null where the number, price or pace is unknown."""
+    return F.bround(calls * per_call, 4), F.when(seconds_per_call != 0, F.bround(calls * seconds_per_call, 0).cast("long"))

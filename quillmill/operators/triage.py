@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-MIN_CHARS, EVERY_PAGE, MIN_FIGURE, MIN_EDGE = 120, 10**9, 60.0, 2.0
+MIN_CHARS, EVERY_PAGE, MIN_FIGURE, MIN_EDGE, MIN_PICTURE = 120, 10**9, 60.0, 2.0, 48
 
 
 def parse_pages(specs: DataFrame) -> DataFrame:
@@ -35,15 +35,33 @@ def figures(images: DataFrame, keys: list[str], min_pt: float = MIN_FIGURE) -> D
 
 
 def figure_regions(images: DataFrame, keys: list[str], min_pt: float = MIN_FIGURE) -> DataFrame:
-    """Figures in reading order; a vector cluster (xref null) counts only if it meets no image."""
+    """keys, xref, rectangle and figure (its number in reading order) of each figure. Every place of an
+    image counts; a cluster of drawings (xref null) counts if it meets no image and no cluster above it
+    that counts. The figures of one page, which a page bounds, are folded in the row."""
+    box = F.struct("y0", "x0", "y1", "x1", "xref")
     big = images.filter((F.col("x1") - F.col("x0") >= min_pt) & (F.col("y1") - F.col("y0") >= min_pt))
-    pictures = big.filter("xref is not null").dropDuplicates([*keys, "xref"])
-    p, c = pictures.alias("p"), big.filter("xref is null").alias("c")
-    same = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in keys]
-    meets = (F.col("p.x0") < F.col("c.x1")) & (F.col("c.x0") < F.col("p.x1")) & (F.col("p.y0") < F.col("c.y1")) & (F.col("c.y0") < F.col("p.y1"))
-    rows = pictures.unionByName(c.join(p, [*same, meets], "left_anti"))
-    order = Window.partitionBy(*keys).orderBy(F.bround("y0", 1), F.bround("x0", 1))
-    return rows.withColumn("figure", F.row_number().over(order))
+    pages = big.groupBy(*keys).agg(F.collect_set(F.when(F.col("xref").isNotNull(), box)).alias("_p"), F.array_sort(F.collect_set(F.when(F.col("xref").isNull(), box))).alias("_c"))
+    meets = lambda a, b: (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+    grown = F.aggregate("_c", F.col("_p"), lambda have, c: F.when(F.exists(have, lambda h: meets(h, c)), have).otherwise(F.concat(have, F.array(c))))
+    placed = F.array_sort(F.transform(grown, lambda r: F.struct(F.bround(r["y0"], 1).alias("top"), F.bround(r["x0"], 1).alias("left"), r.alias("r"))))
+    rows = pages.select(*keys, F.posexplode(placed).alias("at", "f"))
+    return rows.select(*keys, *(F.col(f"f.r.{c}") for c in ("xref", "x0", "y0", "x1", "y1")), (F.col("at") + 1).alias("figure"))
+
+
+def holds_large_image(images: DataFrame, keys: list[str], min_pt: float = MIN_FIGURE) -> DataFrame:
+    """keys and image: whether any image of a page is large enough to be a figure."""
+    return images.groupBy(*keys).agg(F.bool_or((F.col("x1") - F.col("x0") >= min_pt) & (F.col("y1") - F.col("y0") >= min_pt)).alias("image"))
+
+
+def picture_worth_asking(width: Column, height: Column, least: int = MIN_PICTURE) -> Column:
+    """Whether an Office picture is sent to the model; a smaller one is kept as it is."""
+    return F.least(width, height) >= least
+
+
+def text_above(blocks: Column, y: Column) -> Column:
+    """Whether a paragraph among a page's blocks (bottom, text) ends above y, a heading's place; true
+    where the place is unknown."""
+    return y.isNull() | F.exists(blocks, lambda b: (b["bottom"] <= y - 2) & (F.length(F.trim(b["text"])) >= 40))
 
 
 def page_class(solid: Column, n_small: Column, min_chars: int = MIN_CHARS) -> Column:

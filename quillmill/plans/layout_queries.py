@@ -21,7 +21,8 @@ def crop_rows(spark, sf_dir):
     return layout.crop(views.spans(spark, sf_dir), 6, 30).select("page", "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SPANS}, d AS (SELECT page, n, y / 12 * 2 + n % 3 AS y FROM s), a AS (SELECT page, min(y) AS y FROM d GROUP BY 1 UNION ALL SELECT a.page, (SELECT min(y) FROM d WHERE d.page = a.page AND d.y > a.y + 2.5) AS y FROM a WHERE a.y IS NOT NULL)
+  SELECT page, n, y, (SELECT max(a.y) FROM a WHERE a.page = d.page AND a.y <= d.y) AS row_y FROM d""")
 def row_group(spark, sf_dir):
     drift = views.spans(spark, sf_dir).withColumn("y", F.col("y") / 12 * 2 + (F.col("n") % 3))
     return layout.row_groups(drift, ["page"]).select("page", "n", "y", "row_y")
@@ -37,10 +38,10 @@ def cell_merge(spark, sf_dir):
 _EDGES = [("a", 60.0), ("b", 150.0), ("c", 300.0), ("d", 420.0)]
 
 
-@query(f"""WITH {_SPANS}, e(col, edge) AS (VALUES {", ".join(f"('{n}', {v}::DOUBLE)" for n, v in _EDGES)}) SELECT page, n, CASE WHEN min(abs(edge - x1)) <= 4 THEN arg_min(col, (abs(edge - x1), col)) END AS col FROM s, e GROUP BY page, n, x1""")
+@query(f"""WITH {_SPANS}, e AS (SELECT *, list_sort([{", ".join(f"{{'d': abs({v} - x1), 'col': '{n}'}}" for n, v in _EDGES)}])[1] AS b FROM s), c AS (SELECT page, y, n, x0, CASE WHEN b.d <= 4 THEN b.col END AS col FROM e)
+  SELECT page, n, col, col IS NOT NULL AND row_number() OVER (PARTITION BY page, y, col ORDER BY x0, n) > 1 AS filled FROM c""")
 def nearest_edge(spark, sf_dir):
-    edges = spark.createDataFrame(_EDGES, "col string, edge double")
-    return layout.nearest_edge(views.spans(spark, sf_dir).select("page", "n", "x1"), edges).select("page", "n", "col")
+    return layout.nearest_edge(views.spans(spark, sf_dir), _EDGES, ["page", "y"], ["x0", "n"]).select("page", "n", "col", "filled")
 
 
 @query(f"WITH {_SPANS} SELECT page, n, CASE WHEN NOT regexp_matches(ltrim(text, 'ANR'), '^[0-9.,\\s-]+$') THEN 'label' " + " ".join(f"WHEN abs(x1 - {v}) <= 4 THEN '{n}'" for n, v in _EDGES) + " ELSE 'label' END AS col FROM s")
@@ -87,10 +88,9 @@ def section_change(spark, sf_dir):
 @query("""WITH f AS (SELECT l_suppkey AS k, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber, l_partkey) AS found, string_agg(CASE WHEN l_suppkey % 3 = 0 AND l_linenumber = 1 THEN 'X' ELSE l_returnflag END, '' ORDER BY l_orderkey, l_linenumber, l_partkey) AS toc FROM lineitem GROUP BY 1)
   SELECT k, found = toc AS matches FROM f""")
 def toc_match(spark, sf_dir):
+    li = views.table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_suppkey"))
     listed = F.when((F.col("l_suppkey") % 3 == 0) & (F.col("l_linenumber") == 1), "X").otherwise(F.col("l_returnflag"))
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("f"), listed.alias("t"))
-    g = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.array_sort(F.collect_list(order)).alias("r"))
-    return g.select("k", (F.transform("r", lambda x: x["f"]) == F.transform("r", lambda x: x["t"])).alias("matches"))
+    return layout.same_order(li.withColumn("name", F.col("l_returnflag")), li.withColumn("name", listed), ["k"], ["l_orderkey", "l_linenumber", "l_partkey"], "name")
 
 
 @query("""WITH t AS (SELECT l_orderkey AS page, arg_max(l_returnflag || l_partkey, (l_linenumber, l_partkey, l_returnflag)) AS title FROM lineitem GROUP BY 1)
@@ -102,7 +102,7 @@ def toc_title(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT l_orderkey AS k, l_linenumber AS n, round(l_extendedprice)::BIGINT AS w FROM lineitem), s AS (SELECT k, sum(n)::BIGINT AS n, sum(w)::BIGINT AS w, count(*) AS c FROM p GROUP BY 1)
-  SELECT k, k % 11 <> 0 AS exact, CASE WHEN k % 7 = 0 THEN c + 1 ELSE c END <= c AS close FROM s""")
+  , t AS (SELECT k, n + (k % 11 = 0)::BIGINT AS tn, w + c + (k % 7 = 0)::BIGINT AS tw FROM s) SELECT k, n = tn AS exact, abs(w - tw) <= c AS close FROM s JOIN t USING (k)""")
 def sum_vs_total(spark, sf_dir):
     p = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.round("l_extendedprice").cast("long").alias("w"))
     wrong = lambda by: (F.col("k") % by == 0).cast("long")
@@ -110,15 +110,15 @@ def sum_vs_total(spark, sf_dir):
     return layout.sums_to_total(p, totals.select("k", (F.col("n") + wrong(11)).alias("n"), (F.col("w") + F.col("c") + wrong(7)).alias("w")), ["k"])
 
 
-@query("SELECT l_suppkey, count(DISTINCT l_linenumber) <= 1 AS one_total FROM lineitem WHERE l_quantity < 2 GROUP BY 1")
+@query("SELECT l_orderkey, count(DISTINCT l_returnflag) <= 1 AS one_total FROM lineitem GROUP BY 1")
 def total_unique(spark, sf_dir):
-    return views.table(spark, sf_dir, "lineitem").filter("l_quantity < 2").groupBy("l_suppkey").agg((F.count_distinct("l_linenumber") <= 1).alias("one_total"))
+    return views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.count_distinct("l_returnflag") <= 1).alias("one_total"))
 
 
 _PARTIAL = ["code", "freq", "wfreq", "pct"]
 
 
-@query(f"SELECT event_id, event_id % 6 <> 0 AND {picked('event_id', [*_PARTIAL, ''])} <> '' AS complete FROM events")
+@query(f"SELECT event_id, len(list_filter([CASE WHEN event_id % 6 <> 0 THEN 'label' END, nullif({picked('event_id', [*_PARTIAL, ''])}, '')], lambda c: c IS NULL)) = 0 AS complete FROM events")
 def row_complete(spark, sf_dir):
     e = F.col("event_id")
     cells = F.array(F.when(e % 6 != 0, "label"), F.nullif(views.pick(e, [*_PARTIAL, ""]), F.lit("")))
@@ -145,6 +145,7 @@ def ocr_order(spark, sf_dir):
     return layout.reading_order(_boxes(spark, sf_dir), ["page"]).select("page", "text", "place")
 
 
-@query()
+@query(f"""WITH {_SPANS}, b AS (SELECT page, y + n * 3 AS top, x0, text || CASE WHEN bold THEN '-' ELSE '' END AS text FROM s), o AS (SELECT *, row_number() OVER w AS place, lead(top) OVER w AS nxt FROM b WINDOW w AS (PARTITION BY page ORDER BY round_even(top / 20, 0), x0, text))
+  SELECT page, trim(string_agg(CASE WHEN nxt IS NULL THEN text WHEN nxt - (top + 10) > 8 THEN text || chr(10) || chr(10) WHEN text LIKE '%-' THEN left(text, -1) ELSE text || ' ' END, '' ORDER BY place)) AS text FROM o GROUP BY 1""")
 def ocr_join(spark, sf_dir):
     return layout.join_ocr(layout.reading_order(_boxes(spark, sf_dir), ["page"]), ["page"])

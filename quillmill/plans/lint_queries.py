@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import lint as L
 from ..functions import page_check as P
 from ..functions import text as T
-from ..operators import bags
+from ..operators import bags, replies
 from . import views
-from .registry import query
-from .text_queries import BOTH, MARKUP, NUMBERS, PAIR, PAIR_BAGS, WORDS, bag_sql
+from .registry import picked, query, quoted
+from .text_queries import MARKUP, NUMBERS, PAIR, WORDS, bag_sql
 
 # RE2 has no lookbehind: escaped dollars are put aside first.
 _BARE = rf"replace(regexp_replace(md, '(?s)<!--.*?-->', ' ', 'g'), '\$', chr(1))"
@@ -55,46 +55,73 @@ def lint_note(spark, sf_dir):
     return _md(spark, sf_dir).select("doc_id", F.explode(L.note_faults(F.col("md"))).alias("n")).select("doc_id", "n.label", "n.fault")
 
 
-@query()
+# Scalar SQL over t, a text without comments in which chr(1) stands for an escaped dollar.
+_ASIDE = r"replace({}, chr(1), '\$')"
+_MARKERS = r"""list_transform(regexp_extract_all({t}, '[.,;:?!)"”’*]\$\^\{{?\d{{1,3}}\}}?\$|[A-Za-z]\$\^\{{?\d{{2,3}}\}}?\$'), lambda x: substr(x, 2))"""
+_FUSED = r"regexp_extract_all({t}, '(?m)^(?:\[\^\d+\][^:\s]|\[<u>\d+</u>\]\S)')"
+_MATH_RE2 = r"(?s)\$\$.*?\$\$|\$(?:\\.|[^$\\\n])*\$"
+_NO_MATH = rf"replace(regexp_replace({{t}}, '{_MATH_RE2}', ' ', 'g'), chr(1), '\$')"
+_TABLE_COMMAND = r"regexp_matches({p}, '\\(?:multicolumn|multirow|hline|cline)\b')"
+_OUTSIDE = r"regexp_extract_all({p}, '\\begin\{{(?:align|aligned|equation|eqnarray|gather|gathered|multline|split|array|cases|[pbvBV]?matrix)\*?\}}|\\tag\*?\{{[^}}]*\}}')"
+_LINKS = r"""list_filter(regexp_extract_all({u}, '!?\[[^\]\n]*\]\((?:\s[^)\n]*|[^<)\n][^)\n]*\s[^)\n]*)\)'), lambda x: NOT regexp_matches(trim(regexp_extract(x, '\]\((.*)\)$', 1)), '^\S+\s+(".*"|''.*''|\(.*\))$'))"""
+# ps: what the dollar signs part; j: the part after one of them
+_MONEY_AT = r"""(CASE WHEN ps[j - 1] = '' THEN j = 2 ELSE regexp_matches(right(ps[j - 1], 1), '[\s(“—–-]') END)
+    AND regexp_matches(array_to_string(ps[j:], '$'), '^\d[\d,]*(\.\d+)?(s\b|[\s,.;:)–-]|$)') AND NOT (len(ps) > j AND regexp_matches(ps[j], '^[\d,.]*$'))
+    AND (len(ps) = j OR contains(ps[j], chr(10)) OR ps[j] LIKE '% ' OR len(regexp_extract_all(regexp_replace(ps[j], '\\[A-Za-z]+(\{[^}]*\})?', ' ', 'g'), '[A-Za-z]{2,}')) >= 4)"""
+_PIECES = "list_filter(list_transform([string_split({t}, '$$')], lambda xs: list_transform(range(1, len(xs) + 1), lambda k: CASE WHEN k % 2 = 1 OR k = len(xs) THEN CASE WHEN k > 1 THEN 'x' ELSE '' END || xs[k] || CASE WHEN k < len(xs) THEN '$' ELSE '' END END))[1], lambda x: x IS NOT NULL)"
+_MONEY_IN = _MONEY_AT.replace("{", "{{").replace("}", "}}")
+_MONEY = rf"flatten(list_transform({_PIECES}, lambda p: list_transform([string_split(p, '$')], lambda ps: list_transform(list_filter(range(2, len(ps) + 1), lambda j: {_MONEY_IN}), lambda j: substr(replace('$' || array_to_string(ps[j:], '$'), chr(1), '\$'), 1, 12)))[1]))"
+
+
+@query(rf"WITH {_M} SELECT doc_id, array_to_string({_MARKERS.format(t='t')}, '|') AS markers FROM m")
 def lint_marker(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", L.math_markers(F.col("md")).alias("markers"))
+    return _md(spark, sf_dir).select("doc_id", F.array_join(L.math_markers(F.col("md")), "|").alias("markers"))
 
 
-@query()
+@query(rf"WITH {_M} SELECT doc_id, array_to_string({_FUSED.format(t='t')}, '|') AS fused FROM m")
 def lint_fused(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", L.fused_labels(F.col("md")).alias("fused"))
+    return _md(spark, sf_dir).select("doc_id", F.array_join(L.fused_labels(F.col("md")), "|").alias("fused"))
 
 
-@query()
+@query(rf"WITH {_M}, n AS (SELECT doc_id, {_NO_MATH.format(t='t')} AS p FROM m) SELECT doc_id, {_TABLE_COMMAND.format(p='p')} AS table_command, array_to_string({_OUTSIDE.format(p='p')}, '|') AS outside FROM n")
 def lint_latex(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", L.latex_outside(F.col("md")).alias("f")).select("doc_id", "f.*")
+    return _md(spark, sf_dir).select("doc_id", L.latex_outside(F.col("md")).alias("f")).select("doc_id", "f.table_command", F.array_join("f.outside", "|").alias("outside"))
 
 
-@query()
+@query(rf"WITH {_M} SELECT doc_id, array_to_string({_LINKS.format(u=_ASIDE.format('t'))}, '|') AS links FROM m")
 def lint_link(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", L.spaced_links(F.col("md")).alias("links"))
+    return _md(spark, sf_dir).select("doc_id", F.array_join(L.spaced_links(F.col("md")), "|").alias("links"))
 
 
-@query()
+@query(rf"WITH {_M} SELECT doc_id, array_to_string({_MONEY.format(t='t')}, '|') AS amounts FROM m")
 def lint_money(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", P.text_udf(P.money_faults, "array<string>")("md").alias("amounts"))
+    return _md(spark, sf_dir).select("doc_id", F.array_join(L.money(F.col("md")), "|").alias("amounts"))
+
+
+_ONE_TAG = r"""array_to_string(list_transform([string_split(t, '$$')], lambda xs: list_transform(range(1, len(xs) + 1), lambda k: CASE WHEN k % 2 = 0 AND k < len(xs) AND len(regexp_extract_all(xs[k], '\\tag\*?\{([^{}]*)\}')) > 1 THEN regexp_replace(xs[k], '\\tag\*?\{([^{}]*)\}', '\\qquad (\1)', 'g') ELSE xs[k] END))[1], '$$')"""
 
 
-@query()
+@query(rf"WITH {MARKUP}, m AS (SELECT doc_id, replace(md, '\$', chr(1)) AS t FROM markup) SELECT doc_id, {_ASIDE.format(_ONE_TAG)} AS md FROM m")
 def one_tag(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", P.text_udf(P.one_tag)("md").alias("md"))
+    return _md(spark, sf_dir).select("doc_id", L.one_tag(F.col("md")).alias("md"))
 
 
-@query()
+_ESCAPED = f"list_transform([string_split(t, '$')], lambda ps: ps[1] || array_to_string(list_transform(range(2, len(ps) + 1), lambda j: CASE WHEN {_MONEY_AT} THEN chr(1) ELSE '$' END || ps[j]), ''))[1]"
+
+
+@query(rf"WITH {MARKUP}, m AS (SELECT doc_id, replace(md, '\$', chr(1)) AS t FROM markup) SELECT doc_id, {_ASIDE.format(_ESCAPED)} AS md FROM m")
 def escape_money(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", P.text_udf(P.escape_money)("md").alias("md"))
+    return _md(spark, sf_dir).select("doc_id", L.escape_money(F.col("md")).alias("md"))
+
 
+_REPLIES = ['json {"wrong": ["a \\beta"], "missing": []}', "no object", '{"wrong": []', '{"missing": ["x"]} end', "[1]", '{"b": {"c": 1}, "a": 2}']
 
-@query()
+
+@query(rf"WITH r AS (SELECT doc_id, regexp_extract({picked('doc_id', _REPLIES)} || ' ', '(?s)\{{.*\}}') AS raw FROM documents) SELECT doc_id, CASE WHEN json_valid(raw) THEN array_to_string(list_sort(json_keys(raw)), ',') END AS fields FROM r")
 def parse_check(spark, sf_dir):
-    reply = F.concat(views.pick(F.col("doc_id"), ['json {"wrong": ["a \\beta"], "missing": []}', "no object", '{"wrong": []', '{"missing": ["x"]} end']), F.lit(" "))
-    read = P.text_udf(lambda s: None if (x := P.lenient_json(s)) is None else ",".join(sorted(x)))
-    return views.table(spark, sf_dir, "documents").select("doc_id", read(reply).alias("fields"))
+    found = T.as_object(F.concat(views.pick(F.col("doc_id"), _REPLIES), F.lit(" ")))
+    keys = F.array_join(F.array_sort(F.map_keys(F.from_json(found, "map<string,string>"))), ",")
+    return views.table(spark, sf_dir, "documents").select("doc_id", keys.alias("fields"))
 
 
 @query(
@@ -109,7 +136,6 @@ def formulas(spark, sf_dir):
     return d.select("doc_id", F.size(F.filter("f", lambda x: x["is_display"])).cast("long").alias("n_display"), of(True).alias("displays"), of(False).alias("inlines"))
 
 
-_MATH_RE2 = r"(?s)\$\$.*?\$\$|\$(?:\\.|[^$\\\n])*\$"
 _SPLIT = rf"""{_M}, p1 AS (SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{_MATH_RE2}', ' ', 'g'), '!\[Page \d+(?: scan|, figure \d+)\]\([^)\n]*\)', ' ', 'g'),
     '(?m)^\*\*(?:Figure|Picture) [\d.]+ - transcribed by [^*\n]*:\*\*$', ' ', 'g'), '\]\([^)\s]*\)', '] ', 'g'), '\*\[[^\]]*\]\*', ' ', 'g') AS p FROM m),
   sp AS (SELECT doc_id, array_to_string(regexp_extract_all(t, '{_MATH_RE2}'), ' ') || ' ' || array_to_string(regexp_extract_all(p, '(?m)^>.*$'), ' ') AS other,
@@ -132,47 +158,77 @@ def verify_left(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id").join(checked, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("no-page-file")).alias("status"))
 
 
-_NW, _NN = f"len({WORDS.format('native')})", f"len({NUMBERS.format('native')})"
-_STATUS = f"CASE WHEN doc_id % 17 = 0 THEN 'notes' WHEN {_NW} + {_NN} < 20 THEN 'no-text-layer' ELSE 'compared' END"
-
-
-def _status(spark, sf_dir):
-    n = F.col("native")
-    status = F.when(F.col("doc_id") % 17 == 0, "notes").when(F.size(T.words(n)) + F.size(T.numbers(n)) < 20, "no-text-layer").otherwise("compared")
-    return views.docpair(spark, sf_dir).select("doc_id", status.alias("status"))
-
-
-@query(f"WITH {PAIR} SELECT doc_id, {_STATUS} AS status FROM pair")
+# The whole check of pairs, in SQL: tokens, joined words, bags, and the rules of forgiveness that the pairs
+# can need (words in other text, fused letters, lost accents). Spaced thousands and run-on markers
+# are tested on written cases.
+_SPLIT_PAIR = _SPLIT.replace(_M, f"{PAIR}, m AS (SELECT doc_id, {_BARE} AS t FROM pair)")
+_PLAIN_SQL = "regexp_replace(lower({}), 'ffi|ffl|ff|fi|fl', '', 'g')"
+_CHECK = rf"""{_SPLIT_PAIR},
+  st AS (SELECT doc_id, native, md, len({WORDS.format("native")}) AS n_words, CASE WHEN contains(md, '{P.NOTES_MARK}') THEN 'notes' WHEN len({WORDS.format("native")}) + len({NUMBERS.format("native")}) < 20 THEN 'no-text-layer' ELSE 'compared' END AS stage FROM pair),
+  ps AS (SELECT st.doc_id, native, md, {_ASIDE.format("prose")} AS prose, {_ASIDE.format("other")} AS other FROM st JOIN sp USING (doc_id) WHERE stage = 'compared'),
+  kw AS (SELECT doc_id, token, count(*) AS n, min(pos) AS pos FROM (SELECT doc_id, unnest(ws) AS token, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT doc_id, {WORDS.format("prose")} AS ws FROM ps)) GROUP BY 1, 2),
+  tk AS (SELECT doc_id, unnest(ts) AS tok, unnest(gs) AS gap, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(native, '[A-Za-z]+') AS ts, regexp_extract_all(native, '[A-Za-z]+([^A-Za-z]*)', 1) AS gs FROM ps)),
+  nx AS (SELECT *, lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM tk),
+  cd AS (SELECT nx.*, contains(gap, chr(10)) AND nxt IS NOT NULL AND k1.token IS NOT NULL AND (k2.token IS NULL OR regexp_full_match(gap, '[-\x{{ad}}\x{{2010}}]\s*\n\s*')) AS j FROM nx LEFT JOIN kw k1 ON k1.doc_id = nx.doc_id AND k1.token = {_PLAIN_SQL.format("tok || nxt")} LEFT JOIN kw k2 ON k2.doc_id = nx.doc_id AND k2.token = {_PLAIN_SQL.format("tok")}),
+  rn AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, j ORDER BY i) AS run FROM cd),
+  jn AS (SELECT *, j AND row_number() OVER (PARTITION BY doc_id, j, run ORDER BY i) % 2 = 1 AS joins FROM rn),
+  jx AS (SELECT *, lag(joins, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS gone FROM jn),
+  ow AS (SELECT doc_id, token, count(*) AS n, min(i) AS pos FROM (SELECT doc_id, i, {_PLAIN_SQL.format("CASE WHEN joins THEN tok || nxt ELSE tok END")} AS token FROM jx WHERE NOT gone) WHERE length(token) >= 3 GROUP BY 1, 2),
+  ot AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(other, '[A-Za-z]+'), lambda w: {_PLAIN_SQL.format("w")}), '') AS letters, array_to_string({NUMBERS.format("other")}, ' ') AS in_math FROM ps),
+  m0 AS (SELECT o.doc_id, o.token, o.n - coalesce(k.n, 0) AS n, o.pos FROM ow o LEFT JOIN kw k ON k.doc_id = o.doc_id AND k.token = o.token JOIN ot ON ot.doc_id = o.doc_id WHERE o.n > coalesce(k.n, 0) AND NOT contains(letters, o.token)),
+  x0 AS (SELECT k.doc_id, k.token, k.n - coalesce(o.n, 0) AS n, k.pos FROM kw k LEFT JOIN ow o ON k.doc_id = o.doc_id AND k.token = o.token WHERE k.n > coalesce(o.n, 0)),
+  fu AS (SELECT m0.*, left(m0.token, -1) AS stem, kw.token IS NOT NULL OR list_contains({[*P.SHORT_WORDS]}, left(m0.token, -1)) AS fused FROM m0 LEFT JOIN kw ON kw.doc_id = m0.doc_id AND kw.token = left(m0.token, -1)),
+  fs AS (SELECT doc_id, stem AS token, sum(n) AS n FROM fu WHERE fused GROUP BY 1, 2),
+  m1 AS (SELECT * FROM fu WHERE NOT fused),
+  x1 AS (SELECT x0.doc_id, x0.token, x0.n - coalesce(fs.n, 0) AS n, x0.pos FROM x0 LEFT JOIN fs ON fs.doc_id = x0.doc_id AND fs.token = x0.token WHERE x0.n > coalesce(fs.n, 0)),
+  ac AS (SELECT m1.doc_id, m1.token, m1.n, m1.pos, arg_min(x1.token, x1.pos) AS whole FROM m1 JOIN x1 ON x1.doc_id = m1.doc_id AND length(x1.token) = length(m1.token) + 1 AND len(list_filter(range(1, length(x1.token) + 1), lambda i: contains('{P.DROPPABLE}', x1.token[i]) AND substr(x1.token, 1, i - 1) || substr(x1.token, i + 1) = m1.token)) > 0 GROUP BY ALL),
+  ad AS (SELECT ac.*, x1.n AS have, coalesce(sum(ac.n) OVER (PARTITION BY ac.doc_id, whole ORDER BY ac.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ac JOIN x1 ON x1.doc_id = ac.doc_id AND x1.token = whole),
+  mi AS (SELECT m1.doc_id, m1.token, m1.n - coalesce(least(ad.n, greatest(0, have - used)), 0) AS n FROM m1 LEFT JOIN ad ON ad.doc_id = m1.doc_id AND ad.token = m1.token),
+  ex AS (SELECT x1.doc_id, x1.token, x1.n - least(x1.n, coalesce(s.n, 0)) AS n FROM x1 LEFT JOIN (SELECT doc_id, whole, sum(n) AS n FROM ad GROUP BY 1, 2) s ON s.doc_id = x1.doc_id AND s.whole = x1.token),
+  {bag_sql("on_", "ps", "doc_id", NUMBERS.format("native"))}, {bag_sql("kn", "ps", "doc_id", NUMBERS.format("prose"))}, {bag_sql("cn", "ps", "doc_id", NUMBERS.format("array_to_string(regexp_extract_all(md, '(?s)<!--.*?-->'), ' ')"))},
+  nm AS (SELECT o.doc_id, o.token, greatest(o.n - coalesce(k.n, 0), 0) - coalesce(c.n, 0) AS n FROM on_ o LEFT JOIN kn k ON k.doc_id = o.doc_id AND k.token = o.token LEFT JOIN cn c ON c.doc_id = o.doc_id AND c.token = o.token JOIN ot ON ot.doc_id = o.doc_id WHERE NOT contains(in_math, o.token)),
+  nx2 AS (SELECT k.doc_id, k.token, k.n - coalesce(o.n, 0) AS n FROM kn k LEFT JOIN on_ o ON k.doc_id = o.doc_id AND k.token = o.token),
+  sd AS (SELECT doc_id, token, n, 'm' AS side FROM mi UNION ALL SELECT doc_id, token, n, 'x' FROM ex UNION ALL SELECT doc_id, token, n, 'nm' FROM nm UNION ALL SELECT doc_id, token, n, 'nx' FROM nx2),
+  df AS (SELECT doc_id, string_agg(token || ':' || n, ' ' ORDER BY token || ':' || n) FILTER (side = 'm') AS missing, string_agg(token || ':' || n, ' ' ORDER BY token || ':' || n) FILTER (side = 'x') AS extra, string_agg(token || ':' || n, ' ' ORDER BY token || ':' || n) FILTER (side = 'nm') AS numbers_missing, string_agg(token || ':' || n, ' ' ORDER BY token || ':' || n) FILTER (side = 'nx') AS numbers_extra,
+    coalesce(sum(n) FILTER (side IN ('m', 'x')), 0) AS dw, coalesce(sum(n) FILTER (side IN ('nm', 'nx')), 0) AS dn FROM sd WHERE n > 0 GROUP BY 1),
+  ck AS (SELECT st.doc_id, CASE WHEN stage <> 'compared' THEN stage WHEN coalesce(dw, 0) > 1 OR coalesce(dn, 0) > 0 THEN 'flagged' ELSE 'ok' END AS status, n_words::INT AS n_words, coalesce(missing, '') AS missing, coalesce(extra, '') AS extra, coalesce(numbers_missing, '') AS numbers_missing, coalesce(numbers_extra, '') AS numbers_extra,
+    stage <> 'notes' AND contains(md, '{P.OCR_MARK}') AS ocr, stage <> 'notes' AND contains(md, '{P.CUT_MARK}') AS truncated, stage = 'notes' AS notes FROM st LEFT JOIN df USING (doc_id))"""
+_FAULTS = rf"""fl AS (SELECT doc_id, len(regexp_extract_all(t, '\$\$')) % 2 = 1 OR len(list_filter(regexp_extract_all(t, '(?s)\$\$(.*?)\$\$', 1), lambda b: regexp_matches(b, '\n\s*\n') OR contains(b, '*[') OR len(regexp_extract_all(b, '\\tag\b')) > 1)) > 0
+    OR len(list_filter(list_distinct(regexp_extract_all(t, '\\begin\{{(\w+\*?)\}}', 1)), lambda e: (length(t) - length(replace(t, '\begin{{' || e || '}}', ''))) // (length(e) + 8) <> (length(t) - length(replace(t, '\end{{' || e || '}}', ''))) // (length(e) + 6))) > 0 AS math,
+  len({_MARKERS.format(t="t")}) + len({_FUSED.format(t="t")}) + len({_MONEY.format(t="t")}) + len({_LINKS.format(u=_ASIDE.format("t"))}) + len({_OUTSIDE.format(p=_NO_MATH.format(t="t"))}) > 0 OR {_TABLE_COMMAND.format(p=_NO_MATH.format(t="t"))} AS markup FROM m)"""
+_FLAGGED = f"WITH {_CHECK}, {_FAULTS}, v AS (SELECT ck.*, math, markup, status = 'flagged' OR ocr OR truncated OR math OR markup AS flagged FROM ck JOIN fl USING (doc_id))"
+
+
+def _checked(spark, sf_dir):
+    return P.check_pages(views.docpair(spark, sf_dir))
+
+
+@query(f"WITH {_CHECK} SELECT doc_id, status IN ('notes', 'no-text-layer') AS skipped, n_words FROM ck")
 def verify_status(spark, sf_dir):
-    return _status(spark, sf_dir)
+    return _checked(spark, sf_dir).select("doc_id", F.col("status").isin("notes", "no-text-layer").alias("skipped"), "n_words")
 
 
-_DIFFS = f"""{PAIR_BAGS}, wd AS (SELECT doc_id, sum(abs(na - nb))::BIGINT AS n FROM ({BOTH}) GROUP BY 1), {bag_sql("na", "pair", "doc_id", NUMBERS.format("native")).replace("AS token, count", "AS token, count")}, {bag_sql("nb", "pair", "doc_id", NUMBERS.format("md"))},
-  nd AS (SELECT doc_id, sum(abs(x - y))::BIGINT AS n FROM (SELECT coalesce(na.doc_id, nb.doc_id) AS doc_id, coalesce(na.n, 0) AS x, coalesce(nb.n, 0) AS y FROM na FULL JOIN nb ON na.doc_id = nb.doc_id AND na.token = nb.token) GROUP BY 1),
-  v AS (SELECT p.doc_id, {_STATUS} AS stage, coalesce(wd.n, 0) AS words, coalesce(nd.n, 0) AS numbers FROM pair p LEFT JOIN wd ON wd.doc_id = p.doc_id LEFT JOIN nd ON nd.doc_id = p.doc_id),
-  r AS (SELECT doc_id, words, numbers, CASE WHEN stage <> 'compared' THEN stage WHEN words > 1 OR numbers > 0 THEN 'flagged' ELSE 'ok' END AS status FROM v)""".replace("SELECT p.doc_id, CASE WHEN doc_id", "SELECT p.doc_id, CASE WHEN p.doc_id")
-
-
-def _verified(spark, sf_dir):
-    pair = views.docpair(spark, sf_dir)
+@query(f"{_FLAGGED} SELECT doc_id, status, ocr, truncated, math, markup, flagged FROM v")
+def verify_flagged(spark, sf_dir):
+    return _checked(spark, sf_dir).select("doc_id", "status", "ocr", "truncated", (F.size("math") > 0).alias("math"), (F.size("markup") > 0).alias("markup"), "flagged")
 
-    def differences(tokens, name):
-        a, b = (bags.bag(pair, ["doc_id"], tokens(F.col(c))) for c in ("native", "md"))
-        return bags.both(a, b, ["doc_id"]).groupBy("doc_id").agg(F.sum(F.abs(F.col("na") - F.col("nb"))).alias(name))
 
-    v = _status(spark, sf_dir).join(differences(T.words, "words"), "doc_id", "left").join(differences(T.numbers, "numbers"), "doc_id", "left").fillna(0, ["words", "numbers"])
-    bad = (F.col("words") > 1) | (F.col("numbers") > 0)
-    return v.withColumn("status", F.when(F.col("status") != "compared", F.col("status")).when(bad, "flagged").otherwise("ok"))
+@query(
+    f"""{_FLAGGED} SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'flagged') AS flagged, count(*) FILTER (status = 'no-text-layer') AS no_text_layer, 0::BIGINT AS no_page_file, count(*) FILTER (ocr) AS ocr, count(*) FILTER (math) AS math,
+    count(*) FILTER (markup) AS markup, count(*) FILTER (truncated) AS truncated, count(*) FILTER (notes) AS notes, 0::BIGINT AS image_tables, count(*) FILTER (v.flagged) AS to_look_at FROM v"""
+)
+def verify_report(spark, sf_dir):
+    return P.report_totals(_checked(spark, sf_dir))
 
 
-@query(f"WITH {_DIFFS} SELECT doc_id, words, numbers, status FROM r")
-def verify_flagged(spark, sf_dir):
-    return _verified(spark, sf_dir).select("doc_id", "words", "numbers", "status")
+_BAD = "status = 'flagged'"
+_NUMBERS_BAD = f"{_BAD} AND (numbers_missing <> '' OR numbers_extra <> '')"
+_LINES = {"flagged": _BAD, "missing": _BAD, "extra": _BAD, "numbers missing": _NUMBERS_BAD, "numbers extra": _NUMBERS_BAD, "cut off": "truncated", "local OCR": "ocr", "study notes": "notes"}
 
 
-@query(f"WITH {_DIFFS} SELECT status, count(*) AS pages, sum(words)::BIGINT AS words, sum(numbers)::BIGINT AS numbers FROM r GROUP BY 1")
-def verify_report(spark, sf_dir):
-    return _verified(spark, sf_dir).groupBy("status").agg(F.count("*").alias("pages"), F.sum("words").alias("words"), F.sum("numbers").alias("numbers"))
+@query(f"WITH {_CHECK}, l AS (SELECT doc_id, unnest([{', '.join(f'CASE WHEN {c} THEN {quoted(k)} END' for k, c in _LINES.items())}]) AS kind FROM ck) SELECT doc_id, kind FROM l WHERE kind IS NOT NULL")
+def verify_lines(spark, sf_dir):
+    return P.report_lines(_checked(spark, sf_dir), ["doc_id"]).filter(~F.col("kind").isin("math", "markup")).select("doc_id", "kind")
 
 
 _PARDON = f"{PAIR}, {bag_sql('a', 'pair', 'doc_id', WORDS.format('native'))}"
@@ -186,17 +242,20 @@ def pardon(spark, sf_dir):
     return a.join(pair.select("doc_id", letters.alias("letters")), "doc_id").filter(~F.contains("letters", F.col("token"))).select("doc_id", "token", "n")
 
 
-@query()
+@query(f"WITH {_CHECK} SELECT * FROM ck")
 def check_page(spark, sf_dir):
-    check = P.check_pages_udf()
-    return views.docpair(spark, sf_dir).select("doc_id", check("native", "md", F.lit(False)).alias("c")).select("doc_id", "c.*")
+    listed = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), " ")
+    c = _checked(spark, sf_dir)
+    return c.select("doc_id", "status", "n_words", *(listed(k).alias(k) for k in ("missing", "extra", "numbers_missing", "numbers_extra")), "ocr", "truncated", "notes")
+
+
+_KEY = "CASE WHEN doc_id % 3 = 0 THEN native ELSE md END"
 
 
 @query(
-    rf"""WITH {PAIR}, n AS (SELECT doc_id, list_distinct(regexp_extract_all(native, '[0-9]+\.[0-9]{{2,}}')) AS ds, md, native FROM pair)
-    SELECT doc_id, len(ds)::BIGINT AS decimals, len(list_filter(ds, lambda x: contains(md, x)))::BIGINT AS kept FROM n"""
+    rf"""WITH {PAIR}, n AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace({_KEY}, '(?s)<!--.*?-->', '', 'g'), '[0-9]+\.[0-9]{{2,}}')) AS ds, md FROM pair)
+    SELECT doc_id AS page, len(ds)::BIGINT AS decimals, len(list_filter(ds, lambda x: contains(md, x)))::BIGINT AS decimals_kept FROM n"""
 )
 def notes_eval(spark, sf_dir):
-    ds = F.array_distinct(F.regexp_extract_all("native", F.lit(r"[0-9]+\.[0-9]{2,}"), F.lit(0)))
-    n = views.docpair(spark, sf_dir).select("doc_id", ds.alias("ds"), "md")
-    return n.select("doc_id", F.size("ds").cast("long").alias("decimals"), F.size(F.filter("ds", lambda x: F.contains("md", x))).cast("long").alias("kept"))
+    pair = views.docpair(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("native").alias("page_text"), F.concat(F.lit("> notes\n\n"), F.col("md")).alias("study"), F.when(F.col("doc_id") % 3 == 0, F.col("native")).otherwise(F.col("md")).alias("key"), F.lit("{}").alias("check"))
+    return replies.evaluate_notes(pair).select("page", "decimals", "decimals_kept")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import runs, triage
+from ..operators import catalog, layout, runs, triage
 from . import views
 from .registry import picked, query, quoted
 from .text_queries import solid_sql
@@ -65,21 +65,22 @@ def inspect(spark, sf_dir):
     return i.select("file_id", "pages", "figures", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("scanned", "equations")))
 
 
-@query(f"""WITH {_PAGES}, {_INSPECT}, ch AS (SELECT file_id, count(*) FILTER (page_class <> 'text') AS w, count(*) FILTER (page_class = 'text') AS t FROM pg WHERE page_no % 3 > 0 GROUP BY 1)
-  SELECT file_id, whole + figures AS calls_all, w + round_even(figures * t / greatest(1, pages - whole), 0)::BIGINT AS calls_chosen, round_even((w + round_even(figures * t / greatest(1, pages - whole), 0)::BIGINT) * 0.003375::DOUBLE, 4) AS cost FROM ins JOIN ch USING (file_id)""")
+@query(f"""WITH {_PAGES}, {_INSPECT}, ch AS (SELECT file_id, count(*) FILTER (page_class <> 'text' AND page_no % 3 > 0) AS w, count(*) FILTER (page_class = 'text' AND page_no % 3 > 0) AS t FROM pg GROUP BY 1)
+  SELECT file_id, whole + figures AS calls_all, n AS calls_chosen, round_even(n * 0.003375::DOUBLE, 4) AS cost, CASE WHEN file_id % 4 > 0 THEN round_even(n * 1.75::DOUBLE, 0)::BIGINT END AS seconds FROM (SELECT *, w + round_even(figures * t / greatest(1, pages - whole), 0)::BIGINT AS n FROM ins JOIN ch USING (file_id))""")
 def estimate_calls(spark, sf_dir):
     text, chosen = F.col("page_class") == "text", F.col("page_no") % 3 > 0
     count = lambda c: F.sum(c.cast("long"))
     g = _pages(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("pages"), count(~text).alias("whole"), F.sum(F.when(text, F.col("n_figures")).otherwise(0)).alias("figures"), count(~text & chosen).alias("w"), count(text & chosen).alias("t"))
     calls = triage.request_estimate(*(F.col(c) for c in ("pages", "whole", "figures", "w", "t")))
-    return g.filter("w + t > 0").select("file_id", (F.col("whole") + F.col("figures")).alias("calls_all"), calls.alias("calls_chosen"), F.bround(calls * F.lit(0.003375), 4).alias("cost"))
+    cost, seconds = runs.file_estimate(calls, F.lit(0.003375), F.when(F.col("file_id") % 4 > 0, 1.75))
+    return g.select("file_id", (F.col("whole") + F.col("figures")).alias("calls_all"), calls.alias("calls_chosen"), cost.alias("cost"), seconds.alias("seconds"))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity < 25 AND NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_returnflag = 'R' AND d.l_orderkey = l.l_orderkey AND d.l_linenumber = l.l_linenumber)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_returnflag = 'R' AND d.l_orderkey = l.l_orderkey AND d.l_linenumber = l.l_linenumber)")
 def resume_todo(spark, sf_dir):
     li = views.table(spark, sf_dir, "lineitem")
     k = ["l_orderkey", "l_linenumber"]
-    return runs.todo(li.filter("l_quantity < 25").select(*k), li.filter("l_returnflag = 'R'"), k)
+    return runs.todo(li.select(*k), li.filter("l_returnflag = 'R'"), k)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -94,16 +95,16 @@ def empty_pages(spark, sf_dir):
     return _pages(spark, sf_dir).filter("page_class = 'scanned'").join(written, "page_no", "left_semi").select("file_id", "page_no")
 
 
-_MODELS = ["small", "large", "local", "unheard-of"]
+_MODELS = views.MODELS
 _USAGE = f"""u AS (SELECT event_id, ts, user_id, {picked("event_id", _MODELS)} AS model, CASE WHEN event_id % 13 <> 0 THEN 900 + event_id % 700 END AS prompt, CASE WHEN event_id % 13 <> 0 THEN 200 + floor(abs(value) * 10)::BIGINT % 400 END AS completion,
   CASE WHEN event_id % 13 <> 0 THEN 1100 + event_id % 700 + floor(abs(value) * 10)::BIGINT % 900 END AS total FROM events)"""
-_PRICED = "CASE model WHEN 'small' THEN {} WHEN 'large' THEN {} ELSE {} END::DOUBLE"
+_PRICED = "CASE model WHEN 'gemini-3.6-flash' THEN {} WHEN 'gpt-5.4-mini' THEN {} ELSE {} END::DOUBLE"
 _METER = f"{_USAGE}, m AS (SELECT user_id, model, count(*) AS calls, sum(prompt)::BIGINT AS tokens_in, sum(greatest(completion, total - prompt))::BIGINT AS tokens_out FROM u WHERE prompt IS NOT NULL GROUP BY 1, 2)"
 
 
-@query(f"WITH {_METER} SELECT user_id, model, calls, tokens_in, tokens_out, (tokens_in * {_PRICED.format('0.25', '0.75', '0.0')} + tokens_out * {_PRICED.format('1.5', '3.75', '0.0')}) / 1e6::DOUBLE AS cost FROM m")
+@query(f"WITH {_METER} SELECT user_id, model, calls, tokens_in, tokens_out, (tokens_in * {_PRICED.format('0.75', '0.75', '0.0')} + tokens_out * {_PRICED.format('3.75', '4.5', '0.0')}) / 1e6::DOUBLE AS cost FROM m")
 def token_cost(spark, sf_dir):
-    m = runs.priced(runs.meter(views.usage(spark, sf_dir), ["user_id", "model"]), F.lit(False))
+    m = catalog.priced(runs.meter(views.usage(spark, sf_dir), ["user_id", "model"]), F.lit("custom"))
     return m.select("user_id", "model", "calls", "tokens_in", "tokens_out", runs.cost(*(F.col(c) for c in ("tokens_in", "tokens_out", "price_in", "price_out"))).alias("cost"))
 
 
@@ -114,18 +115,78 @@ def budget_stop(spark, sf_dir):
     return runs.within_budget(u, ["user_id"], ["ts", "event_id"], spent, 6000).select("user_id", "event_id")
 
 
-@query(f"WITH {_USAGE} SELECT event_id, model, CASE WHEN model = 'unheard-of' AND user_id % 2 = 0 THEN 0.75 ELSE {_PRICED.format('0.25', '0.75', '0.0')} END::DOUBLE AS price_in, CASE WHEN model = 'unheard-of' AND user_id % 2 = 0 THEN 3.75 ELSE {_PRICED.format('1.5', '3.75', '0.0')} END::DOUBLE AS price_out FROM u")
+@query(f"""WITH {_USAGE} SELECT event_id, model, coalesce(CASE WHEN user_id % 5 = 0 THEN 9.5 END, CASE WHEN model IN ('local', 'unheard-of') AND user_id % 2 = 0 THEN 0.75 ELSE {_PRICED.format('0.75', '0.75', '0.0')} END)::DOUBLE AS price_in,
+  CASE WHEN model IN ('local', 'unheard-of') AND user_id % 2 = 0 THEN 3.75 ELSE {_PRICED.format('3.75', '4.5', '0.0')} END::DOUBLE AS price_out FROM u""")
 def price_lookup(spark, sf_dir):
     u = views.usage(spark, sf_dir).select("event_id", "model", "user_id")
-    return runs.priced(u, F.col("user_id") % 2 == 0).select("event_id", "model", "price_in", "price_out")
+    service = F.when(F.col("user_id") % 2 == 0, "gemini").otherwise("custom")
+    return catalog.priced(u, service, F.when(F.col("user_id") % 5 == 0, 9.5)).select("event_id", "model", "price_in", "price_out")
 
 
-@query(f"WITH {_USAGE} SELECT event_id, CASE WHEN model <> 'unheard-of' THEN round_even((1500 * {_PRICED.format('0.25', '0.75', '0.0')} + 600 * {_PRICED.format('1.5', '3.75', '0.0')}) / 1e6::DOUBLE, 5) END AS per_page FROM u")
+@query(f"WITH {_USAGE} SELECT event_id, CASE WHEN model IN ('gemini-3.6-flash', 'gpt-5.4-mini') THEN round_even((1500 * {_PRICED.format('0.75', '0.75', '0.0')} + 600 * {_PRICED.format('3.75', '4.5', '0.0')}) / 1e6::DOUBLE, 5) END AS per_page FROM u")
 def price_per_page(spark, sf_dir):
-    u = runs.priced(views.usage(spark, sf_dir).select("event_id", "model"), F.lit(False))
-    known = F.col("model").isin(*(m for _, m, *_ in runs.PRICES))
+    u = catalog.priced(views.usage(spark, sf_dir).select("event_id", "model"), F.lit("custom"))
     i, o = runs.TOKENS_PER_PAGE
-    return u.select("event_id", F.when(known, F.bround(runs.cost(F.lit(i), F.lit(o), F.col("price_in"), F.col("price_out")), 5)).alias("per_page"))
+    return u.select("event_id", F.when(F.col("listed"), F.bround(runs.cost(F.lit(i), F.lit(o), F.col("price_in"), F.col("price_out")), 5)).alias("per_page"))
+
+
+_URLS = ["https://api.openai.com/v1/ ", "HTTP://127.0.0.1:11434/v1", "http://box:11434", "https://eu.api.anthropic.com/x", "https://generativelanguage.googleapis.com/v1beta/openai", "http://localhost:8080/v1"]
+
+
+@query(f"""WITH u AS (SELECT event_id, lower(rtrim(trim({picked("event_id", _URLS)}), '/')) AS u FROM events), k(url, name) AS (VALUES {", ".join(f"('{u.rstrip('/').lower()}', '{n}')" for n, u in catalog.SERVICES)})
+  SELECT event_id, coalesce(name, CASE WHEN u LIKE '%:11434/v1' OR u LIKE '%:11434' THEN 'ollama' WHEN contains(u, 'api.anthropic.com') THEN 'anthropic' ELSE 'custom' END) AS service FROM u LEFT JOIN k ON url = u""")
+def infer_service(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").select("event_id", catalog.service_of(views.pick(F.col("event_id"), _URLS)).alias("service"))
+
+
+_CHOICES = ["4b", "HIGH", "qwen3-vl:2b-instruct", "other:7b", ""]
+
+
+@query(f"""WITH c AS (SELECT event_id, {picked("event_id", _CHOICES)} AS c FROM events)
+  SELECT event_id, CASE WHEN c = '' THEN 'none' WHEN lower(c) IN ('2b', 'basic', 'qwen3-vl:2b-instruct') THEN 'qwen3-vl:2b-instruct' WHEN lower(c) IN ('4b', 'standard', 'qwen3-vl:4b-instruct') THEN 'qwen3-vl:4b-instruct' WHEN lower(c) IN ('8b', 'high', 'qwen3-vl:8b-instruct') THEN 'qwen3-vl:8b-instruct' ELSE c END AS model FROM c""")
+def resolve_model(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").select("event_id", catalog.resolve_local(views.pick(F.col("event_id"), _CHOICES), F.lit("none")).alias("model"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%Y-%m-%d %H:%M:%S') AS second FROM events")
+def date_stamp(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").select("event_id", T.stamp(F.col("ts")).alias("minute"), T.stamp(F.col("ts"), True).alias("second"))
+
+
+@query("""WITH g AS (SELECT s_nationkey AS box, CASE WHEN s_suppkey % 3 = 0 THEN 'NVIDIA' ELSE 'AMD' END AS vendor, s_name AS name FROM supplier), e AS (SELECT c_nationkey AS box, 'NVIDIA' AS vendor, c_name AS name FROM customer WHERE c_custkey % 50 = 0)
+  SELECT * FROM e UNION ALL SELECT * FROM g WHERE vendor <> 'NVIDIA' OR box NOT IN (SELECT box FROM e)""")
+def replace_vendor(spark, sf_dir):
+    g = views.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("box"), F.when(F.col("s_suppkey") % 3 == 0, "NVIDIA").otherwise("AMD").alias("vendor"), F.col("s_name").alias("name"))
+    e = views.table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("box"), F.lit("NVIDIA").alias("vendor"), F.col("c_name").alias("name"))
+    return catalog.replace_vendor(g, e, ["box"])
+
+
+@query(f"WITH {_IMAGES} SELECT doc_id, page_no, bool_or(w >= 60 AND h >= 60) AS image FROM img GROUP BY ALL")
+def large_images(spark, sf_dir):
+    return triage.holds_large_image(views.page_images(spark, sf_dir), ["doc_id", "page_no"])
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page, list({'bottom': (l_linenumber * 20)::DOUBLE, 'text': repeat('x', (l_partkey % 60)::INT)}) AS bs FROM lineitem GROUP BY 1)
+  SELECT page, page % 9 = 0 OR len(list_filter(bs, lambda b: b.bottom <= (page % 140) - 2 AND length(b.text) >= 40)) > 0 AS above FROM b""")
+def text_above(spark, sf_dir):
+    block = F.struct((F.col("l_linenumber") * 20).cast("double").alias("bottom"), F.expr("repeat('x', cast(l_partkey % 60 as int))").alias("text"))
+    b = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.collect_list(block).alias("bs"))
+    y = F.when(F.col("page") % 9 != 0, (F.col("page") % 140).cast("double"))
+    return b.select("page", triage.text_above(F.col("bs"), y).alias("above"))
+
+
+@query("WITH p AS (SELECT l_partkey AS k, min(l_orderkey) AS page FROM lineitem GROUP BY 1) SELECT p_partkey, coalesce(p.page, CASE WHEN p_partkey % 2 = 0 THEN p_size END)::BIGINT AS page FROM part LEFT JOIN p ON k = p_partkey")
+def page_of(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part")
+    printed = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_orderkey").alias("page"))
+    listed = part.filter("p_partkey % 2 = 0").select("p_partkey", F.col("p_size").cast("long").alias("page"))
+    return layout.page_of(part.select("p_partkey"), printed, listed, "p_partkey")
+
+
+@query(f"WITH {_IMAGES} SELECT doc_id, page_no, xref, least(w, h) >= 48 AS asked FROM img")
+def picture_size(spark, sf_dir):
+    i = views.page_images(spark, sf_dir)
+    return i.select("doc_id", "page_no", "xref", triage.picture_worth_asking(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("asked"))
 
 
 _EVENTS = f"e AS (SELECT event_id, ts, user_id % 50 AS run, {picked('event_id', ['page_start', 'page_done', 'page_done', 'page_failed', 'image_done'])} AS kind, event_id % 400 + 1 AS page FROM events)"
@@ -176,10 +237,12 @@ def find_doc(spark, sf_dir):
     return runs.newest(views.table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], [F.desc("o_orderdate"), "o_orderkey"]).select("o_custkey", "o_orderstatus", "o_orderkey")
 
 
-@query("SELECT p_partkey, CASE WHEN n = 1 THEN name ELSE name || ' (' || n || ')' END AS folder FROM (SELECT p_partkey, name, row_number() OVER (PARTITION BY lower(name) ORDER BY p_partkey) AS n FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name FROM part))")
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN p_brand ELSE p_brand || ' ' || p_size END AS name FROM part)
+  SELECT p_partkey, CASE WHEN n = 1 THEN name ELSE name || ' (' || n || ')' END AS folder FROM (SELECT p_partkey, name, row_number() OVER (PARTITION BY lower(name) ORDER BY p_partkey) AS n FROM n)""")
 def unique_folder(spark, sf_dir):
-    names = views.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("name"))
-    return runs.free_names(names, ["p_partkey"]).select("p_partkey", "folder")
+    k, b = F.col("p_partkey"), F.col("p_brand")
+    name = F.when(k % 3 == 0, F.upper(b)).when(k % 3 == 1, b).otherwise(F.concat(b, F.lit(" "), F.col("p_size").cast("string")))
+    return runs.free_names(views.table(spark, sf_dir, "part").select("p_partkey", name.alias("name")), ["p_partkey"]).select("p_partkey", "folder")
 
 
 _OUTLINE = """o AS (SELECT conv_id AS doc_id, turn AS ord, (CASE role WHEN 'user' THEN 1 ELSE 2 END + (conv_id + turn) % 2)::INT AS level, 'Section ' || turn AS title, turn * 3 + 1 AS start, (conv_id + turn) % 3 = 0 AS above FROM conversations),
@@ -216,7 +279,15 @@ def cache_policy(spark, sf_dir):
     return _replies(spark, sf_dir).filter(runs.cacheable(F.col("text"), F.col("finish_reason"))).select("key", "attempt")
 
 
-@query()
+_FOLD = rf"""{_REPLIES}, q AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY attempt, text, reason) AS k, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS text, reason = 'length' AS cut, reason = 'content_filter' AS refused, {solid_sql("regexp_replace(text, '(?s)<!--.*?-->', '', 'g')")} > 0 AS full_ FROM r),
+  f AS (SELECT DISTINCT key, 0::BIGINT AS k, NULL::VARCHAR AS text, '' AS partial, NULL::VARCHAR AS outcome, 0 AS step, 0 AS used FROM q UNION ALL
+    SELECT key, k, CASE WHEN o = 'truncated' THEN longer WHEN o = 'ok' THEN body END, longer, o, step + (cut AND step < 1)::INT, used + 1 FROM (
+      SELECT f.key, q.k, q.text AS body, cut, step, used, CASE WHEN cut AND full_ AND length(q.text) > length(partial) THEN q.text ELSE partial END AS longer,
+        CASE WHEN cut AND step < 1 THEN NULL WHEN cut AND longer <> '' THEN 'truncated' WHEN NOT full_ AND refused THEN 'refused' WHEN NOT full_ THEN NULL ELSE 'ok' END AS o
+      FROM f JOIN q ON q.key = f.key AND q.k = f.k + 1 WHERE outcome IS NULL AND f.k < 5))"""
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT key, text, coalesce(outcome, 'failed') AS outcome, used AS attempts FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1")
 def resolve_reply(spark, sf_dir):
     return runs.resolve_replies(_replies(spark, sf_dir))
 
@@ -237,7 +308,7 @@ def pull_progress(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT c_custkey AS sys, (c_custkey % 9 * 6 + 2)::DOUBLE AS ram, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey % 11)::DOUBLE ELSE 0.5 END AS vram, c_custkey % 6 = 1 AS unified FROM customer),
-  c(size, model, need_card, need_ram) AS (VALUES (1, '2b', 3.5::DOUBLE, 8.0::DOUBLE), (2, '4b', 5.0, 16.0), (3, '8b', 8.0, 32.0)),
+  c(size, model, need_card, need_ram) AS (VALUES (1, 'qwen3-vl:2b-instruct', 3.5::DOUBLE, 8.0::DOUBLE), (2, 'qwen3-vl:4b-instruct', 5.0, 16.0), (3, 'qwen3-vl:8b-instruct', 8.0, 32.0)),
   f AS (SELECT sys, size, model, CASE WHEN vram >= 1 AND vram >= need_card THEN 'graphics card' WHEN unified AND ram * 0.66::DOUBLE >= need_card THEN 'shared memory' WHEN ram >= need_ram THEN 'processor' END AS runs_on FROM s, c)
   SELECT s.sys, arg_max(model, size) FILTER (runs_on IS NOT NULL) AS model, arg_max(runs_on, size) FILTER (runs_on IS NOT NULL) AS runs_on FROM s JOIN f USING (sys) GROUP BY 1""")
 def recommend(spark, sf_dir):
@@ -247,14 +318,18 @@ def recommend(spark, sf_dir):
     return runs.recommend(views.table(spark, sf_dir, "customer").select(k.alias("sys"), (k % 9 * 6 + 2).cast("double").alias("ram_gb"), card.alias("card_gb"), (k % 6 == 1).alias("unified")))
 
 
-@query()
+_LINES = ["{}, 8192, 551.2", "bad line {}", "Card {}, none, 550.1", "Card {} , 12282 , 560.9"]
+
+
+@query(f"""WITH l AS (SELECT string_split(replace({picked("s_suppkey", _LINES)}, '{{}}', s_suppkey::VARCHAR), ',') AS p FROM supplier)
+  SELECT trim(p[1]) AS name, round_even(try_cast(trim(p[2]) AS DOUBLE) / 1024, 2) AS dedicated_gb, trim(p[3]) AS driver FROM l WHERE len(p) >= 3 AND try_cast(trim(p[2]) AS DOUBLE) IS NOT NULL""")
 def nvidia_smi(spark, sf_dir):
     k = F.col("s_suppkey").cast("string")
-    line = views.pick(F.col("s_suppkey"), ["{}, 8192, 551.2", "bad line {}", "Card {}, none, 550.1", "Card {} , 12282 , 560.9"])
+    line = views.pick(F.col("s_suppkey"), _LINES)
     return runs.gpu_rows(views.table(spark, sf_dir, "supplier").select(F.replace(line, F.lit("{}"), k).alias("line")))
 
 
-@query()
+@query("""SELECT page_id, len(regexp_extract_all(html, '<img[^>]*src="[^"]*"'))::BIGINT AS n_pictures FROM pages""")
 def office_pictures(spark, sf_dir):
     src = F.regexp_extract_all("html", F.lit(r'<img[^>]*src="([^"]*)"'), F.lit(1))
     return views.table(spark, sf_dir, "pages").select("page_id", F.size(src).cast("long").alias("n_pictures"))

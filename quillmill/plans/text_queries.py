@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import page_check as C
 from ..functions import text as T
 from ..operators import bags, shingles
 from . import views
-from .registry import picked, query, quoted
+from .registry import ORACLES, picked, query, quoted
 
 # --- SQL fragments of the oracles
 WORDS = "list_filter(list_transform(regexp_extract_all({}, '[A-Za-z]+'), lambda w: regexp_replace(lower(w), 'ffi|ffl|ff|fi|fl', '', 'g')), lambda w: length(w) >= 3)"
 NUMBERS = r"flatten(list_transform(regexp_extract_all({}, '[0-9]+(?:[.,][0-9]+)*'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]{{1,3}}(,[0-9]{{3}})+(\.[0-9]+)?$') THEN [replace(t, ',', '')] ELSE string_split(t, ',') END))"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PAIR = """pair AS (SELECT doc_id, text AS native, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text || ' 4,711' WHEN 2 THEN substr(text, instr(text, chr(10)) + 1)
-  WHEN 3 THEN text || ' zusatzwort' ELSE '<!-- page number: ' || doc_id || ' -->' || chr(10) || text || chr(10) || '$$ x = ' || (doc_id % 97) || ' $$' END AS md FROM documents)"""
+  WHEN 3 THEN text || ' zusatzwort' ELSE '<!-- page number: ' || doc_id || ' -->' || chr(10) || text || chr(10) || '$$ x = ' || (doc_id % 97) || ' $$' END
+  || CASE WHEN doc_id % 17 = 0 THEN chr(10) || '<!-- source: study notes -->' WHEN doc_id % 23 = 0 THEN chr(10) || '<!-- source: local OCR -->' WHEN doc_id % 29 = 0 THEN chr(10) || '<!-- truncated -->' ELSE '' END AS md FROM documents)"""
 MARKUP = f"markup AS (SELECT doc_id, text || chr(10) || chr(10) || {picked('doc_id', views.MARKUP)} AS md FROM documents)"
 GRAMS = "CASE WHEN len({0}) >= 8 THEN list_distinct(list_transform(range(1, len({0}) - 6), lambda i: array_to_string({0}[i:i + 7], ' '))) ELSE []::VARCHAR[] END"
 
@@ -43,22 +45,30 @@ def page_triage(spark, sf_dir):
 
 @query(f"WITH {bag_sql('a', 'documents', 'doc_id', WORDS.format('text'))} SELECT * FROM a")
 def word_bag(spark, sf_dir):
-    return bags.bag(views.table(spark, sf_dir, "documents"), ["doc_id"], T.words(F.col("text")))
+    return _tokens(views.table(spark, sf_dir, "documents"), C.bag(T.words(F.col("text"))))
 
 
 @query(f"WITH {bag_sql('a', 'documents', 'doc_id', NUMBERS.format('text'))} SELECT * FROM a")
 def number_bag(spark, sf_dir):
-    return bags.bag(views.table(spark, sf_dir, "documents"), ["doc_id"], T.numbers(F.col("text")))
+    return _tokens(views.table(spark, sf_dir, "documents"), C.bag(T.numbers(F.col("text"))))
 
 
-def _bags(spark, sf_dir):
-    pair = views.docpair(spark, sf_dir)
-    return bags.bag(pair, ["doc_id"], T.words(F.col("native"))), bags.bag(pair, ["doc_id"], T.words(F.col("md")))
+def _bags(spark, sf_dir, tokens=T.words):
+    """doc_id and the bags a and b, as maps: both sides of a page are in its row, so nothing is shuffled."""
+    p = views.docpair(spark, sf_dir).select("doc_id", *(tokens(F.col(c)).alias(c) for c in ("native", "md")))
+    return p.select("doc_id", C.bag(F.col("native")).alias("a"), C.bag(F.col("md")).alias("b"))
+
+
+def _tokens(df, result):
+    """doc_id, token and n of a bag."""
+    return df.select("doc_id", F.explode(result).alias("token", "n"))
 
 
 @query(f"WITH {PAIR_BAGS} SELECT doc_id, token, greatest(na - nb, 0)::BIGINT AS missing, greatest(nb - na, 0)::BIGINT AS extra FROM ({BOTH}) WHERE na <> nb")
 def bag_diff(spark, sf_dir):
-    return bags.diff(*_bags(spark, sf_dir), ["doc_id"])
+    zero = F.lit(0).cast("long")
+    d = F.map_filter(F.map_zip_with("a", "b", lambda _, x, y: F.coalesce(x, zero) - F.coalesce(y, zero)), lambda _, n: n != 0)
+    return _tokens(_bags(spark, sf_dir), d).select("doc_id", "token", F.greatest("n", zero).alias("missing"), F.greatest(-F.col("n"), zero).alias("extra"))
 
 
 @query(f"WITH {PAIR} SELECT doc_id, token FROM (SELECT doc_id, unnest({WORDS.format('native')}) AS token FROM pair) EXCEPT ALL SELECT doc_id, token FROM (SELECT doc_id, unnest({WORDS.format('md')}) AS token FROM pair)")
@@ -69,12 +79,12 @@ def except_all(spark, sf_dir):
 
 @query(f"WITH {PAIR_BAGS} SELECT a.doc_id, a.token, least(a.n, b.n)::BIGINT AS n FROM a JOIN b ON a.doc_id = b.doc_id AND a.token = b.token")
 def intersect_all(spark, sf_dir):
-    return bags.common(*_bags(spark, sf_dir), ["doc_id"])
+    return _tokens(_bags(spark, sf_dir), C.common(F.col("a"), F.col("b")))
 
 
 @query(f"WITH {PAIR_BAGS} SELECT doc_id, token, sum(n)::BIGINT AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL")
 def union_all(spark, sf_dir):
-    return bags.plus(*_bags(spark, sf_dir), ["doc_id"])
+    return _tokens(_bags(spark, sf_dir), C.plus(F.col("a"), F.col("b")))
 
 
 @query(
@@ -104,9 +114,7 @@ _COVER = "list_filter(list_transform(regexp_extract_all({}, '[A-Za-z0-9][A-Za-z0
 
 @query(f"WITH {PAIR}, {bag_sql('a', 'pair', 'doc_id', _COVER.format('native'))}, {bag_sql('b', 'pair', 'doc_id', _COVER.format('md'))} SELECT doc_id, token, (na - nb)::BIGINT AS n FROM ({BOTH}) WHERE na > nb")
 def coverage(spark, sf_dir):
-    pair = views.docpair(spark, sf_dir)
-    a, b = (bags.bag(pair, ["doc_id"], T.coverage_tokens(F.col(c))) for c in ("native", "md"))
-    return bags.minus(a, b, ["doc_id"])
+    return _tokens(_bags(spark, sf_dir, T.coverage_tokens), C.minus(F.col("a"), F.col("b")))
 
 
 _LOWER = "regexp_extract_all(lower({}), '[a-z]+')"
@@ -140,7 +148,11 @@ def escape_dollar(spark, sf_dir):
     return views.markup(spark, sf_dir).select("doc_id", T.escape_dollar(F.col("md")).alias("escaped"))
 
 
-@query("SELECT doc_id, trim(text, chr(10) || chr(9) || ' ' || chr(13)) AS body FROM documents")
+_FENCED = "CASE WHEN doc_id % 2 = 0 THEN '```markdown' ELSE '```' END || chr(10) || text || chr(10) || '```  '"
+
+
+@query(rf"""WITH f AS (SELECT doc_id, regexp_replace({_FENCED}, '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM documents)
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '^```(markdown)?{SPACE}*', ''), '{SPACE}*```$', ''), '^{SPACE}+|{SPACE}+$', '', 'g') AS body FROM f""")
 def strip_fence(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     fenced = F.concat(F.when(F.col("doc_id") % 2 == 0, "```markdown\n").otherwise("```\n"), "text", F.lit("\n```  "))
@@ -172,10 +184,15 @@ def numbered_items(spark, sf_dir):
     return _with_items(spark, sf_dir).select("doc_id", F.array_join(T.numbered_items(F.col("text")), "|").alias("items"))
 
 
-@query()
+_ITEMS = ORACLES["numbered_items"]
+
+
+@query(rf"""WITH i AS ({_ITEMS}), n AS (SELECT doc_id, string_split(items, '|') AS xs, 'see Table D.' || (doc_id % 13) AS notes FROM i)
+  SELECT doc_id, array_to_string(list_filter(xs, lambda x: NOT regexp_matches(notes, '(^|[^0-9.])' || regexp_escape(string_split(translate(x, '()', ''), ' ')[-1]) || '($|[^0-9])')), '|') AS missing FROM n""")
 def missing_items(spark, sf_dir):
     d = _with_items(spark, sf_dir)
-    return d.select("doc_id", T.missing_items(F.concat(F.lit("see Table D."), (F.col("doc_id") % 13).cast("string")), T.numbered_items(F.col("text"))).alias("missing"))
+    missing = T.missing_items(F.concat(F.lit("see Table D."), (F.col("doc_id") % 13).cast("string")), T.numbered_items(F.col("text")))
+    return d.select("doc_id", F.array_join(missing, "|").alias("missing"))
 
 
 @query(
@@ -189,7 +206,8 @@ def shorten(spark, sf_dir):
 _MESSAGES = ["quota; retryDelay: '{}s'", "please retry in {}.5s", "no hint {}"]
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 60 + 1.0 WHEN 1 THEN event_id % 60 + 1.5 ELSE 0.0 END::DOUBLE AS seconds FROM events")
+@query(rf"""WITH m AS (SELECT event_id, replace({picked("event_id", _MESSAGES)}, '{{}}', (event_id % 60)::VARCHAR) AS t FROM events)
+  SELECT event_id, coalesce(try_cast(nullif(regexp_extract(t, 'retryDelay[''"]?\s*:\s*[''"]([0-9]+(?:\.[0-9]+)?)s', 1), '') AS DOUBLE), try_cast(nullif(regexp_extract(t, 'retry in ([0-9]+(?:\.[0-9]+)?)s', 1), '') AS DOUBLE), -1) + 1 AS seconds FROM m""")
 def retry_after(spark, sf_dir):
     e = F.col("event_id")
     message = F.replace(views.pick(e, _MESSAGES), F.lit("{}"), (e % 60).cast("string"))
@@ -264,7 +282,7 @@ def shrink_dims(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select("p_partkey", a.alias("w"), b.alias("h"))
 
 
-@query()
+@query("SELECT l_orderkey % 997 AS doc_id, l_orderkey % 89 + 1 AS page_no, l_orderkey * 10 + l_linenumber AS xref, greatest(0, l_partkey % 400 - 6.0)::DOUBLE AS x0, greatest(0, l_suppkey % 500 - 6.0)::DOUBLE AS y0, least(612, l_partkey % 400 + l_quantity * 3 + l_partkey % 2 + 6.0)::DOUBLE AS x1, least(792, l_suppkey % 500 + l_partkey % 130 + 6.0)::DOUBLE AS y1 FROM lineitem")
 def crop_pad(spark, sf_dir):
     i = views.page_images(spark, sf_dir)
     box = T.padded(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), 6.0, F.lit(612.0), F.lit(792.0))

@@ -19,7 +19,8 @@ def pick(n: Column, options: list[str]) -> Column:
 
 
 def docpair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, native and md: a text and its transcription, changed in one of five ways."""
+    """doc_id, native and md: a text and its transcription, changed in one of five ways, some marked as
+    notes, OCR or cut off."""
     d, t = F.col("doc_id"), F.col("text")
     md = (
         F.when(d % 5 == 0, t)
@@ -28,7 +29,8 @@ def docpair(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(d % 5 == 3, F.concat(t, F.lit(" zusatzwort")))
         .otherwise(F.concat(F.lit("<!-- page number: "), d.cast("string"), F.lit(" -->\n"), t, F.lit("\n$$ x = "), (d % 97).cast("string"), F.lit(" $$")))
     )
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("native"), md.alias("md"))
+    mark = F.when(d % 17 == 0, "\n<!-- source: study notes -->").when(d % 23 == 0, "\n<!-- source: local OCR -->").when(d % 29 == 0, "\n<!-- truncated -->").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("native"), F.concat(md, mark).alias("md"))
 
 
 #: Faults, and their faultless likes, that markup() appends to documents in turn.
@@ -56,12 +58,16 @@ def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), pick(F.col("doc_id"), MARKUP)).alias("md"))
 
 
+#: Models of calls: two that are listed, one local and one that no list has.
+MODELS = ["gemini-3.6-flash", "gpt-5.4-mini", "local", "unheard-of"]
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, model, prompt, completion and total tokens of model calls; null for every 13th."""
     e, v = F.col("event_id"), F.floor(F.abs("value") * 10).cast("long")
     seen = e % 13 != 0
     return table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", pick(e, ["small", "large", "local", "unheard-of"]).alias("model"), F.when(seen, 900 + e % 700).alias("prompt"), F.when(seen, 200 + v % 400).alias("completion"), F.when(seen, 1100 + e % 700 + v % 900).alias("total")
+        "event_id", "ts", "user_id", pick(e, MODELS).alias("model"), F.when(seen, 900 + e % 700).alias("prompt"), F.when(seen, 200 + v % 400).alias("completion"), F.when(seen, 1100 + e % 700 + v % 900).alias("total")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,23 @@ def read(spark: SparkSession, path: str, columns: str | None = None, extract: Ca
     raise UnsupportedFormat(f"no reader for {kind or 'files without a suffix'}; there are {', '.join([*TABLES, *BINARY])}")
 
 
+class PasswordNeeded(ValueError):
+    """A document that can't be opened without its password; extract callables raise it."""
+
+
+class Damaged(ValueError):
+    """A document that is no document of its kind."""
+
+
+_STARTS = {".pdf": b"%PDF", ".docx": b"PK", ".pptx": b"PK"}
+
+
+def fault_of(path: str, content: bytes) -> Exception | None:
+    """What is wrong with a file by its first bytes, before any parser sees it."""
+    start = _STARTS.get(suffix(path))
+    return Damaged(f"{path} is no {suffix(path)} file") if start and not content[:1024].lstrip().startswith(start) else None
+
+
 def extracted(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
     """path, page_no, native and error from binaryFile rows; a file that can't be read gives one row
     with the error."""
@@ -48,6 +66,8 @@ def extracted(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFr
             rows = []
             for path, content in zip(part["path"], part["content"], strict=True):
                 try:
+                    if wrong := fault_of(path, content):
+                        raise wrong
                     rows += [(path, k, text, None) for k, text in enumerate(extract(content), 1)]
                 except Exception as e:  # of any parser; kept as data
                     rows.append((path, 0, None, f"{type(e).__name__}: {e}"))
@@ -56,6 +76,27 @@ def extracted(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFr
     return files.select("path", "content").mapInPandas(run, "path string, page_no int, native string, error string")
 
 
+def office_pictures(files: DataFrame) -> DataFrame:
+    """path, place, name, width, height (of PNG files, else null) and content of the pictures inside DOCX
+    and PPTX files; a file that is no zip has none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, content in zip(part["path"], part["content"], strict=True):
+                try:
+                    box = zipfile.ZipFile(io.BytesIO(content))
+                except (zipfile.BadZipFile, TypeError):
+                    continue
+                for place, name in enumerate(n for n in box.namelist() if n.startswith(("word/media/", "ppt/media/")) and not n.endswith("/")):
+                    data = box.read(name)
+                    size = struct.unpack(">II", data[16:24]) if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24 else (None, None)
+                    rows.append((path, place, name, *size, data))
+            yield pd.DataFrame(rows, columns=["path", "place", "name", "width", "height", "content"]).astype({"width": "Int32", "height": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, place int, name string, width int, height int, content binary")
+
+
 @F.pandas_udf(T.IntegerType())
 def picture_count(content: pd.Series) -> pd.Series:
     """Pictures inside a DOCX or PPTX; null where the file is no zip."""

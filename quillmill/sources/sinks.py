@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from ..operators import runs
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Pages by document, so that a later run reads only the documents it needs."""
-    pages.repartition("doc_id").sortWithinPartitions("doc_id", "page_no").write.mode("append").partitionBy("doc_id").parquet(path)
+#: Folders that pages are dealt to by document.
+PARTS = 64
+
+
+def part_of(doc_id: Column, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int")
+
+
+def write_pages(pages: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Pages in a fixed number of folders by document, sorted within: a later run reads the folders, and
+    of them the row groups, of the documents it needs, however many documents there are."""
+    p = pages.withColumn("part", part_of(F.col("doc_id"), parts))
+    p.repartition("part").sortWithinPartitions("part", "doc_id", "page_no").write.mode("append").partitionBy("part").parquet(path)
 
 
 def write_documents(pages: DataFrame, path: str, header: Column) -> None:

@@ -2,78 +2,125 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import lint as L
-from quillmill.functions import page_check as P
+from quillmill.functions import page_check as C
 from quillmill.functions import text as T
-from quillmill.operators import bags, layout, replies, runs, triage
+from quillmill.operators import catalog, layout, replies, runs, triage
 from quillmill.sources import readers, sinks
 
 NATIVE = "The firm sells goods in the market at given prices and earns revenue of 33,099,725 in the year 2014 while costs remain fixed for every unit sold."
 MD = "## Page 3\n\nThe firm sells goods in the market at given prices and earns revenue of 33,099,725 in the year 2014 while costs remain fixed for every unit sold."
 
 
-@pytest.mark.parametrize(
-    ("change", "status"),
-    [
-        (lambda m: m, "ok"),
-        (lambda m: m.replace("goods", "foods"), "flagged"),
-        (lambda m: m.replace("33,099,725", "33,099,726"), "flagged"),
-        (lambda m: m.replace("33,099,725", "33099725"), "ok"),
-        (lambda m: m.replace(" while costs remain fixed for every unit sold", ""), "flagged"),
-        (lambda m: m + "\n\n<!-- source: study notes -->", "notes"),
-        (lambda m: m.replace("2014", "2014[^3]") + "\n[^3]: Note.", "ok"),
-    ],
-)
-def test_check_page(change, status):
-    assert P.check_page(NATIVE, change(MD))["status"] == status
+def checked(spark, *pairs, image=False):
+    df = spark.createDataFrame([(k, n, m) for k, (n, m) in enumerate(pairs)], "k int, native string, md string")
+    return C.check_pages(df, F.lit(image)).orderBy("k").collect()
 
 
-def test_forgiveness():
-    assert P.check_page(NATIVE.replace("revenue", "rev-\nenue"), MD)["status"] == "ok"
-    assert P.check_page(NATIVE.replace("firm", "firmA"), MD.replace("firm", "firm$A$"))["status"] == "ok"
-    assert P.check_page(NATIVE + " nave nave", MD + " naive naive")["status"] == "ok"
-    assert P.check_page(NATIVE + " 70 000", MD + " 70000")["status"] == "ok"
-    assert P.check_page("short page", "short page")["status"] == "no-text-layer"
-    table = MD + "\n\n| unseen | words | 77 |"
-    assert P.check_page(NATIVE, table)["status"] == "flagged"
-    shown = P.check_page(NATIVE, table, image_on_page=True)
-    assert shown["status"] == "ok" and shown["from_image"] == {"unseen": 1, "words": 1, "77": 1}
+CHANGES = [
+    (lambda m: m, "ok"),
+    (lambda m: m.replace("goods", "foods"), "flagged"),
+    (lambda m: m.replace("33,099,725", "33,099,726"), "flagged"),
+    (lambda m: m.replace("33,099,725", "33099725"), "ok"),
+    (lambda m: m.replace(" while costs remain fixed for every unit sold", ""), "flagged"),
+    (lambda m: m + "\n\n<!-- source: study notes -->", "notes"),
+    (lambda m: m.replace("2014", "2014[^3]") + "\n[^3]: Note.", "ok"),
+    (lambda m: m + " surplus", "ok"),
+]
+
+
+def test_check_page(spark):
+    got = checked(spark, *((NATIVE, change(MD)) for change, _ in CHANGES), (None, None))
+    assert [r.status for r in got] == [*(s for _, s in CHANGES), "no-text-layer"]
+    assert got[1].missing == {"goods": 1} and got[1].extra == {"foods": 1} and got[2].numbers_extra == {"33099726": 1}
+    assert [r.flagged for r in got] == [s == "flagged" for _, s in CHANGES] + [False]
 
 
-def test_both_paths_agree(spark):
-    """Without triggers of forgiveness, the Arrow path and the SQL path see the same differences."""
-    rows = [(1, NATIVE, MD), (2, NATIVE, MD.replace("goods", "foods")), (3, NATIVE, MD + " surplus")]
-    df = spark.createDataFrame(rows, "page int, native string, md string")
-    a, b = (bags.bag(df, ["page"], T.words(c)) for c in (F.col("native"), L.split_md(F.col("md"))["prose"]))
-    sql = {(r.page, r.token): (r.missing, r.extra) for r in bags.diff(a, b, ["page"]).collect()}
-    for page, native, md in rows:
-        r = P.check_page(native, md)
-        assert {t: n for (p, t), (n, _) in sql.items() if p == page and n} == r["missing"]
-        assert {t: n for (p, t), (_, n) in sql.items() if p == page and n} == r["extra"]
+def test_flag_rule(spark):
+    """A page is to be looked at for its status, for OCR text, a cut-off reply or any fault."""
+    marks = ["", "<!-- source: local OCR -->", "<!-- truncated -->", "$$ a", "[^8]Text", "costs $12.50 now and $7.10 then"]
+    got = checked(spark, *((NATIVE, f"{MD}\n\n{m}") for m in marks))
+    assert [(r.ocr, r.truncated, bool(r.math), bool(r.markup), r.flagged) for r in got[:5]] == [(False,) * 5, (True, False, False, False, True), (False, True, False, False, True), (False, False, True, False, True), (False, False, False, True, True)]
+    assert [x.detail for x in got[5].markup] == ["$12.50 now a", "$7.10 then"]
+    df = spark.createDataFrame([(k, NATIVE, f"{MD}\n\n{m}") for k, m in enumerate(marks)], "k int, native string, md string")
+    c = C.check_pages(df)
+    assert {(r.k, r.kind) for r in C.report_lines(c, ["k"]).collect() if r.k < 5} == {(1, "local OCR"), (2, "cut off"), (3, "math"), (4, "markup")}
+    t = C.report_totals(c).first()
+    assert (t.ocr, t.truncated, t.math, t.markup, t.to_look_at) == (1, 1, 1, 2, 5)
+    notes = {r.k: r.page_notes for r in replies.page_notes(c).collect()}
+    assert notes[0] == [] and "lacks its opening" in notes[3][0] and "2 dollar amounts ($12.50, $7.10)" in notes[5][-1]
+
+
+def test_pages_without_a_file(spark):
+    pages = spark.createDataFrame([(1, NATIVE, False), (2, NATIVE, False)], "page int, native string, image boolean")
+    got = C.verify(pages, spark.createDataFrame([(1, MD)], "page int, md string"), ["page"]).orderBy("page").collect()
+    assert [(r.status, r.flagged, r.n_words > 0) for r in got] == [("ok", False, True), ("no-page-file", False, False)]
+
+
+def test_forgiveness(spark):
+    table = MD + "\n\n| unseen | words | 77 |"
+    pairs = [
+        (NATIVE.replace("revenue", "rev-\nenue"), MD),
+        (NATIVE.replace("revenue", "rev\nenue"), MD),
+        (NATIVE.replace("firm", "firmA"), MD.replace("firm", "firm$A$")),
+        (NATIVE + " nave nave", MD + " naive naive"),
+        (NATIVE + " 70 000", MD + " 70000"),
+        (NATIVE + " 70000", MD + " 70 000"),
+        (NATIVE + " 0.992622 22", MD + " 0.9926[^22] and[^22]"),
+        (NATIVE + " 1.96 96", MD + " $1.96$ x"),
+        (NATIVE, table),
+        (NATIVE + " test", MD + " tests"),
+        (NATIVE + " grand-\nson", MD + " grand son grandson"),
+    ]
+    assert [r.status for r in checked(spark, *pairs)] == ["ok"] * 7 + ["ok", "flagged", "flagged", "flagged"]
+    shown = checked(spark, (NATIVE, table), image=True)[0]
+    assert shown.status == "ok" and shown.from_image == {"unseen": 1, "words": 1, "77": 1}
+
+
+def test_joined_words(spark):
+    """Halves that a line break parts; a word never joins twice."""
+    df = spark.createDataFrame([("aa-\nbb-\ncc dd\nee ff", ["aabb", "bbcc", "ddee", "ddx"])], "t string, known array<string>")
+    known = F.map_from_arrays("known", F.transform("known", lambda _: F.lit(1).cast("long")))
+    assert df.select(C.joined_words(F.col("t"), known)).first()[0] == ["aabb", "ddee"]
+
+
+def test_bags(spark):
+    import random
+
+    r = random.Random(7)
+    for size in (0, 1, 40, 30_000):
+        tokens = [r.choice(["a", "ab", "abc", "b", "1.5", "é"]) for _ in range(size)]
+        more = [r.choice(["a", "b", "z"]) for _ in range(20)]
+        df = spark.createDataFrame([(tokens, more)], "a array<string>, b array<string>").select(C.bag(F.col("a")).alias("a"), C.bag(F.col("b")).alias("b"))
+        x, y = Counter(tokens), Counter(more)
+        got = df.select("a", C.minus(F.col("a"), F.col("b")).alias("minus"), C.common(F.col("a"), F.col("b")).alias("common"), C.plus(F.col("a"), F.col("b")).alias("plus"), C.total(F.col("a")).alias("n")).first()
+        assert (got.a, got.minus, got.common, got.plus, got.n) == (dict(x), dict(x - y), dict(x & y), dict(x + y), size)
 
 
 def test_numbers(spark):
     df = spark.createDataFrame([("33,099,725 (1,2) 2.60 1,282 862,492 3.5,",)], "t string")
-    assert df.select(T.numbers(F.col("t"))).first()[0] == P.numbers("33,099,725 (1,2) 2.60 1,282 862,492 3.5,") == ["33099725", "1", "2", "2.60", "1282", "862492", "3.5"]
+    assert df.select(T.numbers(F.col("t"))).first()[0] == ["33099725", "1", "2", "2.60", "1282", "862492", "3.5"]
 
 
 @pytest.mark.parametrize(
     ("md", "amounts"),
-    [("it costs $12.50 today", ["$12.50 today"]), ("a formula $12$ here", []), ("$1.23, 7-Up $1.12", ["$1.23, 7-Up ", "$1.12"]), ("$$ 5 $3 $$", []), (r"paid \$5 only", [])],
+    [("it costs $12.50 today", ["$12.50 today"]), ("a formula $12$ here", []), ("$1.23, 7-Up $1.12", ["$1.23, 7-Up ", "$1.12"]), ("$$ 5 $3 $$", []), (r"paid \$5 only", []), ("$$x$$$5 a", []), ("$5 is one two three four $x$", ["$5 is one two"]), (r"$5 \alpha \beta \text{ab} x$", []), ("$5 a\nb$", ["$5 a\nb$"])],
 )
-def test_money(md, amounts):
-    assert P.money_faults(md) == amounts
+def test_money(spark, md, amounts):
+    assert lint(spark, md, L.money) == [a[:12] for a in amounts]
 
 
-def test_escape_and_tags():
-    assert P.escape_money("it costs $12.50 today") == r"it costs \$12.50 today"
-    assert P.one_tag(r"$$ a \tag{1} b \tag{2} $$") == r"$$ a \qquad (1) b \qquad (2) $$"
-    assert P.one_tag(r"$$ a \tag{1} $$") == r"$$ a \tag{1} $$"
-    assert P.lenient_json('json {"a": "\\beta"}') == {"a": "\\beta"}
-    assert P.lenient_json("none") is None
+def test_escape_and_tags(spark):
+    assert lint(spark, "it costs $12.50 today", L.escape_money) == r"it costs \$12.50 today"
+    assert lint(spark, r"$$ a \tag{1} b \tag{2} $$", L.one_tag) == r"$$ a \qquad (1) b \qquad (2) $$"
+    assert lint(spark, r"$$ a \tag{1} $$ and $$ b \tag{2} \tag{3}", L.one_tag) == r"$$ a \tag{1} $$ and $$ b \tag{2} \tag{3}"
+    assert lint(spark, 'json {"wrong": ["\\beta"]}', lambda c: T.texts_of(T.as_object(c), "wrong")) == ["\\beta"]
+    assert lint(spark, "none", T.as_object) is None and lint(spark, "[1]", T.as_object) is None
 
 
 def lint(spark, md, column):
@@ -133,32 +180,92 @@ def test_rows_follow_their_first_span(spark):
 
 
 def test_figure_regions(spark):
-    rows = [(1, 7, 0.0, 0.0, 100.0, 100.0), (1, 7, 0.0, 300.0, 100.0, 400.0), (1, None, 50.0, 50.0, 150.0, 150.0), (1, None, 200.0, 200.0, 300.0, 300.0), (1, 9, 0.0, 0.0, 20.0, 20.0)]
+    rows = [(1, 7, 0.0, 0.0, 100.0, 100.0), (1, 7, 0.0, 300.0, 100.0, 400.0), (1, None, 50.0, 50.0, 150.0, 150.0), (1, None, 200.0, 200.0, 300.0, 300.0), (1, None, 250.0, 250.0, 350.0, 350.0), (1, 9, 0.0, 0.0, 20.0, 20.0)]
     df = spark.createDataFrame(rows, "page int, xref int, x0 double, y0 double, x1 double, y1 double")
-    assert sorted((r.x0, r.xref) for r in triage.figure_regions(df, ["page"]).collect() if r.x0) == [(200.0, None)]
-    assert triage.figure_regions(df, ["page"]).count() == 2
+    got = [(r.figure, r.xref, r.x0, r.y0) for r in triage.figure_regions(df, ["page"]).orderBy("figure").collect()]
+    assert got == [(1, 7, 0.0, 0.0), (2, None, 200.0, 200.0), (3, 7, 0.0, 300.0)]  # the later cluster meets the earlier one
+
+
+def test_blank_fenced_replies(spark):
+    rows = [("a", 1, "```markdown\n\n```", "stop"), ("a", 2, "text", "stop"), ("b", 1, "```\n<!-- page -->\n```", "stop")]
+    got = {r.key: (r.text, r.outcome, r.attempts) for r in runs.resolve_replies(spark.createDataFrame(rows, "key string, attempt int, text string, finish_reason string")).collect()}
+    assert got == {"a": ("text", "ok", 2), "b": (None, "failed", 1)}
 
 
-def test_study_notes():
+def test_free_names(spark):
+    names = ["a", "A", "a (2)", "b", "b", "a", "c (2)", "c"]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string")
+    got = [r.folder for r in runs.free_names(df, ["k"]).orderBy("k").collect()]
+    assert got == ["a", "A (2)", "a (2) (2)", "b", "b (2)", "a (3)", "c (2)", "c"]
+    assert len({x.lower() for x in got}) == len(got)
+
+
+def test_nearest_edge(spark):
+    cells = [(1, 61.0), (1, 61.0), (1, 300.0), (1, 90.0), (2, 62.0)]
+    df = spark.createDataFrame([(r, x, k) for k, (r, x) in enumerate(cells)], "row int, x1 double, k int")
+    got = [(r.col, r.filled) for r in layout.nearest_edge(df, [("a", 60.0), ("c", 300.0)], ["row"], ["k"]).orderBy("k").collect()]
+    assert got == [("a", False), ("a", True), ("c", False), (None, False), ("a", False)]
+
+
+def test_study_notes(spark):
     page = "the quick brown fox jumps over the lazy dog again and again (15A.2) Table D.5"
-    out = replies.study_notes(page, 4, "A note on (15A.2).\nthe quick brown fox jumps over the lazy dog", '{"wrong": [], "missing": []}')
-    assert "quick brown" not in out and "Not covered: Table D.5." in out and "1 line(s)" in out
-    assert replies.study_notes(page, 4, "RECITATION", "{}") is None
+    rows = [
+        (page, 4, "A note on (15A.2).\nthe quick brown fox jumps over the lazy dog", '{"wrong": [], "missing": []}', None, None),
+        (page, 4, "RECITATION", "{}", None, None),
+        (page, 4, "A note on (15A.2).", '{"wrong": ["x"]}', "Better, $5 each: (15A.2), Table D.5.", "unreadable"),
+    ]
+    df = spark.createDataFrame(rows, "page_text string, page_no int, notes string, check string, revised string, recheck string")
+    out, none, revised = [r.study for r in replies.study_notes(df).collect()]
+    assert "quick brown" not in out and "Not covered: Table D.5." in out and "1 line(s)" in out and none is None
+    assert "revised once" in revised and r"\$5 each" in revised and "could not be read" in revised and "Not covered" not in revised
+    e = replies.evaluate_notes(df.limit(1).select(F.lit(1).alias("page"), "page_text", F.lit("> head\n\nsee (15A.2) at 1.25").alias("study"), F.lit("1.25 and 3.14 <!-- 9.99 -->").alias("key"), "check")).first()
+    assert (e.items_kept, e.items, e.decimals_kept, e.decimals, e.copied, e.wrong) == (1, 2, 1, 2, 0, 0)
+
+
+def test_joins(spark):
+    boxes = [(1, 1, 0.0, 10.0, "cut-"), (1, 2, 11.0, 10.0, "off"), (1, 3, 40.0, 10.0, "next"), (1, 4, 51.0, 10.0, "word")]
+    df = spark.createDataFrame(boxes, "page int, place int, top double, height double, text string")
+    assert layout.join_ocr(df, ["page"]).first().text == "cutoff\n\nnext word"
+    lines = spark.createDataFrame([(500.0, "one", "two"), (575.0, "one", "two"), (300.0, "cut-", "off"), (300.0, "this or", "that")], "x1 double, a string, b string")
+    assert [r[0] for r in lines.select(layout.between_lines(F.col("x1"), F.col("a"), F.col("b"), F.lit(578.0))).collect()] == ["<br>", " ", "", " "]
+    cell = spark.createDataFrame([([(300.0, "99.9", 0.0), (300.0, "6", 10.0), (300.0, "a|b", 40.0)],)], "l array<struct<x1:double,text:string,y:double>>")
+    assert cell.select(layout.cell_text(F.col("l"), F.lit(578.0), True)).first()[0] == "99.96<br><br>a\\|b"
+
+
+def test_grid(spark):
+    rows = [(1, 100.0, 10.0, 40.0, "Age", True), (1, 101.0, 200.0, 210.0, "12", False), (1, 120.0, 10.0, 30.0, "Sex", False), (1, 5.0, 10.0, 30.0, "header", False)]
+    df = spark.createDataFrame(rows, "page int, y double, x0 double, x1 double, text string, bold boolean")
+    got = sorted((r.row_y, r.label, r.code) for r in layout.grid(df, layout.GridSpec(50, 700, (("label", 10.0), ("code", 195.0))), ["page"]).collect())
+    assert got == [(100.0, "Age", "12"), (120.0, "Sex", "")]
 
 
-def test_joins():
-    assert layout.joined_lines([0, 11, 40], [10, 10, 10], ["cut-", "off", "next"]) == "cutoff\n\nnext"
-    assert layout.wrap_joiner(500, "one", "two", 578) == "<br>"
-    assert layout.wrap_joiner(575, "one", "two", 578) == " "
-    assert layout.wrap_joiner(300, "cut-", "off", 578) == ""
+def test_catalog(spark):
+    df = spark.createDataFrame([("gemini", "models/gemini-3.6-flash"), ("gemini", "gemini-embedding-1"), ("gemini", "other"), ("kimi", "k2")], "service string, model string")
+    assert sorted(r.model for r in catalog.usable_models(df).collect()) == ["gemini-3.6-flash", "k2"]
+    log = "## [2.0] now\n- one\n  goes on\n  - inner\n\npara\nwrapped\n## [1.0] old\n- zero\n"
+    assert spark.createDataFrame([(log,)], "t string").select(T.release_section(F.col("t"), F.lit("2.0"))).first()[0] == "- one goes on\n  - inner\n\npara wrapped"
+
+
+def test_describe(spark):
+    df = spark.createDataFrame([(str(k), "i", "p") for k in range(3)], "key string, image string, prompt string").coalesce(1)
+
+    def client(image, prompt, **more):
+        if "temperature" in more:
+            raise replies.RefusedParameter("temperature")
+        return f"{prompt}{sorted(more)}"
+
+    got = {r.key: r.reply for r in replies.describe(df, client, 6000, {"temperature": 0, "top": 1}).collect()}
+    assert got == {str(k): "p['top']" for k in range(3)}
 
 
 def test_sources(spark, tmp_path):
     with pytest.raises(readers.UnsupportedFormat):
         readers.read(spark, "x.xyz")
-    (tmp_path / "a.pdf").write_bytes(b"one\ftwo")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF one\ftwo")
     got = readers.read(spark, str(tmp_path / "a.pdf"), extract=lambda b: b.decode().split("\f")).orderBy("page_no").collect()
-    assert [(r.page_no, r.native) for r in got] == [(1, "one"), (2, "two")]
+    assert [(r.page_no, r.native) for r in got] == [(1, "%PDF one"), (2, "two")]
+    (tmp_path / "b.pdf").write_bytes(b"no such file")
+    assert "Damaged" in readers.read(spark, str(tmp_path / "b.pdf"), extract=lambda b: []).first().error
     (tmp_path / "a.json").write_text('{"id": "1", "unknown": 2}')
     assert readers.read_json(spark, str(tmp_path / "a.json"), "id string, name string").first().asDict() == {"id": "1", "name": None}
     import io
@@ -168,7 +275,8 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(b, "w") as z:
         z.writestr("word/media/a.png", "x")
         z.writestr("word/document.xml", "x")
-    df = spark.createDataFrame([(bytearray(b.getvalue()),), (bytearray(b"no zip"),)], "content binary")
+    df = spark.createDataFrame([("a.docx", bytearray(b.getvalue())), ("b.docx", bytearray(b"no zip"))], "path string, content binary")
+    assert [(r.path, r.name, r.width, bytes(r.content)) for r in readers.office_pictures(df).collect()] == [("a.docx", "word/media/a.png", None, b"x")]
     assert [r[0] for r in df.select(readers.picture_count("content")).collect()] == [1, None]
 
 
@@ -202,5 +310,22 @@ def test_sql(spark):
 
     sql.register(spark)
     assert spark.sql("select word_list('The off words') w").first().w == ["the", "words"]
-    assert spark.sql("select check_page('a', 'b', false).status s").first().s == "no-text-layer"
-    assert [tuple(r) for r in spark.sql("select * from bag_diff('one two', 'two three')").collect()] == [("one", 1, 0), ("three", 0, 1)]
+    assert spark.sql("select number_list('33,099 (1,2)') n").first().n == ["33099", "1", "2"]
+    spark.createDataFrame([(NATIVE, MD)], "native string, md string").createOrReplaceTempView("some_pages")
+    sql.check_view(spark, "some_pages", "some_checks")
+    assert spark.sql("select status from some_checks").first().status == "ok"
+    assert [tuple(r) for r in spark.sql("select * from bag_diff('one two', 'two three') order by token").collect()] == [("one", 1, 0), ("three", 0, 1)]
+
+
+def test_partial(spark, tmp_path):
+    from quillmill.streaming import progress
+
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    stream = spark.readStream.schema("doc_id long, page_no int, md string").json(str(pages))
+    for name, line in (("a", '{"doc_id":1,"page_no":2,"md":"b"}'), ("b", '{"doc_id":1,"page_no":1,"md":"a"}\n{"doc_id":2,"page_no":1,"md":"c"}')):
+        (pages / f"{name}.json").write_text(line)
+        q = progress.write_partial(stream, str(tmp_path / "out"), F.lit("#"), str(tmp_path / "check"))
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r.document for r in progress.read_partial(spark, str(tmp_path / "out")).collect()) == ["#ab\n", "#c\n"]
