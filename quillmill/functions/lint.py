@@ -40,7 +40,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def bare(md: Column) -> Column:
     """md with a space for each comment."""
-    return F.regexp_replace(md, T.COMMENT, " ")
+    return F.when(F.contains(md, F.lit("<!--")), F.regexp_replace(md, T.COMMENT, " ")).otherwise(md)
 
 
 def unmatched_display(md: Column) -> Column:
@@ -156,6 +156,11 @@ def _listed(found: Column, name: str) -> Column:
     return F.transform(found, lambda x: _fault(name, x))
 
 
+def _if(on: Column, found: Column) -> Column:
+    """found where a text holds what it can't be without; patterns don't run on other texts."""
+    return F.when(on, found).otherwise(F.array().cast(_NONE))
+
+
 def math_faults(md: Column) -> Column:
     """(fault, detail) of what keeps formulas from showing."""
     kinds = F.array(*(F.lit(k) for k in ("blank_line", "review_note", "tags")))
@@ -166,15 +171,17 @@ def math_faults(md: Column) -> Column:
 
     shown = F.transform(F.flatten(F.transform(displays(md), of)), lambda k: F.struct(k.alias("fault"), F.lit(None).cast("string").alias("detail")))
     odd = F.when(unmatched_display(md), F.array(_fault("unmatched"))).otherwise(F.array().cast(_NONE))
-    return F.concat(odd, shown, _listed(unbalanced(md), "environment"))
+    return F.concat(_if(F.contains(md, F.lit("$$")), F.concat(odd, shown)), _if(F.contains(md, F.lit("\\begin")), _listed(unbalanced(md), "environment")))
 
 
 def markup_faults(md: Column) -> Column:
     """(fault, detail) of notes, markers, amounts, tables and links in the wrong form."""
-    outside = latex_outside(md)
-    notes = F.transform(note_faults(md), lambda n: F.struct(n["fault"].alias("fault"), n["label"].alias("detail")))
-    table = F.when(outside["table_command"], F.array(_fault("table_command"))).otherwise(F.array().cast(_NONE))
-    return F.concat(notes, _listed(math_markers(md), "marker"), _listed(fused_labels(md), "fused"), _listed(money(md), "money"), table, _listed(outside["outside"], "outside"), _listed(F.transform(spaced_links(md), lambda x: F.left(x, F.lit(60))), "link"))
+    commands = F.contains(md, F.lit("\\"))
+    dollars = lambda found: _if(F.contains(md, F.lit("$")), found)
+    notes = _if(F.contains(md, F.lit("[^")), F.transform(note_faults(md), lambda n: F.struct(n["fault"].alias("fault"), n["label"].alias("detail"))))
+    prose = without_math(md)
+    table = F.when(commands & prose.rlike(TABLE_COMMAND), F.array(_fault("table_command"))).otherwise(F.array().cast(_NONE))
+    return F.concat(notes, dollars(_listed(math_markers(md), "marker")), _listed(fused_labels(md), "fused"), dollars(_listed(money(md), "money")), table, _if(commands, _listed(_all(prose, OUTSIDE), "outside")), _if(F.contains(md, F.lit("](")), _listed(F.transform(spaced_links(md), lambda x: F.left(x, F.lit(60))), "link")))
 
 
 def formulas(md: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +34,10 @@ def plain(word: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words without ligature pairs, of three letters or more after that."""
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.filter(F.transform(found, plain), lambda w: F.length(w) >= 3)
+    """Lower-case words without ligature pairs, of three letters or more after that. Pairs stand within
+    words, so taking them out of the whole text leaves its words apart, and no word is touched alone."""
+    small = F.regexp_replace(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), LIGATURES, "")
+    return F.regexp_extract_all(small, F.lit("[a-z]{3,}"), F.lit(0))
 
 
 def numbers(text: Column) -> Column:

@@ -9,8 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables whose rows are worth more work than a shuffle, and the size up to which they are dealt out.
+TEXTS, SPREAD_BYTES = ("documents", "pages"), 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES:
+        # a small file is one row group, which one task would read and work on alone
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def pick(n: Column, options: list[str]) -> Column:
