@@ -1,19 +1,29 @@
 """Secret scans: base patterns, and assignment-aware lexing.
 
-The lexer reads source and configuration syntax as pairs of a name and an expression of literals
-and names (`name = "a" + 'b'`, `name: value`, `"name": "value"`, `name => value`). A name that an
-earlier pair of the text gave a constant stands for that constant, so a literal that reaches a
-sensitive target through other names is found where it is written. A literal is scored by its
-target's name (how sensitive) and by its own form (length, mixture of letters and digits, spread of
-characters; placeholders score nothing).
-
-Offsets are code points, ends exclusive. Defined cases: null is the empty text, without spans;
-repeated rows keep their rows; an empty table gives an empty result; other columns are not read.
+The lexer goes through source and configuration text once and reads bindings of a name to an
+expression: `name = ...`, `name: type = ...`, `a = b = ...`, `name: ...`, `"name": ...`, `name => ...`,
+`name := ...`. An expression is made of quoted literals (with escapes, prefixes, three quotes or
+backticks, over several lines within brackets), bare words and names, put together by `+`, `..` or
+by standing side by side; comments between its parts are passed over. Braces open scopes: a name is
+bound within them only, and the keys around a binding lend it some of their weight. Bindings inside
+comments are read too, but their names hold in the comment alone.
+
+Names make a graph. A name stands for what it was bound to last before, in this scope or around it,
+or else for its first binding further on, so a literal that reaches a sensitive target through other
+names, in any order, is found where it is written. A literal is scored by its target's name (how
+sensitive) and by its own form (length, mixture of letters and digits, spread of characters;
+placeholders score nothing).
+
+Offsets are code points, ends exclusive. The scan is linear in the text, and nothing is cut off.
+Defined cases: null is the empty text, without spans; repeated rows keep their rows; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,10 +40,20 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "flow")
 
-_TERM = r"""(?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|[A-Za-z0-9_+/.=-]+)"""
-_PAIR = re.compile(rf"""([A-Za-z_][A-Za-z0-9_.-]*)["'\]]*[ \t]*(?::=|=>|[:=])[ \t]*({_TERM}(?:[ \t]*(?:\+|\.\.)[ \t]*{_TERM})*)""")
-_TERMS = re.compile(_TERM)
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
+#: What the scan stops at: braces, comments and their ends, and names before a sign of binding. A name
+#: begins where no name character stands before, so no run of them is tried twice.
+_STOP = re.compile(
+    r"""(?P<brace>[{}])|(?P<open>/\*|<!--)|(?P<close>\*/|-->)|(?P<line>(?<![:\w])//|(?<![\w&])\#)|(?P<end>\n)
+    |(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)["'\])]{0,2}+[ \t]*+(?P<sign>:=|=>|=(?![=~])|:(?!:))""",
+    re.X | re.A,
+)
+_TYPED = re.compile(r"[ \t]*+[A-Za-z_][\w.\[\]|?<>]*+[ \t]*+=(?![=>~])", re.A)
+_TRIVIA = re.compile(r"(?:[ \t]++|/\*(?s:.*?)\*/|\\\n)*+")
+_TRIVIA_LINES = re.compile(r"(?:\s++|/\*(?s:.*?)\*/|\\\n|(?:\#|//)[^\n]*+)*+")
+_QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:(?P<three>\"\"\"|\'\'\')(?P<long>(?s:.*?))(?P=three)|"(?P<double>(?:[^"\\\n]++|\\.)*+)"|'(?P<single>(?:[^'\\\n]++|\\.)*+)'|`(?P<back>[^`]*+)`)""", re.S)
+_BARE = re.compile(r"[A-Za-z0-9_$+/.-]++={0,2}+")
+_CHAINED = re.compile(r"([A-Za-z_$][\w$.-]*+)[ \t]*+=(?![=>~])(?=[ \t]*+[\"'`\w$(\[{])", re.A)
+_JOIN = re.compile(r"\+(?!=)|\.\.")
 #: Parts of names, and how sensitive a target with that part is.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "apikey": 3, "token": 3, "credential": 3, "credentials": 3, "private": 2, "auth": 2, "key": 1, "access": 1, "signing": 1, "bearer": 2}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|none|null|true|false|your.*|<.*|test|todo|redacted)$")
@@ -58,19 +78,29 @@ class Constant:
         self.parts, self.known = parts, False
 
     def measure(self) -> None:
-        """size, head (the first HEAD characters) and counts of characters, in order of appearance."""
-        todo = [self]
+        """size, head (the first HEAD characters) and counts of characters, in order of appearance. A
+        name that leads back to itself adds nothing there."""
+        todo, on_way = [self], set()
         while todo:
             c = todo[-1]
-            if not c.known and (below := [p for p in c.parts if isinstance(p, Constant) and not p.known]):
-                todo += below
-                continue
-            todo.pop()
             if c.known:
+                todo.pop()
                 continue
+            if id(c) not in on_way:
+                on_way.add(id(c))
+                below = [p for p in c.parts if isinstance(p, Constant) and not p.known and id(p) not in on_way]
+                if below:
+                    todo += below
+                    continue
+            todo.pop()
             c.size, c.head, c.counts, c.known = 0, "", {}, True
             for p in c.parts:
-                value, n, counts = (p.head, p.size, p.counts) if isinstance(p, Constant) else (p[0], len(p[0]), Counter(p[0]))
+                if isinstance(p, Constant):
+                    if not p.known:
+                        continue
+                    value, n, counts = p.head, p.size, p.counts
+                else:
+                    value, n, counts = p[0], len(p[0]), Counter(p[0])
                 c.size += n
                 if len(c.head) < HEAD:
                     c.head += value[: HEAD - len(c.head)]
@@ -89,26 +119,122 @@ def literal_score(value: Constant) -> float:
     return min(2.0, min(n, 24) / 12) + (1.0 if digits else 0.0) + (1.0 if spread >= 3 else 0.0) - (2.0 if " " in counts else 0.0)
 
 
+class Lexer:
+    """One pass over a text; bound: the bindings so far, (weight of the target, its value)."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.known: dict[str, Constant] = {}  # what each name stands for here
+        self.first: dict[str, Constant] = {}  # the first binding of a name outside of comments
+        self.later: list[tuple[list, int, str]] = []  # parts that were a name without a binding
+        #: Of each scope: what to put back at its end, and the weight of the key that it belongs to.
+        self.scopes: list[tuple[list[tuple[str, Constant | None]], int]] = [([], 0)]
+        self.bound: list[tuple[int, Constant]] = []
+        self.chained: dict[int, Constant] = {}  # by the place of a name, what it is about to be bound to
+
+    def _enter(self, weight: int) -> None:
+        self.scopes.append(([], weight))
+
+    def _leave(self) -> None:
+        if len(self.scopes) > 1:
+            for name, before in reversed(self.scopes.pop()[0]):
+                if before is None:
+                    self.known.pop(name, None)
+                else:
+                    self.known[name] = before
+
+    def scan(self) -> list[tuple[int, Constant]]:
+        text, key_weight, comment = self.text, 0, ""
+        for m in _STOP.finditer(text):
+            kind = m.lastgroup
+            if kind == "sign":
+                weight = max(name_score(m["name"]), self.scopes[-1][1] - 1)
+                at = m.end()
+                if m["sign"] == ":" and (typed := _TYPED.match(text, at)):
+                    at = typed.end()
+                value, opens = self._expression(at)
+                if (before := self.chained.pop(m.start("name"), None)) is not None:
+                    before.parts.append(value)
+                if value.parts:
+                    self._bind(m["name"], value, weight, bool(comment))
+                key_weight = weight if opens else 0
+            elif kind == "brace":
+                if m[0] == "{":
+                    self._enter(max(key_weight, self.scopes[-1][1] - 1))
+                    key_weight = 0
+                else:
+                    self._leave()
+            elif kind in ("open", "line"):
+                if not comment:
+                    comment = "\n" if kind == "line" else "*/" if m[0] == "/*" else "-->"
+                    self._enter(0)
+            elif comment and m[0] == comment:
+                comment = ""
+                self._leave()
+        for parts, k, name in self.later:
+            if name in self.first:
+                parts[k] = self.first[name]
+        return self.bound
+
+    def _bind(self, name: str, value: Constant, weight: int, in_comment: bool) -> None:
+        self.scopes[-1][0].append((name, self.known.get(name)))
+        self.known[name] = value
+        if not in_comment:
+            self.first.setdefault(name, value)
+        if weight:
+            self.bound.append((weight, value))
+
+    def _expression(self, at: int) -> tuple[Constant, bool]:
+        """The value of the expression that begins at a place, and whether that is an opening brace."""
+        text, parts, depth, joined = self.text, [], 0, True
+        at = _TRIVIA.match(text, at).end()
+        if text.startswith("{", at):
+            return Constant(parts), True
+        while at < len(text):
+            c = text[at]
+            if c in "([" and joined:
+                depth += 1
+                at += 1
+            elif c in ")]" and depth:
+                depth -= 1
+                at += 1
+            elif c == "," and depth:
+                at, joined = at + 1, True
+            elif (join := _JOIN.match(text, at)) and not joined:
+                at, joined = join.end(), True
+            elif quoted := _QUOTED.match(text, at):  # side by side is joined too
+                inside = "long" if quoted["three"] else quoted.lastgroup
+                parts.append((quoted[inside], *quoted.span(inside)))
+                at, joined = quoted.end(), False
+            elif joined and (bare := _BARE.match(text, at)):
+                if chained := _CHAINED.match(text, at):  # a = b = ...: what b is about to be bound to
+                    parts.append(self.chained.setdefault(chained.start(), Constant([])))
+                    break
+                at, joined = bare.end(), False
+                if text.startswith("(", at):
+                    break  # a call: what it is given is not what is bound
+                self._add(parts, bare)
+            else:
+                break
+            at = (_TRIVIA_LINES if depth else _TRIVIA).match(text, at).end()
+        return Constant(parts), False
+
+    def _add(self, parts: list, bare: re.Match) -> None:
+        raw, start = bare[0], bare.start()
+        if raw.strip("+") == "" or raw == "..":
+            return
+        names = raw.split("+") if "+" in raw else [raw]
+        if all(n in self.known for n in names):
+            parts += [self.known[n] for n in names]
+            return
+        if raw[0].isalpha() or raw[0] in "_$":
+            self.later.append((parts, len(parts), raw))
+        parts.append((raw, start, bare.end()))
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """The spans of literals whose target is sensitive enough."""
-    known: dict[str, Constant] = {}
-    told = []
-    for m in _PAIR.finditer(text):
-        parts: list = []
-        for t in _TERMS.finditer(text, m.start(2), m.end(2)):
-            raw = t[0]
-            if raw in ("+", ".."):  # the joining signs between terms
-                continue
-            if raw[0] in "\"'":
-                parts.append((raw[1:-1], t.start() + 1, t.end() - 1))
-            elif raw in known:
-                parts.append(known[raw])
-            else:
-                parts.append((raw, t.start(), t.end()))
-        value = known[m[1]] = Constant(parts)
-        weight = name_score(m[1])
-        if weight and weight + literal_score(value) >= MIN_SCORE:
-            told.append(value)
+    told = [value for weight, value in Lexer(text).scan() if weight + literal_score(value) >= MIN_SCORE]
     found, seen = set(), set()
     while told:
         if id(value := told.pop()) in seen:
@@ -138,7 +264,10 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     base = base_spans(text)
     more = []
     if ":" in text or "=" in text:
-        more = [(s, 3, e) for s, e in lexed(text) if not any(a <= s and e <= b for a, _, b in base)]
+        starts = [a for a, _, _ in base]
+        reach = list(itertools.accumulate((b for *_, b in base), max))  # the furthest end so far
+        inside = lambda s, e: (k := bisect.bisect_right(starts, s)) and reach[k - 1] >= e
+        more = [(s, 3, e) for s, e in lexed(text) if not inside(s, e)]
     return base, sorted(base + more)
 
 

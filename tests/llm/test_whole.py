@@ -84,3 +84,56 @@ def test_long_expressions_and_literals():
     assert flow('p0 = "Zk39xQ"\n' + "".join(f"p{k + 1} = p{k} + p{k}\n" for k in range(400)) + "db_secret = p400") == ["Zk39xQ"]
     assert time.monotonic() - start < 20
     assert flow('db_secret = "' + "x" * 100 + '"') == []  # a placeholder of any length
+
+
+def test_lexer_forms():
+    lit = "Zk39xQw71LmA8"
+    for before, after in (('db_password: str = "', '"'), ('const apiSecret: string = \'', "'"), ('a = db_secret = "', '"'), ('db_secret = b"', '"'), ('auth_token => `', "`"), ('"client_secret" : "', '" ,'), ('private_key = """', '"""'), ("# my_secret = '", "'"), ('secret = {"github": "', '"}'), ("db_secret = (\n  # why\n  '", "'\n)"), ("db_secret = /* why */ '", "'"), ("x = 1; user.password := '", "'"), ("db_secret = ['", "', other]")):
+        text = f"{before}{lit}{after}\n"
+        assert any(lit in text[a:b] for a, _, b in secrets.spans(text)[1]), before
+    assert flow(f'db_secret = later\nlater = "{lit}"') == [lit]  # bound further on
+    assert flow(f'f {{ part = "{lit}" }}\ndb_secret = part2 + part2\npart = "no"') == []
+    assert flow(f'part = "{lit}"\nf {{ part = "x" }}\ndb_secret = part') == [lit]  # the scope's own name is gone
+    assert flow(f'# part = "{lit}"\ndb_secret = part') == []  # a comment's name holds in it alone
+    assert flow(f'db_secret = load("{lit}")') == []
+    assert flow('db_secret = "a\\"b1Zk39xQw71L" "mA8"') == ['a\\"b1Zk39xQw71L', "mA8"]
+    assert flow(f'a = b\nb = a\ndb_secret = a + b + "{lit}"') == [lit]  # names that lead in a circle
+
+
+def test_lexer_against_programs():
+    """Programs put together from statements of which it is known what each name holds."""
+    r = random.Random(12)
+    for _ in range(300):
+        out, holds, want = "", {}, set()
+        for k in range(r.randint(1, 12)):
+            name = r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randint(0, 2))
+            target = r.random() < 0.4
+            out += r.choice(["", "let ", "  ", "// note\n", "see: nothing\n"]) + (f"db_secret_{k}" if target else name) + r.choice([" = ", "=", " := ", ": str = "])
+            spans_ = set()
+            for j in range(r.randint(1, 4)):
+                out += " + " if j else ""
+                if holds and r.random() < 0.5:
+                    known = r.choice(sorted(holds))
+                    out += known
+                    spans_ |= holds[known]
+                else:
+                    quote = r.choice("'\"")
+                    value = "".join(r.sample("bcdefghKLMNOPQ023456789", r.randint(12, 16))) + "a1"
+                    spans_.add((len(out) + 1, len(out) + 1 + len(value)))
+                    out += quote + value + quote
+            out += r.choice(["\n", ";\n", "  # end\n"])
+            if target:
+                want |= spans_
+            else:
+                holds[name] = spans_
+        base = secrets.base_spans(out)
+        want = {s for s in want if not any(a <= s[0] and s[1] <= b for a, _, b in base)}
+        assert set(secrets.lexed(out)) - want <= {s for s in secrets.lexed(out) if any(a <= s[0] and s[1] <= b for a, _, b in base)}
+        assert {(s, e) for s, k, e in secrets.spans(out)[1] if k == 3} == want, out
+
+
+def test_scan_is_linear():
+    for text in ("a" * 1_000_000 + " = ", "a.b-" * 250_000, "x=" * 400_000, "{" * 500_000 + "a = 'b'", "db_secret = '" * 60_000, "k: v\n" * 150_000, '"""' * 200_000, "p = p + p\n" * 100_000):
+        start = time.monotonic()
+        secrets.spans(text)
+        assert time.monotonic() - start < 12, text[:20]
