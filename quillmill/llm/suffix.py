@@ -1,16 +1,15 @@
 """Removal of repeated byte strings by suffix arrays of linear grouping construction.
 
-Candidates. A word start (a byte after white space) is fixed by two bytes; it is named by the GRAM
-bytes that follow. Of the word starts inside a window of WINDOW bytes the one of least name is the
-window's mark, so equal windows have equal marks at equal places. Consecutive windows with one mark
-form a segment. A window without word starts is its own mark and segment. Marks are dealt to buckets
-by name. Of equal segments under a mark, those of documents above the least are covered outright:
+Candidates. Each place in a text is named by the GRAM bytes that follow. Of the places inside a window
+of WINDOW bytes the one of least name is the window's mark, so equal windows have equal marks at
+equal places, in any script and with or without white space. Consecutive windows with one mark form
+a segment: about one for every 17 bytes. Marks are dealt to buckets by name. Of equal segments under a mark, those of documents above the least are covered outright:
 for the suffix array they are one string with several owners. Only where a mark has different
 segments (the ends of repeated passages) are their bytes needed.
 
 Suffix arrays. A bucket's distinct segments are cut at the mark into a left part, read backwards,
-and a right part, and become one text of big-endian 8-byte symbols. suffix_array() sorts its
-suffixes by grouping: groups of suffixes that share a Lyndon prefix are processed in descending
+and a right part. The distinct parts, in no order, become one text, whose symbols stand for SYMBOL
+bytes each. suffix_array() sorts its suffixes by grouping: groups of suffixes that share a Lyndon prefix are processed in descending
 order, each splitting the groups that its members' previous-smaller pointers lead to, then each
 group's order is emitted along the same pointers. With the common prefixes of neighbours, the array
 gives every part's class at every depth, so two windows are equal exactly if the classes of their
@@ -33,13 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import SPACE, _LETTERS, mix, prefix_sums, slices, span_hashes
+from .blocks import _LETTERS, mix, prefix_sums, slices, span_hashes
 from .common import ROUTED, bucket_of, buckets_for, by_bucket, deal, ids_out, in_order, lean, lean_group, narrow, pack, pack_ids, prime_from, routed_batch, unpack
 
 WINDOW, GRAM = 50, 16
 #: A window begins 1 to REACH bytes before its mark.
 REACH = WINDOW - GRAM
 LEFT, RIGHT = REACH, WINDOW - 1
+#: Bytes of a symbol of a suffix array: a left part is two, a right part three.
+SYMBOL = 17
 _PLACE = np.uint64((1 << 31) - 1)
 _NONE = np.uint64((1 << 64) - 1)
 COVERED, COMPARE = 1, 2
@@ -129,19 +130,20 @@ def classes(strings: np.ndarray) -> np.ndarray:
     n, width = strings.shape
     if not n:
         return np.zeros((width + 1, 0), np.int64)
-    symbols = -(-width // 8)
-    padded = np.zeros((n, 8 * symbols), np.uint8)
-    padded[:, :width] = strings
-    whole, index = np.unique(padded.view(f"V{8 * symbols}").reshape(-1), return_inverse=True)
-    whole = np.ascontiguousarray(whole).view(np.uint8).reshape(-1, 8 * symbols)
-    m = len(whole)
-    words = np.ascontiguousarray(whole).view(">u8").astype(np.uint64)
-    _, rank = np.unique(words, return_inverse=True)
-    text = np.ones((m, symbols + 1), np.int64)  # each string ends with the least symbol
+    power = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    _, first, index = np.unique(strings.astype(np.uint64) @ power, return_index=True, return_inverse=True)
+    whole = strings[first]
+    if (whole[index] != strings).any():  # two rows of one hash: equal rows are found by their bytes
+        whole, index = np.unique(strings, axis=0, return_inverse=True)
+    m, symbols = len(whole), -(-width // SYMBOL)
+    padded = np.zeros((m, SYMBOL * symbols), np.uint8)
+    padded[:, :width] = whole
+    _, rank = np.unique(padded.view(f"V{SYMBOL}").reshape(-1), return_inverse=True)
+    text = np.ones((m, symbols + 1), np.int64)  # each part ends with the least symbol
     text[:, :symbols] = rank.reshape(m, symbols) + 2
     order = np.array(suffix_array(text.reshape(-1).tolist()), np.int64)
     order = order[order % (symbols + 1) == 0] // (symbols + 1)
-    differ = whole[order[1:], :width] != whole[order[:-1], :width]
+    differ = whole[order[1:]] != whole[order[:-1]]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     out = np.zeros((width + 1, m), np.int64)
     for d in range(1, width + 1):
@@ -163,35 +165,29 @@ class Segments:
         if windows <= 0:
             self.row = self.first = self.last = self.place = empty
             self.mark = self.check = np.zeros(0, np.uint64)
-            self.whole = np.zeros(0, bool)
             return
         sums = prefix_sums(data, _LETTERS)
-        space = SPACE[data]
-        start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        start = start[start + GRAM <= n]
+        start = np.arange(n - GRAM + 1)
         name = span_hashes(sums, start, start + GRAM)
         least = np.full(n + REACH, _NONE)
-        least[start] = (name & ~_PLACE) | start.astype(np.uint64)
+        least[: len(start)] = (name & ~_PLACE) | start.astype(np.uint64)
         for step in (1, 2, 4, 8, 16):
             least = np.minimum(least[:-step], least[step:])
         least = np.minimum(least[: -(REACH - 32)], least[REACH - 32 :])
-        least = least[1 : windows + 1]  # of the word starts at 1 .. REACH bytes after the window's
+        least = least[1 : windows + 1]  # of the places at 1 .. REACH bytes after the window's
         last_of = offsets[1:] - WINDOW
         size = np.maximum(last_of - offsets[:-1] + 1, 0)
         row = np.repeat(np.arange(len(size)), size)
         at = np.arange(len(row)) + np.repeat(offsets[:-1] - (np.cumsum(size) - size), size)
         least = least[at]
-        none = least == _NONE
         new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | none[1:]
+        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
         edge = np.flatnonzero(new)
         self.row, self.first = row[edge], at[edge]
         self.last = at[np.append(edge[1:], len(at))[: len(edge)] - 1] if len(edge) else empty
-        self.whole = none[edge]
-        self.place = np.where(self.whole, self.first, (least[edge] & _PLACE).astype(np.int64))
+        self.place = (least[edge] & _PLACE).astype(np.int64)
         body = span_hashes(sums, self.first, self.last + WINDOW)
-        gram_end = np.minimum(self.place + GRAM, n)
-        self.mark = np.where(self.whole, body, span_hashes(sums, self.place, gram_end))
+        self.mark = name[self.place]
         self.check = mix(body ^ mix((self.place - self.first).astype(np.uint64) * np.uint64(131) + (self.last - self.first).astype(np.uint64))) >> np.uint64(16)
 
     def key(self) -> np.ndarray:
@@ -306,7 +302,7 @@ def _send_parts(n_buckets: int):
             base = offsets[s.row]
             c = kind == COVERED
             spans.append((row[c], (s.first - base)[c], (s.last - base)[c] + WINDOW))
-            w = np.flatnonzero((kind == COMPARE) & ~s.whole)
+            w = np.flatnonzero(kind == COMPARE)
             left, right = s.parts(w)
             columns = s.mark[w], row[w], (s.place - base)[w], (s.place - s.last)[w], (s.place - s.first)[w], np.arange(len(w))
             for b, (m, r, p, a, z, x) in deal(bucket_of(s.mark[w], n_buckets), n_buckets, *columns):

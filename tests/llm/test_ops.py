@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,31 @@ def test_suffix_array():
         assert suffix.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_part_classes():
+    """The order that the construction gives decides: rows come in no order, and depths are exact."""
+    r = np.random.default_rng(3)
+    for n, width, letters in ((1, 34, 2), (400, 34, 2), (700, 49, 3), (300, 49, 200)):
+        rows_ = r.integers(0, letters, (n, width)).astype(np.uint8)
+        rows_[n // 2 :, : width // 2] = rows_[r.integers(0, n // 2 + 1, n - n // 2), : width // 2]
+        got = suffix.classes(rows_)
+        for d in range(width + 1):
+            own = [x[:d].tobytes() for x in rows_]
+            assert len({*zip(own, got[d].tolist(), strict=True)}) == len(set(own)) == len(set(got[d].tolist()))
+
+
+def test_repeats_without_spaces(spark):
+    """Text without white space has as few marks as any other, and its repeats are found."""
+    r = random.Random(6)
+    a, b = ("".join(r.choices("ABCDEFabcdef0123456789+/", k=4000)) for _ in range(2))
+    han = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(1500))
+    data = np.frombuffer((a + han).encode(), np.uint8)
+    assert len(suffix.Segments(data, np.array([0, len(data)])).row) < 0.08 * len(data)
+    rows_ = [(1, a), (2, b + a[100:1000] + b), (3, han), (4, "x" + han[:700] + b), (5, "z" * 500), (6, "z" * 300)]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix.remove_repeats(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    want = {i: (sum(g), sum(x and not y for x, y in zip(g, [False, *g], strict=False))) for i, _, g in removed([(i, t.encode()) for i, t in rows_], suffix.WINDOW)}
+    assert got == want
+
+
 # --- 5
 
 
