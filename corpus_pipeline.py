@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet and read again as the next one's docs. The last stage returns the mixture: one
 row for each time a document is drawn.
+
+Defined cases, as the operators state them: a null or empty text fails the quality rules and goes; a
+null id is smaller than any other, and rows that share an id are one document for near_dedup and
+documents of their own elsewhere; an empty table gives an empty mixture; other columns, whatever their
+names, pass through all stages but the last as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import decontamination, host_rules, minhash, mixing, templates
-from quillmill.llm.common import scratch, table
+from quillmill.llm.common import forget, forget_since, made, scratch, table
 
 #: Percent of their shingles that near copies share at least in near_dedup; op10 itself takes 85.
 NEAR_PERCENT = 80
@@ -50,6 +55,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
+        mark = made()
         docs = scratch(stage(spark, docs, sf_dir), name)
+        forget_since(mark, docs)  # a stage's own tables, and then its input, are read no more
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

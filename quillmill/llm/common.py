@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of input that one bucket of a packed exchange should stand for.
 BUCKET_BYTES = 4 << 20
-MIN_BUCKETS, MAX_BUCKETS = 48, 1 << 16
+MIN_BUCKETS, MAX_BUCKETS = 48, 1 << 20
 #: Bytes of a group after which a worker's free memory is given back.
 LARGE_GROUP = 4 << 20
 #: Bytes of an Arrow batch.
@@ -31,8 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for scratch tables: spark.checkpoint.dir of the session, which all machines
-    share. Only where that is unset, as in tests on one machine, a folder of our own is set."""
+    share. Only where that is unset on one machine, as in tests, a folder of our own is set."""
     base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = "file:///tmp/quillmill-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)

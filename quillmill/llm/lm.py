@@ -35,6 +35,8 @@ from .blocks import Words, mix, slices
 from .common import buckets_for, lean, lean_group, narrow, pack, scratch, scratch_bucketed, unpack
 
 BLOCK_BYTES = 12 << 20
+#: Buckets that a code tells apart.
+MAX_CODED = 1 << 16
 HELD_OUT_OF = 10
 SMOOTH = 0.1
 END, START = np.uint64(0x6C62272E07BB0142), np.uint64(0xB5297A4D3F84D5A1)
@@ -122,7 +124,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
 
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(HELD_OUT_OF)) == 0
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held.alias("held"))
-    return scratch_bucketed(cut.mapInArrow(lean(run), "block long, payload binary"), "blocks", "block", buckets_for(docs))
+    return scratch_bucketed(cut.mapInArrow(lean(run), "block long, payload binary"), "blocks", "block", min(MAX_CODED, buckets_for(docs)))
 
 
 class Block:
@@ -312,7 +314,7 @@ def _score(n: int, d2: tuple, d1: tuple, numbers: list[int]):
 def count_model(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The blocks, and the two rounds' tables: rows with a target are a block's part of the model,
     those with target -1 are the model's shards (sorted hashes, counts)."""
-    n = buckets_for(docs)
+    n = min(MAX_CODED, buckets_for(docs))
     blocks = make_blocks(docs)
     sent = blocks.mapInArrow(lean(_send_bigrams(n)), SENT)
     bigrams = scratch(sent.groupBy("bucket").applyInArrow(lean_group(_tally(1, _bigram_numbers)), SENT), "bigrams")

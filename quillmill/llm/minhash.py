@@ -353,15 +353,19 @@ def _unite(united: DataFrame | None, new: DataFrame) -> DataFrame | None:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every document."""
+    mark = made()
     s = scratch(signed(docs), "signatures")
     key = ["f1", "f2", "n_shingles"]
     classes = scratch(s.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")).withColumn("cls", F.xxhash64(*key)), "classes")
     united = links(classes, docs, percent)
     named = classes.select(*key, "cls", "rep")
+    kept = [s, classes]
     if united is not None:
         of = scratch(named.select("cls", "rep").join(united.withColumnRenamed("node", "cls"), "cls"), "of")
+        kept.append(of)
         first = of.groupBy("component").agg(F.min("rep").alias("first"))
         named = named.join(of.join(first, "component").select("cls", "first"), "cls", "left").withColumn("rep", F.coalesce("first", "rep"))
+    forget_since(mark, *kept)
     named = named.select(*key, "rep")
     own = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
     out = s.select("doc_id", *key).join(named, key, "left").select(F.col("doc_id"), "n_shingles", own.alias("component_id"))
