@@ -62,9 +62,16 @@ k AS (SELECT DISTINCT k FROM q),
 o AS (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, k)),
 m AS (SELECT doc_id, i, k, item_id FROM o JOIN q USING (k, win)),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM m) GROUP BY 1),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY 1)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY 1),
+x AS (SELECT win, k, term, count(*) AS c FROM (SELECT win, k, unnest(string_split(win, ' ')) AS term FROM (SELECT DISTINCT win, k FROM q)) GROUP BY 1, 2, 3),
+dw AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS pos FROM d) WHERE term IN (SELECT term FROM x)),
+y AS (SELECT x.*, count(*) OVER (PARTITION BY win) AS kinds, row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), term) AS r FROM x LEFT JOIN (SELECT term, count(*) AS n FROM dw GROUP BY 1) USING (term)),
+a AS (SELECT DISTINCT doc_id, win, k, kinds, unnest(range(pos - k - 2, pos + 1)) AS s FROM dw JOIN y USING (term) WHERE r = 1),
+a2 AS (SELECT DISTINCT a.* FROM a JOIN y USING (win) JOIN dw ON dw.doc_id = a.doc_id AND dw.term = y.term AND dw.pos BETWEEN s AND s + a.k + 2 WHERE r = least(2, a.kinds)),
+z AS (SELECT doc_id, win, s FROM (SELECT a2.doc_id, win, s, a2.kinds, c, count(*) AS n FROM a2 JOIN y USING (win) JOIN dw ON dw.doc_id = a2.doc_id AND dw.term = y.term AND dw.pos BETWEEN s AND s + a2.k + 2 GROUP BY 1, 2, 3, 4, y.term, c HAVING count(*) >= c) GROUP BY doc_id, win, s, kinds HAVING count(*) = kinds),
+e AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT DISTINCT doc_id, win FROM z) JOIN q USING (win) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN e USING (doc_id)
 """
 ORACLES["op8_positional_decontamination"] = OP8
 

@@ -116,3 +116,30 @@ def test_proximity_cases(spark):
     assert {r.doc_id for r in got.collect()} == {1, 3}
     vocabulary, terms, _ = decontamination.phrases(items.filter("item_id > 9"))
     assert decontamination.proximity(decontamination.build_index(d, vocabulary), terms, slack=3).count() == 0
+
+
+def test_proximity_plain(spark):
+    """Random short documents against every span of every document, with repeated rows and words."""
+    rng = random.Random(8)
+    alphabet = [f"t{k}" for k in range(9)]
+    rows = [(k, " ".join(rng.choices(alphabet, [9, 7, 5, 3, 2, 2, 1, 1, 1], k=rng.choice((0, 3, 9, 40, 90))))) for k in range(60)]
+    rows += [rows[4], (None, rows[7][1]), (None, rows[7][1]), (None, None)]
+    items = [(k, " ".join(rng.choices(alphabet, k=n))) for k, n in enumerate((1, 2, 3, 4, 5, 7, 9, 10, 11, 14))] + [(90, "t0 t0 t0"), (91, "t8"), (92, "nowhere t1")]
+    want = []
+    for i, text in rows:
+        ws, near, hit, named = (text or "").split(), set(), set(), set()
+        for item, phrase in items:
+            p = phrase.split()
+            for at in range(max(len(p) - 9, 1)):
+                q = p[at : at + 10]
+                span = len(q) + decontamination.SLACK
+                if any(not Counter(q) - Counter(ws[s : s + span]) for s in range(len(ws))):
+                    near.add(item)
+                for s in range(len(ws) - len(q) + 1):
+                    if ws[s : s + len(q)] == q:
+                        hit |= set(range(s, s + len(q)))
+                        named.add(item)
+        want.append((str(i), len(ws), len(hit), len(named), len(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontamination.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.n_near) for r in got) == sorted(want)
