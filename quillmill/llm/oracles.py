@@ -110,3 +110,49 @@ SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS
   sha256(unhex(CASE WHEN n = 0 THEN x ELSE substr(x, 1, 2 * (f - 1)) || rest END)) AS kept_sha256 FROM t
 """
 ORACLES["op7_suffix_dedup"] = OP7
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other: a(k) assigns parts to the codebooks b(k)."""
+    distance = "list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i])))"
+    steps = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS FIRST, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"part AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM k, range({parts}) t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, r AS e, x FROM part WHERE r < {entries})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, p, n.d, n.e, x FROM (SELECT a.r, a.p, any_value(a.x) AS x, min({{'d': {distance}, 'e': b.e}}) AS n FROM part a JOIN b{n} b USING (p) GROUP BY 1, 2))")
+        if n < rounds:
+            steps.append(f"""s{n} AS (SELECT p, e, i, sum(c) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY 1, 2, 3),
+m{n} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{n} GROUP BY 1, 2),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN m{n} m USING (p, e))""")
+    steps.append(f"coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1)")
+    steps.append(f"digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN coded USING (r), digest"
+
+
+ORACLES["op11_vector_codes"] = _vector_codes()
+
+#: CRC-32 of a decimal number: a shift register over its digits, eight steps a byte.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({c}::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+OP12 = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] AS key, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS pos FROM t),
+c AS (SELECT conv_id, {_CRC.format(c="conv_id")} % 4 AS h, conv_id - conv_id % 20 AS lead_id FROM (SELECT DISTINCT conv_id FROM o)),
+n AS (SELECT conv_id, h, lead_id, least(h, (SELECT count(*) FROM o WHERE o.conv_id = c.lead_id)) AS taken FROM c),
+b AS (SELECT n.conv_id, o.pos AS d, key, words FROM n JOIN o ON o.conv_id = n.lead_id AND o.pos < h
+  UNION ALL SELECT conv_id, pos - h + taken, key, words FROM n JOIN o USING (conv_id) WHERE pos >= h),
+p AS (SELECT conv_id, d + 1 AS depth, words, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, d + 1 = count(*) OVER (PARTITION BY conv_id) AS ends FROM b
+  UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM b) FROM c),
+g AS (SELECT path, min(conv_id) AS conv_id, any_value(depth)::BIGINT AS depth, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM p GROUP BY 1),
+k AS (SELECT path, left(path, (32 * (depth - 1))::BIGINT) AS up, depth, conv_id, n_convs, words, ids FROM g),
+ch AS (SELECT up AS path, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY 1),
+f AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN ch USING (path)),
+a AS (SELECT left(path, 32 * unnest(range(0, depth + 1))) AS path, n_children, (n_convs - 1) * words AS saved FROM f),
+s AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM a GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ids) AS ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN k u ON f.depth > 0 AND u.path = f.up
+"""
+ORACLES["op12_prefix_trie"] = OP12

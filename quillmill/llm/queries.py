@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, lm, minhash, mixing, recompression, secrets, suffix, templates, tokens
+from . import decontamination, host_rules, lm, minhash, mixing, prefix_trie, recompression, secrets, suffix, templates, tokens, toxicity, vector_codes
 from .common import table
 from .oracles import ORACLES
 
@@ -54,4 +54,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_kneser_ney, op4_recompression_dedup, op5_host_rules, op6_template_line_dedup, op7_suffix_dedup, op8_positional_decontamination, op9_temperature_mixing, op10_minhash_near_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", spans.alias("offending"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_kneser_ney, op4_recompression_dedup, op5_host_rules, op6_template_line_dedup, op7_suffix_dedup, op8_positional_decontamination, op9_temperature_mixing, op10_minhash_near_dedup, op11_vector_codes, op12_prefix_trie, op13_toxicity)}
