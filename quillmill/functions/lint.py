@@ -1,4 +1,8 @@
-"""Structural faults of Markdown and LaTeX, as Column expressions."""
+"""Structural faults of Markdown and LaTeX, as Column expressions.
+
+Texts come in lines of any length, and a loop over alternatives, (?:a|b)*, costs the JVM a stack frame
+for each turn. So loops here are over single characters, or possessive, which takes no frame: what
+stands between delimiters is read as runs of plain characters with escapes between them."""
 
 from __future__ import annotations
 
@@ -8,9 +12,9 @@ from pyspark.sql import functions as F
 from . import text as T
 
 # Patterns that results depend on. `.` stops at \n only, hence (?d).
-MATH = r"(?sd)(?<!\\)\$\$.*?(?<!\\)\$\$|(?<!\\)\$(?:\\.|[^$\\\n])*\$"
+MATH = r"(?sd)(?<!\\)\$\$.*?(?<!\\)\$\$|(?<!\\)\$[^$\\\n]*+(?:\\.[^$\\\n]*+)*+\$"
 DISPLAY = r"(?sd)\$\$(.*?)\$\$"
-INLINE = r"(?sd)(?<!\\)\$((?:\\.|[^$\\])+?)(?<!\\)\$"
+INLINE = r"(?sd)(?<!\\)\$(?!\$)([^$\\]*+(?:\\.[^$\\]*+)*+)(?<!\\)\$"
 DELIMITER = r"(?<!\\)\$\$"
 NOTE = r"(?md)^\[\^(\w+)\]:[ \t]*(.*)$"
 PLACEHOLDER = (
@@ -21,7 +25,7 @@ MARKER = r"(?<=[.,;:?!)\"”’*])\$\^\{?\d{1,3}\}?\$|(?<=[A-Za-z])\$\^\{?\d{2,3
 FUSED = r"(?md)^(?:\[\^\d+\](?!:)|\[<u>\d+</u>\])\S"
 TABLE_COMMAND = r"\\(?:multicolumn|multirow|hline|cline)\b"
 OUTSIDE = r"\\begin\{(?:align|aligned|equation|eqnarray|gather|gathered|multline|split|array|cases|[pbvBV]?matrix)\*?\}|\\tag\*?\{[^}]*\}"
-SPACED_LINK = r"!?\[[^\]\n]*\]\((?!<)([^)\n]*\s[^)\n]*)\)"
+SPACED_LINK = r"!?\[[^\]\n]*+\]\((?!<)([^)\n]*+\n[^)\n]*+(?=\))|(?=[^)\n]*+\))[^)\n]*?\s[^)\n]*+)\)"
 TITLED = r"""^\S+\s+(["']).*\1$|^\S+\s+\(.*\)$"""
 OWN_IMAGE = r"!\[Page \d+(?: scan|, figure \d+)\]\([^)\n]*\)"
 OWN_LABEL = r"(?md)^\*\*(?:Figure|Picture) [\d.]+ - transcribed by [^*\n]*:\*\*$"
@@ -40,7 +44,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def bare(md: Column) -> Column:
     """md with a space for each comment."""
-    return F.when(F.contains(md, F.lit("<!--")), F.regexp_replace(md, T.COMMENT, " ")).otherwise(md)
+    return T.strip_comments(md, " ")
 
 
 def unmatched_display(md: Column) -> Column:
@@ -72,7 +76,7 @@ def note_faults(md: Column) -> Column:
     strip = lambda x, chars: F.regexp_replace(x, rf"^[{chars}]+|[{chars}]+$", "")
 
     def fault(prose: Column, label: Column, raw: Column) -> Column:
-        body = F.trim(raw)
+        body = F.regexp_replace(raw, rf"^{T.SPACE}++|{T.SPACE}+$", "")
         kind = (
             F.when((body == "") | (strip(body, r"\[\]*. ") == label), "stub")
             .when(strip(body, r"\[\]* ").rlike(PLACEHOLDER), "placeholder")
@@ -108,9 +112,9 @@ def spaced_links(md: Column) -> Column:
 
 
 # What follows a dollar sign on its line, up to the next one that isn't escaped.
-_INSIDE = r"(?:[^$\n]|(?<=\\)\$)*+"
+_INSIDE = r"[^$\n]*+(?:(?<=\\)\$[^$\n]*+)*+"
 _NO_CLOSE = rf"(?!{_INSIDE}(?<!\\)\$)"
-_SPACE_FIRST = r"(?=(?:[^$\n]|(?<=\\)\$)*(?<= )\$)"
+_SPACE_FIRST = rf"(?={_INSIDE}(?<= )\$)"
 _NO_WORD = r"(?:\\[A-Za-z]++(?:\{[^}$\n]*\})?+|[A-Za-z](?![A-Za-z])|(?<=\\)\$|[^A-Za-z$\n\\]|\\(?![A-Za-z]))*+"
 _FOUR_WORDS = rf"(?=(?:{_NO_WORD}[A-Za-z]{{2,}}+){{4}})"
 #: A dollar sign that means money: no formula closes on its line, or what it would enclose ends in a
@@ -150,6 +154,7 @@ def _fault(name: str, detail: Column | None = None) -> Column:
 
 
 _NONE = "array<struct<fault:string,detail:string>>"
+_SEGMENTS = "array<struct<kind:string,text:string>>"
 
 
 def _listed(found: Column, name: str) -> Column:
@@ -193,6 +198,32 @@ def formulas(md: Column) -> Column:
     return F.concat(shown, F.transform(inline, lambda t: F.struct(t.alias("tex"), F.lit(False).alias("is_display"))))
 
 
+#: What isn't plain text, in a text without comments: code, displays, inline formulas.
+PARTS = rf"(?sd)```.*?```|`[^`\n]++`|{MATH.removeprefix('(?sd)')}"
+
+
+def segments(md: Column) -> Column:
+    """md cut into (kind, text), in order and without loss: comment, code (fenced or a span), display,
+    inline and text. A comment ends what is open before it; a fence that isn't closed is text."""
+    of = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    kind = lambda x: F.when(x.startswith("`"), "code").when(x.startswith("$$") & (F.length(x) > 2), "display").otherwise("inline")
+
+    def between(plain: Column, others: Column, named) -> Column:
+        """The pieces of plain, each with the one of others that follows it."""
+        return F.flatten(F.transform(F.arrays_zip(plain.alias("a"), others.alias("b")), lambda z: F.concat(z["a"], F.when(z["b"].isNull(), F.array().cast(_SEGMENTS)).otherwise(F.array(named(z["b"]))))))
+
+    def cut(piece: Column) -> Column:
+        plain = F.transform(F.split(piece, PARTS), lambda t: F.array(of("text", t)))
+        return between(plain, _all(piece, PARTS), lambda x: F.struct(kind(x).alias("kind"), x.alias("text")))
+
+    head, tail = T.upto_last(md, "-->"), F.substring_index(md, "-->", -1)
+    apart = F.split(head, T.COMMENT)  # the last piece goes on after the last end of a comment
+    last = F.size(apart) - 1
+    pieces = F.transform(apart, lambda p, k: F.when(k == last, F.concat(p, tail)).otherwise(p))
+    found = between(F.transform(pieces, cut), T.comments(md), lambda x: of("comment", x))
+    return F.filter(found, lambda x: x["text"] != "")
+
+
 def split_md(md: Column) -> Column:
     """prose, and the other text (math and quoted descriptions) that may account for words."""
     m = bare(md)

@@ -56,8 +56,20 @@ def solid_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SPACE, ""))
 
 
-def strip_comments(text: Column) -> Column:
-    return F.regexp_replace(text, COMMENT, "")
+def upto_last(text: Column, end: str) -> Column:
+    """text up to its last `end`, and empty without one. A pattern of something that this closes need
+    not look at the rest, where each beginning would be followed to the end of the text in vain."""
+    return F.left(text, F.length(text) - F.length(F.substring_index(text, end, -1)))
+
+
+def strip_comments(text: Column, new: str = "") -> Column:
+    """text with `new` for each comment."""
+    cut = F.concat(F.regexp_replace(upto_last(text, "-->"), COMMENT, new), F.substring_index(text, "-->", -1))
+    return F.when(F.contains(text, F.lit("<!--")), cut).otherwise(text)
+
+
+def comments(text: Column) -> Column:
+    return F.regexp_extract_all(upto_last(text, "-->"), F.lit(COMMENT), F.lit(0))
 
 
 def has_content(text: Column) -> Column:

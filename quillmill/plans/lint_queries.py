@@ -47,7 +47,7 @@ _HOLDER = L.PLACEHOLDER.replace("(?i)", "(?i)")
 
 @query(
     rf"""WITH {MARKUP}, m AS (SELECT doc_id, regexp_replace(md, '(?s)<!--.*?-->', ' ', 'g') AS t FROM markup),
-    n AS (SELECT doc_id, regexp_replace(t, '{_NOTE}', ' ', 'g') AS prose, unnest(regexp_extract_all(t, '{_NOTE}', 1)) AS label, trim(unnest(regexp_extract_all(t, '{_NOTE}', 2))) AS body FROM m)
+    n AS (SELECT doc_id, regexp_replace(t, '{_NOTE}', ' ', 'g') AS prose, unnest(regexp_extract_all(t, '{_NOTE}', 1)) AS label, regexp_replace(unnest(regexp_extract_all(t, '{_NOTE}', 2)), '^\s+|\s+$', '', 'g') AS body FROM m)
     SELECT doc_id, label, fault FROM (SELECT doc_id, label, CASE WHEN body = '' OR trim(body, '[]*. ') = label THEN 'stub' WHEN regexp_matches(trim(body, '[]* '), '{_HOLDER}') THEN 'placeholder'
       WHEN length(body) > 40 AND contains(prose, rtrim(body, '.')) THEN 'repeat' END AS fault FROM n) WHERE fault IS NOT NULL"""
 )
@@ -142,6 +142,21 @@ _SPLIT = rf"""{_M}, p1 AS (SELECT doc_id, t, regexp_replace(regexp_replace(regex
     regexp_replace(regexp_replace(regexp_replace(p, '(?m)^>.*$', ' ', 'g'), '(?m)^## Page \d+\s*$', ' ', 'g'), '\[\^(\w+)\]:?', ' ', 'g') AS prose FROM p1)"""
 
 
+_PARTS_RE2 = rf"(?s)```.*?```|`[^`\n]+`|{_MATH_RE2.removeprefix('(?s)')}"
+
+
+@query(
+    rf"""WITH {MARKUP}, m AS (SELECT doc_id, replace(md, '\$', chr(1)) AS t FROM markup), c AS (SELECT doc_id, regexp_extract_all(t, '(?s)<!--.*?-->') AS cs, string_split_regex(t, '(?s)<!--.*?-->') AS ps FROM m),
+    x AS (SELECT doc_id, cs, array_to_string(list_transform(ps, lambda p: regexp_replace(p, '{_PARTS_RE2}', '', 'g')), '') AS plain, flatten(list_transform(ps, lambda p: regexp_extract_all(p, '{_PARTS_RE2}'))) AS xs FROM c),
+    k AS (SELECT doc_id, plain, cs, list_filter(xs, lambda x: x LIKE '`%') AS code, list_filter(xs, lambda x: x LIKE '$$_%') AS display, list_filter(xs, lambda x: x LIKE '$%' AND x NOT LIKE '$$_%') AS inl FROM x)
+    SELECT doc_id, replace(plain, chr(1), '\$') AS plain, {", ".join(f"replace(array_to_string({c}, '|'), chr(1), '{chr(92)}$') AS {n}" for c, n in (("cs", "comments"), ("code", "code"), ("display", "displays"), ("inl", "inlines")))} FROM k"""
+)
+def markup_segments(spark, sf_dir):
+    d = _md(spark, sf_dir).select("doc_id", L.segments(F.col("md")).alias("s"))
+    of = lambda kind, sep: F.array_join(F.transform(F.filter("s", lambda x: x["kind"] == kind), lambda x: x["text"]), sep)
+    return d.select("doc_id", of("text", "").alias("plain"), of("comment", "|").alias("comments"), of("code", "|").alias("code"), of("display", "|").alias("displays"), of("inline", "|").alias("inlines"))
+
+
 @query(rf"WITH {_SPLIT} SELECT doc_id, replace(prose, chr(1), '\$') AS prose, replace(other, chr(1), '\$') AS other FROM sp")
 def split_md(spark, sf_dir):
     return _md(spark, sf_dir).select("doc_id", L.split_md(F.col("md")).alias("s")).select("doc_id", "s.*")

@@ -59,11 +59,18 @@ MARKUP = [
     'see [site](http://x.y "title") here',
     "cost $ $12.50, later $7.10 and $x+1$",
     "> quoted (15A.2) Table D.5\n\nExample 15.7 <!-- note 3 --> $a_1$",
+    "code `a $x$ b` and\n```\ncost $5\n```\nend <!-- $y$ --> after",
+    r"paid \$7 and $\$8 + b$ here",
+    "[^5]: \r",
+    "[^6]: \t\r",
 ]
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), pick(F.col("doc_id"), MARKUP)).alias("md"))
+    """Documents with a piece of markup at their end; every seventh is one line after an amount."""
+    line = F.concat(F.lit("Price $5 "), F.translate("text", "\n", " "))
+    whole = F.when(F.col("doc_id") % 7 == 3, line).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(whole, F.lit("\n\n"), pick(F.col("doc_id"), MARKUP)).alias("md"))
 
 
 #: Models of calls: two that are listed, one local and one that no list has.
