@@ -149,3 +149,19 @@ def ocr_order(spark, sf_dir):
   SELECT page, trim(string_agg(CASE WHEN nxt IS NULL THEN text WHEN nxt - (top + 10) > 8 THEN text || chr(10) || chr(10) WHEN text LIKE '%-' THEN left(text, -1) ELSE text || ' ' END, '' ORDER BY place)) AS text FROM o GROUP BY 1""")
 def ocr_join(spark, sf_dir):
     return layout.join_ocr(layout.reading_order(_boxes(spark, sf_dir), ["page"]), ["page"])
+
+
+_WRAPS = ["one two", "cut-", "this or", "a + b,", "9", "17", "Group:", "see (", "p|q", "either/"]
+
+
+@query(
+    f"""WITH l AS (SELECT l_orderkey AS cell, l_linenumber, l_linenumber * 12 + (l_partkey % 5 = 0)::INT * l_linenumber AS y, 460 + l_quantity * 2 AS x1, {picked("l_partkey + l_linenumber", _WRAPS)} AS t FROM lineitem),
+    w AS (SELECT *, lag(t) OVER d AS pt, lag(x1) OVER d AS px, lag(y) OVER d AS py, first(t) OVER d AS head, row_number() OVER d AS place FROM l WINDOW d AS (PARTITION BY cell ORDER BY y, x1, t)),
+    j AS (SELECT *, CASE WHEN pt IS NULL OR (cell % 2 = 0 AND regexp_full_match(t, '\\d+') AND regexp_matches(pt, '\\d$')) THEN '' WHEN y - py > 14 THEN '<br><br>' WHEN head = 'Group:' THEN '<br>'
+      WHEN px + 4.6 * (length(regexp_extract(t, '^\\s*(\\S*)', 1)) + 1) > 578 THEN ' ' WHEN regexp_matches(pt, '[A-Za-z]-$') THEN '' WHEN regexp_matches(pt, '(\\bor|\\band|\\+|,|\\(|-|/)$') THEN ' ' ELSE '<br>' END AS joint FROM w)
+    SELECT cell, replace(string_agg(joint || t, '' ORDER BY place), '|', '\\|') AS text FROM j GROUP BY 1"""
+)
+def soft_wrap(spark, sf_dir):
+    p, n = F.col("l_partkey"), F.col("l_linenumber")
+    lines = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell"), (n * 12 + (p % 5 == 0).cast("int") * n).alias("y"), (F.lit(460) + F.col("l_quantity") * 2).alias("x1"), views.pick(p + n, _WRAPS).alias("text"))
+    return layout.cell_texts(layout.joints(lines, ["cell"], F.lit(578.0), F.col("cell") % 2 == 0), ["cell"])

@@ -226,10 +226,9 @@ def test_joins(spark):
     boxes = [(1, 1, 0.0, 10.0, "cut-"), (1, 2, 11.0, 10.0, "off"), (1, 3, 40.0, 10.0, "next"), (1, 4, 51.0, 10.0, "word")]
     df = spark.createDataFrame(boxes, "page int, place int, top double, height double, text string")
     assert layout.join_ocr(df, ["page"]).first().text == "cutoff\n\nnext word"
-    lines = spark.createDataFrame([(500.0, "one", "two"), (575.0, "one", "two"), (300.0, "cut-", "off"), (300.0, "this or", "that")], "x1 double, a string, b string")
-    assert [r[0] for r in lines.select(layout.between_lines(F.col("x1"), F.col("a"), F.col("b"), F.lit(578.0))).collect()] == ["<br>", " ", "", " "]
-    cell = spark.createDataFrame([([(300.0, "99.9", 0.0), (300.0, "6", 10.0), (300.0, "a|b", 40.0)],)], "l array<struct<x1:double,text:string,y:double>>")
-    assert cell.select(layout.cell_text(F.col("l"), F.lit(578.0), True)).first()[0] == "99.96<br><br>a\\|b"
+    lines = [(1, 0.0, 500.0, "one"), (1, 10.0, 575.0, "two"), (1, 20.0, 300.0, "cut-"), (1, 30.0, 300.0, "off"), (1, 40.0, 300.0, "this or"), (1, 50.0, 9.0, "that"), (2, 0.0, 300.0, "99.9"), (2, 10.0, 300.0, "6"), (2, 40.0, 300.0, "a|b")]
+    joined = layout.joints(spark.createDataFrame(lines, "cell int, y double, x1 double, text string"), ["cell"], F.lit(578.0), F.col("cell") == 2)
+    assert {r.cell: r.text for r in layout.cell_texts(joined, ["cell"]).collect()} == {1: "one<br>two cut-off<br>this or that", 2: "99.96<br><br>a\\|b"}
 
 
 def test_grid(spark):
