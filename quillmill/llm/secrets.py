@@ -48,8 +48,8 @@ _STOP = re.compile(
     re.X | re.A,
 )
 _TYPED = re.compile(r"[ \t]*+[A-Za-z_][\w.\[\]|?<>]*+[ \t]*+=(?![=>~])", re.A)
-_TRIVIA = re.compile(r"(?:[ \t]++|/\*(?s:.*?)\*/|\\\n)*+")
-_TRIVIA_LINES = re.compile(r"(?:\s++|/\*(?s:.*?)\*/|\\\n|(?:\#|//)[^\n]*+)*+")
+#: White space between an expression's parts, on one line and over lines.
+_BLANK, _BLANKS = re.compile(r"(?:[ \t]++|\\\n)*+"), re.compile(r"(?:\s++|\\\n)*+")
 _QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:(?P<three>\"\"\"|\'\'\')(?P<long>(?s:.*?))(?P=three)|"(?P<double>(?:[^"\\\n]++|\\.)*+)"|'(?P<single>(?:[^'\\\n]++|\\.)*+)'|`(?P<back>[^`]*+)`)""", re.S)
 _BARE = re.compile(r"[A-Za-z0-9_$+/.-]++={0,2}+")
 _CHAINED = re.compile(r"([A-Za-z_$][\w$.-]*+)[ \t]*+=(?![=>~])(?=[ \t]*+[\"'`\w$(\[{])", re.A)
@@ -119,8 +119,24 @@ def literal_score(value: Constant) -> float:
     return min(2.0, min(n, 24) / 12) + (1.0 if digits else 0.0) + (1.0 if spread >= 3 else 0.0) - (2.0 if " " in counts else 0.0)
 
 
+class Places:
+    """Where a string stands in a text, looked up once: the search for the next place from any point
+    takes no longer for a place that is far away or missing."""
+
+    def __init__(self, text: str, what: str):
+        self.text, self.what, self.found = text, what, None
+
+    def after(self, at: int) -> int:
+        """The first place at or after a point, or -1."""
+        if self.found is None:
+            self.found = [m.start() for m in re.finditer(re.escape(self.what), self.text)]
+        k = bisect.bisect_left(self.found, at)
+        return self.found[k] if k < len(self.found) else -1
+
+
 class Lexer:
-    """One pass over a text; bound: the bindings so far, (weight of the target, its value)."""
+    """One pass over a text; bound: the bindings so far, (weight of the target, its value). What is
+    bound in a comment ends with the comment at the latest, and a comment holds no other comment."""
 
     def __init__(self, text: str):
         self.text = text
@@ -131,6 +147,8 @@ class Lexer:
         self.scopes: list[tuple[list[tuple[str, Constant | None]], int]] = [([], 0)]
         self.bound: list[tuple[int, Constant]] = []
         self.chained: dict[int, Constant] = {}  # by the place of a name, what it is about to be bound to
+        self.end, self.in_comment = len(text), False  # of the comment that the scan is in, or the text's
+        self.closes, self.breaks = Places(text, "*/"), Places(text, "\n")
 
     def _enter(self, weight: int) -> None:
         self.scopes.append(([], weight))
@@ -167,9 +185,12 @@ class Lexer:
             elif kind in ("open", "line"):
                 if not comment:
                     comment = "\n" if kind == "line" else "*/" if m[0] == "/*" else "-->"
+                    close = text.find(comment, m.end())
+                    self.end, self.in_comment = len(text) if close < 0 else close, True
                     self._enter(0)
             elif comment and m[0] == comment:
                 comment = ""
+                self.end, self.in_comment = len(text), False
                 self._leave()
         for parts, k, name in self.later:
             if name in self.first:
@@ -184,13 +205,28 @@ class Lexer:
         if weight:
             self.bound.append((weight, value))
 
+    def _skipped(self, at: int, lines: bool) -> int:
+        """The place after white space and comments; lines: also line breaks and comments up to them."""
+        text, blank = self.text, _BLANKS if lines else _BLANK
+        while True:
+            at = blank.match(text, at, self.end).end()
+            if self.in_comment:
+                return at
+            if text.startswith("/*", at) and (close := self.closes.after(at + 2)) >= 0:
+                at = close + 2
+            elif lines and (text.startswith("//", at) or text.startswith("#", at)):
+                line = self.breaks.after(at)
+                at = len(text) if line < 0 else line
+            else:
+                return at
+
     def _expression(self, at: int) -> tuple[Constant, bool]:
         """The value of the expression that begins at a place, and whether that is an opening brace."""
-        text, parts, depth, joined = self.text, [], 0, True
-        at = _TRIVIA.match(text, at).end()
+        text, end, parts, depth, joined = self.text, self.end, [], 0, True
+        at = self._skipped(at, False)
         if text.startswith("{", at):
             return Constant(parts), True
-        while at < len(text):
+        while at < end:
             c = text[at]
             if c in "([" and joined:
                 depth += 1
@@ -200,14 +236,14 @@ class Lexer:
                 at += 1
             elif c == "," and depth:
                 at, joined = at + 1, True
-            elif (join := _JOIN.match(text, at)) and not joined:
+            elif (join := _JOIN.match(text, at, end)) and not joined:
                 at, joined = join.end(), True
-            elif quoted := _QUOTED.match(text, at):  # side by side is joined too
+            elif quoted := _QUOTED.match(text, at, end):  # side by side is joined too
                 inside = "long" if quoted["three"] else quoted.lastgroup
                 parts.append((quoted[inside], *quoted.span(inside)))
                 at, joined = quoted.end(), False
-            elif joined and (bare := _BARE.match(text, at)):
-                if chained := _CHAINED.match(text, at):  # a = b = ...: what b is about to be bound to
+            elif joined and (bare := _BARE.match(text, at, end)):
+                if chained := _CHAINED.match(text, at, end):  # a = b = ...: what b is about to be bound to
                     parts.append(self.chained.setdefault(chained.start(), Constant([])))
                     break
                 at, joined = bare.end(), False
@@ -216,7 +252,7 @@ class Lexer:
                 self._add(parts, bare)
             else:
                 break
-            at = (_TRIVIA_LINES if depth else _TRIVIA).match(text, at).end()
+            at = self._skipped(at, depth > 0)
         return Constant(parts), False
 
     def _add(self, parts: list, bare: re.Match) -> None:
