@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: labels stand at documents, scores at sentences.
 
 A sentence's score is a logistic function of the features it holds; a document is toxic if any of its
-sentences is, so its score is the noisy-or 1 - prod(1 - s). Training lowers the cross entropy of the
+sentences is, so its score is the noisy-or 1 - (1 - leak) * prod(1 - s) over the sentences that hold any
+feature; the leak, one small chance for each document, stands for labels that no sentence explains. A
+sentence without any feature scores 0, so a text's length alone makes it no more toxic. Training lowers the cross entropy of the
 documents' labels under the noisy-or, whose gradient reaches each sentence in proportion to what it
 adds; so the sentences that make a document toxic get the weight, and the model finds them afterwards.
 
@@ -11,14 +13,14 @@ label nor language, source or id are features.
 
 The fit uses at most FIT_ROWS labelled documents: those of the least hash of their id, a uniform sample
 that is the whole training set where that is smaller. Their features are counted in Spark, the
-VOCABULARY with the most evidence (G test on documents) is kept, and the documents, reduced to the
+VOCABULARY with the most evidence of toxic documents (G test on documents) is kept, and the documents, reduced to the
 sentences that hold any of it, are fitted on the driver: a bounded size whatever the corpus. Every
 document is scored on its whole text.
 
 Defined cases: a null or empty text has no sentences and scores 0; labels without id or verdict are not
 learnt from, and of several labels of one id the highest holds; of several training rows with one id the
-fit takes the least text; each row gets its own score; without labels of both kinds all scores are the
-share of toxic labels (0 without any); an empty table gives an empty result; other columns are not read.
+fit takes the least text; each row gets its own score; with labels of one kind only, or none, all texts
+with a sentence score 1 where all labels are toxic, and else 0; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -107,13 +109,13 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclasses.dataclass(frozen=True)
 class Model:
-    """Sorted feature hashes with their weights, and the weight of every sentence. A share in place of
-    a bias is the score of all documents, where there was nothing to learn."""
+    """Sorted feature hashes with their weights, the weight that every sentence with a feature has, and
+    that of the leak."""
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
-    share: float | None = None
+    leak: float
 
     def hits(self, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
         """(sentence, index of feature) of the vocabulary's features, each once a sentence."""
@@ -131,11 +133,8 @@ class Model:
         sentence, feature = self.hits(s)
         names, place = np.unique(sentence, return_inverse=True)
         z = self.bias + np.bincount(place, weights=self.weights[feature], minlength=len(names))
-        doc = s.doc_of[names]
-        plain = s.counts - np.bincount(doc, minlength=n_docs)
-        total = plain * _softplus(self.bias) + np.bincount(doc, weights=_softplus(z), minlength=n_docs)
-        p = -np.expm1(-total) if self.share is None else np.where(s.counts > 0, self.share, 0.0)
-        return p, names, _sigmoid(z)
+        total = _softplus(self.leak) + np.bincount(s.doc_of[names], weights=_softplus(z), minlength=n_docs)
+        return np.where(s.counts > 0, -np.expm1(-total), 0.0), names, _sigmoid(z)
 
 
 def _softplus(z):
@@ -163,7 +162,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
 
 
 def _vocabulary(sample: DataFrame, size: int, least: int) -> np.ndarray:
-    """The hashes of the features with the most evidence for or against, sorted."""
+    """The hashes of the features with the most evidence of toxic documents, sorted."""
 
     def run(batches):
         for b in batches:
@@ -181,13 +180,13 @@ def _vocabulary(sample: DataFrame, size: int, least: int) -> np.ndarray:
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     a, n = F.col("a").cast("double"), F.col("n").cast("double")
     evidence = term(a, n * share) + term(n - a, n * (1 - share))
-    best = counts.orderBy(evidence.desc(), "feature").select("feature").limit(size).collect()  # `size` hashes
+    best = counts.filter(a > n * share).orderBy(evidence.desc(), "feature").select("feature").limit(size).collect()  # `size` hashes
     return np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
 
 
 def _bags(sample: DataFrame, vocabulary: np.ndarray):
-    """(toxic, sentences without hits, sentences with the same hits, their features) by document."""
-    finder = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
+    """(toxic, how many sentences have the same features, these features) by document."""
+    finder = Model(vocabulary, np.zeros(len(vocabulary)), 0.0, 0.0)
 
     def run(batches):
         for b in batches:
@@ -197,17 +196,15 @@ def _bags(sample: DataFrame, vocabulary: np.ndarray):
                 sentence, feature = finder.hits(s)
                 cut = np.flatnonzero(np.diff(sentence)) + 1
                 groups: list[dict[bytes, int]] = [{} for _ in range(hi - lo)]
-                plain = s.counts.copy()
                 if len(sentence):
                     for first, part in zip(np.concatenate([[0], cut]).tolist(), np.split(feature.astype(np.uint16), cut), strict=True):
                         doc = s.doc_of[sentence[first]]
                         key = part.tobytes()
                         groups[doc][key] = groups[doc].get(key, 0) + 1
-                        plain[doc] -= 1
-                rows = list(zip(marks[lo:hi].tolist(), plain.tolist(), [list(g.values()) for g in groups], [list(g) for g in groups], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())))], names=["toxic", "plain", "times", "features"])
+                rows = list(zip(marks[lo:hi].tolist(), [list(g.values()) for g in groups], [list(g) for g in groups], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())))], names=["toxic", "times", "features"])
 
-    return sample.mapInArrow(lean(run), "toxic long, plain long, times array<long>, features array<binary>").collect()
+    return sample.mapInArrow(lean(run), "toxic long, times array<long>, features array<binary>").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = VOCABULARY, least: int = MIN_DOCS, steps: int = STEPS) -> Model:
@@ -218,42 +215,42 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = VO
     sums = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     none = np.zeros(0, np.uint64)
     if sums.t in (0, sums.n):
-        return Model(none, np.zeros(0), 0.0, float(sums.t) / sums.n if sums.n else 0.0)
+        return Model(none, np.zeros(0), 0.0, 50.0 if sums.t else -50.0)
     vocabulary = _vocabulary(sample, size, least)
     bags = sorted(_bags(sample, vocabulary))  # in an order of their own, so that each run gives the same sums
     y = np.array([b.toxic for b in bags], float)
-    plain = np.array([b.plain for b in bags], float)
     doc = np.repeat(np.arange(len(bags)), [len(b.times) for b in bags])
     times = np.array([t for b in bags for t in b.times], float)
     held = [np.frombuffer(bytes(f), np.uint16) for b in bags for f in b.features]
     row = np.repeat(np.arange(len(held)), [len(f) for f in held])
     column = np.concatenate(held).astype(np.int64) if held else np.zeros(0, np.int64)
-    return Model(vocabulary, *_descend(y, plain, doc, times, row, column, len(vocabulary), steps))
+    return Model(vocabulary, *_descend(y, doc, times, row, column, len(vocabulary), steps))
 
 
-def _descend(y, plain, doc, times, row, column, size, steps) -> tuple[np.ndarray, float]:
-    """Weights and bias: Adam on the mean cross entropy of the noisy-or, all documents at each step."""
-    w = np.zeros(size + 1)
-    w[-1] = np.log(max(y.mean(), 1e-6) / max(1.0, (plain.sum() + times.sum()) / len(y)))
+def _descend(y, doc, times, row, column, size, steps) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak: Adam on the mean cross entropy of the noisy-or, all documents at each step."""
+    w = np.zeros(size + 2)  # the last two: bias and leak
+    w[-2] = np.log(max(y.mean(), 1e-6) / max(1.0, times.sum() / len(y)))
+    w[-1] = np.log(max(y.mean(), 1e-6))
     m, v = np.zeros_like(w), np.zeros_like(w)
     n = len(y)
     for t in range(1, steps + 1):
-        z = w[-1] + np.bincount(row, weights=w[column], minlength=len(doc))
-        total = plain * _softplus(w[-1]) + np.bincount(doc, weights=times * _softplus(z), minlength=n)
+        z = w[-2] + np.bincount(row, weights=w[column], minlength=len(doc))
+        total = _softplus(w[-1]) + np.bincount(doc, weights=times * _softplus(z), minlength=n)
         # of -[y log(1 - exp(-total)) + (1 - y)(-total)] by total
         slope = (1 - y) - y / np.maximum(np.expm1(np.minimum(total, 500)), 1e-9)
         dz = slope[doc] * times * _sigmoid(z)
-        g = np.append(np.bincount(column, weights=dz[row], minlength=size), dz.sum() + (slope * plain).sum() * _sigmoid(w[-1])) / n
-        g[:-1] += DECAY * w[:-1]
+        g = np.concatenate([np.bincount(column, weights=dz[row], minlength=size), [dz.sum(), slope.sum() * _sigmoid(w[-1])]]) / n
+        g[:-2] += DECAY * w[:-2]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+    return w[:-2], float(w[-2]), float(w[-1])
 
 
 def scored(docs: DataFrame, model: Model, cut: float = CUT, sentence_cut: float = SENTENCE_CUT) -> DataFrame:
     """Of every document: doc_id, held_out, score, predicted, n_sentences, and the sentences that reach
-    sentence_cut as start, end (UTF-8 bytes) and score in their order. Without a bound on the noisy-or,
-    many weak sentences can make a document toxic that has no such sentence."""
+    sentence_cut as start, end (UTF-8 bytes) and score in their order. Many weak
+    sentences together can make a document toxic that has no such sentence."""
 
     def run(batches):
         for b in batches:
