@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = VO
     sums = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     none = np.zeros(0, np.uint64)
     if sums.t in (0, sums.n):
-        return Model(none, np.zeros(0), 0.0, 50.0 if sums.t else -50.0)
+        return Model(none, np.zeros(0), 0.0, np.inf if sums.t else -np.inf)
     vocabulary = _vocabulary(sample, size, least)
     bags = sorted(_bags(sample, vocabulary))  # in an order of their own, so that each run gives the same sums
     y = np.array([b.toxic for b in bags], float)
