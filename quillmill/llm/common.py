@@ -111,9 +111,12 @@ def _drop_table_at_exit(spark: SparkSession, name: str) -> None:
 
 
 def scratch_bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """A scratch table in the warehouse, which all machines share, bucketed by key: steps that group
-    by key read it in place, without an exchange."""
+    """A scratch table in the warehouse, bucketed by key: steps that group by key read it in place,
+    without an exchange. On a cluster the session must name a warehouse that all machines share: the
+    folder that Spark falls back to is one machine's own."""
     spark = df.sparkSession
+    if not spark.sparkContext.master.startswith("local") and not spark.sparkContext.getConf().get("spark.sql.warehouse.dir", ""):
+        raise RuntimeError("spark.sql.warehouse.dir must name a folder that the driver and all executors share")
     table = f"quillmill_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(n, key).option("compression", "zstd").saveAsTable(table)
     atexit.register(_drop_table_at_exit, spark, table)
