@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.page_check import CUT_MARK
 from . import catalog
 
 TOKENS_PER_PAGE = (1500, 600)
 SHARED_MEMORY = 0.66
 CAPS = (4096, 16384)
+# What a server says to a cap beyond its own, and what marks a page that was cut off.
+TOO_LARGE = r"(?i)max_tokens|context|too large"
+CUT_OFF = f"\n\n{CUT_MARK}\n*[cut off: the model's answer ended before the page did]*"
 
 
 def todo(selected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,10 +132,15 @@ def gpu_rows(lines: DataFrame) -> DataFrame:
 
 def resolve_replies(replies: DataFrame, max_attempts: int = 5) -> DataFrame:
     """key, text, outcome (ok, truncated, refused, failed) and attempts used, from rows of (key,
-    attempt, text, finish_reason): a fold over each key's replies in order. A cut-off reply asks
-    again with the larger cap, which uses up an attempt; an empty one asks again; a refusal ends."""
-    body = T.strip_fence(F.coalesce("text", F.lit("")))
-    reply = F.struct("attempt", body.alias("text"), T.cut_off(F.col("finish_reason")).alias("cut"), T.refused(F.coalesce("finish_reason", F.lit(""))).alias("refused"), T.has_content(body).alias("full"))
+    attempt, text, finish_reason, and error: what a call failed with, if there is such a column): a fold
+    over each key's replies in order. A cut-off reply asks again with the larger cap, which uses up an
+    attempt; an empty or failed one asks again; a refusal ends. Where the larger cap is cut off too, or the
+    server won't take it, the longest partial reply stands, under a mark."""
+    error = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    failed = error.isNotNull()
+    body = F.when(failed, "").otherwise(T.strip_fence(F.coalesce("text", F.lit(""))))
+    cut, no = ~failed & T.cut_off(F.col("finish_reason")), ~failed & T.refused(F.coalesce("finish_reason", F.lit("")))
+    reply = F.struct("attempt", body.alias("text"), cut.alias("cut"), no.alias("refused"), T.has_content(body).alias("full"), F.coalesce(error.rlike(TOO_LARGE), F.lit(False)).alias("too_large"))
     seq = replies.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(reply)), 1, max_attempts).alias("r"))
     kind = "struct<text:string,partial:string,outcome:string,step:int,used:int>"
     start = F.from_json(F.lit('{"partial":"","step":0,"used":0}'), kind)
@@ -141,6 +150,7 @@ def resolve_replies(replies: DataFrame, max_attempts: int = 5) -> DataFrame:
         at_cap = r["cut"] & (s["step"] >= len(CAPS) - 1)
         outcome = (
             F.when(s["outcome"].isNotNull(), s["outcome"])
+            .when(r["too_large"] & (s["step"] > 0) & (s["partial"] != ""), "truncated")
             .when(r["cut"] & ~at_cap, None)
             .when(at_cap & (longer != ""), "truncated")
             .when(~r["full"] & r["refused"], "refused")
@@ -148,7 +158,7 @@ def resolve_replies(replies: DataFrame, max_attempts: int = 5) -> DataFrame:
             .otherwise("ok")
         )
         open_ = s["outcome"].isNull()
-        text = F.when(~open_, s["text"]).when(outcome == "truncated", longer).when(outcome == "ok", r["text"])
+        text = F.when(~open_, s["text"]).when(outcome == "truncated", F.concat(longer, F.lit(CUT_OFF))).when(outcome == "ok", r["text"])
         return F.struct(text.alias("text"), F.when(open_, longer).otherwise(s["partial"]).alias("partial"), outcome.alias("outcome"), F.when(open_ & r["cut"] & ~at_cap, s["step"] + 1).otherwise(s["step"]).alias("step"), (s["used"] + open_.cast("int")).alias("used"))
 
     done = seq.select("key", F.aggregate("r", start, step).alias("s"))

@@ -264,14 +264,31 @@ def upsert_notes(spark, sf_dir):
     return runs.upsert(stored.withColumn("gone", F.lit(False)), new, ["doc_id"], F.col("gone")).select("doc_id", "note")
 
 
-_REPLIES = """r AS (SELECT conv_id AS key, turn AS attempt, CASE (conv_id + turn) % 4 WHEN 0 THEN '<!-- page number: -->' WHEN 1 THEN '' ELSE text END AS text, CASE (conv_id * 3 + turn) % 5 WHEN 0 THEN 'length' WHEN 1 THEN 'content_filter' ELSE 'stop' END AS reason FROM conversations)"""
+_ADDRESSES = [*(u for _, u in catalog.SERVICES), "http://192.168.0.4:11434", "https://models.example.org/v1/"]
+_SET = [["OPENAI_API_KEY"], ["GOOGLE_API_KEY", "GEMINI_API_KEY"], [], ["KIMI_API_KEY"], ["ANTHROPIC_API_KEY", "OPENAI_API_KEY", "OPENROUTER_API_KEY"]]
+
+
+@query(
+    f"""WITH c(service, protocol, keys, needs, model) AS (VALUES {", ".join(f"({quoted(n)}, {quoted(p)}, {[*k]}::VARCHAR[], {needs}, {'NULL' if m is None else quoted(m)})" for n, p, k, needs, m in catalog.CONNECTIONS)}),
+    e AS (SELECT event_id, {picked("event_id", [*(n for n, _ in catalog.SERVICES), "ollama", "custom"])} AS service, {_SET}[event_id % 5 + 1] AS variables, CASE WHEN event_id % 3 = 0 THEN 'own-model' END AS own FROM events)
+    SELECT event_id, service, protocol, list_filter(keys, lambda k: list_contains(variables, k))[1] AS key_variable, coalesce(own, model) AS model, coalesce(own, model) IS NOT NULL AND (NOT needs OR key_variable IS NOT NULL) AS ready FROM e JOIN c USING (service)"""
+)
+def connections(spark, sf_dir):
+    e = F.col("event_id")
+    variables = F.get(F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in _SET)), (e % 5).cast("int"))
+    called = views.table(spark, sf_dir, "events").select("event_id", views.pick(e, _ADDRESSES).alias("url"), variables.alias("variables"), F.when(e % 3 == 0, "own-model").alias("model"))
+    return catalog.connected(called).select("event_id", "service", "protocol", "key_variable", "model", "ready")
+
+
+_REPLIES = """r AS (SELECT conv_id AS key, turn AS attempt, CASE (conv_id + turn) % 4 WHEN 0 THEN '<!-- page number: -->' WHEN 1 THEN '' ELSE text END AS text, CASE (conv_id * 3 + turn) % 5 WHEN 0 THEN 'length' WHEN 1 THEN 'content_filter' ELSE 'stop' END AS reason, CASE (conv_id + turn * 3) % 7 WHEN 3 THEN 'Context window exceeded' WHEN 5 THEN 'connection reset' END AS error FROM conversations)"""
 
 
 def _replies(spark, sf_dir):
     c, t = F.col("conv_id"), F.col("turn")
     text = F.when((c + t) % 4 == 0, "<!-- page number: -->").when((c + t) % 4 == 1, "").otherwise(F.col("text"))
     reason = F.when((c * 3 + t) % 5 == 0, "length").when((c * 3 + t) % 5 == 1, "content_filter").otherwise("stop")
-    return views.table(spark, sf_dir, "conversations").select(c.alias("key"), t.alias("attempt"), text.alias("text"), reason.alias("finish_reason"))
+    error = F.when((c + t * 3) % 7 == 3, "Context window exceeded").when((c + t * 3) % 7 == 5, "connection reset")
+    return views.table(spark, sf_dir, "conversations").select(c.alias("key"), t.alias("attempt"), text.alias("text"), reason.alias("finish_reason"), error.alias("error"))
 
 
 @query(f"WITH {_REPLIES} SELECT key, attempt FROM r WHERE trim(regexp_replace(text, '<!--.*?-->', '', 'g')) <> '' AND reason <> 'length'")
@@ -279,11 +296,12 @@ def cache_policy(spark, sf_dir):
     return _replies(spark, sf_dir).filter(runs.cacheable(F.col("text"), F.col("finish_reason"))).select("key", "attempt")
 
 
-_FOLD = rf"""{_REPLIES}, q AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY attempt, text, reason) AS k, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS text, reason = 'length' AS cut, reason = 'content_filter' AS refused, {solid_sql("regexp_replace(text, '(?s)<!--.*?-->', '', 'g')")} > 0 AS full_ FROM r),
+_FOLD = rf"""{_REPLIES}, q AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY attempt, text, reason) AS k, CASE WHEN error IS NULL THEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) ELSE '' END AS text, error IS NULL AND reason = 'length' AS cut, error IS NULL AND reason = 'content_filter' AS refused,
+    error IS NULL AND {solid_sql("regexp_replace(text, '(?s)<!--.*?-->', '', 'g')")} > 0 AS full_, coalesce(error LIKE 'Context%', false) AS large FROM r),
   f AS (SELECT DISTINCT key, 0::BIGINT AS k, NULL::VARCHAR AS text, '' AS partial, NULL::VARCHAR AS outcome, 0 AS step, 0 AS used FROM q UNION ALL
-    SELECT key, k, CASE WHEN o = 'truncated' THEN longer WHEN o = 'ok' THEN body END, longer, o, step + (cut AND step < 1)::INT, used + 1 FROM (
+    SELECT key, k, CASE WHEN o = 'truncated' THEN longer || {quoted(runs.CUT_OFF)} WHEN o = 'ok' THEN body END, longer, o, step + (cut AND step < 1)::INT, used + 1 FROM (
       SELECT f.key, q.k, q.text AS body, cut, step, used, CASE WHEN cut AND full_ AND length(q.text) > length(partial) THEN q.text ELSE partial END AS longer,
-        CASE WHEN cut AND step < 1 THEN NULL WHEN cut AND longer <> '' THEN 'truncated' WHEN NOT full_ AND refused THEN 'refused' WHEN NOT full_ THEN NULL ELSE 'ok' END AS o
+        CASE WHEN large AND step > 0 AND partial <> '' THEN 'truncated' WHEN cut AND step < 1 THEN NULL WHEN cut AND longer <> '' THEN 'truncated' WHEN NOT full_ AND refused THEN 'refused' WHEN NOT full_ THEN NULL ELSE 'ok' END AS o
       FROM f JOIN q ON q.key = f.key AND q.k = f.k + 1 WHERE outcome IS NULL AND f.k < 5))"""
 
 

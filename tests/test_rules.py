@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import lint as L
 from quillmill.functions import page_check as C
 from quillmill.functions import text as T
-from quillmill.operators import catalog, layout, replies, runs, triage
+from quillmill.operators import catalog, formulas, layout, replies, runs, triage
 from quillmill.sources import readers, sinks
 
 NATIVE = "The firm sells goods in the market at given prices and earns revenue of 33,099,725 in the year 2014 while costs remain fixed for every unit sold."
@@ -155,7 +155,77 @@ def test_replies(spark):
     cut, stop = "length", "stop"
     rows = [("a", 1, "<!-- n -->", stop), ("a", 2, "real", stop), ("b", 1, "part", cut), ("b", 2, "whole", stop), ("c", 1, "par", cut), ("c", 2, "partial", cut), ("d", 1, "", "content_filter"), ("e", 1, "", stop), ("f", 1, "```markdown\nx\n```", stop)]
     got = {r.key: (r.text, r.outcome, r.attempts) for r in runs.resolve_replies(spark.createDataFrame(rows, "key string, attempt int, text string, finish_reason string")).collect()}
-    assert got == {"a": ("real", "ok", 2), "b": ("whole", "ok", 2), "c": ("partial", "truncated", 2), "d": (None, "refused", 1), "e": (None, "failed", 1), "f": ("x", "ok", 1)}
+    assert got == {"a": ("real", "ok", 2), "b": ("whole", "ok", 2), "c": ("partial" + runs.CUT_OFF, "truncated", 2), "d": (None, "refused", 1), "e": (None, "failed", 1), "f": ("x", "ok", 1)}
+
+
+def test_replies_with_errors(spark):
+    cut, big = "length", "Error 400: context window too large"
+    rows = [("a", 1, "part", cut, None), ("a", 2, None, None, big), ("b", 1, None, None, big), ("b", 2, "whole", "stop", None), ("c", 1, "part", cut, None), ("c", 2, None, None, "reset"), ("c", 3, "whole", "stop", None), ("d", 1, "x", "stop", "reset")]
+    got = {r.key: (r.text, r.outcome, r.attempts) for r in runs.resolve_replies(spark.createDataFrame(rows, "key string, attempt int, text string, finish_reason string, error string")).collect()}
+    assert got == {"a": ("part" + runs.CUT_OFF, "truncated", 2), "b": ("whole", "ok", 2), "c": ("whole", "ok", 3), "d": (None, "failed", 1)}
+
+
+def test_upper_median(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, float(r.choice([v, v, 7])) if k else 7.0) for k, n in enumerate([5000, 1, 2, 3001, 40]) for v in range(n)] + [(9, None)]
+    got = {x.k: x.median for x in layout.upper_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", 100).collect()}
+    by = {k: sorted(v for q, v in rows if q == k and v is not None) for k in {q for q, _ in rows}}
+    assert got == {k: v[len(v) // 2] for k, v in by.items() if v}
+
+
+def test_rows_of_a_crowded_page(spark):
+    """50,000 heights that drift: no step costs the square of a page."""
+    import time
+
+    df = spark.range(50_000).select(F.lit(1).alias("page"), (F.col("id") * 2.0).alias("y"))
+    start = time.time()
+    rows = layout.row_groups(df, ["page"]).groupBy("row_y").count().collect()
+    assert time.time() - start < 60 and {r["count"] for r in rows} == {2} and len(rows) == 25_000
+
+
+@pytest.mark.parametrize("tex,fault", [
+    (r"\frac{a}{b} + \sqrt[3]{x}", None), (r"\begin{a}\begin{b}\end{a}\end{b}", ("environment", 18)), (r"\frac{a}", ("argument", 0)), ("{x", ("group", 0)), ("x}", ("group", 1)),
+    (r"\left( x", ("left", 0)), (r"\left\{ {x} \right.", None), (r"x^\frac12", None), (r"x^", ("argument", 1)), (r"\text{a & b}", None), (r"\hat & b", ("argument", 0)), (r"\{ x \}", None), (r"{ \right)", ("left", 2)), ("", None), ("\\", None),
+])
+def test_structure_of_formulas(tex, fault):
+    assert formulas.first_fault(tex) == fault
+
+
+def test_formulas_are_told_on_each_page(spark):
+    df = spark.createDataFrame([(1, "$$x^$$ and $a$ and $$x^$$"), (2, "$x^$"), (3, None)], "page int, md string")
+    faults = formulas.formula_faults(df, ["page"])
+    assert sorted((r.page, r.place, r.is_display, r.kind) for r in faults.collect()) == [(1, 0, True, "argument"), (1, 1, True, "argument"), (2, 0, False, "argument")]
+    assert {r.page: len(r.notes) for r in formulas.render_notes(faults, ["page"]).collect()} == {1: 2, 2: 1}
+    long = "{" * 200_000
+    assert formulas.first_fault(long) == ("group", 199_999)
+
+
+def test_answers(spark):
+    df = spark.createDataFrame([("*[vision call failed: x]*", "notes", "ocr"), ("RECITATION", None, "ocr"), ("text", "n", "o")], "a string, b string, c string")
+    assert [r.t for r in df.select(replies.fallback(F.col("a"), F.col("b"), F.col("c")).alias("t")).collect()] == ["notes", "ocr", "text"]
+    pages = spark.createDataFrame([("", 1, "*[vision call failed: x]*", None, None, None), (" ", 2, "A note.", '{"wrong": ["' + "w " * 300 + '$5 a"]}', "Better.", '{"wrong": ["' + "long words " * 60 + '"], "missing": ["costs $5 each"]}')], "page_text string, page_no int, notes string, check string, revised string, recheck string")
+    failed, noted = [r.study for r in replies.study_notes(pages).collect()]
+    assert failed is None and "no text layer" in noted and "..." in noted and r"costs \$5 each" in noted
+
+
+def test_plain_words(spark):
+    md = "cost $5, later\n\n[^1]: 1\n\n$$ a"
+    checked = C.check_pages(spark.createDataFrame([("word " * 30, md)], "native string, md string"))
+    notes = replies.page_notes(checked).first().page_notes
+    assert "Footnote 1 has no text." in notes and any("dollar amount" in n for n in notes) and "A formula lacks its opening or closing $$." in notes
+    stored = spark.createDataFrame([(1, 1), (2, None), (3, replies.WORDING)], "page int, wording int")
+    assert sorted(r.page for r in replies.stale_notes(stored, replies.WORDING).collect()) == [1, 2]
+
+
+def test_stale_files_and_local_names(spark):
+
+
+    sources = spark.createDataFrame([("a", "2026-01-02"), ("b", "2026-01-02"), ("c", "2026-01-02")], "name string, modificationTime string")
+    derived = spark.createDataFrame([("a", "2026-01-03"), ("b", "2026-01-01")], "name string, modificationTime string")
+    assert sorted(r.name for r in readers.stale(derived, sources).collect()) == ["b", "c"]
+    assert spark.createDataFrame([("org/model:4b",)], "t string").select(T.local_name(F.col("t")).alias("n")).first().n == "local-org-model-4b"
 
 
 def test_meter(spark):
