@@ -199,15 +199,23 @@ _CHECK = rf"""{_SPLIT_PAIR},
   ac AS (SELECT m1.doc_id, m1.token, m1.n, m1.pos, arg_min(x1.token, x1.pos) AS whole FROM m1 JOIN x1 ON x1.doc_id = m1.doc_id AND length(x1.token) = length(m1.token) + 1 AND len(list_filter(range(1, length(x1.token) + 1), lambda i: contains('{P.DROPPABLE}', x1.token[i]) AND substr(x1.token, 1, i - 1) || substr(x1.token, i + 1) = m1.token)) > 0 GROUP BY ALL),
   ad AS (SELECT ac.*, x1.n AS have, coalesce(sum(ac.n) OVER (PARTITION BY ac.doc_id, whole ORDER BY ac.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ac JOIN x1 ON x1.doc_id = ac.doc_id AND x1.token = whole),
   mi AS (SELECT m1.doc_id, m1.token, m1.n - coalesce(least(ad.n, greatest(0, have - used)), 0) AS n FROM m1 LEFT JOIN ad ON ad.doc_id = m1.doc_id AND ad.token = m1.token),
-  ex AS (SELECT x1.doc_id, x1.token, x1.n - least(x1.n, coalesce(s.n, 0)) AS n FROM x1 LEFT JOIN (SELECT doc_id, whole, sum(n) AS n FROM ad GROUP BY 1, 2) s ON s.doc_id = x1.doc_id AND s.whole = x1.token),
+  ex0 AS (SELECT x1.doc_id, x1.token, x1.n - least(x1.n, coalesce(s.n, 0)) AS n FROM x1 LEFT JOIN (SELECT doc_id, whole, sum(n) AS n FROM ad GROUP BY 1, 2) s ON s.doc_id = x1.doc_id AND s.whole = x1.token),
   {bag_sql("on_", "ps", "doc_id", NUMBERS.format("native"))}, {bag_sql("kn", "ps", "doc_id", NUMBERS.format("prose"))}, {bag_sql("cn", "ps", "doc_id", NUMBERS.format("array_to_string(regexp_extract_all(md, '(?s)<!--.*?-->'), ' ')"))},
   nm AS (SELECT o.doc_id, o.token, greatest(o.n - coalesce(k.n, 0), 0) - coalesce(c.n, 0) AS n FROM on_ o LEFT JOIN kn k ON k.doc_id = o.doc_id AND k.token = o.token LEFT JOIN cn c ON c.doc_id = o.doc_id AND c.token = o.token JOIN ot ON ot.doc_id = o.doc_id WHERE NOT contains(in_math, o.token)),
-  nx2 AS (SELECT k.doc_id, k.token, k.n - coalesce(o.n, 0) AS n FROM kn k LEFT JOIN on_ o ON k.doc_id = o.doc_id AND k.token = o.token),
-  sd AS (SELECT doc_id, token, n, 'm' AS side FROM mi UNION ALL SELECT doc_id, token, n, 'x' FROM ex UNION ALL SELECT doc_id, token, n, 'nm' FROM nm UNION ALL SELECT doc_id, token, n, 'nx' FROM nx2),
+  nx0 AS (SELECT k.doc_id, k.token, k.n - coalesce(o.n, 0) AS n FROM kn k LEFT JOIN on_ o ON k.doc_id = o.doc_id AND k.token = o.token),
+  tt AS (SELECT doc_id, array_to_string(list_filter(string_split(prose, chr(10)), lambda x: ltrim(x) LIKE '|%'), ' ') AS tab FROM ps WHERE %IMAGE%),
+  {bag_sql("tw", "tt", "doc_id", WORDS.format("tab"))}, {bag_sql("tn", "tt", "doc_id", NUMBERS.format("tab"))},
+  sx AS (SELECT doc_id, token, least(ex0.n, tw.n) AS n FROM ex0 JOIN tw USING (doc_id, token) WHERE ex0.n > 0),
+  sn AS (SELECT doc_id, token, least(nx0.n, tn.n) AS n FROM nx0 JOIN tn USING (doc_id, token) WHERE nx0.n > 0),
+  ex AS (SELECT ex0.doc_id, ex0.token, ex0.n - coalesce(sx.n, 0) AS n FROM ex0 LEFT JOIN sx USING (doc_id, token)),
+  nx2 AS (SELECT nx0.doc_id, nx0.token, nx0.n - coalesce(sn.n, 0) AS n FROM nx0 LEFT JOIN sn USING (doc_id, token)),
+  sd AS (SELECT doc_id, token, n, 'm' AS side FROM mi UNION ALL SELECT doc_id, token, n, 'x' FROM ex UNION ALL SELECT doc_id, token, n, 'nm' FROM nm UNION ALL SELECT doc_id, token, n, 'nx' FROM nx2 UNION ALL SELECT doc_id, token, n, 'i' FROM sx UNION ALL SELECT doc_id, token, n, 'i' FROM sn),
+  tl AS (SELECT doc_id, {", ".join(f"list({{'n': -n, 'token': token}}) FILTER (side = '{k}') AS l_{k}" for k in ("m", "x", "nm", "nx", "i"))} FROM sd WHERE n > 0 GROUP BY 1),
   df AS (SELECT doc_id, string_agg(token || ':' || n, ' ' ORDER BY token || ':' || n) FILTER (side = 'm') AS missing, string_agg(token || ':' || n, ' ' ORDER BY token || ':' || n) FILTER (side = 'x') AS extra, string_agg(token || ':' || n, ' ' ORDER BY token || ':' || n) FILTER (side = 'nm') AS numbers_missing, string_agg(token || ':' || n, ' ' ORDER BY token || ':' || n) FILTER (side = 'nx') AS numbers_extra,
     coalesce(sum(n) FILTER (side IN ('m', 'x')), 0) AS dw, coalesce(sum(n) FILTER (side IN ('nm', 'nx')), 0) AS dn FROM sd WHERE n > 0 GROUP BY 1),
   ck AS (SELECT st.doc_id, CASE WHEN stage <> 'compared' THEN stage WHEN coalesce(dw, 0) > 1 OR coalesce(dn, 0) > 0 THEN 'flagged' ELSE 'ok' END AS status, n_words::INT AS n_words, coalesce(missing, '') AS missing, coalesce(extra, '') AS extra, coalesce(numbers_missing, '') AS numbers_missing, coalesce(numbers_extra, '') AS numbers_extra,
     stage <> 'notes' AND contains(md, '{P.OCR_MARK}') AS ocr, stage <> 'notes' AND contains(md, '{P.CUT_MARK}') AS truncated, stage = 'notes' AS notes FROM st LEFT JOIN df USING (doc_id))"""
+_PAGE_CHECK, _CHECK = _CHECK, _CHECK.replace("%IMAGE%", "false")
 _FAULTS = rf"""fl AS (SELECT doc_id, len(regexp_extract_all(t, '\$\$')) % 2 = 1 OR len(list_filter(regexp_extract_all(t, '(?s)\$\$(.*?)\$\$', 1), lambda b: regexp_matches(b, '\n\s*\n') OR contains(b, '*[') OR len(regexp_extract_all(b, '\\tag\b')) > 1)) > 0
     OR len(list_filter(list_distinct(regexp_extract_all(t, '\\begin\{{(\w+\*?)\}}', 1)), lambda e: (length(t) - length(replace(t, '\begin{{' || e || '}}', ''))) // (length(e) + 8) <> (length(t) - length(replace(t, '\end{{' || e || '}}', ''))) // (length(e) + 6))) > 0 AS math,
   len({_MARKERS.format(t="t")}) + len({_FUSED.format(t="t")}) + len({_MONEY.format(t="t")}) + len({_LINKS.format(u=_ASIDE.format("t"))}) + len({_OUTSIDE.format(p=_NO_MATH.format(t="t"))}) > 0 OR {_TABLE_COMMAND.format(p=_NO_MATH.format(t="t"))} AS markup FROM m)"""
@@ -228,22 +236,71 @@ def verify_flagged(spark, sf_dir):
     return _checked(spark, sf_dir).select("doc_id", "status", "ocr", "truncated", (F.size("math") > 0).alias("math"), (F.size("markup") > 0).alias("markup"), "flagged")
 
 
+# Faults in the order and with the details in which pages are told of them.
+_BLOCK_FAULTS = r"list_filter([CASE WHEN regexp_matches(b, '\n\s*\n') THEN 'blank_line' END, CASE WHEN contains(b, '*[') THEN 'review_note' END, CASE WHEN len(regexp_extract_all(b, '\\tag\b')) > 1 THEN 'tags' END], lambda k: k IS NOT NULL)"
+_NOTE_FAULT = rf"""CASE WHEN body = '' OR trim(body, '[]*. ') = label THEN 'stub' WHEN regexp_matches(trim(body, '[]* '), '{_HOLDER}') THEN 'placeholder' WHEN length(body) > 40 AND contains(prose, rtrim(body, '.')) THEN 'repeat' END"""
+_TOLD = rf"""
+  mf AS (SELECT doc_id, t, len(regexp_extract_all(t, '\$\$')) % 2 = 1 AS odd, regexp_extract_all(t, '(?s)\$\$(.*?)\$\$', 1) AS shown FROM m),
+  me AS (SELECT doc_id, list('environment: ' || env ORDER BY env) AS envs FROM (SELECT doc_id, t, unnest(list_distinct(regexp_extract_all(t, '\\begin\{{(\w+\*?)\}}', 1))) AS env FROM m)
+    WHERE (length(t) - length(replace(t, '\begin{{' || env || '}}', ''))) // (length(env) + 8) <> (length(t) - length(replace(t, '\end{{' || env || '}}', ''))) // (length(env) + 6) GROUP BY 1),
+  mn AS (SELECT doc_id, list(fault || ': ' || label ORDER BY i) FILTER (fault IS NOT NULL) AS notes FROM (SELECT doc_id, i, label, {_NOTE_FAULT} AS fault FROM (SELECT doc_id, regexp_replace(t, '{_NOTE}', ' ', 'g') AS prose, unnest(range(1, len(regexp_extract_all(t, '{_NOTE}', 1)) + 1)) AS i,
+      unnest(regexp_extract_all(t, '{_NOTE}', 1)) AS label, regexp_replace(unnest(regexp_extract_all(t, '{_NOTE}', 2)), '^\s+|\s+$', '', 'g') AS body FROM m)) GROUP BY 1),
+  fd AS (SELECT mf.doc_id, list_transform(list_concat(CASE WHEN odd THEN ['unmatched'] ELSE flatten(list_transform(shown, lambda b: {_BLOCK_FAULTS})) END, coalesce(envs, [])), lambda x: {{'kind': 'math', 'detail': x}}) AS math,
+    list_transform(list_concat(coalesce(notes, []), list_transform({_MARKERS.format(t="t")}, lambda x: 'marker: ' || x), list_transform({_FUSED.format(t="t")}, lambda x: 'fused: ' || x), list_transform({_MONEY.format(t="t")}, lambda x: 'money: ' || x),
+      CASE WHEN {_TABLE_COMMAND.format(p=_NO_MATH.format(t="t"))} THEN ['table_command'] ELSE [] END, list_transform({_OUTSIDE.format(p=_NO_MATH.format(t="t"))}, lambda x: 'outside: ' || x), list_transform({_LINKS.format(u=_ASIDE.format("t"))}, lambda x: 'link: ' || left(x, 60))),
+      lambda x: {{'kind': 'markup', 'detail': {_ASIDE.format("x")}}}) AS markup FROM mf LEFT JOIN me USING (doc_id) LEFT JOIN mn USING (doc_id))"""
+_TOP = "coalesce(array_to_string(list_transform(list_sort({})[:20], lambda e: CASE WHEN e.n < -1 THEN e.token || 'x' || -e.n ELSE e.token END), ' '), '-')"
+_BAD = "status = 'flagged'"
+_LINES = [("flagged", _BAD, "n_words::VARCHAR"), ("missing", _BAD, _TOP.format("l_m")), ("extra", _BAD, _TOP.format("l_x"))]
+_LINES += [(f"numbers {k}", f"{_BAD} AND (l_nm IS NOT NULL OR l_nx IS NOT NULL)", _TOP.format(c)) for k, c in (("missing", "l_nm"), ("extra", "l_nx"))]
+_LINES += [("from image", f"{_BAD} AND l_i IS NOT NULL", _TOP.format("l_i")), ("cut off", "truncated", "''"), ("local OCR", "ocr", "''"), ("study notes", "notes", "''")]
+
+
+def _lines_sql(check: str, gone: str = "false") -> str:
+    """Every line of every page, in order; gone: which pages have no file."""
+    single = ", ".join(f"CASE WHEN {c} THEN {{'kind': {quoted(k)}, 'detail': {d}}} END" for k, c, d in _LINES)
+    return f"""WITH {check}, {_TOLD}, al AS (SELECT ck.doc_id, list_concat(list_filter([{single}], lambda x: x IS NOT NULL), CASE WHEN {gone} THEN [] ELSE list_concat(math, markup) END) AS ls FROM ck LEFT JOIN tl USING (doc_id) JOIN fd USING (doc_id))
+    SELECT doc_id, unnest(range(0, len(ls)))::INT AS place, unnest(ls).kind AS kind, unnest(ls).detail AS detail FROM al"""
+
+
+@query(_lines_sql(_CHECK))
+def verify_lines(spark, sf_dir):
+    return P.report_lines(_checked(spark, sf_dir), ["doc_id"])
+
+
+#: Pages with an image, and pages that were selected but have no file.
+_IMAGE, _GONE = "doc_id % 2 = 0", "doc_id % 31 = 7"
+_SEEN = _PAGE_CHECK.replace("%IMAGE%", _IMAGE).replace(PAIR, f"{PAIR.replace('pair AS', 'all_pairs AS', 1)}, pair AS (SELECT doc_id, native, CASE WHEN {_GONE} THEN '' ELSE md END AS md FROM all_pairs)")
+_SEEN = _SEEN.replace("  ck AS (", "  c0 AS (") + f", ck AS (SELECT * REPLACE (CASE WHEN {_GONE} THEN 'no-page-file' ELSE status END AS status, CASE WHEN {_GONE} THEN 0 ELSE n_words END AS n_words) FROM c0)"
+
+
+def _verified(spark, sf_dir):
+    pair, d = views.docpair(spark, sf_dir), F.col("doc_id")
+    return P.verify(pair.select("doc_id", "native", (d % 2 == 0).alias("image")), pair.filter(d % 31 != 7).select("doc_id", "md"), ["doc_id"])
+
+
+@query(_lines_sql(_SEEN, _GONE))
+def verify_pages(spark, sf_dir):
+    return P.report_lines(_verified(spark, sf_dir), ["doc_id"])
+
+
 @query(
-    f"""{_FLAGGED} SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'flagged') AS flagged, count(*) FILTER (status = 'no-text-layer') AS no_text_layer, 0::BIGINT AS no_page_file, count(*) FILTER (ocr) AS ocr, count(*) FILTER (math) AS math,
-    count(*) FILTER (markup) AS markup, count(*) FILTER (truncated) AS truncated, count(*) FILTER (notes) AS notes, 0::BIGINT AS image_tables, count(*) FILTER (v.flagged) AS to_look_at FROM v"""
+    f"""WITH {_SEEN}, {_TOLD}, v AS (SELECT ck.*, NOT {_GONE} AND len(math) > 0 AS bad_math, NOT {_GONE} AND len(markup) > 0 AS bad_markup, l_i IS NOT NULL AS image FROM ck JOIN fd USING (doc_id) LEFT JOIN tl USING (doc_id))
+    SELECT {", ".join(f"count(*) FILTER (status = '{k}') AS {k.replace('-', '_')}" for k in ("ok", "flagged", "no-text-layer", "no-page-file"))}, count(*) FILTER (ocr) AS ocr, count(*) FILTER (bad_math) AS math, count(*) FILTER (bad_markup) AS markup, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (notes) AS notes, count(*) FILTER (image) AS image_tables, count(*) FILTER (NOT {_GONE} AND ({_BAD} OR ocr OR truncated OR bad_math OR bad_markup)) AS to_look_at FROM v"""
 )
 def verify_report(spark, sf_dir):
-    return P.report_totals(_checked(spark, sf_dir))
+    return P.report_totals(_verified(spark, sf_dir))
 
 
-_BAD = "status = 'flagged'"
-_NUMBERS_BAD = f"{_BAD} AND (numbers_missing <> '' OR numbers_extra <> '')"
-_LINES = {"flagged": _BAD, "missing": _BAD, "extra": _BAD, "numbers missing": _NUMBERS_BAD, "numbers extra": _NUMBERS_BAD, "cut off": "truncated", "local OCR": "ocr", "study notes": "notes"}
+#: Texts against the markup that was made of them: every kind of fault, with its details.
+_MARKED = _CHECK.replace(PAIR, f"{MARKUP}, pair AS (SELECT doc_id, text AS native, md FROM documents JOIN markup USING (doc_id))")
 
 
-@query(f"WITH {_CHECK}, l AS (SELECT doc_id, unnest([{', '.join(f'CASE WHEN {c} THEN {quoted(k)} END' for k, c in _LINES.items())}]) AS kind FROM ck) SELECT doc_id, kind FROM l WHERE kind IS NOT NULL")
-def verify_lines(spark, sf_dir):
-    return P.report_lines(_checked(spark, sf_dir), ["doc_id"]).filter(~F.col("kind").isin("math", "markup")).select("doc_id", "kind")
+@query(_lines_sql(_MARKED))
+def verify_markup(spark, sf_dir):
+    pair = views.markup(spark, sf_dir).join(views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("native")), "doc_id")
+    return P.report_lines(P.check_pages(pair), ["doc_id"])
 
 
 _PARDON = f"{PAIR}, {bag_sql('a', 'pair', 'doc_id', WORDS.format('native'))}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, layout, runs, triage
+from ..operators import catalog, layout, runs, schedule, triage
 from . import views
 from .registry import picked, query, quoted
 from .text_queries import solid_sql
@@ -351,3 +351,26 @@ def nvidia_smi(spark, sf_dir):
 def office_pictures(spark, sf_dir):
     src = F.regexp_extract_all("html", F.lit(r'<img[^>]*src="([^"]*)"'), F.lit(1))
     return views.table(spark, sf_dir, "pages").select("page_id", F.size(src).cast("long").alias("n_pictures"))
+
+
+_LANES, _RATE = 4, 120.0
+_BEAT = 60.0 * _LANES / _RATE
+
+
+def _due_sql(most: int) -> str:
+    """The rounds one after the other; lanes go by the key, as lane_of() can't be said in SQL."""
+    slot = lambda k, ready, source: f"""r{k} AS (SELECT key, lane, greatest({ready}, lane * {60.0 / _RATE}) AS ready FROM {source}), n{k} AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY ready, key) AS n FROM r{k}),
+  d{k} AS (SELECT key, lane, n * {_BEAT} + max(ready - n * {_BEAT}) OVER (PARTITION BY lane ORDER BY n) AS due FROM n{k})"""
+    parts = ["a AS (SELECT DISTINCT conv_id AS key, turn + 1 AS attempt, conv_id % 4 AS lane, CASE WHEN (conv_id + turn) % 3 = 0 THEN (conv_id % 50)::DOUBLE END AS retry_after FROM conversations)", slot(1, "0.0", "a WHERE attempt = 1")]
+    for k in range(2, most + 1):
+        parts.append(f"j{k} AS (SELECT a.key, a.lane, greatest(d.due + coalesce(CASE WHEN retry_after > 0 THEN retry_after END, {4.0 * 2 ** (k - 2)}), (SELECT max(due) + {_BEAT} FROM d{k - 1} f WHERE f.lane = a.lane)) AS again FROM a JOIN d{k - 1} d USING (key) WHERE attempt = {k})")
+        parts.append(slot(k, "again", f"j{k}"))
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT key, {k}::BIGINT AS attempt, lane::INT AS lane, round(due, 3) AS due FROM d{k}" for k in range(1, most + 1))
+
+
+@query(_due_sql(schedule.ATTEMPTS))
+def attempt_schedule(spark, sf_dir):
+    c, t = F.col("conv_id"), F.col("turn")
+    tries = views.table(spark, sf_dir, "conversations").select(c.alias("key"), (t + 1).alias("attempt"), F.when((c + t) % 3 == 0, (c % 50).cast("double")).alias("retry_after")).distinct()
+    due = schedule.attempts_due(tries, "key", _RATE, _LANES, lane=F.col("key") % 4)
+    return due.select("key", "attempt", F.col("lane").cast("int").alias("lane"), F.round("due", 3).alias("due"))

@@ -16,6 +16,7 @@ NUMBERS = r"flatten(list_transform(regexp_extract_all({}, '[0-9]+(?:[.,][0-9]+)*
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PAIR = """pair AS (SELECT doc_id, text AS native, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text || ' 4,711' WHEN 2 THEN substr(text, instr(text, chr(10)) + 1)
   WHEN 3 THEN text || ' zusatzwort' ELSE '<!-- page number: ' || doc_id || ' -->' || chr(10) || text || chr(10) || '$$ x = ' || (doc_id % 97) || ' $$' END
+  || CASE WHEN doc_id % 13 = 4 THEN """ + views.TABLE.join("''").replace("\n", "' || chr(10) || '") + """ ELSE '' END
   || CASE WHEN doc_id % 17 = 0 THEN chr(10) || '<!-- source: study notes -->' WHEN doc_id % 23 = 0 THEN chr(10) || '<!-- source: local OCR -->' WHEN doc_id % 29 = 0 THEN chr(10) || '<!-- truncated -->' ELSE '' END AS md FROM documents)"""
 MARKUP = f"markup AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'Price $5 ' || replace(text, chr(10), ' ') ELSE text END || chr(10) || chr(10) || {picked('doc_id', views.MARKUP)} AS md FROM documents)"
 GRAMS = "CASE WHEN len({0}) >= 8 THEN list_distinct(list_transform(range(1, len({0}) - 6), lambda i: array_to_string({0}[i:i + 7], ' '))) ELSE []::VARCHAR[] END"

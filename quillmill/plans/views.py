@@ -26,9 +26,13 @@ def pick(n: Column, options: list[str]) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in options)), (F.pmod(n, F.lit(len(options))) + 1).cast("int"))
 
 
+#: A table that a transcription may have more than the text layer, as of an image on the page.
+TABLE = "\n| tafelwort | 77,123 |\n| zusatzwort zusatzwort | 5 |"
+
+
 def docpair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, native and md: a text and its transcription, changed in one of five ways, some marked as
-    notes, OCR or cut off."""
+    """doc_id, native and md: a text and its transcription, changed in one of five ways, some with a table
+    more, some marked as notes, OCR or cut off."""
     d, t = F.col("doc_id"), F.col("text")
     md = (
         F.when(d % 5 == 0, t)
@@ -37,6 +41,7 @@ def docpair(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(d % 5 == 3, F.concat(t, F.lit(" zusatzwort")))
         .otherwise(F.concat(F.lit("<!-- page number: "), d.cast("string"), F.lit(" -->\n"), t, F.lit("\n$$ x = "), (d % 97).cast("string"), F.lit(" $$")))
     )
+    md = F.when(d % 13 == 4, F.concat(md, F.lit(TABLE))).otherwise(md)
     mark = F.when(d % 17 == 0, "\n<!-- source: study notes -->").when(d % 23 == 0, "\n<!-- source: local OCR -->").when(d % 29 == 0, "\n<!-- truncated -->").otherwise("")
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("native"), F.concat(md, mark).alias("md"))
 

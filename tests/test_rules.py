@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import lint as L
 from quillmill.functions import page_check as C
 from quillmill.functions import text as T
-from quillmill.operators import catalog, formulas, layout, replies, runs, triage
+from quillmill.operators import catalog, formulas, layout, replies, runs, schedule, triage
 from quillmill.sources import readers, sinks
 
 NATIVE = "The firm sells goods in the market at given prices and earns revenue of 33,099,725 in the year 2014 while costs remain fixed for every unit sold."
@@ -165,6 +165,38 @@ def test_replies_with_errors(spark):
     assert got == {"a": ("part" + runs.CUT_OFF, "truncated", 2), "b": ("whole", "ok", 2), "c": ("whole", "ok", 3), "d": (None, "failed", 1)}
 
 
+def test_schedule(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, a, r.choice([None, None, 3.0, 45.0])) for k in range(300) for a in range(1, r.randint(1, 5) + 1)]
+    df = spark.createDataFrame(rows, "key int, attempt int, retry_after double")
+    got = schedule.attempts_due(df, "key", 90.0, 6).collect()
+    due = {(x.key, x.attempt): x.due for x in got}
+    assert len(due) == len(rows)
+    for k, a, wait in rows:
+        if a > 1:
+            assert due[k, a] >= due[k, a - 1] + (wait or 4.0 * 2 ** (a - 2)) - 1e-6
+    times = sorted(due.values())
+    assert max(sum(t <= u < t + 60 - 1e-6 for u in times) for t in times) <= 90  # each minute holds the rate at most
+    assert schedule.attempts_due(df.filter("attempt <> 2"), "key", 90.0, 6).filter("attempt > 1").count() == 0
+
+
+def test_describe_tries_again(spark):
+    def client(image, prompt, seen=[]):  # noqa: B006
+        seen.append(image)
+        if image == "never" or seen.count(image) < 2:
+            error = RuntimeError("busy")
+            error.retry_after = 0.05
+            raise error
+        return f"{image} after {seen.count(image)}"
+
+    df = spark.createDataFrame([("k", "once", "p"), ("l", "never", "p")], "key string, image string, prompt string")
+    for rate in (0.0, 6000.0):
+        got = {x.key: x.reply for x in replies.describe(df, client, rate, lanes=2, attempts=3).collect()}
+        assert got == {"k": "once after 2", "l": "*[vision call failed: RuntimeError: busy]*"}
+
+
 def test_upper_median(spark):
     import random
 
