@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import bags, replies
 from . import views
 from .registry import picked, query, quoted
-from .text_queries import MARKUP, NUMBERS, PAIR, WORDS, bag_sql
+from .text_queries import GRAMS, ITEM, ITEM_TEXT, MARKUP, NUMBERS, PAIR, WORDS, bag_sql
 
 # RE2 has no lookbehind: escaped dollars are put aside first.
 _BARE = rf"replace(regexp_replace(md, '(?s)<!--.*?-->', ' ', 'g'), '\$', chr(1))"
@@ -322,12 +322,22 @@ def check_page(spark, sf_dir):
 
 
 _KEY = "CASE WHEN doc_id % 3 = 0 THEN native ELSE md END"
+_CHECKS = ['{"wrong": ["a"], "missing": []}', 'so: {"wrong": ["a", "b"], "missing": ["c"]}', "unreadable", "{}"]
+_HEADS = ["> notes", "> notes, revised once\n>\n> and more"]
+_OF_PAIR = ITEM_TEXT.replace("text ||", "native ||", 1)
+_LOWER_WORDS = "regexp_extract_all(lower({}), '[a-z]+')"
 
 
 @query(
-    rf"""WITH {PAIR}, n AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace({_KEY}, '(?s)<!--.*?-->', '', 'g'), '[0-9]+\.[0-9]{{2,}}')) AS ds, md FROM pair)
-    SELECT doc_id AS page, len(ds)::BIGINT AS decimals, len(list_filter(ds, lambda x: contains(md, x)))::BIGINT AS decimals_kept FROM n"""
+    rf"""WITH {PAIR}, g AS (SELECT doc_id, md, {_OF_PAIR} AS page_text, {_KEY} AS key FROM pair),
+    i AS (SELECT doc_id, md, page_text, list_distinct(list_concat(regexp_extract_all(page_text, '\([0-9]{{1,2}}[A-Z]?\.[0-9]{{1,3}}[a-z]?\)'), regexp_extract_all(page_text, {ITEM}))) AS items,
+      list_distinct(regexp_extract_all(regexp_replace(key, '(?s)<!--.*?-->', '', 'g'), '[0-9]+\.[0-9]{{2,}}')) AS ds, {_LOWER_WORDS.format("md")} AS mw, {_LOWER_WORDS.format("page_text")} AS pw FROM g)
+    SELECT doc_id AS page, len(list_intersect({GRAMS.format("mw")}, {GRAMS.format("pw")}))::BIGINT AS copied,
+      len(list_filter(items, lambda x: regexp_matches(md, '(^|[^0-9.])' || regexp_escape(string_split(translate(x, '()', ''), ' ')[-1]) || '($|[^0-9])')))::BIGINT AS items_kept, len(items)::BIGINT AS items,
+      len(list_filter(ds, lambda x: contains(md, x)))::BIGINT AS decimals_kept, len(ds)::BIGINT AS decimals, [1, 2, 0, 0][doc_id % 4 + 1]::BIGINT AS wrong, [0, 1, 0, 0][doc_id % 4 + 1]::BIGINT AS missing, doc_id % 2 = 1 AS revised FROM i"""
 )
 def notes_eval(spark, sf_dir):
-    pair = views.docpair(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("native").alias("page_text"), F.concat(F.lit("> notes\n\n"), F.col("md")).alias("study"), F.when(F.col("doc_id") % 3 == 0, F.col("native")).otherwise(F.col("md")).alias("key"), F.lit("{}").alias("check"))
-    return replies.evaluate_notes(pair).select("page", "decimals", "decimals_kept")
+    d = F.col("doc_id")
+    pair = views.docpair(spark, sf_dir)
+    notes = pair.select(d.alias("page"), F.expr(_OF_PAIR).alias("page_text"), F.concat(views.pick(d, _HEADS), F.lit("\n\n"), F.col("md")).alias("study"), F.when(d % 3 == 0, F.col("native")).otherwise(F.col("md")).alias("key"), views.pick(d, _CHECKS).alias("check"))
+    return replies.evaluate_notes(notes)

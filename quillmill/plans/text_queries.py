@@ -171,16 +171,16 @@ def md_link(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", T.md_link(p).alias("link"))
 
 
-_ITEM_TEXT = "text || ' (' || (doc_id % 20) || 'A.' || (doc_id % 7) || ') Table D.' || (doc_id % 11) || ', Example ' || (doc_id % 30) || '.7 and (' || (doc_id % 20) || 'A.' || (doc_id % 7) || ')'"
+ITEM_TEXT = "text || ' (' || (doc_id % 20) || 'A.' || (doc_id % 7) || ') Table D.' || (doc_id % 11) || ', Example ' || (doc_id % 30) || '.7 and (' || (doc_id % 20) || 'A.' || (doc_id % 7) || ')'"
 _EQ = r"'\(([0-9]{1,2}[A-Z]?\.[0-9]{1,3}[a-z]?)\)'"
-_IT = r"'\b(?:Example|Table|Figure|Exercise)\s+(?:[A-Z]?[0-9]{0,2}[A-Z]?\.[0-9]{1,3}[a-z]?)\b'"
+ITEM = r"'\b(?:Example|Table|Figure|Exercise)\s+(?:[A-Z]?[0-9]{0,2}[A-Z]?\.[0-9]{1,3}[a-z]?)\b'"
 
 
 def _with_items(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.expr(_ITEM_TEXT).alias("text"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.expr(ITEM_TEXT).alias("text"))
 
 
-@query(rf"SELECT doc_id, list_reduce(list_concat(regexp_extract_all(t, '\([0-9]{{1,2}}[A-Z]?\.[0-9]{{1,3}}[a-z]?\)'), regexp_extract_all(t, {_IT})), lambda a, x: CASE WHEN a = '' THEN x WHEN contains('|' || a || '|', '|' || x || '|') THEN a ELSE a || '|' || x END, '') AS items FROM (SELECT doc_id, {_ITEM_TEXT} AS t FROM documents)")
+@query(rf"SELECT doc_id, list_reduce(list_concat(regexp_extract_all(t, '\([0-9]{{1,2}}[A-Z]?\.[0-9]{{1,3}}[a-z]?\)'), regexp_extract_all(t, {ITEM})), lambda a, x: CASE WHEN a = '' THEN x WHEN contains('|' || a || '|', '|' || x || '|') THEN a ELSE a || '|' || x END, '') AS items FROM (SELECT doc_id, {ITEM_TEXT} AS t FROM documents)")
 def numbered_items(spark, sf_dir):
     return _with_items(spark, sf_dir).select("doc_id", F.array_join(T.numbered_items(F.col("text")), "|").alias("items"))
 
