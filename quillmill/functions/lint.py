@@ -119,22 +119,25 @@ _NO_WORD = r"(?:\\[A-Za-z]++(?:\{[^}$\n]*\})?+|[A-Za-z](?![A-Za-z])|(?<=\\)\$|[^
 _FOUR_WORDS = rf"(?=(?:{_NO_WORD}[A-Za-z]{{2,}}+){{4}})"
 #: A dollar sign that means money: no formula closes on its line, or what it would enclose ends in a
 #: space or holds four words, LaTeX commands aside.
-MONEY = rf"(?md){AMOUNT}(?:{_NO_CLOSE}|{_SPACE_FIRST}|{_FOUR_WORDS})"
+_READ_AS_MATH = rf"{AMOUNT}(?:{_NO_CLOSE}|{_SPACE_FIRST}|{_FOUR_WORDS})"
+#: The sign is looked for first, so that no other place of a text is tried further.
+MONEY = rf"(?md)(?=\$){_READ_AS_MATH}"
+MONEY_SEEN = rf"(?md)(?=(\$(?s:.{{0,11}}))){_READ_AS_MATH}"
 
 
 def _outside_displays(md: Column) -> Column:
     """The pieces of md that lie outside of displays. Each begins with a letter and ends with a dollar
     sign where a display stood, so that patterns see what they would have seen there."""
-    pieces = F.split(md, DELIMITER)
-    n = F.size(pieces)
-    shown = F.transform(pieces, lambda p, k: F.when((k % 2 == 0) | (k == n - 1), F.concat(F.when(k > 0, "x").otherwise(""), p, F.when(k < n - 1, "$").otherwise(""))))
-    return F.filter(shown, lambda p: p.isNotNull())
+    def shown(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
+        return F.transform(pieces, lambda p, k: F.when((k % 2 == 0) | (k == last), F.concat(F.when(k > 0, "x").otherwise(""), p, F.when(k < last, "$").otherwise(""))))
+
+    return F.filter(T.let(F.split(md, DELIMITER), shown), lambda p: p.isNotNull())
 
 
 def money(md: Column) -> Column:
     """The amounts, with what follows up to twelve characters, that may be read as formulas."""
-    seen = MONEY.replace(r"\$", r"(?=((?s:.{1,12})))\$", 1)  # what stands there is caught ahead of it
-    return F.flatten(F.transform(_outside_displays(bare(md)), lambda p: _all(p, seen, 1)))
+    return F.flatten(F.transform(_outside_displays(bare(md)), lambda p: _all(p, MONEY_SEEN, 1)))
 
 
 def escape_money(md: Column) -> Column:
@@ -143,10 +146,11 @@ def escape_money(md: Column) -> Column:
 
 def one_tag(md: Column) -> Column:
     """md with the numbers of each display that has several written out at the ends of their lines."""
-    pieces = F.split(md, DELIMITER)
-    n = F.size(pieces)
-    fixed = F.transform(pieces, lambda p, k: F.when((k % 2 == 1) & (k < n - 1) & (F.size(_all(p, TAG)) > 1), F.regexp_replace(p, TAG, r"\\qquad ($1)")).otherwise(p))
-    return F.array_join(fixed, "$$")
+    def fixed(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
+        return F.transform(pieces, lambda p, k: F.when((k % 2 == 1) & (k < last) & (F.size(_all(p, TAG)) > 1), F.regexp_replace(p, TAG, r"\\qquad ($1)")).otherwise(p))
+
+    return F.array_join(T.let(F.split(md, DELIMITER), fixed), "$$")
 
 
 def _fault(name: str, detail: Column | None = None) -> Column:
@@ -217,9 +221,8 @@ def segments(md: Column) -> Column:
         return between(plain, _all(piece, PARTS), lambda x: F.struct(kind(x).alias("kind"), x.alias("text")))
 
     head, tail = T.upto_last(md, "-->"), F.substring_index(md, "-->", -1)
-    apart = F.split(head, T.COMMENT)  # the last piece goes on after the last end of a comment
-    last = F.size(apart) - 1
-    pieces = F.transform(apart, lambda p, k: F.when(k == last, F.concat(p, tail)).otherwise(p))
+    # the last piece goes on after the last end of a comment
+    pieces = T.let(F.split(head, T.COMMENT), lambda ps: F.concat(F.slice(ps, 1, F.size(ps) - 1), F.array(F.concat(F.get(ps, F.size(ps) - 1), tail))))
     found = between(F.transform(pieces, cut), T.comments(md), lambda x: of("comment", x))
     return F.filter(found, lambda x: x["text"] != "")
 
