@@ -17,6 +17,8 @@ COMMENT = r"(?s)<!--.*?-->"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 EQUATION = r"\(([0-9]{1,2}[A-Z]?\.[0-9]{1,3}[a-z]?)\)"
 ITEM = r"\b(Example|Table|Figure|Exercise)\s+([A-Z]?[0-9]{0,2}[A-Z]?\.[0-9]{1,3}[a-z]?)\b"
+#: A single backslash before two or more letters, behind any pairs of backslashes: a LaTeX command.
+LATEX_COMMAND = r"(?<!\\)((?:\\\\)*)\\(?=[A-Za-z]{2,})"
 TOKEN = "[A-Za-z0-9][A-Za-z0-9.,'’_%$<>=/+-]*"
 RUN = 8
 RESERVED_NAMES = ["con", "prn", "aux", "nul", *(f"{p}{k}" for p in ("com", "lpt") for k in range(1, 10))]
@@ -139,7 +141,7 @@ def as_object(reply: Column) -> Column:
     """What stands between a reply's outermost braces, as JSON text that can be read: first with the
     LaTeX commands in its strings protected, then as it is; null if neither is an object."""
     raw = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    latex = F.regexp_replace(raw, r"(?<!\\)((?:\\\\)*)\\(?=[A-Za-z]{2})", "$1\\\\\\\\")
+    latex = F.regexp_replace(raw, LATEX_COMMAND, "$1\\\\\\\\")
     valid = lambda c: F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c)
     return F.coalesce(valid(latex), valid(raw))
 

@@ -117,11 +117,15 @@ def escape_money(spark, sf_dir):
 _REPLIES = ['json {"wrong": ["a \\beta"], "missing": []}', "no object", '{"wrong": []', '{"missing": ["x"]} end', "[1]", '{"b": {"c": 1}, "a": 2}']
 
 
-@query(rf"WITH r AS (SELECT doc_id, regexp_extract({picked('doc_id', _REPLIES)} || ' ', '(?s)\{{.*\}}') AS raw FROM documents) SELECT doc_id, CASE WHEN json_valid(raw) THEN array_to_string(list_sort(json_keys(raw)), ',') END AS fields FROM r")
+@query(
+    rf"""WITH r AS (SELECT doc_id, regexp_extract({picked('doc_id', _REPLIES)} || ' ', '(?s)\{{.*\}}') AS raw FROM documents), p AS (SELECT doc_id, CASE WHEN json_valid(t) THEN t END AS t FROM (SELECT doc_id, regexp_replace(raw, '\\([A-Za-z][A-Za-z])', '\\\\\1', 'g') AS t FROM r))
+    SELECT doc_id, array_to_string(list_sort(json_keys(t)), ',') AS fields, array_to_string(coalesce(json_extract_string(t, '$.wrong[*]'), []), '|') AS wrong, array_to_string(coalesce(json_extract_string(t, '$.missing[*]'), []), '|') AS missing FROM p"""
+)
 def parse_check(spark, sf_dir):
     found = T.as_object(F.concat(views.pick(F.col("doc_id"), _REPLIES), F.lit(" ")))
-    keys = F.array_join(F.array_sort(F.map_keys(F.from_json(found, "map<string,string>"))), ",")
-    return views.table(spark, sf_dir, "documents").select("doc_id", keys.alias("fields"))
+    keys = F.array_join(F.array_sort(F.map_keys(F.from_json("found", "map<string,string>"))), ",")
+    d = views.table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
+    return d.select("doc_id", keys.alias("fields"), *(F.array_join(T.texts_of(F.col("found"), k), "|").alias(k) for k in ("wrong", "missing")))
 
 
 @query(
