@@ -48,10 +48,10 @@ class CodebookSpec:
     tolerance: float = EDGE_TOLERANCE
 
 
-CCHS = CodebookSpec()
+DICTIONARY = CodebookSpec()
 
 
-def rows_of(spans: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataFrame:
+def rows_of(spans: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """keys, page, y and cells (x0, x1, text, bold; from the left) of the rows between header and
     footer. spans: keys, page, y, x0, x1, text, bold."""
     at = [*keys, "page"]
@@ -95,7 +95,7 @@ def _joined(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: c["text"]), " ")
 
 
-def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataFrame:
+def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """rows with event; mode (none, contents, fields, table); record, slot and category, which count the
     variables, the variables and fields, and the rows of numbers so far; kind (what a row without event
     is: listed, value, total, numbers, label, or null); label and the columns of numbers."""
@@ -121,7 +121,7 @@ def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataF
     return look_back(r, keys, {}, {"category": F.col("kind") == "numbers"})
 
 
-def contents(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataFrame:
+def contents(read: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """keys, page, y, name, position, description and listed_page of the rows of the contents."""
     text = _joined(F.slice("cells", 3, F.greatest(F.size("cells"), F.lit(1))))
     listed = F.coalesce(*(F.when(text.rlike(p), F.regexp_extract(text, p, 2)) for p in spec.leaders), F.lit(""))
@@ -129,7 +129,7 @@ def contents(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> Dat
     return read.filter("kind = 'listed'").select(*keys, "page", "y", F.col("cells")[0]["text"].alias("name"), F.col("cells")[1]["text"].alias("position"), described.alias("description"), listed.alias("listed_page"))
 
 
-def variables(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataFrame:
+def variables(read: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """keys, record, name, length, position and page of every variable."""
     texts = F.col("cells.text")
     pairs = F.arrays_zip(texts.alias("a"), F.slice(texts, 2, F.greatest(F.size(texts), F.lit(1))).alias("b"))
@@ -138,7 +138,7 @@ def variables(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> Da
     return read.filter("event = 'variable'").select(*keys, "record", F.coalesce(F.get(texts, F.lit(1)), F.lit("")).alias("name"), length.alias("length"), position.alias("position"), "page")
 
 
-def fields(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataFrame:
+def fields(read: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """keys, record, field and value: a label's values, with the lines that go on with them."""
     own = _joined(F.filter(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: c["x0"] > spec.value_x))
     text = _joined(F.col("cells"))
@@ -150,7 +150,7 @@ def fields(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataF
     return slots.groupBy(*keys, "record", "field").agg(F.max(F.struct("slot", "value"))["value"].alias("value"))
 
 
-def categories(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataFrame:
+def categories(read: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """keys, record, ord (1, 2, ...), label, code, freq, wfreq and pct of the rows of tables."""
     names = [n for n, _ in spec.columns]
     lines = read.filter("kind IN ('numbers', 'label')")
@@ -161,7 +161,7 @@ def categories(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> D
     return rows.select(*keys, "record", order.alias("ord"), "label", *names)
 
 
-def totals(read: DataFrame, keys: list[str], spec: CodebookSpec = CCHS) -> DataFrame:
+def totals(read: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """keys, record and the numbers of each variable's total."""
     names = [n for n, _ in spec.columns]
     last = F.max(F.struct("page", "y", *(F.coalesce(F.col(n), F.lit("")).alias(n) for n in names)))

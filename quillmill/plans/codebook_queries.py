@@ -10,7 +10,7 @@ from ..operators import codebook as C
 from . import views
 from .registry import picked, query, quoted
 
-FIELDS = list(C.CCHS.fields)
+FIELDS = list(C.DICTIONARY.fields)
 #: Lines of a page, and the height of one.
 LINES, HEIGHT = 40, 15
 # Kinds of lines, by what an order's number leaves by 7 and the line's number: headings may be missing,
@@ -40,7 +40,7 @@ def codebook_spans(spark, sf_dir) -> DataFrame:
     lit = F.lit
     number = views.pick(k + n, FIELDS)
     lines = {
-        "variable": [_at(40, 110, lit(C.CCHS.heading), True), _at(120, 170, F.concat(lit("V"), s(k))), _at(200, 240, lit("Length:"), True), _at(250, 260, s(k % 9)), _at(300, 350, lit("Position:"), True), _at(360, 380, s(p))],
+        "variable": [_at(40, 110, lit(C.DICTIONARY.heading), True), _at(120, 170, F.concat(lit("V"), s(k))), _at(200, 240, lit("Length:"), True), _at(250, 260, s(k % 9)), _at(300, 350, lit("Position:"), True), _at(360, 380, s(p))],
         "field": [_at(40, 100, F.concat(number, lit(":")), True), _at(178, 300, F.concat(lit("text "), s(p))), _at(310, 330, lit("end"))],
         "more": [_at(178, 290, F.concat(F.when(n % 2 == 0, "- ").otherwise(""), lit("more "), s(p)))],
         "table": [_at(40, 140, lit("Answer Categories"), True), _at(280, 306, lit("Code"), True), _at(350, 387, lit("Frequency"), True)],
