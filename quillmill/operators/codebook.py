@@ -7,9 +7,14 @@ contents' heading, a variable's heading) and two change only the modes of a vari
 are composed, the result is known from the last constant event and the last event that counts: a mode is
 two look-backs.
 
+A heading outside of its place is no event, yet it needn't be known as such for the look-backs: nothing
+but a variable's heading leads into a variable, and after it every heading counts.
+
 Look-backs and running counts cross page breaks by composing pages: each page is summed up as one row
-(its last event, its count), these rows are put in order, and what the pages before a page come to is
-joined to it. A page's own rows are ordered within the page, so no document is one task's work.
+(its last headings, its counts, and its rows of numbers as far as what comes before decides on them),
+these rows are put in order, and what the pages before a page come to is joined to it. Rows lie by
+document and page from the first step to the last; only the pages' rows move. No document is one task's
+work.
 
 Defined cases: rows before any heading, and rows that fit nothing in their mode, are told by unread();
 a field that comes again in a variable counts with its last value, and so does a total; a label without
@@ -49,6 +54,7 @@ class CodebookSpec:
 
 
 DICTIONARY = CodebookSpec()
+EVENTS = ("contents", "variable", "field", "table")
 
 
 def rows_of(spans: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
@@ -72,21 +78,6 @@ def _event(spec: CodebookSpec) -> Column:
     )
 
 
-def look_back(rows: DataFrame, keys: list[str], last: dict[str, Column], count: dict[str, Column]) -> DataFrame:
-    """rows (keys, page, y, ...) with, up to and with each row in its document, the last value of each
-    column in `last` that isn't null, and how many rows hold each condition in `count`."""
-    page = [*keys, "page"]
-    r = rows.withColumns({f"_l_{n}": c for n, c in last.items()} | {f"_n_{n}": F.coalesce(c, F.lit(False)).cast("long") for n, c in count.items()})
-    own = [F.max(F.when(F.col(f"_l_{n}").isNotNull(), F.struct("y", f"_l_{n}")))[f"_l_{n}"].alias(n) for n in last] + [F.sum(f"_n_{n}").alias(n) for n in count]
-    before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    pages = r.groupBy(*page).agg(*own)
-    pages = pages.select(*page, *(F.last(n, True).over(before).alias(f"_b_{n}") for n in last), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in count))
-    down = Window.partitionBy(*page).orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    j = r.join(pages, page)
-    j = j.withColumns({n: F.coalesce(F.last(f"_l_{n}", True).over(down), F.col(f"_b_{n}")) for n in last} | {n: F.col(f"_b_{n}") + F.sum(f"_n_{n}").over(down) for n in count})
-    return j.drop(*(f"_{k}_{n}" for n in [*last, *count] for k in "lnb"))
-
-
 def _kind(cell: Column, spec: CodebookSpec) -> Column:
     return column_of(cell["x1"], cell["text"], list(spec.columns), spec.tolerance)
 
@@ -97,28 +88,61 @@ def _joined(cells: Column) -> Column:
 
 def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """rows with event; mode (none, contents, fields, table); record, slot and category, which count the
-    variables, the variables and fields, and the rows of numbers so far; kind (what a row without event
-    is: listed, value, total, numbers, label, or null); label and the columns of numbers."""
-    one_of = lambda c, *names: F.when(c.isin(*names), c)
-    r = rows.withColumn("event", _event(spec))
-    r = look_back(r, keys, {"constant": one_of(F.col("event"), "contents", "variable")}, {})
-    r = r.withColumn("event", F.when(F.col("event").isin("contents", "variable") | (F.col("constant") == "variable"), F.col("event")))
-    e = F.col("event")
-    r = look_back(r, keys, {"latest": e, "opened": one_of(e, "variable", "field")}, {"record": e == "variable", "slot": e.isin("variable", "field")})
-    r = r.withColumn("mode", F.when(F.col("constant").isNull(), "none").when(F.col("constant") == "contents", "contents").when(F.col("latest") == "table", "table").otherwise("fields"))
-    r = r.withColumn("label", _joined(F.filter("cells", lambda c: _kind(c, spec) == "label")))
+    variables, the headings of variables and fields, and the rows of numbers so far; kind (what a row
+    without event is: listed, value, total, numbers, label, or null); counted, whether its variable has had
+    a row of numbers; label and the columns of numbers."""
+    page = [*keys, "page"]
+    e = F.col("_heading")
+    r = rows.withColumns({"_heading": _event(spec), "label": _joined(F.filter("cells", lambda c: _kind(c, spec) == "label"))})
     number = lambda name: F.get(F.reverse(F.filter("cells", lambda c: _kind(c, spec) == name)), F.lit(0))["text"]
-    cells = F.col("cells")
     r = r.withColumns({name: number(name) for name, _ in spec.columns})
-    numbers = F.coalesce(*(F.col(n) for n in ("freq", "wfreq", "pct")))
+    numbers, cells = F.coalesce(*(F.col(n) for n in ("freq", "wfreq", "pct"))), F.col("cells")
+    total = (F.col("label") == spec.total) & cells[0]["bold"]
+    # what a row without heading is in a table: a look-back may turn on it, so it is told first
+    r = r.withColumn("_in_table", F.when(e.isNull(), F.when(total, "total").when(numbers.isNotNull(), "numbers").otherwise("label")))
+
+    # within the page: the last headings, and rows of numbers by what tells that they are in a table:
+    # the page itself (0), the page if it begins in a variable (1), what comes before the page (2)
+    down = Window.partitionBy(*page).orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda *names: F.last(F.when(e.isin(*names), e), True).over(down)
+    many = lambda c: F.count(F.when(c, 1)).over(down)
+    r = r.withColumns({"_constant": last("contents", "variable"), "_latest": last(*EVENTS), "_opened": last("variable", "field"), "_records": many(e == "variable"), "_slots": many(e.isin("variable", "field"))})
+    table, of_page = F.col("_latest") == "table", F.col("_constant")
+    told = [(of_page == "variable") & table, of_page.isNull() & table, of_page.isNull() & F.col("_latest").isNull()]
+    r = r.withColumns({f"_n{k}": many(c & (F.col("_in_table") == "numbers")) for k, c in enumerate(told)})
+    r = r.withColumn("_since", F.max(F.when(e == "variable", F.col("_n0"))).over(down))  # rows of numbers before the last variable
+
+    # a page as one row: its last line has them all
+    line = ["_constant", "_latest", "_opened", "_records", "_slots", "_n0", "_n1", "_n2", "_since"]
+    pages = r.groupBy(*page).agg(F.max(F.struct("y", *line)).alias("_p")).select(*page, *(F.col(f"_p.{n}").alias(n) for n in line))
+    before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumns({f"_b{n}": F.last(n, True).over(before) for n in ("_constant", "_latest", "_opened")} | {f"_b{n}": F.coalesce(F.sum(n).over(before), F.lit(0)) for n in ("_records", "_slots")})
+    pages = pages.withColumns({"_in1": (F.col("_b_constant") == "variable").eqNullSafe(True), "_in2": ((F.col("_b_constant") == "variable") & (F.col("_b_latest") == "table")).eqNullSafe(True)})
+    counted = F.when(F.col("_since").isNotNull(), F.col("_n0") > F.col("_since")).when(_counted() > 0, True)
+    pages = pages.withColumns({"_b_n": F.coalesce(F.sum(_counted()).over(before), F.lit(0)), "_b_counted": F.coalesce(F.last(counted, True).over(before), F.lit(False))})
+    known = ["_b_constant", "_b_latest", "_b_opened", "_b_records", "_b_slots", "_in1", "_in2", "_b_n", "_b_counted"]
+    r = r.join(pages.select(*page, *known), page)
+
+    # together: what came before the page, and what the page says itself
+    constant = F.coalesce("_constant", "_b_constant")
+    in_variable = constant == "variable"
+    latest, opened = (F.when(in_variable, F.coalesce(f"_{n}", f"_b_{n}")) for n in ("latest", "opened"))
+    r = r.withColumns({"event": F.when(e.isin("contents", "variable") | in_variable, e), "constant": constant, "latest": latest, "opened": opened, "record": F.col("_b_records") + F.col("_records"), "slot": F.col("_b_slots") + F.col("_slots")})
+    r = r.withColumn("mode", F.when(F.col("constant").isNull(), "none").when(F.col("constant") == "contents", "contents").when(F.col("latest") == "table", "table").otherwise("fields"))
     kind = (
-        F.when(e.isNotNull(), None)
+        F.when(F.col("event").isNotNull(), None)
         .when(F.col("mode") == "contents", F.when(cells[0]["text"].rlike(spec.name) & (F.size(cells) >= 3), "listed"))
         .when(F.col("mode") == "fields", F.when((F.col("opened") == "field") & (cells[0]["x0"] > spec.value_x), "value"))
-        .when(F.col("mode") == "table", F.when((F.col("label") == spec.total) & cells[0]["bold"], "total").when(numbers.isNotNull(), "numbers").otherwise("label"))
+        .when(F.col("mode") == "table", F.col("_in_table"))
     )
-    r = r.withColumn("kind", kind)
-    return look_back(r, keys, {}, {"category": F.col("kind") == "numbers"})
+    here = F.when(F.col("_since").isNotNull(), F.col("_n0") > F.col("_since")).otherwise(F.col("_b_counted") | (_counted() > 0))
+    r = r.withColumns({"kind": kind, "category": F.col("_b_n") + _counted(), "counted": here})
+    return r.drop("_heading", "_in_table", *line, *known)
+
+
+def _counted() -> Column:
+    """Rows of numbers of tables on the page so far, once it is known what came before the page."""
+    return F.col("_n0") + F.when(F.col("_in1"), F.col("_n1")).otherwise(0) + F.when(F.col("_in2"), F.col("_n2")).otherwise(0)
 
 
 def contents(read: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
@@ -171,7 +195,6 @@ def totals(read: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) ->
 def unread(read: DataFrame, keys: list[str]) -> DataFrame:
     """keys, page, y, mode and text of the rows of variables that fit nothing: lines of no field, and
     labels before a variable's first category."""
-    w = Window.partitionBy(*keys, "record", "category")
-    early = (F.col("kind") == "label") & ~F.bool_or(F.col("kind") == "numbers").over(w)
+    early = (F.col("kind") == "label") & ~F.col("counted")
     lost = F.col("event").isNull() & ((F.col("mode") == "fields") & F.col("kind").isNull() | early)
     return read.withColumn("_lost", F.coalesce(lost, F.lit(False))).filter("_lost").select(*keys, "page", "y", "mode", _joined(F.col("cells")).alias("text"))

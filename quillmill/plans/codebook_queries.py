@@ -8,11 +8,14 @@ from pyspark.sql.window import Window
 
 from ..operators import codebook as C
 from . import views
+from .views import size_hint
 from .registry import picked, query, quoted
 
 FIELDS = list(C.DICTIONARY.fields)
 #: Lines of a page, and the height of one.
 LINES, HEIGHT = 40, 15
+#: Orders' numbers to a range of a document's lines, and bytes of the table for each part that is dealt.
+ORDERS, DEAL_BYTES = 97_000, 2 << 20
 # Kinds of lines, by what an order's number leaves by 7 and the line's number: headings may be missing,
 # doubled or out of place, so all modes meet all events.
 KINDS = [
@@ -30,12 +33,27 @@ def _at(x0: float, x1: float, text: Column, bold: bool = False) -> Column:
     return F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), text.alias("text"), F.lit(bold).alias("bold"))
 
 
+def codebook_lines(spark, sf_dir) -> DataFrame:
+    """doc, page, place on the page (0, 1, ...), l_orderkey, l_linenumber and l_partkey, dealt by document and
+    page: a document for every 97th order, a line for each of its items. A line's number is its place among
+    the document's orders of one range, after the lines of the ranges before."""
+    items = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") % 97).alias("doc"), F.expr(f"l_orderkey div {ORDERS}").alias("part"))
+    before = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = items.groupBy("doc", "part").count().select("doc", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("doc", "part").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
+    line = (F.col("before") + F.col("own")).alias("line")
+    lines = items.withColumn("own", own).join(parts, ["doc", "part"]).select("l_orderkey", "l_linenumber", "l_partkey", "doc", line)
+    placed = lines.select("doc", F.expr(f"line div {LINES} + 1").alias("page"), (F.col("line") % LINES).cast("int").alias("place"), "l_orderkey", "l_linenumber", "l_partkey")
+    deals = max(spark.sparkContext.defaultParallelism, size_hint(items) // DEAL_BYTES)
+    return placed.repartition(deals, "doc", "page")
+
+
 def codebook_spans(spark, sf_dir) -> DataFrame:
-    """doc, page, y, x0, x1, text, bold: a document for every 97th order, a line for each of its items."""
+    """doc, page, y, x0, x1, text, bold: the spans of the lines. They are made where the lines lie, so what is
+    dealt is the lines."""
     k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
-    line = F.row_number().over(Window.partitionBy("doc").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
     kind = F.get(F.get(F.array(*(F.array(*map(F.lit, x)) for x in KINDS)), (k % 7).cast("int")), (n - 1).cast("int"))
-    items = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (k % 97).alias("doc"), kind.alias("kind")).withColumn("line", line)
+    items = codebook_lines(spark, sf_dir).withColumn("kind", kind)
     s = lambda c: c.cast("string")
     lit = F.lit
     number = views.pick(k + n, FIELDS)
@@ -51,7 +69,7 @@ def codebook_spans(spark, sf_dir) -> DataFrame:
         "listed": [_at(40, 100, F.concat(lit("V"), s(p))), _at(150, 200, s(k)), _at(250, 330, F.concat(lit("about "), s(n))), _at(340, 535, F.concat(F.when(p % 2 == 0, "..... ").otherwise(""), s(p % 300)))],
     }
     spans = F.coalesce(*(F.when(F.col("kind") == name, F.array(*cells)) for name, cells in lines.items()))
-    one = items.select("doc", (F.floor(F.col("line") / LINES) + 1).cast("long").alias("page"), (F.lit(60.0) + (F.col("line") % LINES) * HEIGHT).alias("y0"), F.posexplode(spans).alias("i", "s"))
+    one = items.select("doc", "page", (F.lit(60.0) + F.col("place") * HEIGHT).alias("y0"), F.posexplode(spans).alias("i", "s"))
     return one.select("doc", "page", (F.col("y0") + F.col("i") * 0.25).alias("y"), "s.*")
 
 

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 TEXTS, SPREAD_BYTES = ("documents", "pages"), 128 << 20
 
 
+def size_hint(df: DataFrame) -> int:
+    """The planner's estimate of df's bytes, without a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES:
+    if name in TEXTS and size_hint(df) < SPREAD_BYTES:
         # a small file is one row group, which one task would read and work on alone
         df = df.repartition(spark.sparkContext.defaultParallelism)
     return df

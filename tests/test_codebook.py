@@ -50,3 +50,12 @@ def test_codebook(spark, per_page):
     assert [tuple(t)[1:] for t in C.totals(r, ["doc"]).collect()] == [(1, "", "1,500", "1,400", "100.0")]
     assert sorted(u.text for u in C.unread(r, ["doc"]).collect()) == ["early", "late label", "no field yet"]
     assert {m.mode for m in r.filter(F.col("doc") == "e").collect()} == {"none"}
+
+
+def test_rows_stay(spark):
+    """Rows that lie by document and page are read where they lie: beyond what deals them out, only the
+    pages' rows are exchanged."""
+    spans = spark.range(100).selectExpr("id DIV 50 AS doc", "id DIV 10 AS page", "60.0D + id AS y", "40.0D AS x0", "90.0D AS x1", "'x' AS text", "false AS bold").repartition(3, "doc", "page")
+    plan = C.unread(C.parsed(C.rows_of(spans, ["doc"]), ["doc"]), ["doc"])._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "REPARTITION_BY_NUM" not in line]
+    assert len(moved) <= 2 and plan.count("SortMergeJoin") <= 1, moved
