@@ -8,12 +8,14 @@ for the suffix array they are one string with several owners. Only where a mark
 segments (the ends of repeated passages) are their bytes needed.
 
 Suffix arrays. A bucket's distinct segments are cut at the mark into a left part, read backwards,
-and a right part. The distinct parts, in no order, become one text, whose symbols stand for SYMBOL
-bytes each. suffix_array() sorts its suffixes by grouping: groups of suffixes that share a Lyndon prefix are processed in descending
-order, each splitting the groups that its members' previous-smaller pointers lead to, then each
-group's order is emitted along the same pointers. With the common prefixes of neighbours, the array
-gives every part's class at every depth, so two windows are equal exactly if the classes of their
-left and right parts are; the least document of each class pair covers the others.
+and a right part. The distinct parts, in no order, are strings of symbols that stand for SYMBOL
+bytes each. They are sorted by grouping: suffixes that share a Lyndon prefix are one group, and a group's
+order is that of the suffixes which its members' next-smaller pointers lead to. suffix_array() does this
+for one text, group after group; grouped_order() for many short strings at once, where no pointer leaves
+its string, so both phases go by columns of symbols and no step is taken for one symbol alone. With the
+common prefixes of neighbours, the order gives every part's class at every depth, so two windows are equal
+exactly if the classes of their left and right parts are; the least document of each class pair covers the
+others.
 
 How it runs: three passes over the documents' buckets with packed exchanges between, as in the
 recompression operator; a batch settles what repeats within it, so a string that a third of all
@@ -125,6 +127,39 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
+def grouped_order(text: np.ndarray) -> np.ndarray:
+    """The ascending order of the rows of text, strings of ranks from 1 on, whose ends are smaller than
+    every symbol: the order that suffix_array() has for their starts."""
+    m, width = text.shape
+    rows = np.arange(m)
+    padded = np.zeros((m, 2 * width), np.int64)
+    padded[:, :width] = text
+    # first phase: a suffix's group is its Lyndon prefix, which goes on to the next smaller suffix
+    smaller = np.full((m, width + 1), width, np.int64)
+    words = np.zeros((m, width + 1, width), np.int64)
+    step = np.arange(width)
+    for c in reversed(range(width)):
+        at = np.full(m, c + 1, np.int64)
+        for _ in range(width - 1 - c):
+            own = np.where(step < at[:, None] - c, padded[:, c : c + width], 0)
+            other = words[rows, at]  # of the end: all 0, smaller than any
+            first = (own != other).argmax(axis=1)
+            at = np.where(own[rows, first] < other[rows, first], smaller[rows, at], at)
+        smaller[:, c] = at
+        words[:, c] = np.where(step < at[:, None] - c, padded[:, c : c + width], 0)
+    flat = words.reshape(-1, width)
+    by = np.lexsort(flat.T[::-1])
+    group = np.empty(len(flat), np.int64)
+    group[by] = np.cumsum(_new(*flat[by].T)) - 1  # the end's group is 0
+    group = group.reshape(m, width + 1)
+    # second phase: groups along the pointers
+    keys, at = [], np.zeros(m, np.int64)
+    for _ in range(width):
+        keys.append(group[rows, at])
+        at = smaller[rows, at]
+    return np.lexsort(keys[::-1])
+
+
 def classes(strings: np.ndarray) -> np.ndarray:
     """classes(s)[d, i] names string i's first d bytes, for rows of bytes of one width."""
     n, width = strings.shape
@@ -139,10 +174,7 @@ def classes(strings: np.ndarray) -> np.ndarray:
     padded = np.zeros((m, SYMBOL * symbols), np.uint8)
     padded[:, :width] = whole
     _, rank = np.unique(padded.view(f"V{SYMBOL}").reshape(-1), return_inverse=True)
-    text = np.ones((m, symbols + 1), np.int64)  # each part ends with the least symbol
-    text[:, :symbols] = rank.reshape(m, symbols) + 2
-    order = np.array(suffix_array(text.reshape(-1).tolist()), np.int64)
-    order = order[order % (symbols + 1) == 0] // (symbols + 1)
+    order = grouped_order(rank.reshape(m, symbols) + 1)
     differ = whole[order[1:]] != whole[order[:-1]]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     out = np.zeros((width + 1, m), np.int64)
@@ -304,9 +336,9 @@ def _send_parts(n_buckets: int):
             spans.append((row[c], (s.first - base)[c], (s.last - base)[c] + WINDOW))
             w = np.flatnonzero(kind == COMPARE)
             left, right = s.parts(w)
-            columns = s.mark[w], row[w], (s.place - base)[w], (s.place - s.last)[w], (s.place - s.first)[w], np.arange(len(w))
-            for b, (m, r, p, a, z, x) in deal(bucket_of(s.mark[w], n_buckets), n_buckets, *columns):
-                rows.append((b, -1 - bucket, pack(m, ids[r], narrow(r), narrow(p), a.astype(np.uint8), z.astype(np.uint8), left[x].reshape(-1), right[x].reshape(-1))))
+            columns = row[w], (s.place - base)[w], (s.place - s.last)[w], (s.place - s.first)[w], np.arange(len(w))
+            for b, (r, p, a, z, x) in deal(bucket_of(s.mark[w], n_buckets), n_buckets, *columns):
+                rows.append((b, -1 - bucket, pack(ids[r], narrow(r), narrow(p), a.astype(np.uint8), z.astype(np.uint8), left[x].reshape(-1), right[x].reshape(-1))))
         row, a, z = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
         if len(row):
             # neighbouring segments overlap: join them before they go on
@@ -331,21 +363,23 @@ def _compare():
             if target >= 0:
                 rows.append((target, target, payload.as_py()))
                 continue
-            m, d, r, p, a, z, left, right = unpack(payload.as_py())
+            d, r, p, a, z, left, right = unpack(payload.as_py())
             back.append(-1 - target)
-            cols.append((m, d, r.astype(np.int64), p.astype(np.int64), a.astype(np.int64), z.astype(np.int64), left.reshape(-1, LEFT), right.reshape(-1, RIGHT), np.full(len(m), len(back) - 1)))
+            cols.append((d, r.astype(np.int64), p.astype(np.int64), a.astype(np.int64), z.astype(np.int64), left.reshape(-1, LEFT), right.reshape(-1, RIGHT), np.full(len(d), len(back) - 1)))
         if cols:
-            m, d, r, p, near, far, left, right, b = (np.concatenate(x) for x in zip(*cols, strict=True))
+            columns = [np.concatenate(x) for x in zip(*cols, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            d, r, p, near, far, left, right, b = (x[order] for x in columns)
             lefts, rights = classes(left), classes(right)
+            many = len(d) + 1
             spans = []
             for a in range(1, REACH + 1):  # windows that begin a bytes before their mark
                 k = np.flatnonzero((near <= a) & (a <= far))
-                l1, r1 = lefts[a, k], rights[WINDOW - a, k]
-                order = np.lexsort((d[k], r1, l1, m[k]))
-                k, l1, r1 = k[order], l1[order], r1[order]
-                g = np.cumsum(_new(m[k], l1, r1)) - 1
-                least = d[k][np.flatnonzero(_new(m[k], l1, r1))][g] if len(k) else d[:0]
-                hit = k[d[k] > least]
+                # at this depth the right part holds the mark's bytes, so equal windows have one mark
+                window = lefts[a, k] * many + rights[WINDOW - a, k]
+                order = np.argsort(window, kind="stable")  # within a window still by document
+                k, new = k[order], _new(window[order])
+                hit = k[d[k] > d[k][new][np.cumsum(new) - 1]] if len(k) else k
                 spans.append((hit, p[hit] - a))
             k, start = (np.concatenate(x) for x in zip(*spans, strict=True))
             order = np.lexsort((start, r[k], b[k]))

@@ -234,3 +234,37 @@ def test_held_out_labels_are_not_read(spark):
         for flip in (lambda d, y: y, lambda d, y: 1 - y if out(d) else y)
     ]
     assert scores[0] == scores[1] and all(h == out(d) for d, _, h in scores[0])
+
+
+def test_grouped_order():
+    """Many strings at once are ordered as the suffix array of one text has their starts; a bucket's parts
+    take no step for each symbol."""
+    import sys
+
+    from quillmill.llm import suffix
+
+    rng = np.random.default_rng(5)
+    for width, top in [(1, 3), (2, 2), (3, 2), (3, 40), (5, 2), (6, 3)]:
+        text = np.unique(rng.integers(1, top + 1, (300, width)), axis=0)
+        rng.shuffle(text)
+        order = suffix.grouped_order(text).tolist()
+        assert order == sorted(range(len(text)), key=lambda i: text[i].tolist())
+        one = np.ones((len(text), width + 1), np.int64)
+        one[:, :width] = text + 1
+        starts = [k // (width + 1) for k in suffix.suffix_array(one.reshape(-1).tolist()) if k % (width + 1) == 0]
+        assert order == starts
+    parts = rng.integers(0, 256, (5000, suffix.RIGHT), dtype=np.uint8)
+    lines = 0
+
+    def seen(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return seen
+
+    before = sys.gettrace()
+    sys.settrace(seen)
+    try:
+        suffix.classes(parts)
+    finally:
+        sys.settrace(before)
+    assert lines < len(parts)
