@@ -25,11 +25,12 @@ has no results.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import EDGE_TOLERANCE, column_of, merge_cells, row_groups
+from .layout import EDGE_TOLERANCE, column_of, page_rows
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,7 @@ EVENTS = ("contents", "variable", "field", "table")
 def rows_of(spans: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """keys, page, y and cells (x0, x1, text, bold; from the left) of the rows between header and
     footer. spans: keys, page, y, x0, x1, text, bold."""
-    at = [*keys, "page"]
-    cells = merge_cells(row_groups(spans, at), [*at, "row_y"]).filter((F.col("row_y") > spec.top) & (F.col("row_y") < spec.bottom))
-    cell = F.struct("cell", "x0", "x1", "text", "bold")
-    return cells.groupBy(*at, F.col("row_y").alias("y")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return page_rows(spans, [*keys, "page"]).filter((F.col("y") > spec.top) & (F.col("y") < spec.bottom))
 
 
 def _event(spec: CodebookSpec) -> Column:
@@ -93,9 +91,11 @@ def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) ->
     a row of numbers; label and the columns of numbers."""
     page = [*keys, "page"]
     e = F.col("_heading")
-    r = rows.withColumns({"_heading": _event(spec), "label": _joined(F.filter("cells", lambda c: _kind(c, spec) == "label"))})
-    number = lambda name: F.get(F.reverse(F.filter("cells", lambda c: _kind(c, spec) == name)), F.lit(0))["text"]
-    r = r.withColumns({name: number(name) for name, _ in spec.columns})
+    # rows without a key have no place below; told here, so that the pages and their rows read the same exchange
+    known = rows.filter(reduce(Column.__and__, (F.col(k).isNotNull() for k in page)))
+    r = known.withColumns({"_heading": _event(spec), "_kinds": F.transform("cells", lambda c: _kind(c, spec))})
+    of_kind = lambda name: F.filter("cells", lambda c, k: F.get("_kinds", k) == name)
+    r = r.withColumns({"label": _joined(of_kind("label"))} | {name: F.get(F.reverse(of_kind(name)), F.lit(0))["text"] for name, _ in spec.columns})
     numbers, cells = F.coalesce(*(F.col(n) for n in ("freq", "wfreq", "pct"))), F.col("cells")
     total = (F.col("label") == spec.total) & cells[0]["bold"]
     # what a row without heading is in a table: a look-back may turn on it, so it is told first
@@ -137,7 +137,7 @@ def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) ->
     )
     here = F.when(F.col("_since").isNotNull(), F.col("_n0") > F.col("_since")).otherwise(F.col("_b_counted") | (_counted() > 0))
     r = r.withColumns({"kind": kind, "category": F.col("_b_n") + _counted(), "counted": here})
-    return r.drop("_heading", "_in_table", *line, *known)
+    return r.drop("_heading", "_kinds", "_in_table", *line, *known)
 
 
 def _counted() -> Column:

@@ -15,7 +15,7 @@ FIELDS = list(C.DICTIONARY.fields)
 #: Lines of a page, and the height of one.
 LINES, HEIGHT = 40, 15
 #: Orders' numbers to a range of a document's lines, and bytes of the table for each part that is dealt.
-ORDERS, DEAL_BYTES = 97_000, 2 << 20
+ORDERS, DEAL_BYTES = 97_000, 4 << 20
 # Kinds of lines, by what an order's number leaves by 7 and the line's number: headings may be missing,
 # doubled or out of place, so all modes meet all events.
 KINDS = [
@@ -33,19 +33,39 @@ def _at(x0: float, x1: float, text: Column, bold: bool = False) -> Column:
     return F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), text.alias("text"), F.lit(bold).alias("bold"))
 
 
+def _packed(k: Column, n: Column, p: Column) -> Column:
+    """An item as one number, null if it doesn't fit: 31, 4 and 28 bits."""
+    fits = k.between(0, (1 << 31) - 1) & n.between(0, 15) & p.between(0, (1 << 28) - 1)
+    return F.when(fits, F.shiftleft(k, 32) + F.shiftleft(n, 28) + p)
+
+
+def _unpacked(item: Column) -> Column:
+    return F.struct(F.shiftright(item, 32).alias("k"), F.shiftright(item, 28).bitwiseAND(F.lit(15)).alias("n"), item.bitwiseAND(F.lit((1 << 28) - 1)).alias("p"))
+
+
 def codebook_lines(spark, sf_dir) -> DataFrame:
     """doc, page, place on the page (0, 1, ...), l_orderkey, l_linenumber and l_partkey, dealt by document and
     page: a document for every 97th order, a line for each of its items. A line's number is its place among
-    the document's orders of one range, after the lines of the ranges before."""
-    items = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") % 97).alias("doc"), F.expr(f"l_orderkey div {ORDERS}").alias("part"))
+    the document's orders of one range, after the lines of the ranges before. Items are exchanged as one
+    number each (those that don't fit, as structs): by document and range, then as pieces of pages."""
+    table = views.table(spark, sf_dir, "lineitem")
+    item = [F.col(f"l_{name}").cast("long").alias(x) for name, x in (("orderkey", "k"), ("linenumber", "n"), ("partkey", "p"))]
+    k, n, p = (F.col(x) for x in "knp")
+    fitting, odd = _packed(k, n, p), F.when(_packed(k, n, p).isNull(), F.struct("k", "n", "p"))
+    packed = table.select(*item).select(fitting.alias("_item"), odd.alias("_odd"))
+    of_range = [F.expr(f"coalesce(shiftright(_item, 32), _odd.k) {by}") for by in ("% 97", f"div {ORDERS}")]
+    ranges = [c.alias(name) for c, name in zip(of_range, ("doc", "part"), strict=True)]
     before = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = items.groupBy("doc", "part").count().select("doc", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("doc", "part").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
-    line = (F.col("before") + F.col("own")).alias("line")
-    lines = items.withColumn("own", own).join(parts, ["doc", "part"]).select("l_orderkey", "l_linenumber", "l_partkey", "doc", line)
-    placed = lines.select("doc", F.expr(f"line div {LINES} + 1").alias("page"), (F.col("line") % LINES).cast("int").alias("place"), "l_orderkey", "l_linenumber", "l_partkey")
-    deals = max(spark.sparkContext.defaultParallelism, size_hint(items) // DEAL_BYTES)
-    return placed.repartition(deals, "doc", "page")
+    parts = packed.select(*ranges).groupBy("doc", "part").count().select("doc", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    items = packed.repartition(*of_range).select(*ranges, F.coalesce("_odd", _unpacked(F.col("_item"))).alias("_i")).select("doc", "part", "_i.*")
+    own = F.row_number().over(Window.partitionBy("doc", "part").orderBy("k", "n", "p")) - 1
+    lines = items.withColumn("own", own).join(parts, ["doc", "part"]).withColumn("page", F.expr(f"(before + own) div {LINES} + 1"))
+    pieces = lines.groupBy("doc", "part", "page").agg(F.collect_list(fitting).alias("_items"), F.collect_list(odd).alias("_odd"))
+    deals = max(spark.sparkContext.defaultParallelism, size_hint(table) // DEAL_BYTES)
+    whole = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    pages = pieces.select("doc", "page", "_items", "_odd").repartition(deals, "doc", "page").groupBy("doc", "page").agg(whole("_items"), whole("_odd"))
+    ordered = F.array_sort(F.concat(F.transform("_items", _unpacked), "_odd"))
+    return pages.select("doc", "page", F.posexplode(ordered).alias("place", "_i")).select("doc", "page", "place", F.col("_i.k").alias("l_orderkey"), F.col("_i.n").alias("l_linenumber"), F.col("_i.p").alias("l_partkey"))
 
 
 def codebook_spans(spark, sf_dir) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import codebook as C
+from quillmill.operators import layout as L
+from quillmill.plans import codebook_queries as Q
+from quillmill.plans.registry import ORACLES
+
+from . import oracle
 
 # y, then cells (x0, x1, text, bold)
 LINES = [
@@ -59,3 +67,37 @@ def test_rows_stay(spark):
     plan = C.unread(C.parsed(C.rows_of(spans, ["doc"]), ["doc"]), ["doc"])._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "REPARTITION_BY_NUM" not in line]
     assert len(moved) <= 2 and plan.count("SortMergeJoin") <= 1, moved
+
+
+def moved_once(df):
+    """Lines lie in one exchange by range and one by page, both read again by whoever needs them."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [word for line in plan.split("\n") if "ReusedExchange" not in line for word in re.findall(r"REPARTITION_BY_\w+", line)]
+    assert sorted(dealt) == ["REPARTITION_BY_COL", "REPARTITION_BY_NUM"] and "ReusedExchange" in plan
+
+
+def test_totals_move_lines_once(spark):
+    moved_once(Q.codebook_totals(spark, oracle.SF))
+
+
+def test_page_rows(spark):
+    """Rows and cells by one grouping are those of row_groups and merge_cells."""
+    r = random.Random(5)
+    texts = ["a", "b ", " c", "", "d\t\te", "f  g", None]
+    spans = [(r.randrange(4), r.choice([None, *(k * 0.9 for k in range(40))]), x := r.choice([None, *(k * 1.3 for k in range(60))]), x and x + r.choice([0.5, 1.0, 4.0]), r.choice(texts), r.choice([True, False, None])) for _ in range(400)]
+    df = spark.createDataFrame(sorted(set(spans), key=str), "page int, y double, x0 double, x1 double, text string, bold boolean")
+    cells = L.merge_cells(L.row_groups(df, ["page"]), ["page", "row_y"])
+    told = L.page_rows(df, ["page"]).select("page", F.col("y").alias("row_y"), F.inline("cells")).select(*cells.columns)
+    assert sorted(map(str, told.collect())) == sorted(map(str, cells.collect())) and told.count() > 100
+
+
+def test_items_that_do_not_fit(spark, tmp_path):
+    """Numbers beyond those that are packed, among others of their document, keep their place."""
+    rows = [(97 * k + big, n, p + far) for k in range(60) for n in (1, 2, 3, 5, 7, 16, 20) for p in (k, 1) for far in (0, 1 << 30) for big in (0, 97 << 31)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = oracle.duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("codebook_totals", "codebook_variables", "codebook_contents", "codebook_unread"):
+        found = oracle.rows(getattr(Q, name)(spark, str(tmp_path)))
+        assert found and found == oracle.sql_rows(ORACLES[name], con=con), name
