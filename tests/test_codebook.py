@@ -101,3 +101,7 @@ def test_items_that_do_not_fit(spark, tmp_path):
     for name in ("codebook_totals", "codebook_variables", "codebook_contents", "codebook_unread"):
         found = oracle.rows(getattr(Q, name)(spark, str(tmp_path)))
         assert found and found == oracle.sql_rows(ORACLES[name], con=con), name
+
+
+def test_variables_move_lines_once(spark):
+    moved_once(Q.codebook_variables(spark, oracle.SF))
