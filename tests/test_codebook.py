@@ -105,3 +105,7 @@ def test_items_that_do_not_fit(spark, tmp_path):
 
 def test_variables_move_lines_once(spark):
     moved_once(Q.codebook_variables(spark, oracle.SF))
+
+
+def test_contents_move_lines_once(spark):
+    moved_once(Q.codebook_contents(spark, oracle.SF))
