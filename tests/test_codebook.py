@@ -109,3 +109,7 @@ def test_variables_move_lines_once(spark):
 
 def test_contents_move_lines_once(spark):
     moved_once(Q.codebook_contents(spark, oracle.SF))
+
+
+def test_unread_move_lines_once(spark):
+    moved_once(Q.codebook_unread(spark, oracle.SF))
