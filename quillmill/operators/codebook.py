@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import EDGE_TOLERANCE, column_of, page_rows
+from .layout import EDGE_TOLERANCE, column_of, crop, page_rows, rows_in_pages
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,12 @@ EVENTS = ("contents", "variable", "field", "table")
 def rows_of(spans: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """keys, page, y and cells (x0, x1, text, bold; from the left) of the rows between header and
     footer. spans: keys, page, y, x0, x1, text, bold."""
-    return page_rows(spans, [*keys, "page"]).filter((F.col("y") > spec.top) & (F.col("y") < spec.bottom))
+    return crop(page_rows(spans, [*keys, "page"]), spec.top, spec.bottom)
+
+
+def rows_of_pages(pages: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
+    """rows_of of pages whose spans are one array. pages: keys, page, spans (y, x0, x1, text, bold)."""
+    return crop(rows_in_pages(pages, [*keys, "page"]), spec.top, spec.bottom)
 
 
 def _event(spec: CodebookSpec) -> Column:
@@ -112,9 +117,9 @@ def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) ->
     r = r.withColumns({f"_n{k}": many(c & (F.col("_in_table") == "numbers")) for k, c in enumerate(told)})
     r = r.withColumn("_since", F.max(F.when(e == "variable", F.col("_n0"))).over(down))  # rows of numbers before the last variable
 
-    # a page as one row: its last line has them all
+    # a page as one row: its last line has them all; each by itself, so that those of no use aren't made
     line = ["_constant", "_latest", "_opened", "_records", "_slots", "_n0", "_n1", "_n2", "_since"]
-    pages = r.groupBy(*page).agg(F.max(F.struct("y", *line)).alias("_p")).select(*page, *(F.col(f"_p.{n}").alias(n) for n in line))
+    pages = r.groupBy(*page).agg(*(F.max_by(n, "y").alias(n) for n in line))
     before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     pages = pages.withColumns({f"_b{n}": F.last(n, True).over(before) for n in ("_constant", "_latest", "_opened")} | {f"_b{n}": F.coalesce(F.sum(n).over(before), F.lit(0)) for n in ("_records", "_slots")})
     pages = pages.withColumns({"_in1": (F.col("_b_constant") == "variable").eqNullSafe(True), "_in2": ((F.col("_b_constant") == "variable") & (F.col("_b_latest") == "table")).eqNullSafe(True)})

@@ -29,8 +29,8 @@ KINDS = [
 ]
 
 
-def _at(x0: float, x1: float, text: Column, bold: bool = False) -> Column:
-    return F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), text.alias("text"), F.lit(bold).alias("bold"))
+def _at(x0: float, x1: float, text: Column, bold: bool = False) -> list[Column]:
+    return [F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), text.alias("text"), F.lit(bold).alias("bold")]
 
 
 def _packed(k: Column, n: Column, p: Column) -> Column:
@@ -44,8 +44,8 @@ def _unpacked(item: Column) -> Column:
 
 
 def codebook_lines(spark, sf_dir) -> DataFrame:
-    """doc, page, place on the page (0, 1, ...), l_orderkey, l_linenumber and l_partkey, dealt by document and
-    page: a document for every 97th order, a line for each of its items. A line's number is its place among
+    """doc, page and lines, an array of items in order (k, n, p: order, line's number, part), dealt by document
+    and page: a document for every 97th order, a line for each of its items. A line's number is its place among
     the document's orders of one range, after the lines of the ranges before. Items are exchanged as one
     number each (those that don't fit, as structs): by document and range, then as pieces of pages."""
     table = views.table(spark, sf_dir, "lineitem")
@@ -64,16 +64,23 @@ def codebook_lines(spark, sf_dir) -> DataFrame:
     deals = max(spark.sparkContext.defaultParallelism, size_hint(table) // DEAL_BYTES)
     whole = lambda c: F.flatten(F.collect_list(c)).alias(c)
     pages = pieces.select("doc", "page", "_items", "_odd").repartition(deals, "doc", "page").groupBy("doc", "page").agg(whole("_items"), whole("_odd"))
-    ordered = F.array_sort(F.concat(F.transform("_items", _unpacked), "_odd"))
-    return pages.select("doc", "page", F.posexplode(ordered).alias("place", "_i")).select("doc", "page", "place", F.col("_i.k").alias("l_orderkey"), F.col("_i.n").alias("l_linenumber"), F.col("_i.p").alias("l_partkey"))
+    ordered = F.sort_array(F.concat(F.transform("_items", _unpacked), "_odd"))
+    return pages.select("doc", "page", ordered.alias("lines"))
 
 
-def codebook_spans(spark, sf_dir) -> DataFrame:
-    """doc, page, y, x0, x1, text, bold: the spans of the lines. They are made where the lines lie, so what is
-    dealt is the lines."""
-    k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
-    kind = F.get(F.get(F.array(*(F.array(*map(F.lit, x)) for x in KINDS)), (k % 7).cast("int")), (n - 1).cast("int"))
-    items = codebook_lines(spark, sf_dir).withColumn("kind", kind)
+def codebook_pages(spark, sf_dir) -> DataFrame:
+    """doc, page and spans, an array (y, x0, x1, text, bold): those of the lines. They are made where the lines
+    lie, so what is dealt is the lines."""
+    kinds = F.array(*(F.array(*map(F.lit, x)) for x in KINDS))
+    kind = lambda i: F.get(F.get(kinds, (i["k"] % 7).cast("int")), (i["n"] - 1).cast("int"))
+    lines = F.transform("lines", lambda i: F.struct(kind(i).alias("kind"), *(i[x].alias(x) for x in "knp")))
+    pages = codebook_lines(spark, sf_dir).select("doc", "page", lines.alias("lines"))
+    return pages.select("doc", "page", F.flatten(F.transform("lines", _spans)).alias("spans"))
+
+
+def _spans(line: Column, place: Column) -> Column:
+    """The spans of a line at a place of its page (0, 1, ...)."""
+    kind, k, n, p = (line[x] for x in ("kind", "k", "n", "p"))
     s = lambda c: c.cast("string")
     lit = F.lit
     number = views.pick(k + n, FIELDS)
@@ -88,9 +95,9 @@ def codebook_spans(spark, sf_dir) -> DataFrame:
         "contents": [_at(40, 100, lit("Variable")), _at(150, 200, lit("Position")), _at(250, 330, lit("Description"))],
         "listed": [_at(40, 100, F.concat(lit("V"), s(p))), _at(150, 200, s(k)), _at(250, 330, F.concat(lit("about "), s(n))), _at(340, 535, F.concat(F.when(p % 2 == 0, "..... ").otherwise(""), s(p % 300)))],
     }
-    spans = F.coalesce(*(F.when(F.col("kind") == name, F.array(*cells)) for name, cells in lines.items()))
-    one = items.select("doc", "page", (F.lit(60.0) + F.col("place") * HEIGHT).alias("y0"), F.posexplode(spans).alias("i", "s"))
-    return one.select("doc", "page", (F.col("y0") + F.col("i") * 0.25).alias("y"), "s.*")
+    y = F.lit(60.0) + place * HEIGHT
+    spans = [F.when(kind == name, F.array(*(F.struct((y + i * 0.25).alias("y"), *cell) for i, cell in enumerate(cells)))) for name, cells in lines.items()]
+    return F.coalesce(*spans, F.array().cast("array<struct<y:double,x0:double,x1:double,text:string,bold:boolean>>"))
 
 
 # The same machine over whole documents in SQL, from the kinds of lines.
@@ -107,7 +114,7 @@ _PAGE = f"(line // {LINES} + 1)::BIGINT"
 
 
 def _read(spark, sf_dir):
-    return C.parsed(C.rows_of(codebook_spans(spark, sf_dir), ["doc"]), ["doc"])
+    return C.parsed(C.rows_of_pages(codebook_pages(spark, sf_dir), ["doc"]), ["doc"])
 
 
 @query(rf"WITH {_BOOK} SELECT doc, record::BIGINT AS record, 'V' || k AS name, (k % 9)::VARCHAR AS length, p::VARCHAR AS position, {_PAGE} AS page FROM b WHERE event = 'variable'")

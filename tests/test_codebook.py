@@ -92,6 +92,22 @@ def test_page_rows(spark):
     assert sorted(map(str, told.collect())) == sorted(map(str, cells.collect())) and told.count() > 100
 
 
+def test_rows_in_pages(spark):
+    """Pages as arrays give the rows of their spans: in any order, some without a height, some missing; slow
+    drifts among them; pages without spans give none."""
+    r = random.Random(7)
+    spans = [(p, r.choice([None, *(k * d for k in range(30))]), float(r.randrange(60)), 1.0, r.choice("abc"), r.random() < 0.5) for p, d in ((1, 0.9), (2, 15.0), (3, 2.5), (4, 2.6)) for _ in range(80)]
+    spans = [(*s[:3], s[2] + s[3], *s[4:]) for s in spans] + [(5, None, 1.0, 2.0, "a", False)]
+    df = spark.createDataFrame(spans, "page int, y double, x0 double, x1 double, text string, bold boolean")
+    span = F.struct("y", "x0", "x1", "text", "bold")
+    pages = df.groupBy("page").agg(F.shuffle(F.concat(F.collect_list(span), F.array(F.lit(None)))).alias("spans"))
+    none = pages.select((F.col("page") + 10).alias("page"), F.slice("spans", 1, 0).alias("spans")).unionByName(pages.select((F.col("page") + 20).alias("page"), F.when(F.lit(False), F.col("spans")).alias("spans")))
+    found, told = (sorted(map(str, x.collect())) for x in (L.rows_in_pages(pages.unionByName(none), ["page"]), L.page_rows(df, ["page"])))
+    assert found == told and len(told) > 60
+    cells = L.merge_cells(L.row_groups(df.filter("y IS NOT NULL"), ["page"]), ["page", "row_y"])
+    assert sorted(map(str, L.rows_in_pages(pages, ["page"]).select("page", F.col("y").alias("row_y"), F.inline("cells")).select(*cells.columns).collect())) == sorted(map(str, cells.collect()))
+
+
 def test_items_that_do_not_fit(spark, tmp_path):
     """Numbers beyond those that are packed, among others of their document, keep their place."""
     rows = [(97 * k + big, n, p + far) for k in range(60) for n in (1, 2, 3, 5, 7, 16, 20) for p in (k, 1) for far in (0, 1 << 30) for big in (0, 97 << 31)]
@@ -107,6 +123,16 @@ def test_variables_move_lines_once(spark):
     moved_once(Q.codebook_variables(spark, oracle.SF))
 
 
+def made(df, *names):
+    """df's plan makes none of these columns, and no page again of its spans."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(struct(y" not in plan and not [n for n in names if f" AS {n}#" in plan]
+
+
+def test_variables_make_what_they_need(spark):
+    made(Q.codebook_variables(spark, oracle.SF), "_kinds", "_in_table", "_since", "_n0")
+
+
 def test_contents_move_lines_once(spark):
     moved_once(Q.codebook_contents(spark, oracle.SF))
 
