@@ -139,3 +139,7 @@ def test_contents_move_lines_once(spark):
 
 def test_unread_move_lines_once(spark):
     moved_once(Q.codebook_unread(spark, oracle.SF))
+
+
+def test_contents_make_what_they_need(spark):
+    made(Q.codebook_contents(spark, oracle.SF), "_since", "_n0")
