@@ -143,3 +143,7 @@ def test_unread_move_lines_once(spark):
 
 def test_contents_make_what_they_need(spark):
     made(Q.codebook_contents(spark, oracle.SF), "_since", "_n0")
+
+
+def test_unread_makes_pages_once(spark):
+    made(Q.codebook_unread(spark, oracle.SF))
