@@ -66,7 +66,7 @@ def rows_of(spans: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY)
 
 def rows_of_pages(pages: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
     """rows_of of pages whose spans are one array. pages: keys, page, spans (y, x0, x1, text, bold)."""
-    return crop(rows_in_pages(pages, [*keys, "page"]), spec.top, spec.bottom)
+    return crop(rows_in_pages(pages, [*keys, "page"], numbered=False), spec.top, spec.bottom)
 
 
 def _event(spec: CodebookSpec) -> Column:

@@ -64,7 +64,8 @@ def codebook_lines(spark, sf_dir) -> DataFrame:
     deals = max(spark.sparkContext.defaultParallelism, size_hint(table) // DEAL_BYTES)
     whole = lambda c: F.flatten(F.collect_list(c)).alias(c)
     pages = pieces.select("doc", "page", "_items", "_odd").repartition(deals, "doc", "page").groupBy("doc", "page").agg(whole("_items"), whole("_odd"))
-    ordered = F.sort_array(F.concat(F.transform("_items", _unpacked), "_odd"))
+    mixed = F.sort_array(F.concat(F.transform("_items", _unpacked), "_odd"))
+    ordered = F.when(F.size("_odd") == 0, F.transform(F.sort_array("_items"), _unpacked)).otherwise(mixed)  # as numbers they have the same order
     return pages.select("doc", "page", ordered.alias("lines"))
 
 

@@ -147,3 +147,22 @@ def test_contents_make_what_they_need(spark):
 
 def test_unread_makes_pages_once(spark):
     made(Q.codebook_unread(spark, oracle.SF))
+
+
+def made_once(df):
+    """Each of the two readings of the pages makes their spans once: no filter below makes them again."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(transform(") == 2, plan.count("flatten(transform(")
+
+
+def test_contents_make_spans_once(spark):
+    made_once(Q.codebook_contents(spark, oracle.SF))
+
+
+def test_cells_without_numbers(spark):
+    """Cells are the same whether they are numbered or not, uneven texts among them."""
+    texts = ["a", " b", "c  d", "e\tf", "", None, "g h", "i "]
+    span = [(60.0 + k // 3 * 15, k * 40.0, k * 40.0 + 9, t, True) for k, t in enumerate(texts)]
+    pages = spark.createDataFrame([(1, span)], "page int, spans array<struct<y:double,x0:double,x1:double,text:string,bold:boolean>>")
+    numbered, plain = (L.rows_in_pages(pages, ["page"], numbered=n).select("y", F.inline("cells")).drop("cell").orderBy("y", "x0").collect() for n in (True, False))
+    assert numbered == plain and [r.text for r in plain] == ["a", "b", "c d", "e f", "", None, "g h", "i"]
