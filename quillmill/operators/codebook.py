@@ -86,7 +86,7 @@ def _kind(cell: Column, spec: CodebookSpec) -> Column:
 
 
 def _joined(cells: Column) -> Column:
-    return F.array_join(F.transform(cells, lambda c: c["text"]), " ")
+    return F.array_join(cells["text"], " ")
 
 
 def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) -> DataFrame:
@@ -99,8 +99,11 @@ def parsed(rows: DataFrame, keys: list[str], spec: CodebookSpec = DICTIONARY) ->
     # rows without a key have no place below; told here, so that the pages and their rows read the same exchange
     known = rows.filter(reduce(Column.__and__, (F.col(k).isNotNull() for k in page)))
     r = known.withColumns({"_heading": _event(spec), "_kinds": F.transform("cells", lambda c: _kind(c, spec))})
-    of_kind = lambda name: F.filter("cells", lambda c, k: F.get("_kinds", k) == name)
-    r = r.withColumns({"label": _joined(of_kind("label"))} | {name: F.get(F.reverse(of_kind(name)), F.lit(0))["text"] for name, _ in spec.columns})
+    # a row's last cell of a kind is looked up; only a row that has kinds besides labels is parted
+    texts, kinds = F.col("cells.text"), F.col("_kinds")
+    last_of = lambda name: F.get(texts, (F.size("cells") - F.array_position(F.reverse(kinds), name)).cast("int"))
+    labels = F.when(F.size(F.array_remove(kinds, "label")) == 0, F.array_join(texts, " ")).otherwise(_joined(F.filter("cells", lambda c, k: F.get(kinds, k) == "label")))
+    r = r.withColumns({"label": labels} | {name: last_of(name) for name, _ in spec.columns})
     numbers, cells = F.coalesce(*(F.col(n) for n in ("freq", "wfreq", "pct"))), F.col("cells")
     total = (F.col("label") == spec.total) & cells[0]["bold"]
     # what a row without heading is in a table: a look-back may turn on it, so it is told first

@@ -159,6 +159,18 @@ def test_contents_make_spans_once(spark):
     made_once(Q.codebook_contents(spark, oracle.SF))
 
 
+def test_unread_make_spans_once(spark):
+    made_once(Q.codebook_unread(spark, oracle.SF))
+
+
+def test_cells_of_a_kind(spark):
+    """Of cells in one column the last counts, the others of no column are the label; unknown texts are left out."""
+    cells = [(40.0, 60.0, "a", False), (61.0, 306.0, "1", False), (100.0, 305.0, "2", False), (310.0, 387.0, None, False), (400.0, 410.0, "b", False)]
+    df = spark.createDataFrame([("d", 1, 60.0, cells), ("d", 1, 80.0, cells[:1]), ("d", 1, 90.0, [])], "doc string, page int, y double, cells array<struct<x0:double,x1:double,text:string,bold:boolean>>")
+    found = C.parsed(df.filter("size(cells) > 0"), ["doc"]).orderBy("y").select("label", "code", "freq").collect()
+    assert [tuple(r) for r in found] == [("a b", "2", None), ("a", None, None)]
+
+
 def test_cells_without_numbers(spark):
     """Cells are the same whether they are numbered or not, uneven texts among them."""
     texts = ["a", " b", "c  d", "e\tf", "", None, "g h", "i "]
