@@ -15,6 +15,8 @@ LIGATURES = "ffi|ffl|ff|fi|fl"
 COMMENT = r"(?s)<!--.*?-->"
 #: White space as Unicode has it, spelled out because engines differ on \s.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: SPACE as the SQL of the queries reads it: without the vertical tab, which Java's \s takes in.
+SQL_SPACE = SPACE.replace(r"\s", r"\t\n\f\r ")
 EQUATION = r"\(([0-9]{1,2}[A-Z]?\.[0-9]{1,3}[a-z]?)\)"
 ITEM = r"\b(Example|Table|Figure|Exercise)\s+([A-Z]?[0-9]{0,2}[A-Z]?\.[0-9]{1,3}[a-z]?)\b"
 #: A single backslash before two or more letters, behind any pairs of backslashes: a LaTeX command.
@@ -53,9 +55,9 @@ def coverage_tokens(text: Column) -> Column:
     return F.filter(F.transform(found, lambda t: F.translate(F.regexp_replace(t, "[.,]+$", ""), "’", "'")), lambda t: t != "")
 
 
-def solid_chars(text: Column) -> Column:
+def solid_chars(text: Column, space: str = SPACE) -> Column:
     """The number of characters that are not white space."""
-    return F.length(F.regexp_replace(text, SPACE, ""))
+    return F.length(F.regexp_replace(text, space, ""))
 
 
 def upto_last(text: Column, end: str) -> Column:
@@ -93,8 +95,9 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
 
 
-def quote_block(text: Column) -> Column:
-    return F.array_join(F.transform(lines(text), lambda x: F.when(solid_chars(x) > 0, F.concat(F.lit("> "), x)).otherwise(F.lit(">"))), "\n")
+def quote_block(text: Column, space: str = SPACE) -> Column:
+    """Lines behind `> `, those of white space alone as a bare `>`; an empty text has none."""
+    return F.array_join(F.transform(lines(text), lambda x: F.when(solid_chars(x, space) > 0, F.concat(F.lit("> "), x)).otherwise(F.lit(">"))), "\n")
 
 
 def md_link(path: Column) -> Column:

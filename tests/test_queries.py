@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
+from pyspark.sql import functions as F
 
+from quillmill.functions import text as T
 from quillmill.queries import ORACLES, QUERIES
 
-from .oracle import SF, rows, sql_rows
+from .oracle import SF, duckdb, rows, sql_rows
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -23,3 +27,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_quote_block_of_odd_texts(spark, tmp_path):
+    """Empty texts, and lines of any white space alone, are quoted as in SQL; nothing that was said stays nothing."""
+    texts = [None, *("".join(p) for n in range(4) for p in itertools.product("a\n\r\t\v\f \x1c\x85\xa0\u2028", repeat=n))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = rows(QUERIES["quote_block"](spark, str(tmp_path)))
+    assert len(found) == len(texts) and found == sql_rows(ORACLES["quote_block"], con=con)
+    assert spark.range(1).select(T.quote_block(F.lit(""))).first()[0] == ""
